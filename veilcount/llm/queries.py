@@ -4,10 +4,17 @@ from __future__ import annotations
 
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
+from .top_k import OP2_SQL, op2_top_k
+from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
+    "op1_url_filter": op1_url_filter,
+    "op2_top_k": op2_top_k,
     "op3_substring_dedup": op3_substring_dedup,
     "op6_suffix_dedup": op6_suffix_dedup,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_url_filter": OP1_SQL,
+    "op2_top_k": OP2_SQL,
+}
