@@ -60,7 +60,7 @@ class Windows:
     length: int
     seed: int
     symbols: Callable[[np.ndarray], np.ndarray]
-    chunk_bytes: int = 12 << 20
+    chunk_bytes: int = 4 << 20
 
 
 @dataclass
