@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from .language_id import op5_language_id
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .top_k import OP2_SQL, op2_top_k
+from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_top_k": op2_top_k,
     "op3_substring_dedup": op3_substring_dedup,
+    "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
