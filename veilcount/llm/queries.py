@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP8_SQL, op8_decontaminate
 from .language_id import op5_language_id
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
@@ -15,10 +16,12 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
+    "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_top_k": OP2_SQL,
+    "op8_decontaminate": OP8_SQL,
 }

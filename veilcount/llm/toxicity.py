@@ -41,14 +41,14 @@ class FactorizationMachine:
         return self.bias + line + pair / 2
 
     @staticmethod
-    def fit(rows: Sparse, label: np.ndarray, epochs: int = 8, alone: int = 3, rate: float = 1.0, least: int = 3, sparse: float = 6.0, shrink: float = 1e-3) -> FactorizationMachine:
+    def fit(rows: Sparse, label: np.ndarray, epochs: int = 12, alone: int = 3, rate: float = 0.4, least: int = 3, sparse: float = 0.2, shrink: float = 1e-3) -> FactorizationMachine:
         """Follow-the-regularised-leader for the weights, then for the factors of terms that kept a weight.
 
         Terms in fewer than ``least`` rows stay at 0, as do those whose summed
-        gradient stays under ``sparse``; the first ``alone`` rounds fit weights
-        only.
+        gradient stays under ``sparse`` times the root of the number of rows; the
+        first ``alone`` rounds fit weights only.
         """
-        random = np.random.default_rng(9)
+        random, sparse = np.random.default_rng(9), sparse * np.sqrt(len(label))
         frequent = np.bincount(rows.ids, minlength=DIMS) >= least
         share = float(np.clip(label.mean(), 0.01, 0.99)) if len(label) else 0.5
         fm = FactorizationMachine(float(np.log(share / (1 - share))), np.zeros(DIMS), random.normal(0, 0.01, (DIMS, FACTORS)))
