@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .language_id import op5_language_id
 from .near_dedup import op7_near_dedup
+from .pieces import op10_sentencepiece
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .top_k import OP2_SQL, op2_top_k
@@ -20,6 +21,7 @@ QUERIES = {
     "op7_near_dedup": op7_near_dedup,
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
+    "op10_sentencepiece": op10_sentencepiece,
 }
 
 ORACLES: dict[str, str] = {
