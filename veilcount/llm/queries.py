@@ -6,6 +6,7 @@ from .decontaminate import OP8_SQL, op8_decontaminate
 from .language_id import op5_language_id
 from .near_dedup import op7_near_dedup
 from .pieces import op10_sentencepiece
+from .quality import op4_quality
 from .substring_dedup import op3_substring_dedup
 from .suffix_dedup import op6_suffix_dedup
 from .top_k import OP2_SQL, op2_top_k
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_url_filter": op1_url_filter,
     "op2_top_k": op2_top_k,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_quality": op4_quality,
     "op5_language_id": op5_language_id,
     "op6_suffix_dedup": op6_suffix_dedup,
     "op7_near_dedup": op7_near_dedup,
