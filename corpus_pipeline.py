@@ -1,15 +1,82 @@
-"""A training-data pipeline over ``documents``, in stages."""
+"""A training-data pipeline over ``documents``.
+
+Every stage takes (spark, docs, sf_dir), works on all that the one before it
+kept, and returns a DataFrame; all but the last return the columns of
+``documents``. ``run`` writes each stage's rows to a table of the shared folder
+and reads them as the next one's input.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from veilcount.llm.decontaminate import contamination
+from veilcount.llm.language_id import UNKNOWN, identify
+from veilcount.llm.near_dedup import near_duplicates
+from veilcount.llm.pieces import encode
+from veilcount.llm.shared import saved
+from veilcount.llm.suffix_dedup import suffix_dedup
 
+#: Cosine under which a text is like no known language.
+LEAST_COSINE = 0.05
+#: No stage of these five can be written as SQL; the tests compare with brute force.
 ORACLE_SQL = None
-STAGES: list = []
+
+
+def others(docs: DataFrame, *without: str) -> tuple[str, ...]:
+    return tuple(c for c in docs.columns if c not in without)
+
+
+def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects texts without a letter and those whose letters are like none of the languages in ``lang``."""
+    out = identify(docs, F.lit(True), carry=others(docs, "doc_id"))
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document of least doc_id stays; rows without doc_id stay too."""
+    classes = near_duplicates(docs)
+    stay = saved(classes.where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct())
+    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
+    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    one = named.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
+    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the 100-byte strings that stand earlier in the corpus, in whole characters; null stays null."""
+    flagged = docs.withColumn("_null", F.col("text").isNull())
+    out = suffix_dedup(flagged, carry=others(flagged, "doc_id", "text"), characters=True)
+    text = F.when(~F.col("_null"), F.decode("kept", "UTF-8"))
+    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    leaks = found.select(F.col("doc_id").alias("leak")).distinct()
+    return docs.join(leaks, F.col("doc_id") == F.col("leak"), "left_anti").select(docs.columns)
+
+
+def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document's best segmentation as ids, and the scores of its N best."""
+    return encode(docs, carry=others(docs, "doc_id", "text"))
+
+
+STAGES = [
+    ("language_id", keep_known_languages),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("sentencepiece", encode_texts),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if i < len(STAGES) - 1:
+            docs = saved(docs)
     return docs
