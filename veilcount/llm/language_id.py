@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import give_back
+
 DIMS = 512
 #: Letters are told apart by their code point modulo this.
 LETTERS = 4096
@@ -111,6 +113,7 @@ def learn_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
             names = sorted(set(langs))
             for name, v in zip(names, bundles(b["text"].to_pylist(), [names.index(x) for x in langs], len(names)), strict=True):
                 total[name] = total.get(name, 0) + v
+        give_back()
         if total:
             yield pa.record_batch({"lang": pa.array(list(total)), "v": pa.array([v.astype(np.int64) for v in total.values()], pa.list_(pa.int64()))})
 
@@ -147,6 +150,7 @@ def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = ()) ->
                 best = np.where(size > 0, cosine.argmax(1), len(names))
                 score = np.where(size > 0, np.clip(cosine.max(1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", *carry)), pa.array(table[best].tolist(), pa.string()), pa.array(score)], ["doc_id", *carry, "lang_pred", "score"])
+            give_back()
 
     given = docs.select("doc_id", *carry, *(["text"] if "text" not in carry else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carry).schema)

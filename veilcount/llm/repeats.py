@@ -46,6 +46,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .rolling import Roller, U, mix, select_seeds, window_starts
+from .shared import give_back
 
 #: Window starts handled at once: their temporaries stay in a core's cache.
 BLOCK = 1 << 17
@@ -152,6 +153,7 @@ def find_units(chunk: Chunk, spec: Windows, hold: bool = False) -> list[tuple[Ro
         total += len(first)
     chunk.seeds, chunk.units = joined(seeds, U), joined(units, U)
     chunk.begin, chunk.count, chunk.doc = joined(begin, np.int64), joined(count, np.int64), joined(doc, np.int64)
+    give_back()
     return held
 
 
