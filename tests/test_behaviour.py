@@ -1,0 +1,227 @@
+"""Fixed cases of single operators, on rows made for them."""
+
+import datetime
+import hashlib
+import hmac
+
+import pytest
+from pyspark.sql import functions as F
+
+from veilcount.functions import identity, noise, periods, text_rules
+from veilcount.operators import benchmark, cohorts, consent, metrics, redact, release, settle, validate
+from veilcount.sources import fixtures as fx
+
+DAY = 86_400_000_000
+ALL = ["product_analytics", "benchmark_contribution", "coop_licensing"]
+
+
+def us(text):
+    t = datetime.datetime.fromisoformat(text).replace(tzinfo=datetime.timezone.utc)
+    return int(t.timestamp()) * 1_000_000
+
+
+def test_iso_weeks(spark):
+    days = {"2025-12-29": "2026-W01", "2026-01-01": "2026-W01", "2027-01-03": "2026-W53", "2026-07-26 23:59:59": "2026-W30", "2026-07-27 00:00:00": "2026-W31"}
+    df = spark.createDataFrame([(k, us(k)) for k in days], "k string, at long")
+    assert {r["k"]: r["w"] for r in df.select("k", periods.week_label(F.col("at")).alias("w")).collect()} == days
+
+
+def test_size_buckets(spark):
+    want = {0: "1-100", 100: "1-100", 101: "100-1k", 1000: "100-1k", 1001: "1k-10k", 10_000: "1k-10k", 100_000: "10k-100k", 100_001: "100k+"}
+    df = spark.createDataFrame([(k,) for k in want], "n long")
+    assert {r["n"]: r["b"] for r in df.select("n", periods.size_bucket(F.col("n")).alias("b")).collect()} == want
+
+
+def events(spark, *rows, purposes=ALL):
+    return spark.createDataFrame([("w", s, n, int(d * DAY), purposes) for s, d, n in rows], "workspace_id string, subject_key string, name string, at long, purposes array<string>")
+
+
+def value(spark, metric, *rows, now=90):
+    facts = metrics.subject_facts(events(spark, *rows), [metric], now=now * DAY)
+    got = metrics.metric_rows(facts, [metric]).collect()
+    return (got[0]["value"], got[0]["subject_count"]) if got else None
+
+
+def test_activation_bound_is_inclusive(spark):
+    m = metrics.activation("signup")
+    assert value(spark, m, ("a", 0, "view"), ("a", 7, "signup"), ("b", 0, "view"), ("b", 8, "signup")) == (0.5, 2)
+
+
+@pytest.mark.parametrize("day,kept", [(4, 0), (5, 1), (9, 1), (10, 0)])
+def test_retention_days(spark, day, kept):
+    assert value(spark, metrics.d7_retention(), ("a", 0, "x"), ("a", day, "x")) == (kept, 1)
+
+
+def test_maturity_leaves_no_row(spark):
+    assert value(spark, metrics.d7_retention(), ("a", 0, "x"), now=8) is None
+    assert value(spark, metrics.d7_retention(), ("a", 0, "x"), now=10) == (0.0, 1)
+
+
+def test_conversion_is_directional(spark):
+    rows = (("a", 0, "from"), ("a", 1, "to"), ("b", 0, "from"), ("c", 0, "to"))
+    assert value(spark, metrics.conversion("from", "to"), *rows) == (0.5, 2)
+    assert value(spark, metrics.conversion("from", "to"), ("a", 0, "to"), ("a", 1, "from")) == (0.0, 1)
+
+
+def test_one_event_without_consent_removes_the_subject(spark):
+    both = events(spark, ("a", 0, "x"), ("b", 0, "x")).unionByName(events(spark, ("b", 1, "x"), purposes=ALL[:1]))
+    facts = metrics.subject_facts(both, [metrics.activation("x")])
+    assert {r["subject_key"]: r["consented"] for r in facts.collect()} == {"a": True, "b": False}
+
+
+def observed(spark, sizes, value=0.5):
+    rows = [(f"w{i:03}", "lovable", "saas", "1-100", "2026-W30", "m", value, n) for i, n in enumerate(sizes)]
+    return spark.createDataFrame(rows, "workspace_id string, builder string, vertical string, size_bucket string, period string, metric string, value double, subject_count long")
+
+
+@pytest.mark.parametrize("sizes,reason,shortfall", [([100, 100], "too_few_contributors", 8), ([5] * 12, "too_few_subjects", 440), ([5000] + [10] * 19, "contributor_dominance", 9516), ([200] * 20, None, 0)])
+def test_k_anonymity(spark, sizes, reason, shortfall):
+    r = cohorts.k_anonymity(observed(spark, sizes), ["period"]).first()
+    assert (r["reason"], r["shortfall"], r["ok"]) == (reason, shortfall, reason is None)
+
+
+def test_ladder_widens_until_it_holds(spark):
+    own = observed(spark, [100] * 3)
+    more = observed(spark, [100] * 12).withColumn("builder", F.lit("bolt")).withColumn("workspace_id", F.concat(F.lit("x"), "workspace_id"))
+    r = cohorts.narrowest(own, own.unionByName(more)).first()
+    assert (r["resolved"], r["breadth"], r["contributor_count"], r["widened"]) == (True, "all_builders", 15, True)
+    r = cohorts.narrowest(own, own).first()
+    assert not r["resolved"] and "7 more comparable app" in r["sentence"]
+
+
+def test_declared_wildcard_is_refused(spark):
+    with pytest.raises(ValueError):
+        cohorts.rung_verdicts(observed(spark, [1]).withColumn("vertical", F.lit("any")))
+
+
+def test_generalised_counts(spark):
+    df = spark.createDataFrame([(i, n) for i, n in enumerate([9, 10, 24, 25, 499, 500, 999, 1000, 2499, 2500])], "i int, n long")
+    got = [r["g"] for r in df.orderBy("i").select(noise.generalised(F.col("n")).alias("g")).collect()]
+    assert got == [0, 10, 10, 25, 250, 500, 500, 1000, 1000, 2500]
+
+
+@pytest.mark.parametrize("budget,granted", [(0.25, 2), (1.0, 10)])
+def test_budget(spark, budget, granted):
+    df = spark.createDataFrame([("k", i, 0.1) for i in range(25)], "budget_key string, request int, epsilon double")
+    assert release.budget_decisions(df, budget=budget).where("granted").count() == granted
+
+
+def test_quantiles_are_close_at_high_epsilon(spark):
+    rows = spark.range(1000).select(F.col("id").cast("string").alias("workspace_id"), F.lit("k").alias("k"), ((F.col("id") + 0.5) / 1000).alias("value"))
+    got = release.dp_quantiles(rows, ["k"], noise.secret_table(spark, "s", "n"), 6.0).first()["ladder"]
+    assert got == sorted(got) and all(abs(a - b) < 0.02 for a, b in zip(got, (0.1, 0.25, 0.5, 0.75, 0.9), strict=True))
+
+
+def test_quantiles_stay_in_the_domain(spark):
+    rows = observed(spark, [1] * 20, value=1e9)
+    got = release.dp_quantiles(rows, ["period"], noise.secret_table(spark, "s", "n"), 1.0).first()["ladder"]
+    assert all(0 <= x <= 1 for x in got)
+
+
+def test_laplace_error_has_the_right_size(spark):
+    """The mean absolute error of noise of scale 2 is 2."""
+    df = spark.range(20_000).join(noise.secret_table(spark, "s", "n"), F.lit(True))
+    e = df.select(F.avg(F.abs(noise.laplace(F.lit(2.0), noise.uniform(F.col("id").cast("string"))))).alias("e")).first()["e"]
+    assert abs(e - 2) < 0.08
+
+
+def gated(spark, o, who, **more):
+    head = spark.createDataFrame([("0" * 64,)], "head string")
+    asked = o.select(*cohorts.COHORT, "metric").distinct().withColumn("request", F.lit(1))
+    return release.gate(o, who, asked, head, "s", "n", **more)
+
+
+def test_rows_without_consent_change_nothing(spark):
+    yes = observed(spark, [100] * 20, 0.4)
+    no = observed(spark, [1000] * 50, 0.99).withColumn("workspace_id", F.concat(F.lit("no"), "workspace_id"))
+    a, b = (gated(spark, o, yes)[0].collect() for o in (yes, yes.unionByName(no)))
+    assert a == b and len(a) == 1
+
+
+def test_refusals_and_stamps(spark):
+    yes = observed(spark, [100] * 20, 0.4)
+    none = gated(spark, yes, yes.where("false"))[1].first()
+    assert none["reason"] == "no_consented_observations"
+    assert gated(spark, yes, yes, budget=0.05)[1].first()["reason"] == "privacy_budget_exhausted"
+    out = gated(spark, yes, yes)[0]
+    head = spark.createDataFrame([("0" * 64,)], "head string")
+    assert release.unverified(out, head).count() == 0
+    assert release.unverified(out.withColumn("p50", F.col("p50") + 0.1), head).count() == 1
+
+
+def test_rank(spark):
+    r = spark.createDataFrame([(0.06, 0.12, 0.22, 0.34, 0.48, v) for v in (0.22, 0.01, 0.99, 0.17)], "p10 double, p25 double, p50 double, p75 double, p90 double, v double")
+    assert [x[0] for x in r.select(benchmark.rank(F.col("v"))).collect()] == pytest.approx([50, 10, 90, 37.5])
+
+
+def test_settlement(spark):
+    deal = spark.createDataFrame([("d", 1_000_000, 100_000, ["k"])], "deal_id string, gross_cents long, direct_cost_cents long, cohort_keys array<string>")
+    given = spark.createDataFrame([("a", "k", 600), ("b", "k", 300), ("c", "k", 100), ("z", "other", 9)], "workspace_id string, cohort_key string, subject_count long")
+    paid, done = settle.settle(deal, given)
+    assert {r["workspace_id"]: r["amount_cents"] for r in paid.collect()} == {"a": 162_000, "b": 81_000, "c": 27_000}
+    r = done.first()
+    assert (r["net_cents"], r["pool_cents"], r["platform_cents"], r["rounding_remainder_cents"]) == (900_000, 270_000, 630_000, 0)
+    empty = settle.settle(deal, given.where("false"))[1].first()
+    assert (empty["pool_cents"], empty["platform_cents"]) == (0, 900_000)
+    with pytest.raises(ValueError):
+        settle.settle(deal, given, share=1.5)
+
+
+def test_hmac_is_the_standard_one(spark):
+    df = spark.createDataFrame([("wörk", "ïd", 0)], "workspace_id string, identifier string, at long")
+    r = identity.with_keys(df, fx.ROOT).first()
+    sign = lambda key, m: hmac.new(key, m.encode(), hashlib.sha256)
+    root = fx.ROOT.encode()
+    assert r["subject_key"] == sign(sign(root, "workspace:wörk").digest(), "ïd|epoch:0").hexdigest()[:32]
+    assert r["anchor"] == sign(sign(root, "consent-anchor:wörk").digest(), "ïd").hexdigest()[:32]
+    with pytest.raises(ValueError):
+        identity.with_keys(df, "short")
+
+
+def test_retention_window_has_all_keys(spark):
+    df = spark.createDataFrame([("w", "u", 500 * DAY)], "workspace_id string, identifier string, now long")
+    assert identity.retention_keys(df, fx.ROOT).count() >= 13
+
+
+@pytest.mark.parametrize("text,want", [("192.168.10.100", "[redacted:phone]"), ("at 10.0.0.7 now", "at [redacted:ipv4] now"), ("DE89370400440532013000", "[redacted:iban]"), ("mail a.b@c.de!", "mail [redacted:email]!"), ("é12345678901", "é[redacted:phone]"), ("plain", "plain")])
+def test_redaction(spark, text, want):
+    assert spark.createDataFrame([(text,)], "t string").select(text_rules.redacted(F.col("t"))).first()[0] == want
+
+
+def test_property_bags(spark):
+    bag = '{"note": "x@y.de", "user_email": "z", "n": 2, "ok": true, "gone": null, "list": [1, 2], "cart": {"total": 3, "deep": {"a": 1}}}'
+    r = redact.redact_properties(spark.createDataFrame([(bag,), ("not json",)], "properties string")).collect()
+    assert r[0]["properties"] == {"note": "[redacted:email]", "n": "2", "ok": "true", "gone": None, "list_count": "2", "cart_total": "3"}
+    assert {(f["key"], f["rule"]) for f in r[0]["findings"]} == {("note", "email"), ("user_email", "blocked_key"), ("list", "array_collapsed"), ("cart_deep", "unsupported_type")}
+    assert r[1]["properties"] == {}
+
+
+@pytest.mark.parametrize("name,found", [("hiv_refill_tapped", True), ("health_check", False), ("voted_on_poll", True), ("therapeutic_ui_theme", False), ("racetrack", False), ("/therapy/session-notes", True)])
+def test_screening(spark, name, found):
+    r = spark.createDataFrame([(name,)], "t string").select(text_rules.categories(F.col("t")).alias("c")).first()
+    assert bool(r["c"]) == found
+
+
+def records(spark, *rows):
+    return spark.createDataFrame([("w", i, s, p, state, source, i, j, "v1") for i, (s, p, state, source, j) in enumerate(rows)], "workspace_id string, seq long, subject_key string, purpose string, state string, source string, at long, jurisdiction string, notice_version string")
+
+
+def test_ledger_detects_changes(spark):
+    chain = consent.append(records(spark, *[("s", ALL[0], "granted", "explicit_ui", "EU")] * 5))
+    assert consent.first_broken(chain).first()["broken_at"] is None
+    changed = chain.withColumn("state", F.when(F.col("place") == 2, "denied").otherwise(F.col("state")))
+    assert consent.first_broken(changed).first()["broken_at"] == 2
+    assert len(consent.ledger_head(chain.where("false")).first()["head"]) == 64
+
+
+def test_sticky_withdrawal_and_defaults(spark):
+    led = records(spark, ("s", ALL[1], "granted", "explicit_ui", "EU"), ("s", ALL[1], "withdrawn", "explicit_ui", "EU"), ("s", ALL[1], "granted", "workspace_default", "EU"))
+    who = spark.createDataFrame([("w", "s", "EU"), ("w", "t", "US"), ("w", "u", "ZZ")], "workspace_id string, subject_key string, jurisdiction string")
+    got = {r["subject_key"]: r["purposes"] for r in consent.permitted(who, led).collect()}
+    assert got == {"s": [], "t": ALL[:2], "u": []}
+
+
+def test_first_reason_wins_and_newline_is_no_name(spark):
+    rows = [("", "e", "n", "2026-01-01", "i"), ("w", "e", "bad name", "x", ""), ("w", "e", "name\n", "2026-01-01", "i"), ("w", "e", "n", "not-a-date", "i"), ("w", "e", "n", "2026-01-01T00:00:00Z", "")]
+    df = spark.createDataFrame(rows, "workspace_id string, event_id string, name string, occurred_at string, identifier string")
+    assert [r[0] for r in df.select(validate.reject_reason()).collect()] == ["missing_workspace", "invalid_event_name", "invalid_event_name", "invalid_timestamp", "missing_identifier"]
