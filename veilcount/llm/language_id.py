@@ -24,6 +24,8 @@ DIMS = 512
 LETTERS = 4096
 #: Letters handled at once.
 BLOCK = 1 << 18
+#: Documents handled at once.
+ROWS = 512
 UNKNOWN = "und"
 
 
@@ -141,7 +143,7 @@ def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = ()) ->
     table = np.array([*names, UNKNOWN])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
             v = bundles(b["text"].to_pylist(), list(range(b.num_rows)), b.num_rows)
             size = np.linalg.norm(v, axis=1)
             best, score = np.full(len(v), len(names)), np.zeros(len(v))
@@ -150,7 +152,7 @@ def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = ()) ->
                 best = np.where(size > 0, cosine.argmax(1), len(names))
                 score = np.where(size > 0, np.clip(cosine.max(1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", *carry)), pa.array(table[best].tolist(), pa.string()), pa.array(score)], ["doc_id", *carry, "lang_pred", "score"])
-            give_back()
+        give_back()
 
     given = docs.select("doc_id", *carry, *(["text"] if "text" not in carry else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carry).schema)
