@@ -69,7 +69,7 @@ def dp_quantiles(rows: DataFrame, keys: list[str], noise: DataFrame, epsilon: fl
     own = F.struct(F.col("i").alias("i"), F.col("z").alias("a"), F.coalesce("next", high).alias("b"))
     ahead = F.struct(F.lit(0).alias("i"), low.alias("a"), F.col("z").alias("b"))
     gaps = placed.select(*keys, "n", F.explode(F.when(F.col("i") == 1, F.array(ahead, own)).otherwise(F.array(own))).alias("g")).select(*keys, "n", "g.*").where("b > a")
-    each = gaps.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(q,) for q in targets], "q double"))).join(noise, F.lit(True))
+    each = gaps.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in targets)))).join(noise, F.lit(True))
     draw = F.log(F.col("b") - F.col("a")) - F.lit(epsilon) * F.abs(F.col("i") - F.col("q") * F.col("n")) / 2 + gumbel(uniform(*map(F.col, keys), F.lit("gap"), F.col("q").cast("string"), F.col("i").cast("string")))
     chosen = each.groupBy(*keys, "q").agg(F.max_by(F.struct("a", "b"), draw).alias("g"))
     inside = uniform(*map(F.col, keys), F.lit("place"), F.col("q").cast("string"))

@@ -191,7 +191,8 @@ def privacy_budget(s: SparkSession, d: str) -> DataFrame:
 
 
 def gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = shop_observations(s, d)
+    # small, and read by the verdicts, the ladders, the means and the requests
+    o = shop_observations(s, d).persist()
     rungs = cohorts.ladder(o).select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
     asked = rungs.where("builder = 'any' and size_bucket = 'any'").select(*cohorts.COHORT, "metric").distinct().withColumn("request", F.lit(1))
     head = consent.ledger_head(consent.append(fx.consent_records(s, d)))
