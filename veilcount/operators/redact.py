@@ -8,14 +8,12 @@ from pyspark.sql import functions as F
 from veilcount.constants import BLOCKED_KEY
 from veilcount.functions.text_rules import redaction_steps
 
-_ENTRY = "struct<key string, value string, kind string, rules array<string>>"
-
 
 def _entries(json: Column, path: str = "$") -> Column:
     return F.map_entries(F.coalesce(F.try_variant_get(json, path, "map<string,variant>"), F.create_map().cast("map<string,variant>")))
 
 
-def _visit(key: Column, value: Column, nested: Column) -> Column:
+def _visit(key: Column, value: Column) -> Column:
     """One property as an entry: dropped ones have a null kind and a rule."""
     kind = F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
     text = redaction_steps(F.try_variant_get(value, "$", "string"))
@@ -47,12 +45,12 @@ def redact_properties(events: DataFrame, column: str = "properties") -> DataFram
 
     def spread(e: Column) -> Column:
         kind = F.coalesce(F.schema_of_variant(e["value"]), F.lit("VOID"))
-        inner = F.transform(_entries(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("_"), x["key"]).alias("key"), x["value"].alias("value"), F.lit(True).alias("nested")))
-        whole = F.array(F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lit(False).alias("nested")))
+        inner = F.transform(_entries(e["value"]), lambda x: F.struct(F.concat(e["key"], F.lit("_"), x["key"]).alias("key"), x["value"].alias("value")))
+        whole = F.array(F.struct(e["key"].alias("key"), e["value"].alias("value")))
         return F.when(kind.startswith("OBJECT") & ~e["key"].rlike(BLOCKED_KEY), inner).otherwise(whole)
 
     flat = F.flatten(F.transform(top, spread))
-    done = events.withColumn("_e", F.transform(flat, lambda e: _visit(e["key"], e["value"], e["nested"])))
+    done = events.withColumn("_e", F.transform(flat, lambda e: _visit(e["key"], e["value"])))
     kept = F.filter("_e", lambda e: e["kind"].isNotNull())
     findings = F.flatten(F.transform("_e", lambda e: F.transform(e["rules"], lambda r: F.struct(F.regexp_replace(e["key"], F.when(r == "array_collapsed", F.lit("_count$")).otherwise(F.lit("\\A\\z")), F.lit("")).alias("key"), r.alias("rule")))))
     pairs = lambda field: F.map_from_entries(F.transform(kept, lambda e: F.struct(e["key"], e[field])))
