@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilcount.llm import near_dedup, pieces, quality, queries, repeats, substring_dedup, suffix_dedup, top_k, toxicity, url_filter
+from veilcount.llm import decontaminate, near_dedup, pieces, quality, queries, repeats, substring_dedup, suffix_dedup, top_k, toxicity, url_filter
 from veilcount.llm.decontaminate import contamination
 from veilcount.llm.language_id import identify
 
@@ -193,6 +193,38 @@ def test_contamination(spark, odd):
     assert contamination(docs, bench.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("share", [0.8, 0.7, 0.9, 1.0])
+def test_masks_leave_no_pattern_of_substitutions_out(share):
+    for width in range(1, 16):
+        misses = decontaminate.allowed(width, share)
+        masks = decontaminate.masks_for(width, misses)
+        hits = [{at + o for o, x in enumerate(m) if x == "1"} for m in masks for at in range(width - len(m) + 1)]
+        assert all(any(not hit & set(p) for hit in hits) for p in itertools.combinations(range(width), misses))
+
+
+def test_contamination_equals_the_rule(spark):
+    """Every item of 1 to 14 tokens with every allowed pattern of substitutions, and one too many, against the rule itself."""
+    items = {n: [f"i{n}w{j}" for j in range(n)] for n in range(1, 15)}
+    texts = []
+    for n, words in items.items():
+        for k in range(decontaminate.allowed(min(n, 13), 0.8) + 2):
+            texts += [[f"x{j}" if j in p else w for j, w in enumerate(words)] for p in itertools.combinations(range(n), k)]
+    texts = [["before"] * (i % 3) + t + ["after"] * (i % 2) for i, t in enumerate(texts)] + [items[13][2:], items[14][:11]]
+    want = set()
+    for d, t in enumerate(texts):
+        for n, b in items.items():
+            width, found = min(n, 13), []
+            for shift in range(-n, len(t)):
+                same = [0 <= j + shift < len(t) and t[j + shift] == b[j] for j in range(n)]
+                most = max(sum(same[i : i + width]) for i in range(n - width + 1))
+                found += [(-most, shift)] if most * 5 >= width * 4 else []
+            want |= {(d, n, min(found)[1], -min(found)[0], width)} if found else set()
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(n, " ".join(b)) for n, b in items.items()] + [(99, "?!")], "item_id long, text string")
+    assert {tuple(r) for r in contamination(docs, bench).collect()} == want
+    assert {1, 4, 9, 10, 13} <= {x[1] for x in want}
+
+
 def test_language_on_held_out_rows(spark, odd):
     out = queries.QUERIES["op5_language_id"](spark, SF)
     lang = {r[0]: r[2] for r in table("documents")}

@@ -6,14 +6,29 @@ masked tokens of the benchmark and of the documents are joined. Each hit names
 a document, an item and a diagonal (how far the two are shifted); along the
 diagonal, tokens are compared one by one, and the document is contaminated if
 enough of some run of them agree.
+
+The masks are lossless: wherever the substitutions that the share allows stand
+in a run, one mask at one position avoids them all. Runs of each length have
+masks of their own, and a document is hashed with those that the benchmark's
+items need.
 """
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: 1: the token counts, 0: any token will do.
+#: 1: the token counts, 0: any token will do. Masks by length of the run and number of substitutions; they serve longer runs too.
+LOSSLESS = {
+    (13, 2): ("11101011", "110100111"),
+    (10, 2): ("111011", "1101011", "1110011"),
+    (7, 1): ("11111", "111101", "110111"),
+    (5, 1): ("1111", "11101", "11011", "10111"),
+}
+#: The seeds of OP8_SQL, which are not lossless.
 MASKS = ("111010011", "110110101")
 #: Tokens of the run that is judged (or the whole item, if shorter), and the share of them that must agree.
 RUN = 13
@@ -32,18 +47,28 @@ def token_hashes(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     return df.select(key, F.transform(F.coalesce(tokens(F.col(text)), F.array()), lambda t: F.xxhash64(t)).alias("h"))
 
 
-def seeds(hashed: DataFrame, key: str) -> DataFrame:
-    """(key, at, seed): every mask at every position, the mask's number being part of the hash."""
-    h = F.col("h")
+def allowed(width: int, share: float) -> int:
+    """How many of so many tokens may differ."""
+    return width - math.ceil(width * share - 1e-9)
+
+
+def masks_for(width: int, misses: int) -> tuple[str, ...]:
+    """Masks of which one fits into a run of ``width`` tokens beside any ``misses`` substitutions."""
+    known = [w for w, m in LOSSLESS if m == misses and w <= width]
+    # substitutions leave one of misses + 1 equal parts alone
+    return LOSSLESS[max(known), misses] if known else ("1" * (width // (misses + 1)),)
+
+
+def seeds(hashed: DataFrame, key: str, masks: tuple[str, ...]) -> DataFrame:
+    """(key, at, seed): every mask at every position, the mask being part of the hash."""
 
-    def masked(number: int, mask: str) -> Column:
+    def masked(mask: str) -> Column:
         at = [i for i, x in enumerate(mask) if x == "1"]
-        return F.transform(h, lambda _, i: F.xxhash64(F.lit(number), *(F.get(h, i + o) for o in at)))
+        return F.when(F.col("at") + len(mask) <= F.size("h"), F.xxhash64(F.lit(int(mask, 2)), *(F.get("h", F.col("at") + o) for o in at)))
 
-    every = hashed.where(F.size("h") >= min(map(len, MASKS))).select(key, F.size("h").alias("n"), F.posexplode(F.concat(*(masked(k, m) for k, m in enumerate(MASKS)))).alias("i", "seed"))
-    span = F.element_at(F.array(*(F.lit(len(m)) for m in MASKS)), (F.col("i") / F.col("n")).cast("int") + 1)
-    at = F.col("i") % F.col("n")
-    return every.where(at + span <= F.col("n")).select(key, at.alias("at"), "seed")
+    # outer: Spark would filter by size first, and tokenise every text twice
+    places = hashed.select(key, "h", F.posexplode_outer("h").alias("at", "_token"))
+    return places.select(key, "at", F.explode(F.array(*map(masked, masks))).alias("seed")).where("seed is not null")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, run: int = RUN, share: float = SHARE) -> DataFrame:
@@ -51,21 +76,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, run: int = RUN, share:
 
     A document holds an item if along some diagonal, among ``run`` consecutive
     tokens of the item (all of them, if it has fewer), a share of at least
-    ``share`` equals the document's, and a spaced seed hits that diagonal.
-    ``offset`` is the diagonal with the most agreement (the smallest, if
-    several): the item's first token stands at that token of the document; it
-    is negative where the item's start is cut off. Items and documents with
-    fewer tokens than the shortest mask match nothing. Null texts have no
-    tokens. Rows without doc_id or item_id take no part; rows that repeat one
-    count together. Empty tables give an empty result.
+    ``share`` (above 0) equals the document's. ``offset`` is the diagonal with
+    the most agreement (the smallest, if several): the item's first token
+    stands at that token of the document; it is negative where the item's start
+    is cut off. An item of four tokens or fewer is held by every document that
+    has them in a row. Texts without tokens, as null ones, match nothing. Rows
+    without doc_id or item_id take no part; rows that repeat one count
+    together. Empty tables give an empty result.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     items = token_hashes(benchmark.select("item_id", "text").where("item_id is not null"), "item_id")
-    wanted = seeds(items, "item_id").distinct()
+    width = F.least(F.lit(run), F.size("h"))
+    # a row for each length of run, of which there are at most ``run``
+    widths = [w["w"] for w in items.select(width.alias("w")).where("w > 0").distinct().collect()]
+    masks = {w: masks_for(w, allowed(w, share)) for w in sorted(widths)}
+    if not masks:
+        return docs.sparkSession.createDataFrame([], docs.select("doc_id").schema.add("item_id", items.schema["item_id"].dataType).add("offset", "long").add("agreeing", "long").add("run", "long"))
+    wanted = reduce(DataFrame.unionByName, (seeds(items.where(width == w), "item_id", m) for w, m in masks.items())).distinct()
     # a benchmark is small; if it isn't, the join shuffles
     small = wanted.count() <= BROADCAST_SEEDS
     send = F.broadcast if small else (lambda df: df)
-    found = seeds(token_hashes(docs, "doc_id"), "doc_id").withColumnRenamed("at", "doc_at")
+    found = seeds(token_hashes(docs, "doc_id"), "doc_id", tuple(dict.fromkeys(m for own in masks.values() for m in own))).withColumnRenamed("at", "doc_at")
     hits = found.join(send(wanted), "seed").select("doc_id", "item_id", (F.col("doc_at") - F.col("at")).alias("offset")).distinct()
 
     pairs = hits.join(token_hashes(docs, "doc_id").withColumnRenamed("h", "d"), "doc_id").join(send(items.withColumnRenamed("h", "b")), "item_id")
