@@ -60,7 +60,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document's best segmentation as ids, and the scores of its N best."""
+    """Ids and scores of each document's N best segmentations."""
     return encode(docs, carry=others(docs, "doc_id", "text"))
 
 

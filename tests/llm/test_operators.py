@@ -300,6 +300,28 @@ def test_encoding_round_trip_and_scores():
             assert best == pytest.approx([s for s, _ in voc.n_best(word, 4)])
 
 
+def test_n_best_segmentations_of_texts(spark):
+    voc = pieces.Vocabulary(*pieces.load_vocabulary())
+    texts = ["hello thation.", "", "a  b\n\nc", " x", "a▁b 漢字é", "word word", "on-line! " + "x" * 70, "a", None, "the same words the same words"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pieces.encode(docs, carry=("text",), check=True).collect():
+        if r["text"] is None:
+            assert r["n_best"] is None and r["ids"] is None and r["scores"] is None
+            continue
+        ids = [tuple(x["ids"]) for x in r["n_best"]]
+        assert r["round_trip"] and len(set(ids)) == len(ids)
+        assert list(ids[0]) == r["ids"] and [x["score"] for x in r["n_best"]] == r["scores"]
+        if not r["text"]:
+            assert ids == [()]
+            continue
+        word = "▁" + "".join(chr(pieces.OWN_MARK) if c == "▁" else "▁" if c == " " else c for c in r["text"])
+        every = voc.n_best(word, 40)
+        assert r["scores"] == pytest.approx([s for s, _ in every[:4]])
+        score = {tuple(x): s for s, x in every}
+        assert [score[x] for x in ids] == pytest.approx(r["scores"])
+        assert all(pieces.decode_ids(voc, np.array(x)).decode() == r["text"] for x in ids)
+
+
 def test_encoding_odd_rows(spark, odd):
     out = {r["doc_id"]: r for r in pieces.decode(pieces.encode(odd, carry=("text", "label")), carry=("doc_id", "text", "ids", "label")).collect()}
     assert out[1]["ids"] is None and out[1]["decoded"] is None and out[2]["ids"] == []

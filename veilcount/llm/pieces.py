@@ -255,22 +255,32 @@ class Words:
         return "".join("﷐" if c == OWN_MARK else chr(c) for c in self.codes[self.start[i] : self.end[i]].tolist())
 
     @lru_cache(maxsize=4096)
-    def losses(self, i: int, n: int) -> list[float]:
-        """How much worse than the best the next n segmentations of a word are."""
+    def others(self, i: int, n: int) -> list[tuple[float, np.ndarray]]:
+        """The next n segmentations of a word after the best: how much worse each is, and its ids."""
+        best = ragged(self.flat, self.at, np.array([i]))[1].tolist()
         found = self.voc.n_best(self.text(i), n + 1)
-        return [found[0][0] - s for s, _ in found[1:]]
+        # the best one may be another of equal score here
+        at = next((k for k, (_, ids) in enumerate(found) if ids == best), len(found) - 1)
+        return [(max(0.0, float(self.best[i]) - s), np.array(ids, np.int32)) for k, (s, ids) in enumerate(found) if k != at]
 
 
-def merged(losses: list[list[float]], n: int) -> list[float]:
-    """The n smallest sums of one loss (or 0) from each list, without the sum of nothing."""
-    sums = [0.0]
-    for own in losses:
-        sums = heapq.nsmallest(n + 1, (a + b for a in sums for b in [0.0, *own]))
+def merged(others: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n smallest sums of one loss (or 0) from each list, without the sum of nothing, each with (list, place) of its losses."""
+    sums: list[tuple[float, tuple[tuple[int, int], ...]]] = [(0.0, ())]
+    for j, own in enumerate(others):
+        more = [(a + x, took + ((j, k),)) for a, took in sums for k, x in enumerate(own)]
+        sums = heapq.nsmallest(n + 1, sums + more, key=lambda x: (x[0], len(x[1])))
     return sums[1:]
 
 
 def encode_block(voc: Vocabulary, texts: list[str], n: int) -> tuple[list[np.ndarray], list[list[float]]]:
     """Best ids and the scores of the n best segmentations of each text."""
+    lists, scores = n_best_block(voc, texts, n)
+    return [x[0] for x in lists], scores
+
+
+def n_best_block(voc: Vocabulary, texts: list[str], n: int) -> tuple[list[list[np.ndarray]], list[list[float]]]:
+    """Ids and scores of the n best segmentations of each text, best first."""
     own = [len(t) for t in texts]
     raw = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int32)
     raw = np.where(raw == SPACE, OWN_MARK, np.where(raw == 0x20, SPACE, raw))
@@ -296,17 +306,29 @@ def encode_block(voc: Vocabulary, texts: list[str], n: int) -> tuple[list[np.nda
     words = Words(voc, codes, start[some], end[some])
     gap = words.best - words.second
     cut = np.append(np.searchsorted(start, first), len(start))
-    ids: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
+    ids: list[list[np.ndarray]] = [[np.zeros(0, np.int32)] for _ in texts]
     scores: list[list[float]] = [[0.0] if not x else [] for x in own]
     for j, i in enumerate(used.tolist()):
         mine = kind[cut[j] : cut[j + 1]]
-        ids[i] = ragged(words.flat, words.at, mine)[1].astype(np.int32)
+        sizes, best = ragged(words.flat, words.at, mine)
+        best = best.astype(np.int32)
+        ids[i] = [best]
         total = float(words.best[mine].sum())
-        near = mine
+        near = np.arange(len(mine))
         if len(mine) > n - 1 > 0:
-            near = mine[np.argpartition(gap[mine], n - 2)[: n - 1]]
-        lost = [words.losses(int(k), n - 1) for k in near if gap[k] < -NEVER / 2] if n > 1 else []
-        scores[i] = [total, *(total - x for x in merged(lost, n - 1)[: n - 1])]
+            near = np.sort(np.argpartition(gap[mine], n - 2)[: n - 1])
+        near = [int(k) for k in near if gap[mine[k]] < -NEVER / 2] if n > 1 else []
+        others = [words.others(int(mine[k]), n - 1) for k in near]
+        ends = np.cumsum(sizes)[near].tolist() if near else []
+        begins = [e - z for e, z in zip(ends, sizes[near].tolist(), strict=True)] if near else []
+        chosen = merged([[x for x, _ in own] for own in others], n - 1)[: n - 1] if near else []
+        for _, took in chosen:
+            parts, done = [], 0
+            for j, k in took:
+                parts += [best[done : begins[j]], others[j][k][1]]
+                done = ends[j]
+            ids[i].append(np.concatenate([*parts, best[done:]]))
+        scores[i] = [total, *(total - x for x, _ in chosen)]
     return ids, scores
 
 
@@ -328,16 +350,18 @@ def blocks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 
 def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, carry: tuple[str, ...] = (), check: bool = False) -> DataFrame:
-    """doc_id, the carried columns, ``ids`` and ``scores`` of every text.
-
-    ``ids`` is the best segmentation, ``scores`` the scores of the ``n_best``
-    best ones, best first (fewer, if the lattice has fewer paths). A text gets
-    a space in front and spaces are spelled as the mark U+2581; the mark itself
-    and characters in no piece are spelled as bytes, so decoding gives back
-    every text exactly. An empty text has no ids and the score 0 of its one
-    empty path; a null text has null in both. Repeated rows are encoded each.
-    The model file is read by the driver. With ``check`` every text is decoded
-    again at once, and ``round_trip`` tells whether it came back.
+    """doc_id, the carried columns, ``n_best``, ``ids`` and ``scores`` of every text.
+
+    ``n_best`` holds the ids and the score of the ``n_best`` best segmentations,
+    best first (fewer, if the lattice has fewer paths; of equal scores any
+    order, but always the same); ``ids`` are those of the best, ``scores`` the
+    scores of all. A text gets a space in front and spaces are spelled as the
+    mark U+2581; the mark itself and characters in no piece are spelled as
+    bytes, so decoding any of them gives back every text exactly. An empty text
+    has no ids and the score 0 of its one empty path; a null text has null in
+    all. Repeated rows are encoded each. The model file is read by the driver.
+    With ``check`` every segmentation is decoded again at once, and
+    ``round_trip`` tells whether the text came back from all.
     """
     pieces, scores = (tuple(x) for x in load_vocabulary(model))
 
@@ -347,20 +371,28 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, carry: tup
             texts = b["text"].to_pylist()
             for i, j in blocks(texts):
                 part = b.slice(i, j - i)
-                ids, best = encode_block(voc, [t or "" for t in texts[i:j]], n_best)
+                lists, best = n_best_block(voc, [t or "" for t in texts[i:j]], n_best)
                 gone = np.array([t is None for t in texts[i:j]])
-                sizes = np.array([len(x) for x in ids])
-                offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), mask=np.append(gone, False))
-                id_lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32), pa.int32()))
-                score_lists = pa.array([None if g else s for s, g in zip(best, gone.tolist(), strict=True)], pa.list_(pa.float64()))
-                same = [pa.array([t is None or decode_ids(voc, x) == t.encode() for t, x in zip(texts[i:j], ids, strict=True)], pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("doc_id", *carry)), id_lists, score_lists, *same], ["doc_id", *carry, "ids", "scores", *["round_trip"] * check])
-                del ids, best, id_lists, score_lists
+                # all segmentations of the block stand in a row; null texts must have none there
+                for k in np.flatnonzero(gone).tolist():
+                    lists[k], best[k] = [], []
+                first = np.concatenate([[0], np.cumsum([len(x) for x in lists])])
+                flat = [ids for own in lists for ids in own]
+                spans = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in flat])]).astype(np.int32))
+                every = pa.ListArray.from_arrays(spans, pa.array(np.concatenate(flat) if flat else np.zeros(0, np.int32), pa.int32()))
+                score = pa.array([x for own in best for x in own], pa.float64())
+                offsets = pa.array(first.astype(np.int32), mask=np.append(gone, False))
+                ranked = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([every, score], ["ids", "score"]))
+                id_lists = every.take(pa.array(first[:-1], mask=gone))
+                score_lists = pa.ListArray.from_arrays(offsets, score)
+                same = [pa.array([t is None or all(decode_ids(voc, x) == t.encode() for x in own) for t, own in zip(texts[i:j], lists, strict=True)], pa.bool_())] if check else []
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("doc_id", *carry)), ranked, id_lists, score_lists, *same], ["doc_id", *carry, "n_best", "ids", "scores", *["round_trip"] * check])
+                del lists, flat, best, every, ranked, id_lists, score_lists
                 give_back()
 
     given = docs.withColumn("text", F.col("text").cast("string")).select("doc_id", *carry, *(["text"] if "text" not in carry else []))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select("doc_id", *carry).schema)
-    return given.mapInArrow(job, schema + ", ids array<int>, scores array<double>" + ", round_trip boolean" * check)
+    return given.mapInArrow(job, schema + ", n_best array<struct<ids: array<int>, score: double>>, ids array<int>, scores array<double>" + ", round_trip boolean" * check)
 
 
 def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -381,7 +413,7 @@ def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) ->
 
 
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether each text survives encoding and decoding, and what its ids and scores are."""
+    """Whether each text survives encoding and decoding by all its segmentations, and what their ids and scores are."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = encode(docs, check=True)
-    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), "round_trip")
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"), F.xxhash64("n_best.ids").alias("n_best_hash"), F.transform("scores", lambda x: F.round(x, 3)).alias("scores"), "round_trip")
