@@ -134,6 +134,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch):
     assert top_k.exact_top_k(df.where("false"), F.lit(True)).count() == 0
 
 
+def test_top_k_of_negative_products(spark):
+    """Leaves of radius 0 whose score equals a negative kth score, and a tie with it, aren't pruned."""
+    rows = [(0, [100, 0]), (1, [-100, 0]), (2, [-100, 1]), (3, [-100, 2]), (4, [-100, 3]), (5, [-100, 4]), (6, [-100, 5])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<long>")
+    got = sorted((r["rank"], r["vec_id"], r["score"]) for r in top_k.exact_top_k(df, F.col("vec_id") == 0).collect())
+    assert got == [(k, k, -10000) for k in range(1, 6)]
+
+
 def test_quantised_leaves_out_bad_vectors(spark):
     rows = [(1, [0.5, -0.001]), (2, [float("nan"), 1.0]), (3, [float("inf"), 1.0]), (4, [None, 1.0]), (5, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")

@@ -92,7 +92,7 @@ class CoverTree:
             c, norm = self.centres[:size], np.linalg.norm(self.centres[:size], axis=1)
             a, b = rq[level][q], rd[level][d]
             bound = (c[q] * c[d]).sum(1) + a * norm[d] + b * norm[q] + a * b
-            live = live[(a >= 0) & (b >= 0) & (bound * (1 + 1e-9) + 1e-6 >= low[level][q])]
+            live = live[(a >= 0) & (b >= 0) & (bound + np.abs(bound) * 1e-9 + 1e-6 >= low[level][q])]
         return [tuple(x) for x in live.tolist()]
 
 
