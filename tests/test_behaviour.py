@@ -225,3 +225,17 @@ def test_first_reason_wins_and_newline_is_no_name(spark):
     rows = [("", "e", "n", "2026-01-01", "i"), ("w", "e", "bad name", "x", ""), ("w", "e", "name\n", "2026-01-01", "i"), ("w", "e", "n", "not-a-date", "i"), ("w", "e", "n", "2026-01-01T00:00:00Z", "")]
     df = spark.createDataFrame(rows, "workspace_id string, event_id string, name string, occurred_at string, identifier string")
     assert [r[0] for r in df.select(validate.reject_reason()).collect()] == ["missing_workspace", "invalid_event_name", "invalid_event_name", "invalid_timestamp", "missing_identifier"]
+
+
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+def test_stream_findings_equal_the_batch(spark, size):
+    from veilcount.operators import redact, validate
+    from veilcount.sources import fixtures
+    from veilcount.streaming import ingest
+
+    sf = f"/root/testdata/{size}"
+    valid = validate.validate(ingest.noted(fixtures.raw_events(spark, sf))).where("reject_reason is null").dropDuplicates(["workspace_id", "event_id"])
+    each = redact.redact_properties(valid.select("workspace_id", "event_id", "properties")).select("workspace_id", F.explode("findings").alias("f"))
+    want = {tuple(r) for r in each.groupBy("workspace_id", "f.key", "f.rule").agg(F.count("*").alias("n")).collect()}
+    got = ingest.findings_once(spark, sf).groupBy("workspace_id", "key", "rule").agg(F.sum("n").alias("n"))
+    assert want and {tuple(r) for r in got.collect()} == want

@@ -42,13 +42,22 @@ def raw_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
 
-def _run(spark: SparkSession, sf_dir: str, build) -> DataFrame:
-    """Feeds the sample's raw events (every fourth twice) through a stream, once, and reads what it wrote."""
+def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFrame:
+    """Feeds the sample's raw events (every fourth twice) through a stream, once, and reads what it wrote.
+
+    With ``close`` one more event arrives a day after the last: the watermark
+    then closes all windows but its own, which is never written.
+    """
     from veilcount.sources import fixtures as fx
 
     folder = _folder(spark)
     raw = fx.raw_events(spark, sf_dir)
     twice = raw.unionByName(raw.where("ingest_seq % 4 = 0")).withColumn("arrival", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("ingest_seq") * 1_000_000))
+    if close:
+        # an invalid event wouldn't move the watermark
+        last = validate.validate(raw).where("reject_reason is null").agg(F.max_by(F.struct(*raw.columns), "ingest_seq").alias("r")).where("r is not null").select("r.*")
+        at = raw.agg((F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.max("ingest_seq") * 1_000_000) + F.expr("interval 1 day")).alias("arrival"))
+        twice = twice.unionByName(last.withColumn("event_id", F.concat(F.lit("closing-"), "event_id")).crossJoin(at))
     twice.write.parquet(f"{folder}/in")
     out = build(raw_stream(spark, f"{folder}/in", twice.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")))
     writer = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True)
@@ -61,12 +70,12 @@ def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("workspace_id", "event_id", "name", "jurisdiction", "builder", F.to_json("properties").alias("properties"), F.size("findings").alias("findings"))
 
 
-def findings_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of conversation turns taken as events, in closed windows."""
+def noted(raw: DataFrame) -> DataFrame:
+    return raw.withColumn("properties", F.to_json(F.struct(F.concat(F.lit("mail user"), F.col("ingest_seq").cast("string"), F.lit("@example.com")).alias("note"), F.col("identifier").alias("user_email"))))
 
-    def build(raw: DataFrame) -> DataFrame:
-        noted = raw.withColumn("properties", F.to_json(F.struct(F.concat(F.lit("mail user"), F.col("ingest_seq").cast("string"), F.lit("@example.com")).alias("note"), F.col("identifier").alias("user_email"))))
-        return findings_by_hour(clean_stream(noted))
 
-    out = _run(spark, sf_dir, build)
+def findings_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the sample's events, each with a made-up mail note, in windows that are all closed."""
+
+    out = _run(spark, sf_dir, lambda raw: findings_by_hour(clean_stream(noted(raw))), close=True)
     return out.select(F.col("window.start").alias("hour"), "workspace_id", "key", "rule", "n")
