@@ -90,8 +90,8 @@ def test_ladder_widens_until_it_holds(spark):
 
 
 def test_declared_wildcard_is_refused(spark):
-    with pytest.raises(ValueError):
-        cohorts.rung_verdicts(observed(spark, [1]).withColumn("vertical", F.lit("any")))
+    with pytest.raises(Exception, match="must not be 'any'"):
+        cohorts.rung_verdicts(observed(spark, [1]).withColumn("vertical", F.lit("any"))).collect()
 
 
 def test_generalised_counts(spark):
@@ -138,6 +138,61 @@ def test_rows_without_consent_change_nothing(spark):
     assert a == b and len(a) == 1
 
 
+def test_spends_carry_over_to_the_next_run(spark):
+    yes = observed(spark, [100] * 20, 0.4)
+    spent = None
+    for run in range(3):
+        out, held, spends = gated(spark, yes, yes, epsilon=0.4, spent=spent)
+        assert (out.count(), [r["reason"] for r in held.collect()]) == ((1, []) if run < 2 else (0, ["privacy_budget_exhausted"]))
+        spent = spends if spent is None else spent.unionByName(spends)
+
+
+def test_long_lanes_and_keys_take_linear_time(spark):
+    n = 200_000
+    led = spark.range(n).select(F.lit("w").alias("workspace_id"), F.col("id").alias("seq"), F.lit("s").alias("subject_key"), F.lit(ALL[0]).alias("purpose"), F.lit("granted").alias("state"), F.lit("explicit_ui").alias("source"), F.col("id").alias("at"), F.lit("EU").alias("jurisdiction"), F.lit("v1").alias("notice_version"))
+    last = "0" * 64
+    for i in range(n):
+        last = hashlib.sha256(f"{last}|s|{ALL[0]}|granted|explicit_ui|{i}|EU|v1".encode()).hexdigest()
+    assert tuple(consent.heads(consent.append(led)).first()) == ("w", n, last)
+    asks = spark.range(n).select(F.lit("k").alias("budget_key"), F.col("id").alias("request"), F.when(F.col("id") % 2 == 0, 0.4).otherwise(0.3).alias("epsilon"))
+    assert [r["request"] for r in release.budget_decisions(asks).where("granted").orderBy("request").collect()] == [0, 1, 3]
+
+
+def test_funnels_of_like_names_stay_apart(spark):
+    pair = [metrics.conversion("a-b", "to"), metrics.conversion("a_b", "to")]
+    facts = metrics.subject_facts(events(spark, ("s", 0, "a-b"), ("s", 1, "to"), ("s", 2, "a_b")), pair, now=9 * DAY)
+    assert {r["metric"]: r["value"] for r in metrics.metric_rows(facts, pair).collect()} == {"a-b_to_to_conversion": 1.0, "a_b_to_to_conversion": 0.0}
+
+
+def test_address_ranges(spark):
+    e = spark.createDataFrame([("w1", "e", "10.0.0.1"), ("w2", "e", "10.70.0.1"), ("w1", None, "10.0.0.1"), ("w1", None, "bad"), ("w1", "e", "10.1.0.5")], "workspace_id string, event_id string, ip string")
+    base = 10 * 2**24
+    ranges = spark.createDataFrame([(base, base + 2**22 - 1, "US"), (base + 2**22, base + 2**23 - 1, "DE"), (base + 2**16, base + 2**16 + 9, "FR")], "first long, last long, country string")
+    got = sorted((r["workspace_id"], r["event_id"] or "", r["country"] or "") for r in validate.country_of_ip(e, ranges).collect())
+    assert got == [("w1", "", ""), ("w1", "", "US"), ("w1", "e", "FR"), ("w1", "e", "US"), ("w2", "e", "DE")]
+
+
+def test_times_do_not_follow_the_session_zone(spark):
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    texts = {"2026-01-01": 0, "2026-01-01 00:00:01": 1, "2026-01-01T00:00:01Z": 1, "2026-01-01T02:00:01+02:00": 1, "2026-01-01 00:00:00.5": 0.5, "no": None}
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.unix_micros(validate.parsed_time(F.col("t"))).alias("us")).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+    assert {r["t"]: r["us"] for r in rows} == {t: None if s is None else us("2026-01-01") + int(s * 1e6) for t, s in texts.items()}
+
+
+def test_negative_numbers_are_spelled_right(spark):
+    r = spark.createDataFrame([(-1.5,)], "x double").select(benchmark.fixed2(F.col("x")), release.number(F.col("x"))).first()
+    assert tuple(r) == ("-1.50", "-1.500000")
+
+
+def test_stored_events_are_not_written_again(spark):
+    e = spark.createDataFrame([("w", "a", 1), ("w", "a", 2), ("w", "b", 3)], "workspace_id string, event_id string, ingest_seq long")
+    assert [r["event_id"] for r in validate.first_writes(e, stored=e.where("event_id = 'b'")).collect()] == ["a"]
+
+
 def test_refusals_and_stamps(spark):
     yes = observed(spark, [100] * 20, 0.4)
     none = gated(spark, yes, yes.where("false"))[1].first()
@@ -229,12 +284,12 @@ def test_first_reason_wins_and_newline_is_no_name(spark):
 
 @pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
 def test_stream_findings_equal_the_batch(spark, size):
-    from veilcount.operators import redact, validate
+    from veilcount.operators import redact
     from veilcount.sources import fixtures
     from veilcount.streaming import ingest
 
     sf = f"/root/testdata/{size}"
-    valid = validate.validate(ingest.noted(fixtures.raw_events(spark, sf))).where("reject_reason is null").dropDuplicates(["workspace_id", "event_id"])
+    valid = ingest.judged(ingest.noted(fixtures.raw_events(spark, sf)), ingest.sample_knowledge(spark, sf)).where("reject_reason is null").dropDuplicates(["workspace_id", "event_id"])
     each = redact.redact_properties(valid.select("workspace_id", "event_id", "properties")).select("workspace_id", F.explode("findings").alias("f"))
     want = {tuple(r) for r in each.groupBy("workspace_id", "f.key", "f.rule").agg(F.count("*").alias("n")).collect()}
     got = ingest.findings_once(spark, sf).groupBy("workspace_id", "key", "rule").agg(F.sum("n").alias("n"))

@@ -61,10 +61,13 @@ def consent_anchor(identifier: Column) -> Column:
     return F.substring(hmac_hex(F.col("anchor_in"), F.col("anchor_out"), identifier), 1, KEY_CHARS)
 
 
-def with_keys(events: DataFrame, root: str, at: str = "at", days: int = EPOCH_DAYS) -> DataFrame:
-    """Adds epoch, subject_key and anchor; both keys are null without workspace or identifier."""
+def with_keys(events: DataFrame, root: str, at: str = "at", days: int = EPOCH_DAYS, workspaces: DataFrame | None = None) -> DataFrame:
+    """Adds epoch, subject_key and anchor; both keys are null without workspace or identifier.
+
+    Streams need the ``workspaces`` from a table, as they can't be read off the events.
+    """
     known = F.when(F.length("identifier") > 0, F.col("identifier"))
-    joined = events.join(workspace_keys(events, root), "workspace_id", "left")
+    joined = events.join(workspace_keys(events if workspaces is None else workspaces, root), "workspace_id", "left")
     out = joined.withColumn("epoch", epoch_of(F.col(at), days)).withColumn("subject_key", subject_key(known, F.col("epoch"))).withColumn("anchor", consent_anchor(known))
     return out.drop("subject_in", "subject_out", "anchor_in", "anchor_out")
 

@@ -40,6 +40,11 @@ def period_label(us: Column, granularity: str) -> Column:
     return week_label(us) if granularity == "week" else month_label(us)
 
 
+def current_period(granularity: str = "week", now: Column | None = None) -> Column:
+    """The period of a clock, or of the present time."""
+    return period_label(F.unix_micros(F.current_timestamp()) if now is None else now, granularity)
+
+
 def epoch_of(us: Column, days: int = EPOCH_DAYS) -> Column:
     if days <= 0:
         raise ValueError("an epoch has at least a day")

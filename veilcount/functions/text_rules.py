@@ -32,7 +32,7 @@ def categories(text: Column) -> Column:
 
 
 def screen_text(found: Column) -> Column:
-    text = F.concat(F.lit("This event looks like it may reveal special-category data ("), F.array_join(found, ", "), F.lit("). It still counts toward your own analytics, but it is excluded from benchmarks and from any licensed dataset. Rename the event if this is a false positive."))
+    text = F.concat(F.lit("Possibly sensitive ("), F.array_join(found, ", "), F.lit("): kept in your own figures, left out of shared ones. Another name clears a false alarm."))
     return F.when(F.size(found) > 0, text)
 
 

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.constants import POSTURES, PURPOSES, STRICTEST
+from veilcount.functions import identity
 
 GENESIS = "0" * 64
 
@@ -19,18 +24,53 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
 
     ``records``: workspace_id, seq (order of arrival), subject_key, purpose,
     state, source, at, jurisdiction, notice_version. ``heads`` continues lanes:
-    (workspace_id, length, head). A lane's batch is one group: the chain is
-    sequential by its nature.
+    (workspace_id, length, head). A chain is sequential by its nature, so a
+    lane is read by one task, in order, without being held in memory.
     """
     fields = ("at", "seq", "subject_key", "purpose", "state", "source", "jurisdiction", "notice_version")
-    lanes = records.groupBy("workspace_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("r"))
-    if heads is not None:
-        lanes = lanes.join(heads, "workspace_id", "left")
-    start = F.coalesce(F.col("head"), F.lit(GENESIS)) if heads is not None else F.lit(GENESIS)
-    base = F.coalesce(F.col("length"), F.lit(0)) if heads is not None else F.lit(0)
-    chain = F.aggregate("r", F.array(start), lambda hs, r: F.concat(hs, F.array(F.sha2(F.concat(F.element_at(hs, -1), F.lit("|"), canonical(r)), 256))))
-    each = lanes.select("workspace_id", base.alias("base"), F.posexplode(F.arrays_zip(F.col("r"), F.slice(chain, F.lit(1), F.size("r")).alias("prev_hash"), F.slice(chain, F.lit(2), F.size("r")).alias("hash"))).alias("i", "z"))
-    return each.select("workspace_id", (F.col("base") + F.col("i")).cast("long").alias("place"), *(F.col(f"z.r.{f}").alias(f) for f in fields), F.col("z.prev_hash").alias("prev_hash"), F.col("z.hash").alias("hash"))
+    given = records.select("workspace_id", *fields)
+    if heads is None:
+        given = given.select("*", F.lit(0).cast("long").alias("base"), F.lit(GENESIS).alias("start"))
+    else:
+        before = heads.select("workspace_id", F.col("length").alias("base"), F.col("head").alias("start"))
+        given = given.join(before, "workspace_id", "left").withColumns({"base": F.coalesce(F.col("base").cast("long"), F.lit(0).cast("long")), "start": F.coalesce("start", F.lit(GENESIS))})
+
+    def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lane, place, last = None, 0, GENESIS
+        for b in batches:
+            places, before, own = [], [], []
+            for workspace, start, base, text in zip(*(b[c].to_pylist() for c in ("workspace_id", "start", "base", "text")), strict=True):
+                if (workspace,) != lane:
+                    lane, place, last = (workspace,), base, start
+                places.append(place)
+                before.append(last)
+                last = hashlib.sha256(f"{last}|{text}".encode()).hexdigest()
+                own.append(last)
+                place += 1
+            kept = b.drop_columns(["base", "start", "text"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())], [*kept.schema.names, "place", "prev_hash", "hash"])
+
+    texts = given.withColumn("text", canonical(F.struct(*fields)))
+    in_order = texts.repartition("workspace_id").sortWithinPartitions("workspace_id", *fields)
+    schema = given.drop("base", "start").schema.add("place", "long").add("prev_hash", "string").add("hash", "string")
+    return in_order.mapInArrow(chain, schema).select("workspace_id", "place", *fields, "prev_hash", "hash")
+
+
+def from_decisions(decisions: DataFrame, root: str) -> DataFrame:
+    """Records of explicit decisions: one for each (purpose, boolean) of the map ``purposes``, on the stable anchor.
+
+    ``decisions``: workspace_id, identifier, purposes, jurisdiction,
+    notice_version, at, seq. Blank jurisdictions are ``unknown``, blank notices
+    ``unversioned``; a missing identifier or an empty map gives no record. The
+    anchor outlives the epochs of subject keys, and so does the decision.
+    """
+    keyed = identity.with_keys(decisions, root).where("anchor is not null")
+    each = keyed.select("*", F.explode(F.map_entries("purposes")).alias("p")).where("p.value is not null")
+    filled = lambda c, text: F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit(text)).alias(c)
+    return each.select(
+        "workspace_id", "seq", F.col("anchor").alias("subject_key"), F.col("p.key").alias("purpose"), F.when(F.col("p.value"), "granted").otherwise("denied").alias("state"),
+        F.lit("explicit_ui").alias("source"), "at", filled("jurisdiction", "unknown"), filled("notice_version", "unversioned"),
+    )
 
 
 def heads(chain: DataFrame) -> DataFrame:

@@ -26,3 +26,10 @@ def latest_profiles(profiles: DataFrame, version: str = "version") -> DataFrame:
 def latest_values(observations: DataFrame) -> DataFrame:
     """Each workspace's value of each metric in its latest period."""
     return observations.groupBy("workspace_id", "metric").agg(F.max("period").alias("period"), F.max_by("value", "period").alias("value"))
+
+
+def long_form(events: DataFrame) -> DataFrame:
+    """(workspace_id, kind, name, n): counts by event name, and the totals, which no event's name can overwrite."""
+    by_name = event_counts(events).select("workspace_id", F.lit("event").alias("kind"), "name", F.col("events").alias("n"))
+    totals = subjects(events).unpivot("workspace_id", ["distinct_subjects", "total_events"], "name", "n")
+    return by_name.unionByName(totals.select("workspace_id", F.lit("total").alias("kind"), "name", "n"))

@@ -56,7 +56,7 @@ def d7_retention() -> Metric:
 
 def conversion(start: str, to: str, within_days: int | None = None, name: str | None = None) -> Metric:
     """From the first ``start`` to a later (or simultaneous) ``to``; who never started is not counted."""
-    begin = F.col(f"start_{_tag(start)}")
+    begin = F.col(start_column(start))
 
     def done() -> Column:
         end = first_of(to, begin)
@@ -65,8 +65,9 @@ def conversion(start: str, to: str, within_days: int | None = None, name: str |
     return Metric(name or f"{start}_to_{to}_conversion", within_days or 0, done, lambda: F.min(begin).isNotNull(), start)
 
 
-def _tag(name: str) -> str:
-    return "".join(c if c.isalnum() else "_" for c in name)
+def start_column(name: str) -> str:
+    """The column of the first time of the event that opens a funnel; another one for every name."""
+    return f"start_{name.encode().hex()}"
 
 
 def subject_facts(events: DataFrame, metrics: list[Metric], purpose: str = PURPOSES[1], now: int | None = None) -> DataFrame:
@@ -79,7 +80,7 @@ def subject_facts(events: DataFrame, metrics: list[Metric], purpose: str = PURPO
     mine = Window.partitionBy(*SUBJECT)
     given = events.withColumn("first_at", F.min("at").over(mine))
     for start in sorted({m.starts for m in metrics if m.starts}):
-        given = given.withColumn(f"start_{_tag(start)}", F.min(F.when(F.col("name") == start, F.col("at"))).over(mine))
+        given = given.withColumn(start_column(start), F.min(F.when(F.col("name") == start, F.col("at"))).over(mine))
     flags = [c for i, m in enumerate(metrics) for c in (m.qualifies().alias(f"q{i}") if m.starts else F.lit(True).alias(f"q{i}"), m.succeeded().alias(f"s{i}"))]
     aggregates = [c for c in flags]
     facts = given.groupBy(*SUBJECT).agg(
@@ -120,7 +121,7 @@ def rollup(events: DataFrame, config: DataFrame, metrics: list[Metric], granular
     the dominant one; events of other workspaces are dropped. A subject belongs
     to the period of its first event; size counts consented subjects only.
     """
-    own = events.join(F.broadcast(config.select("workspace_id")), "workspace_id", "left_semi")
+    own = events.join(config.select("workspace_id"), "workspace_id", "left_semi")
     facts = subject_facts(own, metrics, purpose, now)
     rows = metric_rows(facts, metrics, granularity)
     home = facts.where("consented").select(*SUBJECT, period_label(F.col("first_at"), granularity).alias("period"))
@@ -129,14 +130,14 @@ def rollup(events: DataFrame, config: DataFrame, metrics: list[Metric], granular
     best = F.min_by(F.when(F.col("builder") != "unknown", F.col("builder")), F.when(F.col("builder") != "unknown", F.struct(-F.col("n"), "builder")))
     dominant = n.groupBy("workspace_id", "period").agg(F.coalesce(best, F.lit("unknown")).alias("derived"))
     given = config.select("workspace_id", "vertical", (F.col("builder") if "builder" in config.columns else F.lit(None).cast("string")).alias("declared"))
-    out = rows.join(dominant, ["workspace_id", "period"]).join(F.broadcast(given), "workspace_id")
+    out = rows.join(dominant, ["workspace_id", "period"]).join(given, "workspace_id")
     return out.select("workspace_id", F.coalesce("declared", "derived").alias("builder"), "vertical", size_bucket(F.col("subjects")).alias("size_bucket"), "period", "metric", "value", "subject_count")
 
 
 def rollup_counters(events: DataFrame, config: DataFrame, purpose: str = PURPOSES[1]) -> DataFrame:
     """(workspace_id, subjects_seen, subjects_without_consent, foreign): the last one true where the workspace isn't configured."""
     facts = events.groupBy(*SUBJECT).agg(F.bool_and(F.array_contains("purposes", purpose)).alias("ok"), F.count("*").alias("n"))
-    known = F.broadcast(config.select("workspace_id", F.lit(True).alias("known")))
+    known = config.select("workspace_id", F.lit(True).alias("known"))
     by = facts.groupBy("workspace_id").agg(F.count("*").alias("seen"), F.count_if(~F.col("ok")).alias("without"), F.sum("n").alias("n")).join(known, "workspace_id", "left")
     own = F.coalesce("known", F.lit(False))
     return by.select("workspace_id", F.when(own, F.col("seen")).otherwise(0).alias("subjects_seen"), F.when(own, F.col("without")).otherwise(0).alias("subjects_without_consent"), F.when(own, 0).otherwise(F.col("n")).cast("long").alias("foreign_events_dropped"))

@@ -60,3 +60,9 @@ def redact_properties(events: DataFrame, column: str = "properties") -> DataFram
 def text_findings(table: DataFrame, key: str, text: str) -> DataFrame:
     """(rule, n): how many rows of a text table each redaction rule fires on."""
     return table.select(F.explode(redaction_steps(F.col(text))["rules"]).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+
+
+def findings_report(redacted: DataFrame) -> DataFrame:
+    """(workspace_id, key, rule, n) of the findings of redacted properties."""
+    each = redacted.select("workspace_id", F.explode("findings").alias("f"))
+    return each.groupBy("workspace_id", "f.key", "f.rule").agg(F.count("*").alias("n"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,23 +19,33 @@ KEYS = [*COHORT, "metric"]
 def budget_decisions(requests: DataFrame, spent: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
     """``requests`` (budget_key, request, epsilon) with ``granted``, in the order of ``request`` within a key.
 
-    A request that does not fit is refused and costs nothing. Sums are decimal.
+    ``spent`` (budget_key, epsilon) counts before them. A request that does not
+    fit is refused and costs nothing, so that a later, smaller one may fit: a
+    key's requests are read by one task, in order, without being held in
+    memory. Sums are of whole billionths.
     """
-    exact = "decimal(18,9)"
-    each = requests.groupBy("budget_key").agg(F.array_sort(F.collect_list(F.struct("request", F.col("epsilon").cast(exact).alias("e")))).alias("r"))
-    if spent is not None:
-        each = each.join(spent.groupBy("budget_key").agg(F.sum(F.col("epsilon").cast(exact)).cast(exact).alias("before")), "budget_key", "left")
-    start = F.coalesce(F.col("before"), F.lit(0).cast(exact)) if spent is not None else F.lit(0).cast(exact)
-    limit = F.lit(str(budget)).cast(exact)
-    zero = F.struct(start.alias("used"), F.array().cast("array<boolean>").alias("ok"))
-
-    def step(a: Column, r: Column) -> Column:
-        fits = a["used"] + r["e"] <= limit
-        return F.struct(F.when(fits, (a["used"] + r["e"]).cast(exact)).otherwise(a["used"]).alias("used"), F.concat(a["ok"], F.array(fits)).alias("ok"))
-
-    done = each.select("budget_key", "r", F.aggregate("r", zero, step).alias("a"))
-    flat = done.select("budget_key", F.explode(F.arrays_zip(F.col("r"), F.col("a.ok").alias("ok"))).alias("z"))
-    return flat.select("budget_key", F.col("z.r.request").alias("request"), F.col("z.r.e").cast("double").alias("epsilon"), F.col("z.ok").alias("granted"))
+    units = lambda c: F.round(F.col(c).cast("decimal(18,9)") * 1_000_000_000).cast("long")
+    given = requests.select("budget_key", "request", "epsilon", units("epsilon").alias("cost"))
+    if spent is None:
+        given = given.withColumn("before", F.lit(0).cast("long"))
+    else:
+        given = given.join(spent.groupBy("budget_key").agg(F.sum(units("epsilon")).alias("before")), "budget_key", "left").fillna(0, ["before"])
+    limit = round(budget * 1_000_000_000)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, used = None, 0
+        for b in batches:
+            granted = []
+            for own, before, cost in zip(*(b[c].to_pylist() for c in ("budget_key", "before", "cost")), strict=True):
+                if (own,) != key:
+                    key, used = (own,), before
+                granted.append(used + cost <= limit)
+                used += cost if granted[-1] else 0
+            kept = b.drop_columns(["before", "cost"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(granted, pa.bool_())], [*kept.schema.names, "granted"])
+
+    in_order = given.repartition("budget_key").sortWithinPartitions("budget_key", "request")
+    return in_order.mapInArrow(fold, given.drop("before", "cost").schema.add("granted", "boolean"))
 
 
 def noisy_means(rows: DataFrame, keys: list[str], noise: DataFrame, epsilon: float, lo: float = 0.0, hi: float = 1.0) -> DataFrame:
@@ -77,13 +90,15 @@ def dp_quantiles(rows: DataFrame, keys: list[str], noise: DataFrame, epsilon: fl
     return chosen.join(noise, F.lit(True)).select(*keys, value.alias("v")).groupBy(*keys).agg(F.array_sort(F.collect_list("v")).alias("ladder"))
 
 
-def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, head: DataFrame, secret: str, nonce: str, epsilon: float = EPSILON_PER_QUERY, budget: float = BUDGET, lo: float = 0.0, hi: float = 1.0, **limits) -> tuple[DataFrame, DataFrame]:
-    """(releases, suppressions) for ``requests`` (cohort columns, metric, request).
+def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, head: DataFrame, secret: str, nonce: str, epsilon: float = EPSILON_PER_QUERY, budget: float = BUDGET, lo: float = 0.0, hi: float = 1.0, spent: DataFrame | None = None, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(releases, suppressions, spends) for ``requests`` (cohort columns, metric, request).
 
     ``observations`` carry the cohort that they are released under;
     ``consented`` (workspace_id) is who takes part in the co-op; ``head`` has
     the ledger's commitment. Rows without consent influence nothing, not even
-    the thresholds. Every request ends up in exactly one of the two results.
+    the thresholds. Every request ends up in exactly one of the first two
+    results. ``spends`` (budget_key, epsilon, nonce) has what this run spent;
+    with all earlier ones as ``spent``, the next run goes on from there.
     """
     spark = observations.sparkSession
     noise = secret_table(spark, secret, nonce)
@@ -91,8 +106,9 @@ def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, hea
     verdicts = k_anonymity(pool, KEYS, **limits)
     judged = requests.join(verdicts, KEYS, "left").withColumn("reason", F.when(F.col("ok").isNull(), "no_consented_observations").otherwise(F.col("reason")))
     fit = judged.where("ok").select(F.concat_ws("::", cohort_string(), "metric").alias("budget_key"), "request", F.lit(epsilon).alias("epsilon"))
-    spent = budget_decisions(fit, budget=budget).select("budget_key", "request", "granted")
-    decided = judged.withColumn("budget_key", F.concat_ws("::", cohort_string(), "metric")).join(spent, ["budget_key", "request"], "left").drop("budget_key")
+    judgement = budget_decisions(fit, spent, budget)
+    spends = judgement.where("granted").select("budget_key", "epsilon", F.lit(nonce).alias("nonce"))
+    decided = judged.withColumn("budget_key", F.concat_ws("::", cohort_string(), "metric")).join(judgement.drop("epsilon"), ["budget_key", "request"], "left").drop("budget_key")
     decided = decided.withColumn("reason", F.when(F.col("ok") & ~F.col("granted"), "privacy_budget_exhausted").otherwise(F.col("reason")))
     text = F.when(F.col("reason") == "no_consented_observations", NO_CONSENT_TEXT).when(F.col("reason") == "privacy_budget_exhausted", BUDGET_TEXT).otherwise(explanation())
     suppressed = decided.where("reason is not null").select(*KEYS, "request", "reason", text.alias("explanation"))
@@ -105,13 +121,14 @@ def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, hea
     names = [f"p{int(q * 100)}" for q in QUANTILES]
     out = passed.join(ladder, [*KEYS, "request"]).join(means, [*KEYS, "request"])
     out = out.select(*KEYS, "request", generalised(F.col("contributor_count")).alias("contributor_count"), generalised(F.col("subject_count")).alias("subject_count"), *(F.round(F.element_at("ladder", i + 1), 6).alias(c) for i, c in enumerate(names)), F.round("mean", 6).alias("mean"), F.lit(epsilon).alias("epsilon_spent"))
-    return out.join(F.broadcast(head), F.lit(True)).withColumn("provenance_hash", provenance(lo, hi)).drop("head"), suppressed
+    return out.join(F.broadcast(head), F.lit(True)).withColumn("provenance_hash", provenance(lo, hi)).drop("head"), suppressed, spends
 
 
 def number(c: Column) -> Column:
     """One fixed spelling of a published number, from whole millionths."""
     units = F.round(c * 1_000_000).cast("long")
-    return F.concat(F.floor(units / 1_000_000).cast("string"), F.lit("."), F.lpad((units % 1_000_000).cast("string"), 6, "0"))
+    size = F.abs(units)
+    return F.concat(F.when(units < 0, "-").otherwise(""), F.floor(size / 1_000_000).cast("string"), F.lit("."), F.lpad((size % 1_000_000).cast("string"), 6, "0"))
 
 
 def provenance(lo: float = 0.0, hi: float = 1.0) -> Column:

@@ -10,12 +10,14 @@ from veilcount.functions.text_rules import categories
 
 
 def attach_workspace(events: DataFrame, keys: DataFrame) -> DataFrame:
-    """The workspace comes from the API key, never from the payload; unknown keys leave it null."""
-    return events.drop("workspace_id").join(F.broadcast(keys.select("api_key", "workspace_id")), "api_key", "left")
+    """The workspace comes from the API key, never from the payload; events of unknown keys have none and are ``unauthorized``."""
+    return events.drop("workspace_id").join(keys.select("api_key", "workspace_id"), "api_key", "left")
 
 
 def parsed_time(text: Column) -> Column:
-    return F.try_to_timestamp(text)
+    """The time, whatever the session's zone; text without a zone is UTC."""
+    zone = F.when(text.rlike(r"\A\s*[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}\s*\z"), F.concat(F.trim(text), F.lit("T00:00:00Z"))).when(text.rlike(r"[0-9]:[0-9]{1,2}(:[0-9]{1,2}(\.[0-9]*)?)?\s*\z") & ~text.rlike(r"[0-9][+-][0-9]{1,2}:[0-9]{1,2}\s*\z"), F.concat(F.trim(text), F.lit("Z")))
+    return F.try_to_timestamp(F.coalesce(zone, text))
 
 
 def reject_reason() -> Column:
@@ -30,14 +32,14 @@ def reject_reason() -> Column:
     )
 
 
-def normalised_builder(builder: Column) -> Column:
-    return F.when(builder.isin(*BUILDERS), builder).otherwise("unknown")
+def normalised_builder(builder: Column, known: tuple[str, ...] = BUILDERS) -> Column:
+    return F.when(builder.isin(*known), builder).otherwise("unknown")
 
 
 def validate(events: DataFrame) -> DataFrame:
-    """Adds reject_reason and the normalised name, time, jurisdiction and builder."""
+    """Adds reject_reason and the normalised name, time (microseconds), jurisdiction and builder."""
     return events.select(
-        "*", reject_reason().alias("reject_reason"), F.lower("name").alias("clean_name"),
+        "*", reject_reason().alias("reject_reason"), F.lower("name").alias("clean_name"), F.unix_micros(parsed_time(F.col("occurred_at"))).alias("clean_at"),
         F.coalesce(F.nullif(F.col("jurisdiction"), F.lit("")), F.lit("unknown")).alias("clean_jurisdiction"),
         normalised_builder(F.col("builder")).alias("clean_builder"),
     )
@@ -56,29 +58,40 @@ def restrict_sensitive(purposes: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, only_analytics(purposes)).otherwise(purposes)
 
 
-def first_writes(events: DataFrame, order: str = "ingest_seq") -> DataFrame:
-    """The first event of each (workspace, event id)."""
-    w = Window.partitionBy("workspace_id", "event_id").orderBy(order)
+def rejected_without_analytics(events: DataFrame) -> DataFrame:
+    """``reject_reason`` also for events that are well formed, but whose ``purposes`` don't permit analytics."""
+    own = F.array_contains(F.coalesce("purposes", F.array().cast("array<string>")), PURPOSES[0])
+    return events.withColumn("reject_reason", F.coalesce("reject_reason", F.when(~own, "no_analytics_consent")))
+
+
+def first_writes(events: DataFrame, order: str = "ingest_seq", stored: DataFrame | None = None) -> DataFrame:
+    """The first event of each (workspace, event id); none of those that are ``stored`` already."""
+    keys = ["workspace_id", "event_id"]
+    if stored is not None:
+        events = events.join(stored.select(*keys), keys, "left_anti")
+    w = Window.partitionBy(*keys).orderBy(order)
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
 def country_of_ip(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds country (null if unknown) and drops the address.
 
-    ``ranges`` has first and last address as numbers, and country; it is cut
-    into rows for each /16, so that the join is on an equal key. Overlapping
-    ranges: the one that starts last.
+    ``ranges`` has first and last address as numbers, and country. They are cut
+    into /16 networks with one row each, so that the join is on an equal key,
+    multiplies no event and works on streams. Overlapping ranges: the one that
+    starts last.
     """
     part = lambda i: F.try_element_at(F.split("ip", r"\."), F.lit(i)).try_cast("long")
     octets = [part(i) for i in (1, 2, 3, 4)]
     number = octets[0] * 16_777_216 + octets[1] * 65_536 + octets[2] * 256 + octets[3]
     valid = F.col("ip").rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z") & (F.greatest(*octets) < 256)
     net = F.explode(F.sequence(F.floor(F.col("first") / 65_536), F.floor(F.col("last") / 65_536)))
-    cut = F.broadcast(ranges.select("first", "last", F.col("country").alias("found"), net.alias("net")))
-    with_number = events.withColumn("_ip", F.when(valid, number)).withColumn("_net", F.floor(F.col("_ip") / 65_536))
-    hit = with_number.join(cut, (F.col("_net") == F.col("net")) & F.col("_ip").between(F.col("first"), F.col("last")), "left")
-    keep = [c for c in events.columns if c not in ("ip", "event_id")]
-    return hit.groupBy("event_id").agg(*(F.first(c).alias(c) for c in keep), F.max_by("found", "first").alias("country"))
+    own = F.struct((-F.col("first")).alias("order"), F.col("first").alias("first"), F.col("last").alias("last"), F.col("country").alias("country"))
+    cut = ranges.select(net.alias("_net"), own.alias("r")).groupBy("_net").agg(F.array_sort(F.collect_list("r")).alias("_ranges"))
+    numbered = events.withColumn("_ip", F.when(valid, number)).withColumn("_net", F.floor(F.col("_ip") / 65_536))
+    hit = numbered.join(cut, "_net", "left")
+    found = F.get(F.filter("_ranges", lambda r: F.col("_ip").between(r["first"], r["last"])), F.lit(0))
+    return hit.withColumn("country", found["country"]).drop("ip", "_ip", "_net", "_ranges")
 
 
 def screened_events(events: DataFrame) -> DataFrame:

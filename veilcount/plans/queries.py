@@ -9,6 +9,7 @@ from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions import identity, noise, periods, text_rules
 from veilcount.operators import benchmark, cohorts, consent, erasure, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
+from veilcount.sources import tables
 from veilcount.streaming import ingest as stream
 
 LIMITS = {"contributors": 10, "subjects": 100, "share": 0.34}
@@ -92,7 +93,7 @@ def conversion_funnel(s: SparkSession, d: str) -> DataFrame:
 @query
 def custom_metric_power_users(s: SparkSession, d: str) -> DataFrame:
     """Among who has clicked: ten events or more."""
-    m = metrics.Metric("power_users", 0, lambda: F.count("*") >= 10, lambda: F.min("start_click").isNotNull(), "click")
+    m = metrics.Metric("power_users", 0, lambda: F.count("*") >= 10, lambda: F.min(metrics.start_column("click")).isNotNull(), "click")
     return _one_metric(fx.app_events(s, d), m, "week")
 
 
@@ -190,13 +191,17 @@ def privacy_budget(s: SparkSession, d: str) -> DataFrame:
     return release.budget_decisions(r).select("budget_key", "request", "granted")
 
 
-def gated(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    # small, and read by the verdicts, the ladders, the means and the requests
-    o = shop_observations(s, d).persist()
-    rungs = cohorts.ladder(o).select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
+def _shop_rungs(s: SparkSession, d: str) -> DataFrame:
+    """Each observation at the third rung, where all builders and sizes are together."""
+    rungs = cohorts.ladder(shop_observations(s, d)).where("depth = 2")
+    return rungs.select("workspace_id", "metric", F.round("value", 6).alias("value"), *cohorts.COHORT)
+
+
+def gated(s: SparkSession, d: str, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    rungs = cohorts.ladder(shop_observations(s, d)).select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
     asked = rungs.where("builder = 'any' and size_bucket = 'any'").select(*cohorts.COHORT, "metric").distinct().withColumn("request", F.lit(1))
     head = consent.ledger_head(consent.append(fx.consent_records(s, d)))
-    return release.gate(rungs, enrolled(s, d), asked, head, fx.SECRET, fx.NONCE, epsilon=0.6, **(LIMITS | {"subjects": 60}))
+    return release.gate(rungs, enrolled(s, d), asked, head, fx.SECRET, fx.NONCE, epsilon=0.6, spent=spent, **(LIMITS | {"subjects": 60}))
 
 
 @query
@@ -209,11 +214,42 @@ def gate_suppressions(s: SparkSession, d: str) -> DataFrame:
     return gated(s, d)[1]
 
 
+@query
+def gate_spends(s: SparkSession, d: str) -> DataFrame:
+    return gated(s, d)[2].select("budget_key", "epsilon")
+
+
+@query
+def gate_second_run(s: SparkSession, d: str) -> DataFrame:
+    """The same requests again, after the first run's spends: what was released is refused now."""
+    again = gated(s, d, gated(s, d)[2])
+    return again[1].select(*cohorts.COHORT, "metric", "reason").unionByName(again[0].select(*cohorts.COHORT, "metric", F.lit("released").alias("reason")))
+
+
 @query
 def release_provenance(s: SparkSession, d: str) -> DataFrame:
     return gated(s, d)[0].select(*cohorts.COHORT, "metric", "provenance_hash")
 
 
+@query
+def provenance_check(s: SparkSession, d: str) -> DataFrame:
+    """Releases of which every other metric's median was changed afterwards."""
+    out = gated(s, d)[0]
+    changed = out.withColumn("p50", F.when(F.col("metric") == "activation_rate", F.col("p50") + 0.000001).otherwise(F.col("p50")))
+    head = consent.ledger_head(consent.append(fx.consent_records(s, d)))
+    return release.unverified(changed, head).select(*cohorts.COHORT, "metric")
+
+
+@query
+def release_sink(s: SparkSession, d: str) -> DataFrame:
+    """Both results of the gate, written and read again."""
+    releases, suppressions, _ = gated(s, d)
+    path = tables.shared_folder(s)
+    tables.append_gated(releases, suppressions, path)
+    kinds = [s.read.schema(df.schema).parquet(f"{path}/{k}").select("metric", F.lit(k).alias("kind")) for k, df in (("releases", releases), ("suppressions", suppressions))]
+    return kinds[0].unionByName(kinds[1]).groupBy("kind", "metric").agg(F.count("*").alias("cohorts"))
+
+
 @query
 def exact_quantiles(s: SparkSession, d: str) -> DataFrame:
     o = shop_observations(s, d)
@@ -234,12 +270,27 @@ def benchmark_rank(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def benchmark_compare(s: SparkSession, d: str) -> DataFrame:
-    o = shop_observations(s, d).withColumn("value", F.round("value", 6))
-    releases = o.select(*cohorts.COHORT, "metric").distinct().join(_exact_ladders(o), ["period", "metric"])
-    c = benchmark.compare(releases, o.select("workspace_id", *cohorts.COHORT, "metric", "value"), "rate", volume=12_345)
+    c = benchmark.compare(gated(s, d)[0], _shop_rungs(s, d), "rate", volume=12_345)
     return c.select("workspace_id", "period", "metric", "cohort_median", "rank", "delta", "direction", "narrative")
 
 
+@query
+def benchmark_request(s: SparkSession, d: str) -> DataFrame:
+    """Every shop asks about its latest period, of each metric: the comparison, or why there is none."""
+    releases, suppressions, _ = gated(s, d)
+    own = insights.latest_profiles(_shop_rungs(s, d).select(F.concat_ws(" ", "workspace_id", "metric").alias("workspace_id"), F.col("workspace_id").alias("app"), "metric", "value", *cohorts.COHORT), "period")
+    out = benchmark.answers(own.drop("workspace_id").withColumnRenamed("app", "workspace_id"), releases, suppressions, "rate")
+    return out.select("workspace_id", "period", "metric", "available", "cohort_median", "rank", "direction", "reason", "explanation")
+
+
+@query
+def observation_sink(s: SparkSession, d: str) -> DataFrame:
+    """Observations written by period and metric; one metric is read again."""
+    path = tables.shared_folder(s)
+    tables.append_observations(shop_observations(s, d), path)
+    return tables.observations_of(s, path, metrics=["activation_rate"]).groupBy("period").agg(F.count("*").alias("observations"), F.sum("subject_count").alias("subjects"))
+
+
 @query
 def latest_values(s: SparkSession, d: str) -> DataFrame:
     return insights.latest_values(shop_observations(s, d))
@@ -268,7 +319,7 @@ def coop_settlements(s: SparkSession, d: str) -> DataFrame:
 @query
 def validate_events(s: SparkSession, d: str) -> DataFrame:
     v = validate.validate(fx.raw_events(s, d)).where("reject_reason is null")
-    return v.select("event_id", F.col("clean_name").alias("name"), F.col("clean_jurisdiction").alias("jurisdiction"), F.col("clean_builder").alias("builder"))
+    return v.select("event_id", F.col("clean_name").alias("name"), F.col("clean_at").alias("at"), F.col("clean_jurisdiction").alias("jurisdiction"), F.col("clean_builder").alias("builder"))
 
 
 @query
@@ -293,8 +344,53 @@ def jurisdiction_from_tz(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def ip_country(s: SparkSession, d: str) -> DataFrame:
-    e = fx.raw_events(s, d).where("event_id <> ''").select("event_id", "ip")
-    return validate.country_of_ip(e, fx.geo(s)).select("event_id", "country")
+    """Event ids come twice, in two workspaces with other addresses, and some are missing."""
+    e = fx.raw_events(s, d).select("workspace_id", F.nullif("event_id", F.lit("")).alias("event_id"), "ip", "ingest_seq")
+    other = e.select(F.lit("other").alias("workspace_id"), "event_id", F.concat_ws(".", F.lit("10"), ((F.col("ingest_seq") + 70) % 200).cast("string"), F.lit("0.1")).alias("ip"), "ingest_seq")
+    return validate.country_of_ip(e.unionByName(other), fx.geo(s)).select("workspace_id", "event_id", "country")
+
+
+@query
+def authorised_events(s: SparkSession, d: str) -> DataFrame:
+    """Events whose payload names another workspace than their key; a third of the keys isn't known."""
+    keys = fx.app_config(s).where("vertical <> 'marketplace'").select(F.concat(F.lit("key-"), "workspace_id").alias("api_key"), "workspace_id")
+    e = fx.app_events(s, d).select("event_id", F.lit("forged").alias("workspace_id"), F.concat(F.lit("key-"), "workspace_id").alias("api_key"))
+    out = validate.attach_workspace(e, keys)
+    return out.groupBy(F.coalesce("workspace_id", F.lit("unauthorized")).alias("outcome")).agg(F.count("*").alias("events"))
+
+
+@query
+def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
+    """The whole chain of ingest in one batch: what was accepted, and why the rest wasn't."""
+    out = stream.judged(fx.raw_events(s, d), stream.sample_knowledge(s, d))
+    return out.groupBy("workspace_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("events"))
+
+
+@query
+def findings_report(s: SparkSession, d: str) -> DataFrame:
+    c = fx.table(s, d, "conversations")
+    bag = F.to_json(F.struct(F.col("text").alias("note"), F.col("role").alias("user_email"), F.array("turn", "turn").alias("items")))
+    return redact.findings_report(redact.redact_properties(c.select(F.lit("ws_0").alias("workspace_id"), bag.alias("properties"))))
+
+
+@query
+def insights_long(s: SparkSession, d: str) -> DataFrame:
+    return insights.long_form(fx.app_events(s, d))
+
+
+@query
+def consent_decisions(s: SparkSession, d: str) -> DataFrame:
+    return consent.from_decisions(fx.decisions(s, d), fx.ROOT).select("workspace_id", "seq", "subject_key", "purpose", "state", "jurisdiction", "notice_version")
+
+
+@query
+def erasure_withdrawals(s: SparkSession, d: str) -> DataFrame:
+    """After erasure and withdrawal on the anchor nothing that was granted before is permitted."""
+    records = consent.from_decisions(fx.decisions(s, d), fx.ROOT)
+    more = erasure.withdrawn(fx.requests(s, d), fx.ROOT, F.lit(1 << 40).cast("long")).withColumn("at", F.lit(1 << 60).cast("long"))
+    anchors = records.select("workspace_id", "subject_key").distinct().withColumn("jurisdiction", F.lit("US"))
+    p = consent.permitted(anchors, records.unionByName(more))
+    return p.groupBy("workspace_id", F.array_join("purposes", ",").alias("purposes")).agg(F.count("*").alias("subjects"))
 
 
 @query
@@ -442,10 +538,12 @@ def ttl_expire(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def dataset_export(s: SparkSession, d: str) -> DataFrame:
-    o = shop_observations(s, d).withColumn("value", F.round("value", 6))
-    ladders = o.select(*cohorts.COHORT, "metric").distinct().join(_exact_ladders(o), ["period", "metric"])
-    out = settle.delivered(ladders, fx.deals(s, d, o).where("deal_id <> 'deal_0'"))
-    return out.select("deal_id", *cohorts.COHORT, "metric", "p50")
+    """What the gate released, written for each deal and read again."""
+    releases = gated(s, d)[0]
+    path = tables.shared_folder(s)
+    out = settle.delivered(releases, fx.deals(s, d, releases).where("deal_id <> 'deal_0'"))
+    tables.write_delivery(out, path)
+    return s.read.schema(out.schema).parquet(path).select("deal_id", *cohorts.COHORT, "metric", "p50", "epsilon_spent")
 
 
 @query

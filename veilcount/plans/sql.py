@@ -112,7 +112,7 @@ FROM (SELECT *, CASE WHEN contributor_count < {n} THEN 'too_few_contributors' WH
   FROM (SELECT {keys}, count(*) AS contributor_count, sum(x)::BIGINT AS subject_count, max(x)::BIGINT AS largest FROM (SELECT {keys}, workspace_id, sum(subject_count) AS x FROM {source} GROUP BY ALL) GROUP BY ALL))"""
 
 
-_WHY = f"CASE reason WHEN 'too_few_contributors' THEN 'This benchmark unlocks once ' || shortfall || ' more comparable app(s) contribute.' WHEN 'too_few_subjects' THEN 'This benchmark needs ' || shortfall || ' more end users in the cohort before it can be shown.' WHEN 'contributor_dominance' THEN '{DOMINANCE_TEXT}' END"
+_WHY = f"CASE reason WHEN 'too_few_contributors' THEN 'Waiting for ' || shortfall || ' more comparable app(s).' WHEN 'too_few_subjects' THEN 'Waiting for ' || shortfall || ' more users in this group.' WHEN 'contributor_dominance' THEN '{DOMINANCE_TEXT}' END"
 _COHORT = "builder, vertical, size_bucket, period"
 ORACLES["cohort_ladder"] = f"{SHOP_OBS}, c AS (SELECT DISTINCT {_COHORT} FROM obs) {rungs('c', '')}"
 ORACLES["k_anonymity"] = f"{SHOP_OBS}, r AS ({rungs('obs', 'workspace_id, metric, subject_count, ')}), v AS ({verdicts('r', _COHORT + ', metric', 10, 100, 0.34)}) SELECT *, {_WHY} AS explanation FROM v"
@@ -126,7 +126,7 @@ tried AS (SELECT * FROM (SELECT *, min(depth) FILTER (WHERE ok) OVER (PARTITION
 
 def _narrowest(n: int, s: int, share: float) -> str:
     exact = "exact_builder || '-built ' || replace(exact_vertical, '_', ' ') || ' apps at ' || exact_size_bucket || ' users'"
-    sentence = f"CASE WHEN NOT ok THEN {_WHY} WHEN depth > 0 THEN 'Your exact cohort (' || {exact} || ') is too small to publish safely, so this compares you against ' || label || ' — a broader group than yours.' ELSE 'Compared against ' || label || '.' END"
+    sentence = f"CASE WHEN NOT ok THEN {_WHY} WHEN depth > 0 THEN 'Shown for ' || label || ', since your own group (' || {exact} || ') is too small to stay anonymous.' ELSE 'Shown for ' || label || '.' END"
     return f"{_attempts(n, s, share)} SELECT exact_builder, exact_vertical, exact_size_bucket, exact_period, metric, ok AS resolved, {_COHORT}, breadth, label, contributor_count, subject_count, ok AND depth > 0 AS widened, {sentence} AS sentence FROM tried WHERE depth = coalesce(chosen, 3)"
 
 
@@ -207,6 +207,11 @@ passed AS (SELECT {keys}, {_LADDER.format(n="contributor_count")} AS contributor
 
 
 ORACLES["gate_releases"] = f"{gate()} SELECT * FROM passed"
+ORACLES["gate_spends"] = f"{gate()} SELECT concat_ws('|', {_COHORT}) || '::' || metric AS budget_key, epsilon_spent AS epsilon FROM passed"
+ORACLES["gate_second_run"] = f"{gate()} SELECT {_COHORT}, metric, coalesce(reason, 'privacy_budget_exhausted') AS reason FROM judged"
+ORACLES["provenance_check"] = f"{gate()} SELECT {_COHORT}, metric FROM passed WHERE metric = 'activation_rate'"
+ORACLES["release_sink"] = f"{gate()} SELECT CASE WHEN reason IS NULL THEN 'releases' ELSE 'suppressions' END AS kind, metric, count(*) AS cohorts FROM judged GROUP BY ALL"
+ORACLES["observation_sink"] = f"{SHOP_OBS} SELECT period, count(*) AS observations, sum(subject_count)::BIGINT AS subjects FROM obs WHERE metric = 'activation_rate' GROUP BY ALL"
 ORACLES["gate_suppressions"] = f"{gate()} SELECT {_COHORT}, metric, request, reason, CASE WHEN reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY} END AS explanation FROM judged WHERE reason IS NOT NULL"
 
 
@@ -233,10 +238,16 @@ def fixed2(c: str) -> str:
 
 
 ORACLES["benchmark_rank"] = f"{_COMPARED} SELECT workspace_id, period, metric, round(rank_, 6) AS rank FROM ranked_"
-ORACLES["benchmark_compare"] = f"""{_COMPARED} SELECT workspace_id, period, metric, p50 AS cohort_median, round(rank_, 6) AS rank, round(delta_, 6) AS delta, CASE WHEN abs(delta_) < 1e-9 THEN 'at_median' WHEN delta_ > 0 THEN 'ahead' ELSE 'behind' END AS direction,
-  'Your rate is ' || {fixed2("value")} || '. The median for ' || CASE WHEN builder = 'unknown' THEN 'AI-built' ELSE builder || '-built' END || ' ' || replace(vertical, '_', ' ') || ' apps at ' || size_bucket || ' users is ' || {fixed2("p50")} || ', putting you in roughly the ' || floor(rank_ + 0.5)::BIGINT || 'th percentile'
-  || CASE WHEN abs(delta_) < 1e-9 THEN '. You are level with the cohort.' WHEN delta_ > 0 THEN ' — ahead of the pack by ' || {fixed2("abs(delta_)")} || '.' ELSE '. Closing the ' || {fixed2("abs(delta_)")} || ' gap to median is worth about ' || format('{{:,}}', floor(abs(delta_) * 12345 + 0.5)::BIGINT) || ' more per month.' END
-  || ' Based on ' || contributor_count || ' comparable apps.' AS narrative FROM ranked_"""
+_RANKED = _COMPARED[_COMPARED.index("ranked_ AS"):].replace("FROM six JOIN points USING (period, metric)", f"FROM six JOIN passed USING ({_COHORT}, metric)")
+_GATED = f"""{gate()}, six AS (SELECT workspace_id, metric, round(value, 6) AS value, {_COHORT} FROM r WHERE depth = 2), {_RANKED}"""
+_DIRECTION = "CASE WHEN abs(delta_) < 1e-9 THEN 'at_median' WHEN delta_ > 0 THEN 'ahead' ELSE 'behind' END"
+ORACLES["benchmark_compare"] = f"""{_GATED} SELECT workspace_id, period, metric, p50 AS cohort_median, round(rank_, 6) AS rank, round(delta_, 6) AS delta, {_DIRECTION} AS direction,
+  'rate ' || {fixed2("value")} || ', median of ' || concat_ws(' / ', builder, vertical, size_bucket) || ' ' || {fixed2("p50")} || ', percentile ' || floor(rank_ + 0.5)::BIGINT || '.'
+  || CASE WHEN abs(delta_) < 1e-9 THEN ' Level with the median.' WHEN delta_ > 0 THEN ' Ahead by ' || {fixed2("abs(delta_)")} || '.' ELSE ' Behind by ' || {fixed2("abs(delta_)")} || ', ' || format('{{:,}}', floor(abs(delta_) * 12345 + 0.5)::BIGINT) || ' a month.' END
+  || ' Apps compared: ' || contributor_count || '.' AS narrative FROM ranked_"""
+ORACLES["benchmark_request"] = f"""{_GATED}, own AS (SELECT workspace_id, metric, max(period) AS period FROM six GROUP BY ALL)
+SELECT workspace_id, period, metric, k.p50 IS NOT NULL AS available, k.p50 AS cohort_median, round(rank_, 6) AS rank, CASE WHEN k.p50 IS NOT NULL THEN {_DIRECTION} END AS direction, j.reason, CASE WHEN j.reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY.replace("reason", "j.reason").replace("shortfall", "j.shortfall")} END AS explanation
+FROM six JOIN own USING (workspace_id, metric, period) JOIN judged j USING ({_COHORT}, metric) LEFT JOIN ranked_ k USING (workspace_id, {_COHORT}, metric)"""
 
 _KEY = "concat_ws('|', builder, vertical, size_bucket, period)"
 _SETTLE = f"""{SHOP_OBS}, given AS (SELECT workspace_id, {_KEY} AS cohort_key, sum(subject_count)::BIGINT AS subject_count FROM obs WHERE metric = 'activation_rate' GROUP BY ALL),
@@ -250,17 +261,19 @@ ORACLES["coop_contributions"] = f"{SHOP_OBS} SELECT workspace_id, {_KEY} AS coho
 ORACLES["coop_payouts"] = f"{_SETTLE} SELECT deal_id, workspace_id, amount::BIGINT AS amount_cents, CASE WHEN amount >= 5000 THEN 'cash' ELSE 'credit' END AS method, subjects::DOUBLE / total AS share, subjects AS subject_count FROM paid WHERE amount > 0"
 ORACLES["coop_settlements"] = f"""{_SETTLE}, sums AS (SELECT deal_id, sum(amount)::BIGINT AS paid FROM paid GROUP BY 1), done AS (SELECT deal_id, net, coalesce(paid, 0) AS paid, CASE WHEN coalesce(paid, 0) > 0 THEN floor(net * 0.3::DOUBLE)::BIGINT ELSE 0 END AS pool FROM deal LEFT JOIN sums USING (deal_id))
 SELECT deal_id, net::BIGINT AS net_cents, pool AS pool_cents, (net - paid)::BIGINT AS platform_cents, pool - paid AS rounding_remainder_cents FROM done"""
-ORACLES["dataset_export"] = f"{_COMPARED}, deal AS (SELECT 'deal_' || r_regionkey AS deal_id, lower(replace(r_name, ' ', '_')) AS vertical FROM region WHERE r_regionkey <> 0) SELECT DISTINCT deal_id, builder, vertical, size_bucket, period, metric, p50 FROM six JOIN points USING (period, metric) JOIN deal USING (vertical)"
+ORACLES["dataset_export"] = f"{gate()}, deal AS (SELECT 'deal_' || r_regionkey AS deal_id, lower(replace(r_name, ' ', '_')) AS vertical FROM region WHERE r_regionkey <> 0) SELECT deal_id, {_COHORT}, metric, p50, epsilon_spent FROM passed JOIN deal USING (vertical)"
 
 RAW = f"""raw AS (SELECT event_id AS i, CASE WHEN event_id % 101 = 0 THEN '' ELSE 'ws_' || (user_id % 12) END AS workspace_id, CASE WHEN event_id % 103 = 0 THEN '' ELSE 'e' || event_id END AS event_id,
   CASE WHEN event_id % 107 = 0 THEN 'has spaces' WHEN event_id % 109 = 0 THEN upper(event_type) ELSE event_type END AS name, event_id % 113 <> 0 AS timed, event_id % 127 <> 0 AS known,
-  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE {cycle(JURISDICTIONS, "user_id")} END AS jurisdiction, CASE WHEN event_id % 5 = 0 THEN 'evil-injected' ELSE {cycle(BUILDER_CYCLE, "user_id")} END AS builder, event_id % 200 AS octet FROM events),
+  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE {cycle(JURISDICTIONS, "user_id")} END AS jurisdiction, CASE WHEN event_id % 5 = 0 THEN 'evil-injected' ELSE {cycle(BUILDER_CYCLE, "user_id")} END AS builder, event_id % 200 AS octet, user_id, epoch_us(ts) // 1000000 * 1000000 AS tus FROM events),
 checked AS (SELECT *, CASE WHEN workspace_id = '' THEN 'missing_workspace' WHEN event_id = '' THEN 'missing_event_id' WHEN NOT regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_.:-]{{0,63}}') THEN 'invalid_event_name' WHEN NOT timed THEN 'invalid_timestamp' WHEN NOT known THEN 'missing_identifier' END AS reason,
   CASE WHEN builder IN ({", ".join(repr(b) for b in BUILDERS)}) THEN builder ELSE 'unknown' END AS clean FROM raw)"""
-ORACLES["validate_events"] = f"WITH {RAW} SELECT event_id, lower(name) AS name, jurisdiction, clean AS builder FROM checked WHERE reason IS NULL"
+ORACLES["validate_events"] = f"WITH {RAW} SELECT event_id, lower(name) AS name, tus AS at, jurisdiction, clean AS builder FROM checked WHERE reason IS NULL"
 ORACLES["reject_tally"] = f"WITH {RAW} SELECT workspace_id, coalesce(reason, 'accepted') AS outcome, count(*) AS events FROM checked GROUP BY ALL"
 ORACLES["dominant_builder"] = f"WITH {RAW}, n AS (SELECT workspace_id, clean AS builder, count(*) AS n FROM checked WHERE workspace_id <> '' GROUP BY ALL) SELECT workspace_id, coalesce(first(builder ORDER BY n DESC, builder) FILTER (WHERE builder <> 'unknown'), 'unknown') AS builder FROM n GROUP BY workspace_id"
-ORACLES["ip_country"] = f"WITH {RAW} SELECT event_id, CASE WHEN octet < 64 THEN 'US' WHEN octet < 128 THEN 'DE' WHEN octet < 150 THEN 'FR' END AS country FROM raw WHERE event_id <> ''"
+_COUNTRY = "CASE WHEN {o} < 64 THEN 'US' WHEN {o} < 128 THEN 'DE' WHEN {o} < 150 THEN 'FR' END"
+ORACLES["ip_country"] = f"WITH {RAW} SELECT workspace_id, nullif(event_id, '') AS event_id, {_COUNTRY.format(o='octet')} AS country FROM raw UNION ALL SELECT 'other', nullif(event_id, ''), {_COUNTRY.format(o='((octet + 70) % 200)')} FROM raw"
+ORACLES["authorised_events"] = f"WITH {APP} SELECT CASE WHEN vertical = 'marketplace' THEN 'unauthorized' ELSE workspace_id END AS outcome, count(*) AS events FROM ev JOIN config USING (workspace_id) GROUP BY ALL"
 ORACLES["dedupe_events"] = f"WITH {RAW} SELECT name, count(DISTINCT (workspace_id, event_id)) AS events FROM raw WHERE event_id <> '' GROUP BY ALL"
 ORACLES["builder_from_host"] = f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || {cycle(HOSTS, "page_id")} AS h FROM pages)
 SELECT page_id, CASE WHEN ends_with(h, '.lovable.app') THEN 'lovable' WHEN ends_with(h, '.bolt.host') OR ends_with(h, '.stackblitz.io') THEN 'bolt' WHEN ends_with(h, '.vercel.app') THEN 'v0' WHEN ends_with(h, '.replit.app') OR ends_with(h, '.repl.co') THEN 'replit' WHEN ends_with(h, '.base44.app') THEN 'base44' ELSE 'unknown' END AS builder FROM h"""
@@ -280,7 +293,7 @@ def categories(texts: str) -> str:
 _NAMES = ("hiv_refill_tapped", "health_check", "voted_on_poll", "therapeutic_ui_theme", "kids_mode", "race_started", "racetrack_view", "/therapy/session-notes", "page_view", "mental_health_log")
 ORACLES["screen_events"] = f"WITH c AS (SELECT event_id::VARCHAR AS event_id, {categories('[' + cycle(_NAMES, 'event_id') + ']')} AS c FROM events) SELECT event_id, array_to_string(c, ',') AS categories FROM c WHERE len(c) > 0"
 ORACLES["screen_workspaces"] = f"""WITH c AS (SELECT c_custkey::VARCHAR AS workspace_id, {categories("[c_name, " + cycle(("an app for kids", "invoices", "prayer times", "a racetrack game"), "c_custkey") + ", c_mktsegment, " + cycle(("a.app", "dating-preference.app", "b.app"), "c_custkey") + "]")} AS c FROM customer)
-SELECT workspace_id, 'This event looks like it may reveal special-category data (' || array_to_string(c, ', ') || '). It still counts toward your own analytics, but it is excluded from benchmarks and from any licensed dataset. Rename the event if this is a false positive.' AS explanation FROM c WHERE len(c) > 0"""
+SELECT workspace_id, 'Possibly sensitive (' || array_to_string(c, ', ') || '): kept in your own figures, left out of shared ones. Another name clears a false alarm.' AS explanation FROM c WHERE len(c) > 0"""
 
 #: The redaction rules in the syntax of RE2, whose \\b and \\w are ASCII.
 _REDACT = (
@@ -343,3 +356,24 @@ ORACLES["ttl_expire"] = f"WITH {APP} SELECT workspace_id, count(*) AS events FRO
 ORACLES["latest_profiles"] = "SELECT o_custkey AS workspace_id, max(o_orderkey) AS version, arg_max(o_orderstatus, o_orderkey) AS status, arg_max(o_orderpriority, o_orderkey) AS tier FROM orders GROUP BY ALL"
 _LINES = "ev AS (SELECT 's_' || (l_suppkey % 50) AS workspace_id, l_orderkey::VARCHAR AS subject_key, l_returnflag AS name, epoch_us(l_shipdate) AS tus, true AS shares FROM lineitem)"
 ORACLES["wide_timelines"] = one(_LINES, ("activation_rate", act("R", 30)), (), MONTH)
+
+ORACLES["insights_long"] = f"""WITH {APP} SELECT workspace_id, 'event' AS kind, name, count(*) AS n FROM ev GROUP BY ALL
+UNION ALL SELECT workspace_id, 'total', 'distinct_subjects', count(DISTINCT subject_key) FROM ev GROUP BY ALL UNION ALL SELECT workspace_id, 'total', 'total_events', count(*) FROM ev GROUP BY ALL"""
+_CONV = found("conversations", "text").replace("'conversations' AS source", "'ws_0' AS workspace_id, 'note' AS key")
+ORACLES["findings_report"] = f"{_CONV} UNION ALL SELECT 'ws_0', 'user_email', 'blocked_key', count(*) FROM conversations UNION ALL SELECT 'ws_0', 'items', 'array_collapsed', count(*) FROM conversations"
+
+_ANCHOR = "substr({}, 1, 32)".format(hmac("ai", "ao", "identifier"))
+_SAID = f"""said AS (SELECT 'ws_' || (user_id % 12) AS workspace_id, 'user-' || user_id AS identifier, user_id, event_id AS seq, epoch_us(ts) AS tus, unnest(['product_analytics', 'benchmark_contribution']) AS purpose, unnest([event_id % 7 <> 0, event_id % 5 <> 0]) AS yes,
+  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE {cycle(JURISDICTIONS, "user_id")} END AS jurisdiction, CASE WHEN event_id % 4 = 0 THEN 'unversioned' ELSE 'v2' END AS notice_version FROM events WHERE event_type = 'signup'),
+held AS (SELECT workspace_id, identifier, purpose, arg_max(yes, (tus, seq)) AS yes FROM said GROUP BY ALL)"""
+ORACLES["consent_decisions"] = f"WITH {PEOPLE}, {_SAID} SELECT workspace_id, seq, {_ANCHOR} AS subject_key, purpose, CASE WHEN yes THEN 'granted' ELSE 'denied' END AS state, jurisdiction, notice_version FROM said JOIN pads USING (workspace_id)"
+ORACLES["erasure_withdrawals"] = f"""WITH {_SAID}, s AS (SELECT workspace_id, identifier, any_value(user_id) AS u, bool_or(yes) FILTER (WHERE purpose = 'product_analytics') AS a, bool_or(yes) FILTER (WHERE purpose = 'benchmark_contribution') AS b FROM held JOIN (SELECT DISTINCT identifier, user_id FROM said) USING (identifier) GROUP BY ALL)
+SELECT workspace_id, CASE WHEN u % 20 = 3 THEN '' ELSE concat_ws(',', CASE WHEN a THEN 'product_analytics' END, CASE WHEN b THEN 'benchmark_contribution' END) END AS purposes, count(*) AS subjects FROM s GROUP BY ALL"""
+_POSTURE = "CASE WHEN jurisdiction IN ('US', 'US-CA') THEN true ELSE false END"
+_JUDGED = f"""{RAW}, {_SAID}, whole AS (SELECT c.*, coalesce(a.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS analytics, coalesce(b.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS benchmark FROM checked c
+  LEFT JOIN held a ON a.workspace_id = c.workspace_id AND a.identifier = 'user-' || c.user_id AND a.purpose = 'product_analytics' AND c.known LEFT JOIN held b ON b.workspace_id = c.workspace_id AND b.identifier = 'user-' || c.user_id AND b.purpose = 'benchmark_contribution' AND c.known)"""
+ORACLES["ingest_outcomes"] = f"WITH {_JUDGED} SELECT workspace_id, coalesce(reason, CASE WHEN NOT analytics THEN 'no_analytics_consent' ELSE 'accepted' END) AS outcome, count(*) AS events FROM whole GROUP BY ALL"
+ORACLES["stream_ingest"] = f"""WITH {PEOPLE}, {_JUDGED}, kept AS (SELECT *, 'user-' || user_id AS identifier, tus // {_EPOCH} AS epoch FROM whole WHERE reason IS NULL AND analytics)
+SELECT workspace_id, event_id, {_SUBJECT} AS subject_key, lower(name) AS name, tus AS at, jurisdiction, clean AS builder, {_COUNTRY.format(o="octet")} AS country, CASE WHEN benchmark AND i % 11 <> 0 THEN 'product_analytics,benchmark_contribution' ELSE 'product_analytics' END AS purposes, 0 AS findings FROM kept JOIN pads USING (workspace_id)"""
+ORACLES["stream_findings"] = f"""WITH {_JUDGED}, kept AS (SELECT * FROM whole WHERE reason IS NULL AND analytics), at_ AS (SELECT workspace_id, make_timestamp((1704067200 + i) // 3600 * 3600 * 1000000)::TIMESTAMP AS hour FROM kept)
+SELECT hour, workspace_id, key, rule, count(*) AS n FROM at_ CROSS JOIN (VALUES ('note', 'email'), ('user_email', 'blocked_key')) t(key, rule) GROUP BY ALL"""

@@ -99,6 +99,18 @@ def consent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("workspace_id", "seq", "subject_key", pick(PURPOSES, q).alias("purpose"), state.alias("state"), source.alias("source"), "at", "jurisdiction", F.lit("v1").alias("notice_version"))
 
 
+def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as answers to a consent dialog: a map of two purposes, blank jurisdictions and notices among them."""
+    e = table(spark, sf_dir, "events")
+    e = e.withColumn("at", micros(e, "ts")).where("event_type = 'signup'")
+    q = F.col("event_id")
+    answers = F.create_map(F.lit(PURPOSES[0]), q % 7 != 0, F.lit(PURPOSES[1]), q % 5 != 0)
+    return e.select(
+        F.concat(F.lit("ws_"), (F.col("user_id") % 12).cast("string")).alias("workspace_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("identifier"), answers.alias("purposes"),
+        F.when(q % 3 == 0, "").otherwise(pick(JURISDICTIONS, F.col("user_id"))).alias("jurisdiction"), F.when(q % 4 == 0, "").otherwise("v2").alias("notice_version"), "at", q.alias("seq"),
+    )
+
+
 def deals(spark: SparkSession, sf_dir: str, observations: DataFrame) -> DataFrame:
     """One deal for each region, over all cohorts of its shops."""
     r = table(spark, sf_dir, "region").select(F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("vertical"), "r_regionkey")

@@ -1,29 +1,59 @@
 """Continuous ingest: the batch rules over a stream of raw events.
 
-Validation, normalisation, redaction and pseudonyms are local to a row and run
-unchanged on streams; repeated deliveries of an event go by
-``dropDuplicatesWithinWatermark``. The watermark is on the time of arrival: the
-time that a client gives may lie anywhere in the past and must not drop events.
+Validation, redaction, screening and pseudonyms are local to a row and run
+unchanged on streams; keys of workspaces, the consent ledger and the address
+ranges are tables that the stream is joined with. Repeated deliveries of an
+event go by ``dropDuplicatesWithinWatermark``. The watermark is on the time of
+arrival: the time that a client gives may lie anywhere in the past and must not
+drop events.
 """
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilcount.operators import redact, validate
+from veilcount.functions import identity
+from veilcount.functions.text_rules import categories
+from veilcount.operators import consent, redact, validate
+from veilcount.sources.tables import shared_folder
 
-RAW = "workspace_id string, event_id string, name string, occurred_at string, identifier string, jurisdiction string, builder string, ip string, opt_out boolean, properties string, ingest_seq long"
 
+@dataclass(frozen=True)
+class Known:
+    """What ingest looks up: workspaces (workspace_id), the consent records on anchors, address ranges, and the root secret."""
 
-def clean_stream(raw: DataFrame, arrival: str = "arrival", delay: str = "1 hour") -> DataFrame:
-    """Accepted events of a stream, each once, with redacted properties and no address."""
-    valid = validate.validate(raw).where("reject_reason is null")
+    workspaces: DataFrame
+    records: DataFrame
+    ranges: DataFrame
+    root: str
+
+
+def judged(raw: DataFrame, known: Known) -> DataFrame:
+    """Raw events with pseudonyms in place of the identifier, country in place of the address, purposes and ``reject_reason``.
+
+    The purposes are those that the ledger permits the subject's anchor,
+    narrowed by an opt-out signal and by names or properties that reveal a
+    special category; without analytics among them the event is rejected.
+    """
+    valid = validate.validate(raw).withColumn("at", F.col("clean_at")).drop("jurisdiction")
+    keyed = identity.with_keys(valid, known.root, workspaces=known.workspaces).drop("identifier")
+    subjects = keyed.withColumnsRenamed({"subject_key": "rotating", "anchor": "subject_key", "clean_jurisdiction": "jurisdiction"})
+    allowed = consent.permitted(subjects, known.records).withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"})
+    bag = F.coalesce(F.expr("map_entries(try_cast(try_parse_json(properties) as map<string, variant>))"), F.array().cast("array<struct<key: string, value: variant>>"))
+    texts = F.concat(F.array("name"), F.transform(bag, lambda e: e["key"]), F.transform(bag, lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit(""))))
+    found = F.flatten(F.transform(texts, categories))
+    narrow = validate.restrict_sensitive(validate.restrict_opt_out(F.col("purposes"), F.col("opt_out")), found)
+    return validate.country_of_ip(validate.rejected_without_analytics(allowed.withColumn("purposes", narrow)), known.ranges)
+
+
+def clean_stream(raw: DataFrame, known: Known, arrival: str = "arrival", delay: str = "1 hour") -> DataFrame:
+    """Accepted events of a stream, each once, with redacted properties; neither identifier nor address is kept."""
+    valid = judged(raw, known).where("reject_reason is null")
     once = valid.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["workspace_id", "event_id"])
-    kept = once.select("workspace_id", "event_id", F.col("clean_name").alias("name"), F.col("clean_jurisdiction").alias("jurisdiction"), F.col("clean_builder").alias("builder"), "identifier", "properties", arrival)
+    kept = once.select("workspace_id", "event_id", "subject_key", "epoch", "anchor", F.col("clean_name").alias("name"), "at", "jurisdiction", F.col("clean_builder").alias("builder"), "country", "purposes", "properties", arrival)
     return redact.redact_properties(kept)
 
 
@@ -33,11 +63,6 @@ def findings_by_hour(clean: DataFrame, arrival: str = "arrival") -> DataFrame:
     return each.groupBy(F.window(arrival, "1 hour"), "workspace_id", "f.key", "f.rule").agg(F.count("*").alias("n"))
 
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="veilcount-stream-")
-    return f"{base}/stream-{uuid.uuid4().hex}"
-
-
 def raw_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return spark.readStream.schema(schema).parquet(folder)
 
@@ -50,14 +75,14 @@ def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFr
     """
     from veilcount.sources import fixtures as fx
 
-    folder = _folder(spark)
+    folder = shared_folder(spark)
     raw = fx.raw_events(spark, sf_dir)
     twice = raw.unionByName(raw.where("ingest_seq % 4 = 0")).withColumn("arrival", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("ingest_seq") * 1_000_000))
     if close:
-        # an invalid event wouldn't move the watermark
-        last = validate.validate(raw).where("reject_reason is null").agg(F.max_by(F.struct(*raw.columns), "ingest_seq").alias("r")).where("r is not null").select("r.*")
+        # a rejected event wouldn't move the watermark
+        last = raw.join(judged(raw, sample_knowledge(spark, sf_dir)).where("reject_reason is null").select("workspace_id", "event_id"), ["workspace_id", "event_id"], "left_semi").agg(F.max_by(F.struct(*raw.columns), "ingest_seq").alias("r")).where("r is not null").select("r.*")
         at = raw.agg((F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.max("ingest_seq") * 1_000_000) + F.expr("interval 1 day")).alias("arrival"))
-        twice = twice.unionByName(last.withColumn("event_id", F.concat(F.lit("closing-"), "event_id")).crossJoin(at))
+        twice = twice.unionByName(last.withColumn("event_id", F.concat(F.lit("closing-"), "event_id")).join(at, F.lit(True)))
     twice.write.parquet(f"{folder}/in")
     out = build(raw_stream(spark, f"{folder}/in", twice.schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")))
     writer = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").outputMode("append").trigger(availableNow=True)
@@ -65,9 +90,16 @@ def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFr
     return spark.read.schema(out.schema).parquet(f"{folder}/out")
 
 
+def sample_knowledge(spark: SparkSession, sf_dir: str) -> Known:
+    from veilcount.sources import fixtures as fx
+
+    return Known(fx.app_config(spark), consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT), fx.geo(spark), fx.ROOT)
+
+
 def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _run(spark, sf_dir, clean_stream)
-    return out.select("workspace_id", "event_id", "name", "jurisdiction", "builder", F.to_json("properties").alias("properties"), F.size("findings").alias("findings"))
+    known = sample_knowledge(spark, sf_dir)
+    out = _run(spark, sf_dir, lambda raw: clean_stream(raw, known))
+    return out.select("workspace_id", "event_id", "subject_key", "name", "at", "jurisdiction", "builder", "country", F.array_join("purposes", ",").alias("purposes"), F.size("findings").alias("findings"))
 
 
 def noted(raw: DataFrame) -> DataFrame:
@@ -77,5 +109,6 @@ def noted(raw: DataFrame) -> DataFrame:
 def findings_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the sample's events, each with a made-up mail note, in windows that are all closed."""
 
-    out = _run(spark, sf_dir, lambda raw: findings_by_hour(clean_stream(noted(raw))), close=True)
+    known = sample_knowledge(spark, sf_dir)
+    out = _run(spark, sf_dir, lambda raw: findings_by_hour(clean_stream(noted(raw), known)), close=True)
     return out.select(F.col("window.start").alias("hour"), "workspace_id", "key", "rule", "n")
