@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from .repeats import Chunk, Windows, late_windows
 from .rolling import Roller, U
+from .shared import pack, unpack, with_fields
 
 _codes = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
 #: Space and the control characters from tab to carriage return.
@@ -32,11 +33,9 @@ def word_edges(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside[1:] & ~inside[:-1]), np.flatnonzero(~inside[1:] & inside[:-1])
 
 
-def word_hashes(text: np.ndarray) -> np.ndarray:
-    """A hash for every word of one text, slice by slice."""
+def words_of(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte and hash of every word, slice by slice."""
     start, end = word_edges(text)
-    if not len(start):
-        return np.zeros(0, U)
     out = np.empty(len(start), U)
     i = 0
     while i < len(start):
@@ -45,7 +44,12 @@ def word_hashes(text: np.ndarray) -> np.ndarray:
         roller = Roller(_codes[text[low : end[j - 1]]])
         out[i:j] = roller.span(start[i:j] - low, end[i:j] - low) + (end[i:j] - start[i:j]).astype(U)
         i = j
-    return out
+    return start, out
+
+
+def word_hashes(text: np.ndarray) -> np.ndarray:
+    """A hash for every word of one text."""
+    return words_of(text)[1]
 
 
 def substring_dedup(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -60,9 +64,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...]
     null or empty text has no words and keeps ''. Texts shorter than
     ``min_words`` words lose nothing. A null doc_id comes after all others.
     Rows that repeat a doc_id are one document laid over itself: repeats at
-    equal offsets stay in each. An empty table gives an empty result.
+    equal offsets stay in each. An empty table gives an empty result. Other columns are left out; a
+    carried one with an output's name comes back with ``_given`` behind it.
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + ["doc_id long", "n_words long", "spans array<struct<start:long,end:long>>", "kept string"])
+    given = docs.select("doc_id", "text", pack(carry))
+    schema = with_fields(given.select("carried"), "doc_id long, n_words long, spans array<struct<start: long, end: long>>, kept string")
 
     def report(chunk: Chunk, rows: pa.Table, covered: list[np.ndarray]) -> pa.Table:
         kept, spans = [], []
@@ -72,10 +78,11 @@ def substring_dedup(docs: DataFrame, min_words: int = 20, carry: tuple[str, ...]
             kept.append(b" ".join(raw[start[i] : end[i]] for i in np.flatnonzero(~gone)).decode())
             spans.append(runs(gone))
         size = pa.array([len(x) for x in covered], pa.int64())
-        return pa.table({c: rows[c] for c in carry} | {"doc_id": rows["doc_id"], "n_words": size, "spans": span_array(spans), "kept": pa.array(kept, pa.string())})
+        return pa.table({"carried": rows["carried"], "doc_id": rows["doc_id"], "n_words": size, "spans": span_array(spans), "kept": pa.array(kept, pa.string())})
 
     spec = Windows(length=min_words, seed=max(1, min_words // 2), symbols=word_hashes)
-    return late_windows(docs.select("doc_id", "text", *carry), spec, report, schema)
+    own = ("n_words", "spans", "kept")
+    return late_windows(given, spec, report, schema).select("doc_id", *unpack(carry, own), *own)
 
 
 def runs(flags: np.ndarray) -> np.ndarray:
