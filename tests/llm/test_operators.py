@@ -148,11 +148,22 @@ def test_quantised_leaves_out_bad_vectors(spark):
     assert [(r["vec_id"], r["vector"]) for r in top_k.quantised(df).collect()] == [(1, [128, -1])]
 
 
-def test_near_duplicates_equal_brute_force(spark, texts):
-    got = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op7_near_dedup"](spark, SF).collect()}
-    idf = near_dedup.document_frequencies(spark.read.parquet(f"{SF}/documents.parquet"))
-    sets = [near_dedup.weighted(np.frombuffer(t.encode(), np.uint8), idf) for _, t in texts]
-    root = list(range(len(texts)))
+def weighted_sets(texts, weights):
+    doc, shingle, count = near_dedup.shingles([np.frombuffer(t.encode(), np.uint8) for t in texts])
+    out = [{} for _ in texts]
+    for d, x, w in zip(doc.tolist(), shingle.tolist(), weights.of(shingle, count).tolist(), strict=True):
+        out[d][x] = w
+    return out
+
+
+def weighted_jaccard(a, b):
+    shared = sum(min(w, b[x]) for x, w in a.items() if x in b)
+    return shared / max(sum(a.values()) + sum(b.values()) - shared, 1e-9)
+
+
+def classes(texts, weights, threshold=0.8):
+    """The smallest number of each text's class, by all pairs."""
+    sets, root = weighted_sets(texts, weights), list(range(len(texts)))
 
     def find(x):
         while root[x] != x:
@@ -160,10 +171,51 @@ def test_near_duplicates_equal_brute_force(spark, texts):
         return x
 
     for i, j in itertools.combinations(range(len(texts)), 2):
-        if texts[i][1] == texts[j][1] or near_dedup.similarity(sets[i], sets[j]) >= 0.8:
+        if texts[i] == texts[j] or weighted_jaccard(sets[i], sets[j]) >= threshold:
             a, b = sorted((find(i), find(j)))
             root[b] = a
-    assert got == {d: texts[find(i)][0] for i, (d, _) in enumerate(texts)}
+    return [find(i) for i in range(len(texts))]
+
+
+def test_near_duplicates_equal_brute_force(spark, texts):
+    got = {r["doc_id"]: r["class_id"] for r in queries.QUERIES["op7_near_dedup"](spark, SF).collect()}
+    weights = near_dedup.document_frequencies(spark.read.parquet(f"{SF}/documents.parquet"))
+    assert got == {d: texts[i][0] for (d, _), i in zip(texts, classes([t for _, t in texts], weights), strict=True)}
+
+
+def test_document_frequencies_are_exact(spark):
+    """With few counters as with many, whatever is frequent is counted over all documents."""
+    random.seed(4)
+    docs = [" ".join(random.choice(["a b c d e f", "b c d e f g h", "x y z"]) + f" {random.randrange(3000)}" for _ in range(6)) for _ in range(400)]
+    df = spark.createDataFrame([(t,) for t in docs], "text string").repartition(5)
+    views = [np.frombuffer(t.encode(), np.uint8) for t in docs]
+    keys, counts = np.unique(near_dedup.shingles(views)[1], return_counts=True)
+    for counters in (1 << 16, 64, 16):
+        least = max(1.0, counts.sum() / counters)
+        want = {k: 1 + near_dedup.RAISE * np.log(400 / n) / np.log(400 / least) for k, n in zip(keys.tolist(), counts.tolist(), strict=True) if n > least}
+        got = near_dedup.document_frequencies(df, counters)
+        assert dict(zip(got.keys.tolist(), got.factor.tolist(), strict=True)) == pytest.approx(want)
+
+
+def test_near_duplicates_in_divided_groups(spark):
+    """Families of edits, deletions and additions around one text, which is in the corpus or isn't: the same classes as by all pairs."""
+    random.seed(8)
+    base = [f"w{random.randrange(10**6)}" for _ in range(120)]
+
+    def copy(words, edits):
+        w = list(words)
+        for _ in range(edits):
+            i, kind = random.randrange(len(w)), random.random()
+            w[i : i + 1] = [f"e{random.randrange(10**9)}"] if kind < 0.5 else [] if kind < 0.75 else [w[i], f"e{random.randrange(10**9)}"]
+        return w
+
+    families = [base, *(copy(base, k) for k in (3, 5, 8, 12)), base[:80], base + [f"t{i}" for i in range(60)]]
+    docs = [" ".join(copy(random.choice(families[1:]), random.randrange(6))) for _ in range(250)]
+    df = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    want = classes(docs, near_dedup.document_frequencies(df))
+    assert len(set(want)) > 20
+    # so many bands that hardly any link is left to chance
+    assert {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(df, bands=24, rows_of_band=2).collect()} == dict(enumerate(want))
 
 
 def test_near_duplicates_on_odd_rows(spark, odd):
@@ -184,7 +236,7 @@ def test_large_group_of_loose_copies(spark):
         return " ".join(w)
 
     rows = [(i, copy(7)) for i in range(40)] + [(50, " ".join(base))] + [(100 + i, copy(60)) for i in range(40)]
-    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, b0 long")).collect()}
     assert {got[i] for i in [*range(40), 50]} == {0}
     assert all(got[100 + i] == 100 + i for i in range(40))
 
@@ -349,3 +401,44 @@ def test_queries_with_sql(spark, name):
     assert sorted(got.columns) == columns
     key = lambda r: str([r[c] for c in columns])
     assert sorted(map(key, (r.asDict() for r in got.collect()))) == sorted(map(key, rows))
+
+
+def test_carried_columns_with_the_names_of_outputs(spark):
+    rows = [(1, "some words of a text", "a"), (2, None, "b")]
+    base = spark.createDataFrame(rows, "doc_id long, text string, x string")
+    for run, names in ((lambda d, c: identify(d, F.lit(False), carry=c), ("lang_pred", "score")), (lambda d, c: substring_dedup.substring_dedup(d, carry=c), ("n_words", "spans", "kept")), (lambda d, c: suffix_dedup.suffix_dedup(d, carry=c), ("n_bytes", "spans", "kept")), (lambda d, c: pieces.encode(d, carry=c), ("ids", "n_best", "scores"))):
+        wide = base.select("doc_id", "text", F.lit("en").alias("lang"), *(F.col("x").alias(n) for n in (*names, "chunk", "carried")))
+        out = run(wide, (*names, "chunk", "carried"))
+        assert {r["doc_id"]: [r[f"{n}_given"] for n in names] + [r["chunk"], r["carried"]] for r in out.collect()} == {1: ["a"] * (len(names) + 2), 2: ["b"] * (len(names) + 2)}
+
+
+def test_large_vectors_are_refused(spark):
+    df = spark.createDataFrame([(1, [2**40]), (2, [2**40])], "vec_id long, vector array<long>")
+    with pytest.raises(ValueError):
+        top_k.exact_top_k(df, F.lit(True))
+
+
+def test_queries_of_models_and_segmentations(spark):
+    docs, labels = ({r[0]: r for r in table(t)} for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in queries.QUERIES["op9_toxicity"](spark, SF).collect()}
+    assert set(got) == set(docs) and all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for d, r in got.items())
+    got = {r["doc_id"]: r for r in queries.QUERIES["op4_quality"](spark, SF).collect()}
+    known = [d for d, r in labels.items() if r[1] is not None]
+    assert set(got) == set(docs) and sum(got[d]["keep"] == (labels[d][1] == 1) for d in known) >= 0.9 * len(known)
+    assert all(0 <= r[c] <= 1 for r in got.values() for c in ("score", "content_score", "page_score"))
+    voc = pieces.Vocabulary(*pieces.load_vocabulary())
+    for r in queries.QUERIES["op10_sentencepiece"](spark, SF).collect():
+        assert r["round_trip"] and r["n_ids"] == len(pieces.encode_block(voc, [docs[r["doc_id"]][1]], 1)[0][0])
+        assert r["scores"] == sorted(r["scores"], reverse=True)
+
+
+def test_models_score_odd_rows(spark, odd):
+    """Null, empty, very long and repeated rows under models that have learned something."""
+    rows = [(i, ("nice words in a row " if i % 2 else "junk %% $$ ** insultword ") * (1 + i % 3), "en", "s", 60, "x") for i in range(100, 500)]
+    docs = odd.unionByName(spark.createDataFrame(rows, DOCS))
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(100, 500)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.toxicity(docs, labels, F.lit(True)), quality.quality(docs, labels)):
+        got = out.collect()
+        assert len(got) == docs.count() and all(0 <= r["score"] <= 1 for r in got)
+        same = {r["score"] for r in got if r["doc_id"] == 3}
+        assert len(same) == 1

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import give_back
+from .shared import give_back, pack, unpack, with_fields
 
 DIMS = 512
 #: Letters are told apart by their code point modulo this.
@@ -30,16 +30,16 @@ UNKNOWN = "und"
 
 
 @cache
-def letter_vectors() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def letter_vectors(dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The vectors of a trigram's first, second and third letter; 0 is the gap between words."""
-    plain = np.random.default_rng(5).integers(0, 2, (LETTERS + 1, DIMS), dtype=np.int8) * 2 - 1
+    plain = np.random.default_rng(5).integers(0, 2, (LETTERS + 1, dims), dtype=np.int8) * 2 - 1
     return np.roll(plain, 2, axis=1), np.roll(plain, 1, axis=1), plain
 
 
 @cache
 def is_letter() -> np.ndarray:
     flags = np.zeros(0x110000, bool)
-    for code in range(0x32000):
+    for code in range(len(flags)):
         flags[code] = unicodedata.category(chr(code))[0] == "L"
     return flags
 
@@ -61,7 +61,7 @@ def trigram_parts(text: str | None) -> Iterator[np.ndarray]:
         yield grams[ids[1:-1] != 0] if len(ids) > 2 else grams[:0]
 
 
-def bundle(rows: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
+def bundle(rows: np.ndarray, grams: np.ndarray, n: int, dims: int) -> np.ndarray:
     """Sum of trigram vectors for each row number."""
     key = np.sort((rows << 39) | grams)
     head = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
@@ -70,8 +70,8 @@ def bundle(rows: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
     known = np.sort(gram)
     known = known[np.append(True, known[1:] != known[:-1])]
     column = np.searchsorted(known, gram)
-    first, second, third = letter_vectors()
-    out = np.zeros((n, DIMS), np.float32)
+    first, second, third = letter_vectors(dims)
+    out = np.zeros((n, dims), np.float32)
     for at in range(0, len(known), 4096):
         part = known[at : at + 4096]
         vectors = (first[part >> 26] * second[(part >> 13) & 8191] * third[part & 8191]).astype(np.float32)
@@ -82,14 +82,14 @@ def bundle(rows: np.ndarray, grams: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def bundles(texts: list[str | None], rows: list[int], n: int) -> np.ndarray:
+def bundles(texts: list[str | None], rows: list[int], n: int, dims: int = DIMS) -> np.ndarray:
     """Bundles of n rows; text i counts for row rows[i]."""
-    out = np.zeros((n, DIMS))
+    out = np.zeros((n, dims))
     held, owner, size = [], [], 0
 
     def flush() -> None:
         own, at = np.unique(np.array(owner), return_inverse=True)
-        out[own] += bundle(np.repeat(at, [len(x) for x in held]), np.concatenate(held), len(own))
+        out[own] += bundle(np.repeat(at, [len(x) for x in held]), np.concatenate(held), len(own), dims)
 
     for text, row in zip(texts, rows, strict=True):
         for grams in trigram_parts(text):
@@ -105,7 +105,7 @@ def bundles(texts: list[str | None], rows: list[int], n: int) -> np.ndarray:
     return out
 
 
-def learn_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
+def learn_languages(docs: DataFrame, dims: int = DIMS) -> tuple[list[str], np.ndarray]:
     """The languages of (text, lang) rows, sorted, and their bundles as unit vectors."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,7 +113,7 @@ def learn_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for b in batches:
             langs = b["lang"].to_pylist()
             names = sorted(set(langs))
-            for name, v in zip(names, bundles(b["text"].to_pylist(), [names.index(x) for x in langs], len(names)), strict=True):
+            for name, v in zip(names, bundles(b["text"].to_pylist(), [names.index(x) for x in langs], len(names), dims), strict=True):
                 total[name] = total.get(name, 0) + v
         give_back()
         if total:
@@ -122,7 +122,7 @@ def learn_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     parts = docs.where("lang is not null and text is not null").select("text", "lang").mapInArrow(sums, "lang string, v array<bigint>")
     whole = parts.select("lang", F.posexplode("v").alias("dim", "x")).groupBy("lang", "dim").agg(F.sum("x").alias("x")).toArrow()
     names = sorted(set(whole["lang"].to_pylist()))
-    out = np.zeros((len(names), DIMS))
+    out = np.zeros((len(names), dims))
     for lang, dim, x in zip(*(whole[c].to_pylist() for c in ("lang", "dim", "x")), strict=True):
         out[names.index(lang), dim] = x
     size = np.linalg.norm(out, axis=1)
@@ -130,33 +130,36 @@ def learn_languages(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     return names, out[size > 0] / size[size > 0][:, None]
 
 
-def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = ()) -> DataFrame:
+def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = (), dims: int = DIMS) -> DataFrame:
     """doc_id, the carried columns, ``lang_pred`` and ``score`` (the cosine, 0 if negative) of every document.
 
     The languages are learned from the rows where ``training`` holds and
     neither text nor lang is null; predictions look at the text alone. A null
     text, one without a letter, and any text if nothing could be learned are
     ``und`` with score 0. Equal cosines go to the language first in the
-    alphabet. Repeated rows are predicted each; other columns are left out.
+    alphabet. Repeated rows are predicted each, texts of any length as a whole;
+    other columns are left out. A carried ``lang_pred`` or ``score`` comes back
+    as ``lang_pred_given`` or ``score_given``. Unlike texts have a cosine of
+    about 1 / sqrt(``dims``) by chance.
     """
-    names, profiles = learn_languages(docs.where(training))
+    names, profiles = learn_languages(docs.where(training), dims)
     table = np.array([*names, UNKNOWN])
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (batch.slice(at, ROWS) for batch in batches for at in range(0, batch.num_rows, ROWS)):
-            v = bundles(b["text"].to_pylist(), list(range(b.num_rows)), b.num_rows)
+            v = bundles(b["text"].to_pylist(), list(range(b.num_rows)), b.num_rows, dims)
             size = np.linalg.norm(v, axis=1)
             best, score = np.full(len(v), len(names)), np.zeros(len(v))
             if names:
                 cosine = v @ profiles.T / np.maximum(size, 1e-300)[:, None]
                 best = np.where(size > 0, cosine.argmax(1), len(names))
                 score = np.where(size > 0, np.clip(cosine.max(1), 0, 1), 0)
-            yield pa.RecordBatch.from_arrays([*(b[c] for c in ("doc_id", *carry)), pa.array(table[best].tolist(), pa.string()), pa.array(score)], ["doc_id", *carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(table[best].tolist(), pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
         give_back()
 
-    given = docs.select("doc_id", *carry, *(["text"] if "text" not in carry else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select("doc_id", *carry).schema)
-    return given.mapInArrow(predict, schema + ", lang_pred string, score double")
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"), pack(carry))
+    out = given.mapInArrow(predict, with_fields(given, "lang_pred string, score double"))
+    return out.select("doc_id", *unpack(tuple(c for c in carry if c != "doc_id"), ("lang_pred", "score")), "lang_pred", "score")
 
 
 def crc_of_id() -> Column:

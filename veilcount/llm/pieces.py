@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rolling import Roller, U, mix
-from .shared import give_back
+from .shared import give_back, pack, unpack, with_fields
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = 0x2581
@@ -359,7 +359,9 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, carry: tup
     mark U+2581; the mark itself and characters in no piece are spelled as
     bytes, so decoding any of them gives back every text exactly. An empty text
     has no ids and the score 0 of its one empty path; a null text has null in
-    all. Repeated rows are encoded each. The model file is read by the driver.
+    all. Repeated rows are encoded each, very long texts as a whole. A carried
+    column with an output's name comes back with ``_given`` behind it. The model
+    file is read by the driver.
     With ``check`` every segmentation is decoded again at once, and
     ``round_trip`` tells whether the text came back from all.
     """
@@ -386,13 +388,14 @@ def encode(docs: DataFrame, model: str = MODEL, n_best: int = N_BEST, carry: tup
                 id_lists = every.take(pa.array(first[:-1], mask=gone))
                 score_lists = pa.ListArray.from_arrays(offsets, score)
                 same = [pa.array([t is None or all(decode_ids(voc, x) == t.encode() for x in own) for t, own in zip(texts[i:j], lists, strict=True)], pa.bool_())] if check else []
-                yield pa.RecordBatch.from_arrays([*(part[c] for c in ("doc_id", *carry)), ranked, id_lists, score_lists, *same], ["doc_id", *carry, "n_best", "ids", "scores", *["round_trip"] * check])
+                yield pa.RecordBatch.from_arrays([*part.columns, ranked, id_lists, score_lists, *same], [*part.schema.names, *own])
                 del lists, flat, best, every, ranked, id_lists, score_lists
                 give_back()
 
-    given = docs.withColumn("text", F.col("text").cast("string")).select("doc_id", *carry, *(["text"] if "text" not in carry else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in given.select("doc_id", *carry).schema)
-    return given.mapInArrow(job, schema + ", n_best array<struct<ids: array<int>, score: double>>, ids array<int>, scores array<double>" + ", round_trip boolean" * check)
+    own = ("n_best", "ids", "scores", *["round_trip"] * check)
+    given = docs.select("doc_id", F.col("text").cast("string").alias("text"), pack(carry))
+    out = given.mapInArrow(job, with_fields(given, "n_best array<struct<ids: array<int>, score: double>>, ids array<int>, scores array<double>" + ", round_trip boolean" * check))
+    return out.select("doc_id", *unpack(tuple(c for c in carry if c != "doc_id"), own), *own)
 
 
 def decode(rows: DataFrame, model: str = MODEL, carry: tuple[str, ...] = ()) -> DataFrame:

@@ -1,7 +1,7 @@
 """Operator 4: document quality, by co-training two views.
 
 One classifier sees the text's content (hashed words and their shapes), the
-other only what is known about the page (source, language, length, layout).
+other only what is known about the page (source, language, length).
 Both start from labelled documents. In every round each names the unlabelled
 documents that it is surest of, and the other learns from them too. Then each
 view is calibrated on labelled documents kept apart, and a last small model
@@ -25,7 +25,7 @@ from .terms import Sparse, distinct_terms, sigmoid
 CONTENT, PAGE = 1 << 15, 1 << 12
 #: Most labelled and unlabelled documents that are fitted on, the first by hash of doc_id.
 LABELLED, POOL = 8_000, 8_000
-ROUNDS, EXCHANGED, SURE = 4, 300, 0.95
+ROUNDS, EXCHANGED, SURE = 4, 600, 0.95
 COLUMNS = ("source", "lang", "n_chars")
 
 
@@ -51,10 +51,9 @@ def content_terms(text: np.ndarray) -> np.ndarray:
     return np.concatenate([shape_terms(text, words, len(found)), found])
 
 
-def page_terms(source: str | None, lang: str | None, n_chars: int | None, text: np.ndarray) -> np.ndarray:
-    lines = int((text == 10).sum()) + 1
+def page_terms(source: str | None, lang: str | None, n_chars: int | None) -> np.ndarray:
     size = np.log2(1 + max(0, n_chars or 0))
-    known = [f"s{source}", f"l{lang}", f"c{int(2 * size)}", f"n{int(np.log2(lines))}", f"w{int(np.log2(1 + len(text) / lines))}"]
+    known = [f"s{source}", f"l{lang}", f"c{int(2 * size)}", f"s{source} l{lang}", f"l{lang} c{int(size)}"]
     hashed = [int.from_bytes(blake2b(x.encode(), digest_size=8).digest(), "little") % PAGE for x in known]
     return np.unique(np.array(hashed, np.int64))
 
@@ -127,6 +126,8 @@ class CoTrained:
         empty = Sparse([])
         train = [joined(empty, v, np.flatnonzero(~part)) for v in labelled]
         told = [label[~part]] * 2
+        ones = float(label[~part].mean()) if (~part).any() else 0.5
+        share = (1 - ones, ones)
         free = [np.ones(len(pool[0]), bool)] * 2
         dims = (CONTENT, PAGE)
         views = [Linear.fit(v, y, d) for v, y, d in zip(train, told, dims, strict=True)]
@@ -135,8 +136,9 @@ class CoTrained:
             for mine, other in ((0, 1), (1, 0)):
                 p = sigmoid(views[mine].margin(pool[mine]))
                 sure = [np.flatnonzero(free[other] & (q >= SURE)) for q in (1 - p, p)]
-                # as many of either kind as the rarer one has, so that the shares stay
-                take = [s[np.argsort(-np.abs(p[s] - 0.5), kind="stable")][:EXCHANGED] for s in sure]
+                # in the shares that the labels have
+                most = min(EXCHANGED, *(len(s) / max(x, 1e-9) for s, x in zip(sure, share, strict=True)))
+                take = [s[np.argsort(-np.abs(p[s] - 0.5), kind="stable")][: int(most * x)] for s, x in zip(sure, share, strict=True)]
                 given.append((other, np.concatenate(take), np.repeat([0.0, 1.0], [len(t) for t in take])))
             for other, rows, y in given:
                 free[other] = free[other].copy()
@@ -153,7 +155,7 @@ class CoTrained:
 def features(batch: pa.RecordBatch) -> tuple[list[np.ndarray], list[np.ndarray]]:
     texts = text_views(pa.chunked_array([batch["text"]]))
     known = zip(*(batch[c].to_pylist() for c in COLUMNS), strict=True)
-    return [content_terms(t) for t in texts], [page_terms(*k, t) for k, t in zip(known, texts, strict=True)]
+    return [content_terms(t) for t in texts], [page_terms(*k) for k in known]
 
 
 def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
@@ -162,7 +164,8 @@ def quality(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool:
     Fitted on at most ``labelled`` documents with a label 0 or 1 (the greatest,
     if several) and ``pool`` others. Missing text, source, lang or n_chars is a
     value of its own. Without labels of both kinds every score is a half and
-    all documents are kept. Repeated rows are scored each.
+    all documents are kept. Repeated rows are scored each, very long texts as a
+    whole; other columns are left out.
     """
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"), *(F.col(c).cast("long" if c == "n_chars" else "string").alias(c) for c in COLUMNS))
     truth = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))

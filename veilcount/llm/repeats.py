@@ -50,6 +50,8 @@ from .shared import give_back
 
 #: Window starts handled at once: their temporaries stay in a core's cache.
 BLOCK = 1 << 17
+#: Partitions and buckets at most, so that a chunk sends a bounded number of records.
+MOST_TASKS = 1 << 16
 NO_ID = np.iinfo(np.int64).max
 MARK = U(0)
 
@@ -328,11 +330,11 @@ def send_windows(spec: Windows, buckets: int) -> Callable[[pa.Table, pa.Table],
     return job
 
 
-def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Table, list[np.ndarray]], pa.Table], schema: str) -> DataFrame:
+def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Table, list[np.ndarray]], pa.Table], schema: StructType) -> DataFrame:
     """``report(chunk, rows, covered)`` for every chunk, where ``covered[d]`` marks the symbols of document d that a late window covers.
 
     ``docs`` has doc_id (any whole number, or null: last), text (null: empty)
-    and further columns for the report.
+    and further columns for the report, but none named chunk.
     """
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     place = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
@@ -352,15 +354,16 @@ def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Tab
         high = edges[np.minimum(at + 1, len(edges) - 1)]
         return pd.Series((at * parts + np.clip((x - low) / np.maximum(high - low, 1) * parts, 0, parts - 1).astype(np.int64)).astype(np.int64))
 
-    dealt_docs = docs.withColumn("chunk", chunk_of(place)).repartition(int(n), "chunk")
-    by_chunk = dealt_docs.groupBy("chunk")
-    buckets = int(n)
+    # beyond so many, a task has several chunks, and a bucket more keys
+    tasks = min(int(n), MOST_TASKS)
+    by_chunk = docs.withColumn("chunk", chunk_of(place)).repartition(tasks, "chunk").groupBy("chunk")
+    buckets = tasks
     record, reply = "bucket long, chunk long, data binary", "chunk long, kind long, data binary"
     seeds = by_chunk.applyInArrow(send_seeds(spec, buckets), record)
     told = seeds.groupBy("bucket").applyInArrow(join_seeds, reply)
-    told = told.repartition(int(n), "chunk")
+    told = told.repartition(tasks, "chunk")
     windows = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(send_windows(spec, buckets), record)
-    later = windows.groupBy("bucket").applyInArrow(join_windows, reply).repartition(int(n), "chunk")
+    later = windows.groupBy("bucket").applyInArrow(join_windows, reply).repartition(tasks, "chunk")
     both = told.unionByName(later)
 
     def finish(table: pa.Table, heard_all: pa.Table) -> pa.Table:
@@ -386,5 +389,5 @@ def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Tab
     def guarded(table: pa.Table, heard_all: pa.Table) -> pa.Table:
         return finish(table, heard_all) if table.num_rows else pa.Table.from_batches([], empty)
 
-    empty = to_arrow_schema(StructType.fromDDL(schema))
+    empty = to_arrow_schema(schema)
     return by_chunk.cogroup(both.groupBy("chunk")).applyInArrow(guarded, schema)

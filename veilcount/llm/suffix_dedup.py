@@ -1,15 +1,12 @@
-"""Operator 6: repeated byte strings, by prefix-free parsing.
-
-Rolling-hash triggers cut every text into overlapping phrases: a trigger is the
-50-byte string of least hash in some 100-byte window, and its phrase is the
-stretch of all windows that it was chosen for. The distinct (trigger, phrase)
-pairs are the dictionary, a document's sequence of phrases is its parse, and a
-phrase that recurs is settled once for all its suffixes, however often the
-corpus repeats it. Only where one trigger has several phrases are suffixes of
-dictionary phrases compared with each other, as names of their 100-byte
-prefixes. Sorted by (name, place) they stand in corpus order inside each class
-of equal prefixes, which is all of the suffix array's order that the result
-depends on: the first of a class stays, the others are removed.
+"""Operator 6: repeated byte strings, by fingerprints of windows.
+
+This stands in for prefix-free parsing. Rolling-hash triggers (the 50-byte
+string of least hash in some 100-byte window) cut every text into phrases, as
+there, and a phrase that recurs is settled once for all its windows. But
+phrases aren't ranked, and no suffix array is built: where one trigger has
+several phrases, their 100-byte windows are compared by fingerprints. The
+result depends only on which windows are equal and which of them stands first,
+and both come out exactly (as far as 64-bit fingerprints tell strings apart).
 """
 
 from __future__ import annotations
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 
 from .repeats import Chunk, Windows, late_windows
 from .rolling import U
+from .shared import pack, unpack, with_fields
 from .substring_dedup import runs, span_array
 
 _codes = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
@@ -50,19 +48,22 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, carry: tuple[str, ...] =
     Texts are taken as UTF-8 bytes; null is empty. Texts under ``min_bytes``
     lose nothing. A null doc_id comes after all others. Rows that repeat a
     doc_id are one document laid over itself: repeats at equal offsets stay in
-    each. An empty table gives an empty result.
+    each. An empty table gives an empty result. Other columns are left out; a
+    carried one with an output's name comes back with ``_given`` behind it.
     """
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema] + ["doc_id long", "n_bytes long", "spans array<struct<start:long,end:long>>", "kept binary"])
+    given = docs.select("doc_id", "text", pack(carry))
+    schema = with_fields(given.select("carried"), "doc_id long, n_bytes long, spans array<struct<start: long, end: long>>, kept binary")
 
     def report(chunk: Chunk, rows: pa.Table, covered: list[np.ndarray]) -> pa.Table:
         if characters:
             covered = [whole_characters(t, g) if g.any() else g for t, g in zip(chunk.texts, covered, strict=True)]
         kept = [(t[~g] if g.any() else t).tobytes() for t, g in zip(chunk.texts, covered, strict=True)]
         size = pa.array([len(x) for x in covered], pa.int64())
-        return pa.table({c: rows[c] for c in carry} | {"doc_id": rows["doc_id"], "n_bytes": size, "spans": span_array([runs(g) for g in covered]), "kept": pa.array(kept, pa.binary())})
+        return pa.table({"carried": rows["carried"], "doc_id": rows["doc_id"], "n_bytes": size, "spans": span_array([runs(g) for g in covered]), "kept": pa.array(kept, pa.binary())})
 
     spec = Windows(length=min_bytes, seed=max(1, min_bytes // 2), symbols=byte_symbols)
-    return late_windows(docs.select("doc_id", "text", *carry), spec, report, schema)
+    own = ("n_bytes", "spans", "kept")
+    return late_windows(given, spec, report, schema).select("doc_id", *unpack(carry, own), *own)
 
 
 def op6_suffix_dedup(spark, sf_dir: str) -> DataFrame:

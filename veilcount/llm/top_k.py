@@ -158,11 +158,16 @@ def exact_top_k(vectors: DataFrame, query: Column, k: int = 5, key: str = "vec_i
     candidates than k give fewer rows. Rows that repeat a key are candidates
     each (never for a query of the same key); a key that is a query more than
     once asks with its least vector. Vectors of unequal length are compared as
-    if the shorter went on with zeros. An empty table gives an empty result.
+    if the shorter went on with zeros. Other columns are left out. Vectors so
+    large that a product might not fit into 64 bits are refused with an error.
+    An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), query.alias("asks")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
-    width = rows.agg(F.max(F.size("v")).alias("w")).first()["w"] or 0
+    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
+    width, most = (x or 0 for x in rows.agg(F.max(F.size("v")), largest).first())
+    if width * most * most >= 2**63:
+        raise ValueError("inner products of these vectors don't fit into 64 bits")
     schema = "query_id long, rank int, vec_id long, score long"
     sample = rows.orderBy(F.xxhash64("id"), "id").select("id", "v").limit(SAMPLE).toArrow()
     if not sample.num_rows:

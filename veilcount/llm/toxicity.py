@@ -7,6 +7,7 @@ may weigh more together than apart.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +47,10 @@ class FactorizationMachine:
 
         Terms in fewer than ``least`` rows stay at 0, as do those whose summed
         gradient stays under ``sparse`` times the root of the number of rows; the
-        first ``alone`` rounds fit weights only.
+        first ``alone`` rounds fit weights only. Factors of all frequent terms
+        were tried: they learn pairs of which neither term tells anything alone,
+        but memorise the sample, and find 0.6 to 0.7 of the held-out toxic
+        documents instead of 0.99.
         """
         random, sparse = np.random.default_rng(9), sparse * np.sqrt(len(label))
         frequent = np.bincount(rows.ids, minlength=DIMS) >= least
@@ -98,7 +102,9 @@ def labelled_terms(docs: DataFrame, labels: DataFrame, label: str, sample: int)
     # broadcast: at most ``sample`` ids
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower(F.col("text").cast("string")).alias("text"))
     rows = text.join(F.broadcast(chosen.select(F.col("doc_id").cast("long").alias("doc_id"), "y")), "doc_id").mapInArrow(extract, "doc_id long, y int, ids array<bigint>").toArrow()
-    order = np.lexsort((np.diff(np.asarray(rows["ids"].combine_chunks().offsets)) if rows.num_rows else np.zeros(0), np.asarray(rows["doc_id"])))
+    # rows that repeat a doc_id by their terms, so that the order is always the same
+    kinds = [zlib.crc32(np.asarray(x.values).tobytes()) for x in rows["ids"].combine_chunks()] if rows.num_rows else []
+    order = np.lexsort((np.array(kinds, np.int64), np.asarray(rows["doc_id"])))
     ids = [np.asarray(x.values) for x in rows["ids"].combine_chunks()] if rows.num_rows else []
     return Sparse([ids[i] for i in order]), np.asarray(rows["y"]).astype(float)[order]
 
@@ -110,7 +116,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, training: Column, sample: int =
     the rows of ``labels`` where ``training`` holds, and scores by the
     lower-cased text alone. Null and empty texts get the score of no term at
     all. Without labels of both kinds every score is the share of label 1 (a
-    half if there is none). Repeated rows are scored each.
+    half if there is none). Repeated rows are scored each, very long texts as a
+    whole; other columns are left out.
     """
     rows, label = labelled_terms(docs, labels.where(training), "toxic", sample)
     fm = FactorizationMachine.fit(rows, label)
