@@ -15,11 +15,11 @@ from veilcount.llm.decontaminate import contamination
 from veilcount.llm.language_id import UNKNOWN, identify
 from veilcount.llm.near_dedup import near_duplicates
 from veilcount.llm.pieces import encode
-from veilcount.llm.shared import saved
+from veilcount.llm.shared import pack, saved, unpack
 from veilcount.llm.suffix_dedup import suffix_dedup
 
-#: Cosine under which a text is like no known language.
-LEAST_COSINE = 0.05
+#: Cosine under which a text is like no known language: three times the spread of unlike texts, 1 / sqrt(DIMS).
+DIMS, LEAST_COSINE = 2048, 0.07
 #: No stage of these five can be written as SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -30,37 +30,37 @@ def others(docs: DataFrame, *without: str) -> tuple[str, ...]:
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects texts without a letter and those whose letters are like none of the languages in ``lang``."""
-    out = identify(docs, F.lit(True), carry=others(docs, "doc_id"))
-    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(docs.columns)
+    out = identify(docs.select("doc_id", "text", "lang", pack(docs.columns)), F.lit(True), carry=("text", "carried"), dims=DIMS)
+    return out.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*unpack(docs.columns))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates the document of least doc_id stays; rows without doc_id stay too."""
-    classes = near_duplicates(docs)
-    stay = saved(classes.where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct())
-    named = docs.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
-    copy = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    one = named.withColumn("_copy", copy).where("_copy = 1").drop("_copy")
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    stay = saved(near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct())
+    packed = docs.select("doc_id", "text", pack(docs.columns))
+    named = packed.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
+    one = named.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("copy = 1").drop("copy")
+    return one.unionByName(packed.where("doc_id is null")).select(*unpack(docs.columns))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that stand earlier in the corpus, in whole characters; null stays null."""
-    flagged = docs.withColumn("_null", F.col("text").isNull())
-    out = suffix_dedup(flagged, carry=others(flagged, "doc_id", "text"), characters=True)
-    text = F.when(~F.col("_null"), F.decode("kept", "UTF-8"))
-    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    packed = docs.select("doc_id", "text", pack(docs.columns), F.col("text").isNull().alias("gone"))
+    out = suffix_dedup(packed, carry=("carried", "gone"), characters=True)
+    out = out.select("doc_id", F.when(~F.col("gone"), F.decode("kept", "UTF-8")).alias("text"), "carried").select(*unpack(docs.columns))
+    return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     found = contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     leaks = found.select(F.col("doc_id").alias("leak")).distinct()
-    return docs.join(leaks, F.col("doc_id") == F.col("leak"), "left_anti").select(docs.columns)
+    packed = docs.select("doc_id", "text", pack(docs.columns))
+    return packed.join(leaks, F.col("doc_id") == F.col("leak"), "left_anti").select(*unpack(docs.columns))
 
 
 def encode_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids and scores of each document's N best segmentations."""
+    """Ids and scores of each document's N best segmentations; a column of ``docs`` with an output's name gets ``_given`` behind it."""
     return encode(docs, carry=others(docs, "doc_id", "text"))
 
 
