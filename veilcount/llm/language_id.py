@@ -115,6 +115,7 @@ def learn_languages(docs: DataFrame, dims: int = DIMS) -> tuple[list[str], np.nd
             names = sorted(set(langs))
             for name, v in zip(names, bundles(b["text"].to_pylist(), [names.index(x) for x in langs], len(names), dims), strict=True):
                 total[name] = total.get(name, 0) + v
+        letter_vectors.cache_clear()
         give_back()
         if total:
             yield pa.record_batch({"lang": pa.array(list(total)), "v": pa.array([v.astype(np.int64) for v in total.values()], pa.list_(pa.int64()))})
@@ -155,6 +156,7 @@ def identify(docs: DataFrame, training: Column, carry: tuple[str, ...] = (), dim
                 best = np.where(size > 0, cosine.argmax(1), len(names))
                 score = np.where(size > 0, np.clip(cosine.max(1), 0, 1), 0)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(table[best].tolist(), pa.string()), pa.array(score)], [*b.schema.names, "lang_pred", "score"])
+        letter_vectors.cache_clear()
         give_back()
 
     given = docs.select("doc_id", F.col("text").cast("string").alias("text"), pack(carry))

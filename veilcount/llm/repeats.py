@@ -38,7 +38,6 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -63,7 +62,7 @@ class Windows:
     length: int
     seed: int
     symbols: Callable[[np.ndarray], np.ndarray]
-    chunk_bytes: int = 4 << 20
+    chunk_bytes: int = 2 << 20
 
 
 @dataclass
@@ -346,17 +345,16 @@ def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Tab
     edges = np.array(sorted(set(cuts)), np.float64)
     n = max(1, len(edges) - 1) * parts
 
-    @F.pandas_udf("long")
-    def chunk_of(ids):
-        x = ids.to_numpy().astype(np.float64)
-        at = np.clip(np.searchsorted(edges, x, side="right") - 1, 0, max(0, len(edges) - 2))
-        low = edges[at]
-        high = edges[np.minimum(at + 1, len(edges) - 1)]
-        return pd.Series((at * parts + np.clip((x - low) / np.maximum(high - low, 1) * parts, 0, parts - 1).astype(np.int64)).astype(np.int64))
+    # no Python here, so that the stage that deals the documents has no worker beside the chunks' own
+    x, last = place.cast("double"), max(0, len(edges) - 2)
+    at = F.least(F.greatest(F.size(F.filter(F.lit(edges), lambda e: e <= x)) - 1, F.lit(0)), F.lit(last))
+    low, high = F.get(F.lit(edges), at), F.get(F.lit(edges), F.least(at + 1, F.lit(len(edges) - 1)))
+    within = F.least(F.greatest((x - low) / F.greatest(high - low, F.lit(1.0)) * parts, F.lit(0.0)), F.lit(parts - 1.0))
+    chunk_of = at.cast("long") * parts + F.floor(within)
 
     # beyond so many, a task has several chunks, and a bucket more keys
     tasks = min(int(n), MOST_TASKS)
-    by_chunk = docs.withColumn("chunk", chunk_of(place)).repartition(tasks, "chunk").groupBy("chunk")
+    by_chunk = docs.withColumn("chunk", chunk_of).repartition(tasks, "chunk").groupBy("chunk")
     buckets = tasks
     record, reply = "bucket long, chunk long, data binary", "chunk long, kind long, data binary"
     seeds = by_chunk.applyInArrow(send_seeds(spec, buckets), record)
