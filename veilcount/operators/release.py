@@ -14,6 +14,8 @@ from veilcount.functions.noise import clamp, generalised, gumbel, laplace, secre
 from .cohorts import COHORT, cohort_string, explanation, k_anonymity
 
 KEYS = [*COHORT, "metric"]
+#: Ranges of values that a cohort's ranks are counted by, so that the broadest cohort isn't one task's.
+SLOTS = 4096
 
 
 def budget_decisions(requests: DataFrame, spent: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
@@ -71,17 +73,24 @@ def dp_quantiles(rows: DataFrame, keys: list[str], noise: DataFrame, epsilon: fl
     exp(-epsilon * abs(rank - target) / 2); the gap of greatest log weight plus
     Gumbel noise is a draw with these weights, so one maximum replaces a
     running sum. The result is uniform within the gap. Gaps without width have
-    no weight.
+    no weight, so equal values are counted before they are ranked. Ranks are
+    those within a range of values, after the counts of all lower ranges.
+    A missing value counts as ``lo``, as in ``noisy_means``.
     """
     if epsilon <= 0 or hi <= lo:
         raise ValueError("epsilon must be positive and hi above lo")
     low, high = F.lit(float(lo)), F.lit(float(hi))
-    z = rows.select(*keys, "workspace_id", clamp(F.col("value"), low, high).alias("z"))
-    order = Window.partitionBy(*keys).orderBy("z", "workspace_id")
-    placed = z.select(*keys, "z", F.row_number().over(order).alias("i"), F.lead("z").over(order).alias("next"), F.count("*").over(Window.partitionBy(*keys)).alias("n"))
+    slot = F.least(F.floor((F.col("z") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1)).alias("slot")
+    z = rows.groupBy(*keys, clamp(F.col("value"), low, high).alias("z")).agg(F.count("*").alias("c")).select(*keys, slot, "z", "c")
+    cohort, within = Window.partitionBy(*keys), Window.partitionBy(*keys, "slot").orderBy("z")
+    counts = z.groupBy(*keys, "slot").agg(F.sum("c").alias("c"), F.min("z").alias("least"))
+    up = F.coalesce(F.sum("c").over(cohort.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = counts.select(*keys, "slot", up.alias("lower"), F.lead("least").over(cohort.orderBy("slot")).alias("above"), F.sum("c").over(cohort).alias("n"))
+    rank = F.col("lower") + F.sum("c").over(within.rowsBetween(Window.unboundedPreceding, 0))
+    placed = z.join(counts, [*keys, "slot"]).select(*keys, "z", "c", rank.alias("i"), F.coalesce(F.lead("z").over(within), "above").alias("next"), "n")
     own = F.struct(F.col("i").alias("i"), F.col("z").alias("a"), F.coalesce("next", high).alias("b"))
-    ahead = F.struct(F.lit(0).alias("i"), low.alias("a"), F.col("z").alias("b"))
-    gaps = placed.select(*keys, "n", F.explode(F.when(F.col("i") == 1, F.array(ahead, own)).otherwise(F.array(own))).alias("g")).select(*keys, "n", "g.*").where("b > a")
+    ahead = F.struct(F.lit(0).cast("long").alias("i"), low.alias("a"), F.col("z").alias("b"))
+    gaps = placed.select(*keys, "n", F.explode(F.when(F.col("i") == F.col("c"), F.array(ahead, own)).otherwise(F.array(own))).alias("g")).select(*keys, "n", "g.*").where("b > a")
     each = gaps.withColumn("q", F.explode(F.array(*(F.lit(float(q)) for q in targets)))).join(noise, F.lit(True))
     draw = F.log(F.col("b") - F.col("a")) - F.lit(epsilon) * F.abs(F.col("i") - F.col("q") * F.col("n")) / 2 + gumbel(uniform(*map(F.col, keys), F.lit("gap"), F.col("q").cast("string"), F.col("i").cast("string")))
     chosen = each.groupBy(*keys, "q").agg(F.max_by(F.struct("a", "b"), draw).alias("g"))
