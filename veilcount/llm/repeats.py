@@ -358,10 +358,12 @@ def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Tab
     buckets = tasks
     record, reply = "bucket long, chunk long, data binary", "chunk long, kind long, data binary"
     seeds = by_chunk.applyInArrow(send_seeds(spec, buckets), record)
-    told = seeds.groupBy("bucket").applyInArrow(join_seeds, reply)
+    # as many tasks as buckets, whatever the session's number of shuffle partitions
+    by_bucket = lambda records: records.repartition(tasks, "bucket").groupBy("bucket")
+    told = by_bucket(seeds).applyInArrow(join_seeds, reply)
     told = told.repartition(tasks, "chunk")
     windows = by_chunk.cogroup(told.groupBy("chunk")).applyInArrow(send_windows(spec, buckets), record)
-    later = windows.groupBy("bucket").applyInArrow(join_windows, reply).repartition(tasks, "chunk")
+    later = by_bucket(windows).applyInArrow(join_windows, reply).repartition(tasks, "chunk")
     both = told.unionByName(later)
 
     def finish(table: pa.Table, heard_all: pa.Table) -> pa.Table:
