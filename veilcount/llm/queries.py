@@ -12,6 +12,7 @@ from .suffix_dedup import op6_suffix_dedup
 from .top_k import OP2_SQL, op2_top_k
 from .toxicity import op9_toxicity
 from .url_filter import OP1_SQL, op1_url_filter
+from .vector_codes import OP11_SQL, op11_vector_codes
 
 QUERIES = {
     "op1_url_filter": op1_url_filter,
@@ -24,10 +25,12 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
+    "op11_vector_codes": op11_vector_codes,
 }
 
 ORACLES: dict[str, str] = {
     "op1_url_filter": OP1_SQL,
     "op2_top_k": OP2_SQL,
     "op8_decontaminate": OP8_SQL,
+    "op11_vector_codes": OP11_SQL,
 }
