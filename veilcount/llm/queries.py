@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .decontaminate import OP8_SQL, op8_decontaminate
+from .divergence import OP12_SQL, op12_source_divergence
 from .language_id import op5_language_id
 from .near_dedup import op7_near_dedup
 from .pieces import op10_sentencepiece
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_sentencepiece": op10_sentencepiece,
     "op11_vector_codes": op11_vector_codes,
+    "op12_source_divergence": op12_source_divergence,
 }
 
 ORACLES: dict[str, str] = {
@@ -33,4 +35,5 @@ ORACLES: dict[str, str] = {
     "op2_top_k": OP2_SQL,
     "op8_decontaminate": OP8_SQL,
     "op11_vector_codes": OP11_SQL,
+    "op12_source_divergence": OP12_SQL,
 }
