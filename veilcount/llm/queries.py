@@ -5,6 +5,7 @@ from __future__ import annotations
 from .decontaminate import OP8_SQL, op8_decontaminate
 from .divergence import OP12_SQL, op12_source_divergence
 from .language_id import op5_language_id
+from .license_scan import op13_license_scan
 from .near_dedup import op7_near_dedup
 from .pieces import op10_sentencepiece
 from .quality import op4_quality
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_sentencepiece": op10_sentencepiece,
     "op11_vector_codes": op11_vector_codes,
     "op12_source_divergence": op12_source_divergence,
+    "op13_license_scan": op13_license_scan,
 }
 
 ORACLES: dict[str, str] = {
