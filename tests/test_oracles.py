@@ -43,7 +43,16 @@ def test_query_matches_sql(spark, duck, name):
     got = duck.execute(ORACLES[name])
     columns = [c[0] for c in got.description]
     assert sorted(df.columns) == sorted(columns)
-    assert rows(df.collect(), df.columns) == rows(got.fetchall(), columns)
+    found = df.collect()
+    assert found, "a query that compares nothing"
+    assert rows(found, df.columns) == rows(got.fetchall(), columns)
+
+
+def test_requests_are_answered_or_told_why(spark):
+    told = [r for r in QUERIES["benchmark_request"](spark, SF).collect()]
+    assert {r["direction"] for r in told if r["available"]} >= {"ahead", "behind"}
+    assert {r["reason"] for r in told if not r["available"]} >= {"workspace_not_profiled", "too_few_contributors"}
+    assert {r["direction"] for r in QUERIES["benchmark_compare"](spark, SF).collect()} >= {"ahead", "behind"}
 
 
 def test_every_query_has_an_oracle():

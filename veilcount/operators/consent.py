@@ -127,10 +127,14 @@ def resolve(asked: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def permitted(subjects: DataFrame, records: DataFrame) -> DataFrame:
-    """``subjects`` (workspace_id, subject_key, jurisdiction) with the purposes whose state is granted, in fixed order."""
+    """``subjects`` (workspace_id, subject_key, jurisdiction) with the purposes whose state is granted, in fixed order.
+
+    Without workspace or subject nothing is permitted, whatever the jurisdiction.
+    """
     state = decisions(records).groupBy("workspace_id", "subject_key").pivot("purpose", list(PURPOSES)).agg(F.first("state"))
     found = subjects.join(state, ["workspace_id", "subject_key"], "left")
-    each = [F.when(F.coalesce(F.col(p), posture(F.lit(p), F.col("jurisdiction"))) == "granted", F.lit(p)) for p in PURPOSES]
+    known = F.col("workspace_id").isNotNull() & F.col("subject_key").isNotNull()
+    each = [F.when(known & (F.coalesce(F.col(p), posture(F.lit(p), F.col("jurisdiction"))) == "granted"), F.lit(p)) for p in PURPOSES]
     return found.select(*subjects.columns, F.array_compact(F.array(*each)).alias("purposes"))
 
 

@@ -23,6 +23,12 @@ def latest_profiles(profiles: DataFrame, version: str = "version") -> DataFrame:
     return best.select("workspace_id", *(F.col(f"p.{c}").alias(c) for c in rest))
 
 
+def enrolled(profiles: DataFrame, version: str = "version") -> DataFrame:
+    """Workspaces whose latest profile says that they take part in the co-op; who says nothing doesn't."""
+    last = latest_profiles(profiles, version)
+    return last.where(F.coalesce("coop_enrolled", F.lit(False))).drop("coop_enrolled")
+
+
 def latest_values(observations: DataFrame) -> DataFrame:
     """Each workspace's value of each metric in its latest period."""
     return observations.groupBy("workspace_id", "metric").agg(F.max("period").alias("period"), F.max_by("value", "period").alias("value"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from veilcount.constants import BUDGET, BUDGET_TEXT, EPSILON_PER_QUERY, NO_CONSENT_TEXT, QUANTILES
 from veilcount.functions.noise import clamp, generalised, gumbel, laplace, secret_table, uniform
+from veilcount.sources.tables import saved
 
 from .cohorts import COHORT, cohort_string, explanation, k_anonymity
 
@@ -108,17 +109,20 @@ def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, hea
     the thresholds. Every request ends up in exactly one of the first two
     results. ``spends`` (budget_key, epsilon, nonce) has what this run spent;
     with all earlier ones as ``spent``, the next run goes on from there.
+    Observations of cohorts that nobody asks for are left out at once; what is
+    decided is written to a table, since all three results come from it.
     """
     spark = observations.sparkSession
     noise = secret_table(spark, secret, nonce)
-    pool = observations.join(consented.select("workspace_id").distinct(), "workspace_id", "left_semi")
+    wanted = observations.join(requests.select(*KEYS).distinct(), KEYS, "left_semi")
+    pool = wanted.join(consented.select("workspace_id").distinct(), "workspace_id", "left_semi")
     verdicts = k_anonymity(pool, KEYS, **limits)
     judged = requests.join(verdicts, KEYS, "left").withColumn("reason", F.when(F.col("ok").isNull(), "no_consented_observations").otherwise(F.col("reason")))
     fit = judged.where("ok").select(F.concat_ws("::", cohort_string(), "metric").alias("budget_key"), "request", F.lit(epsilon).alias("epsilon"))
     judgement = budget_decisions(fit, spent, budget)
-    spends = judgement.where("granted").select("budget_key", "epsilon", F.lit(nonce).alias("nonce"))
-    decided = judged.withColumn("budget_key", F.concat_ws("::", cohort_string(), "metric")).join(judgement.drop("epsilon"), ["budget_key", "request"], "left").drop("budget_key")
-    decided = decided.withColumn("reason", F.when(F.col("ok") & ~F.col("granted"), "privacy_budget_exhausted").otherwise(F.col("reason")))
+    decided = judged.withColumn("budget_key", F.concat_ws("::", cohort_string(), "metric")).join(judgement.drop("epsilon"), ["budget_key", "request"], "left")
+    decided = saved(decided.withColumn("reason", F.when(F.col("ok") & ~F.col("granted"), "privacy_budget_exhausted").otherwise(F.col("reason"))))
+    spends = decided.where("granted").select("budget_key", F.lit(epsilon).alias("epsilon"), F.lit(nonce).alias("nonce"))
     text = F.when(F.col("reason") == "no_consented_observations", NO_CONSENT_TEXT).when(F.col("reason") == "privacy_budget_exhausted", BUDGET_TEXT).otherwise(explanation())
     suppressed = decided.where("reason is not null").select(*KEYS, "request", "reason", text.alias("explanation"))
 

@@ -10,8 +10,18 @@ from veilcount.functions.text_rules import categories
 
 
 def attach_workspace(events: DataFrame, keys: DataFrame) -> DataFrame:
-    """The workspace comes from the API key, never from the payload; events of unknown keys have none and are ``unauthorized``."""
-    return events.drop("workspace_id").join(keys.select("api_key", "workspace_id"), "api_key", "left")
+    """The workspace comes from the API key, never from the payload; events of unknown keys have none and are ``unauthorized``.
+
+    A key that is registered twice is the workspace's that was registered last
+    (``version``), without versions the first in the alphabet.
+    """
+    last = F.max_by("workspace_id", "version") if "version" in keys.columns else F.min("workspace_id")
+    return events.drop("workspace_id").join(keys.where("api_key <> ''").groupBy("api_key").agg(last.alias("workspace_id")), "api_key", "left")
+
+
+def refused_without_workspace(validated: DataFrame) -> DataFrame:
+    """``unauthorized`` before any other reason, where the key told no workspace."""
+    return validated.withColumn("reject_reason", F.when(F.col("workspace_id").isNull(), "unauthorized").otherwise(F.col("reject_reason")))
 
 
 def parsed_time(text: Column) -> Column:
@@ -109,5 +119,11 @@ def screened_events(events: DataFrame) -> DataFrame:
 
 def screened_workspaces(workspaces: DataFrame, fields: tuple[str, ...] = ("app_name", "description", "vertical", "hostname")) -> DataFrame:
     """(workspace_id, field, category) for every match; any match bars the workspace from the co-op."""
-    long = workspaces.unpivot("workspace_id", list(fields), "field", "value")
+    long = workspaces.select("workspace_id", *(F.col(c).cast("string").alias(c) for c in fields)).unpivot("workspace_id", list(fields), "field", "value")
     return long.select("workspace_id", "field", F.explode(categories(F.col("value"))).alias("category"))
+
+
+def coop_members(enrolled: DataFrame) -> DataFrame:
+    """(workspace_id) of those who take part and whose own description reveals no special category."""
+    barred = screened_workspaces(enrolled).select("workspace_id").distinct()
+    return enrolled.select("workspace_id").distinct().join(barred, "workspace_id", "left_anti")

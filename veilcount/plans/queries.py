@@ -13,6 +13,8 @@ from veilcount.sources import tables
 from veilcount.streaming import ingest as stream
 
 LIMITS = {"contributors": 10, "subjects": 100, "share": 0.34}
+#: When the sample's workspaces ask: in June 1998.
+CLOCK = 897_000_000_000_000
 QUERIES: dict = {}
 
 
@@ -37,10 +39,25 @@ def shop_observations(s: SparkSession, d: str) -> DataFrame:
     return metrics.rollup(fx.shop_events(s, d), fx.shop_config(s, d), shop_metrics(), "month")
 
 
-def enrolled(s: SparkSession, d: str) -> DataFrame:
-    """Workspaces that take part in the co-op."""
-    n = fx.table(s, d, "nation")
-    return n.where("n_nationkey % 6 <> 5").select(F.concat(F.lit("n_"), F.col("n_nationkey").cast("string")).alias("workspace_id"))
+def market_metrics() -> list[metrics.Metric]:
+    return [metrics.activation("r", 30, "return_rate"), metrics.activation("n", 30)]
+
+
+def market_observations(s: SparkSession, d: str) -> DataFrame:
+    profiles = insights.latest_profiles(fx.market_profiles(s, d))
+    return metrics.rollup(fx.market_events(s, d), profiles.select("workspace_id", "vertical"), market_metrics(), "month")
+
+
+def stored(s: SparkSession, observations: DataFrame) -> DataFrame:
+    """Observations through the sink: rolled up once, whoever reads them."""
+    path = tables.shared_folder(s)
+    tables.append_observations(observations, path)
+    return tables.observations_of(s, path)
+
+
+def members(s: SparkSession, d: str) -> DataFrame:
+    """Workspaces that take part in the co-op, by their latest profile, and aren't barred by what they are about."""
+    return validate.coop_members(insights.enrolled(fx.market_profiles(s, d)))
 
 
 @query
@@ -133,26 +150,26 @@ def k_anonymity(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def narrowest_cohort(s: SparkSession, d: str) -> DataFrame:
-    o = shop_observations(s, d)
+    o = stored(s, shop_observations(s, d))
     return cohorts.narrowest(o, o, **LIMITS)
 
 
 @query
 def narrowest_cohort_defaults(s: SparkSession, d: str) -> DataFrame:
-    o = shop_observations(s, d)
+    o = stored(s, shop_observations(s, d))
     return cohorts.narrowest(o, o)
 
 
 @query
 def narrowest_cohort_low(s: SparkSession, d: str) -> DataFrame:
     """With low limits some cohorts stop before the broadest rung."""
-    o = shop_observations(s, d)
+    o = stored(s, shop_observations(s, d))
     return cohorts.narrowest(o, o, contributors=4, subjects=20, share=0.5)
 
 
 @query
 def cohort_attempts(s: SparkSession, d: str) -> DataFrame:
-    o = shop_observations(s, d)
+    o = stored(s, shop_observations(s, d))
     a = cohorts.attempts(o, o, contributors=4, subjects=20, share=0.5)
     return a.groupBy("breadth", "ok", "reason").agg(F.count("*").alias("attempts"), F.sum("shortfall").alias("shortfall"))
 
@@ -191,17 +208,13 @@ def privacy_budget(s: SparkSession, d: str) -> DataFrame:
     return release.budget_decisions(r).select("budget_key", "request", "granted")
 
 
-def _shop_rungs(s: SparkSession, d: str) -> DataFrame:
-    """Each observation at the third rung, where all builders and sizes are together."""
-    rungs = cohorts.ladder(shop_observations(s, d)).where("depth = 2")
-    return rungs.select("workspace_id", "metric", F.round("value", 6).alias("value"), *cohorts.COHORT)
-
-
-def gated(s: SparkSession, d: str, spent: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    rungs = cohorts.ladder(shop_observations(s, d)).select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
-    asked = rungs.where("builder = 'any' and size_bucket = 'any'").select(*cohorts.COHORT, "metric").distinct().withColumn("request", F.lit(1))
+def gated(s: SparkSession, d: str, spent: DataFrame | None = None, observations: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gate for all cohorts of any builder and size, by vertical and all verticals together."""
+    o = stored(s, market_observations(s, d)) if observations is None else observations
+    rungs = cohorts.ladder(o).where("depth >= 2").select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
+    asked = rungs.select(*cohorts.COHORT, "metric").distinct().withColumn("request", F.lit(1))
     head = consent.ledger_head(consent.append(fx.consent_records(s, d)))
-    return release.gate(rungs, enrolled(s, d), asked, head, fx.SECRET, fx.NONCE, epsilon=0.6, spent=spent, **(LIMITS | {"subjects": 60}))
+    return release.gate(rungs, members(s, d), asked, head, fx.SECRET, fx.NONCE, epsilon=0.6, spent=spent, contributors=10, subjects=15, share=0.34)
 
 
 @query
@@ -222,7 +235,8 @@ def gate_spends(s: SparkSession, d: str) -> DataFrame:
 @query
 def gate_second_run(s: SparkSession, d: str) -> DataFrame:
     """The same requests again, after the first run's spends: what was released is refused now."""
-    again = gated(s, d, gated(s, d)[2])
+    o = stored(s, market_observations(s, d))
+    again = gated(s, d, gated(s, d, None, o)[2], o)
     return again[1].select(*cohorts.COHORT, "metric", "reason").unionByName(again[0].select(*cohorts.COHORT, "metric", F.lit("released").alias("reason")))
 
 
@@ -235,7 +249,7 @@ def release_provenance(s: SparkSession, d: str) -> DataFrame:
 def provenance_check(s: SparkSession, d: str) -> DataFrame:
     """Releases of which every other metric's median was changed afterwards."""
     out = gated(s, d)[0]
-    changed = out.withColumn("p50", F.when(F.col("metric") == "activation_rate", F.col("p50") + 0.000001).otherwise(F.col("p50")))
+    changed = out.withColumn("p50", F.when(F.col("metric") == "return_rate", F.col("p50") + 0.000001).otherwise(F.col("p50")))
     head = consent.ledger_head(consent.append(fx.consent_records(s, d)))
     return release.unverified(changed, head).select(*cohorts.COHORT, "metric")
 
@@ -270,16 +284,25 @@ def benchmark_rank(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def benchmark_compare(s: SparkSession, d: str) -> DataFrame:
-    c = benchmark.compare(gated(s, d)[0], _shop_rungs(s, d), "rate", volume=12_345)
+    """Every workspace with the released cohort of its vertical."""
+    o = stored(s, market_observations(s, d))
+    own = cohorts.ladder(o).where("depth = 2").select("workspace_id", "metric", F.round("value", 6).alias("value"), *cohorts.COHORT)
+    c = benchmark.compare(gated(s, d, None, o)[0], own, "rate", volume=12_345)
     return c.select("workspace_id", "period", "metric", "cohort_median", "rank", "delta", "direction", "narrative")
 
 
 @query
 def benchmark_request(s: SparkSession, d: str) -> DataFrame:
-    """Every shop asks about its latest period, of each metric: the comparison, or why there is none."""
-    releases, suppressions, _ = gated(s, d)
-    own = insights.latest_profiles(_shop_rungs(s, d).select(F.concat_ws(" ", "workspace_id", "metric").alias("workspace_id"), F.col("workspace_id").alias("app"), "metric", "value", *cohorts.COHORT), "period")
-    out = benchmark.answers(own.drop("workspace_id").withColumnRenamed("app", "workspace_id"), releases, suppressions, "rate")
+    """Every workspace, and one without a profile, asks about a month of its own or, without one, about that of the clock: the comparison, or why there is none."""
+    o = stored(s, market_observations(s, d))
+    releases, suppressions, _ = gated(s, d, None, o)
+    no = F.substring("workspace_id", 3, 9).cast("int")
+    who = fx.market_profiles(s, d).select("workspace_id").distinct().unionByName(s.createDataFrame([("m_9999",)], "workspace_id string"))
+    period = F.when(no % 2 == 1, F.format_string("%d-%02d", 1996 + no % 4, 1 + no % 12))
+    asks = who.select("workspace_id", F.explode(F.array(*(F.lit(m.name) for m in market_metrics()))).alias("metric"), period.alias("period"))
+    asked = benchmark.requests(asks, fx.market_profiles(s, d), F.lit(CLOCK), depth=2)
+    values = insights.latest_values(o).withColumn("value", F.round("value", 6))
+    out = benchmark.answers(asked, values, releases, suppressions, "rate")
     return out.select("workspace_id", "period", "metric", "available", "cohort_median", "rank", "direction", "reason", "explanation")
 
 
@@ -302,7 +325,7 @@ def coop_contributions(s: SparkSession, d: str) -> DataFrame:
 
 
 def _settled(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    o = shop_observations(s, d)
+    o = stored(s, shop_observations(s, d))
     return settle.settle(fx.deals(s, d, o), settle.contributions(o, "activation_rate"))
 
 
@@ -541,7 +564,7 @@ def dataset_export(s: SparkSession, d: str) -> DataFrame:
     """What the gate released, written for each deal and read again."""
     releases = gated(s, d)[0]
     path = tables.shared_folder(s)
-    out = settle.delivered(releases, fx.deals(s, d, releases).where("deal_id <> 'deal_0'"))
+    out = settle.delivered(releases, fx.market_deals(s, releases))
     tables.write_delivery(out, path)
     return s.read.schema(out.schema).parquet(path).select("deal_id", *cohorts.COHORT, "metric", "p50", "epsilon_spent")
 

@@ -25,6 +25,9 @@ SHOP = f"""ev AS (SELECT 'n_' || c_nationkey AS workspace_id, o_custkey::VARCHAR
   {cycle(BUILDER_CYCLE, "c_nationkey")} AS builder, o_custkey % 10 <> 0 AND NOT (o_custkey % 15 = 0 AND epoch_us(o_orderdate) >= 883612800000000) AS shares FROM orders JOIN customer ON o_custkey = c_custkey),
 config AS (SELECT 'n_' || n_nationkey AS workspace_id, lower(replace(r_name, ' ', '_')) AS vertical FROM nation JOIN region ON n_regionkey = r_regionkey)"""
 
+MARKET = f"""ev AS (SELECT 'm_' || (l_partkey % 60) AS workspace_id, l_orderkey::VARCHAR AS subject_key, lower(l_returnflag) AS name, epoch_us(l_shipdate) AS tus, {cycle(BUILDER_CYCLE, "l_partkey % 60")} AS builder, l_orderkey % 10 <> 0 AS shares FROM lineitem),
+config AS (SELECT 'm_' || no AS workspace_id, {cycle(VERTICALS, "no")} AS vertical, coalesce(CASE WHEN version % 11 <> 0 THEN no % 6 <> 5 END, false) AND no % 20 <> 7 AS member FROM (SELECT p_partkey % 60 AS no, max(p_partkey) AS version FROM part GROUP BY 1))"""
+
 WEEK, MONTH = "%G-W%V", "%Y-%m"
 
 
@@ -69,6 +72,8 @@ obs AS (SELECT l.workspace_id, coalesce(r.builder, 'unknown') AS builder, vertic
 APP_METRICS = [("activation_rate", act("purchase", 1)), ("d7_retention", ret(5, 9)), ("view_to_purchase_conversion", conv("view", "purchase", 7))]
 SHOP_METRICS = [("activation_rate", act("1-urgent", 90)), ("d180_retention", ret(30, 180)), ("1-urgent_to_2-high_conversion", conv("1-urgent", "2-high", None))]
 APP_OBS = f"WITH {APP}, {facts(APP_METRICS, ('view',))}, {rows(APP_METRICS, WEEK)}, {OBSERVED}"
+MARKET_METRICS = [("return_rate", act("r", 30)), ("activation_rate", act("n", 30))]
+MARKET_OBS = f"WITH {MARKET}, {facts(MARKET_METRICS, ())}, {rows(MARKET_METRICS, MONTH)}, {OBSERVED}"
 SHOP_OBS = f"WITH {SHOP}, {facts(SHOP_METRICS, ('1-urgent',))}, {rows(SHOP_METRICS, MONTH)}, {OBSERVED}"
 
 
@@ -194,12 +199,12 @@ ORACLES["withdraw_all"] = f"WITH {APP} SELECT 0 AS purposes, count(DISTINCT (wor
 
 
 def gate() -> str:
-    """CTEs passed (releases without a stamp) and held, from the shop's observations."""
+    """CTEs passed (releases without a stamp) and held, from the market's observations."""
     keys = f"{_COHORT}, metric, request"
-    return f"""{SHOP_OBS.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS ({rungs("obs", "workspace_id, metric, value, subject_count, ")}),
+    return f"""{MARKET_OBS.replace("WITH ", "WITH RECURSIVE ", 1)}, r AS ({rungs("obs", "workspace_id, metric, value, subject_count, ")}),
 asked AS (SELECT DISTINCT {_COHORT}, metric, 1 AS request FROM r WHERE builder = 'any' AND size_bucket = 'any'),
-pool AS (SELECT r.*, 1 AS request FROM r WHERE workspace_id IN (SELECT 'n_' || n_nationkey FROM nation WHERE n_nationkey % 6 <> 5)),
-v AS ({verdicts("pool", _COHORT + ", metric", 10, 60, 0.34)}),
+pool AS (SELECT r.*, 1 AS request FROM r WHERE workspace_id IN (SELECT workspace_id FROM config WHERE member)),
+v AS ({verdicts("pool", _COHORT + ", metric", 10, 15, 0.34)}),
 judged AS (SELECT asked.*, contributor_count, subject_count, shortfall, CASE WHEN ok IS NULL THEN 'no_consented_observations' ELSE reason END AS reason FROM asked LEFT JOIN v USING ({_COHORT}, metric)),
 rows_ AS (SELECT pool.* FROM pool JOIN judged USING ({keys}) WHERE judged.reason IS NULL),
 q AS ({quantiles("rows_", keys, 0.6 / 6)}), m AS ({means("rows_", keys, 0.6 / 6)}),
@@ -209,7 +214,7 @@ passed AS (SELECT {keys}, {_LADDER.format(n="contributor_count")} AS contributor
 ORACLES["gate_releases"] = f"{gate()} SELECT * FROM passed"
 ORACLES["gate_spends"] = f"{gate()} SELECT concat_ws('|', {_COHORT}) || '::' || metric AS budget_key, epsilon_spent AS epsilon FROM passed"
 ORACLES["gate_second_run"] = f"{gate()} SELECT {_COHORT}, metric, coalesce(reason, 'privacy_budget_exhausted') AS reason FROM judged"
-ORACLES["provenance_check"] = f"{gate()} SELECT {_COHORT}, metric FROM passed WHERE metric = 'activation_rate'"
+ORACLES["provenance_check"] = f"{gate()} SELECT {_COHORT}, metric FROM passed WHERE metric = 'return_rate'"
 ORACLES["release_sink"] = f"{gate()} SELECT CASE WHEN reason IS NULL THEN 'releases' ELSE 'suppressions' END AS kind, metric, count(*) AS cohorts FROM judged GROUP BY ALL"
 ORACLES["observation_sink"] = f"{SHOP_OBS} SELECT period, count(*) AS observations, sum(subject_count)::BIGINT AS subjects FROM obs WHERE metric = 'activation_rate' GROUP BY ALL"
 ORACLES["gate_suppressions"] = f"{gate()} SELECT {_COHORT}, metric, request, reason, CASE WHEN reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY} END AS explanation FROM judged WHERE reason IS NOT NULL"
@@ -245,9 +250,13 @@ ORACLES["benchmark_compare"] = f"""{_GATED} SELECT workspace_id, period, metric,
   'rate ' || {fixed2("value")} || ', median of ' || concat_ws(' / ', builder, vertical, size_bucket) || ' ' || {fixed2("p50")} || ', percentile ' || floor(rank_ + 0.5)::BIGINT || '.'
   || CASE WHEN abs(delta_) < 1e-9 THEN ' Level with the median.' WHEN delta_ > 0 THEN ' Ahead by ' || {fixed2("abs(delta_)")} || '.' ELSE ' Behind by ' || {fixed2("abs(delta_)")} || ', ' || format('{{:,}}', floor(abs(delta_) * 12345 + 0.5)::BIGINT) || ' a month.' END
   || ' Apps compared: ' || contributor_count || '.' AS narrative FROM ranked_"""
-ORACLES["benchmark_request"] = f"""{_GATED}, own AS (SELECT workspace_id, metric, max(period) AS period FROM six GROUP BY ALL)
-SELECT workspace_id, period, metric, k.p50 IS NOT NULL AS available, k.p50 AS cohort_median, round(rank_, 6) AS rank, CASE WHEN k.p50 IS NOT NULL THEN {_DIRECTION} END AS direction, j.reason, CASE WHEN j.reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY.replace("reason", "j.reason").replace("shortfall", "j.shortfall")} END AS explanation
-FROM six JOIN own USING (workspace_id, metric, period) JOIN judged j USING ({_COHORT}, metric) LEFT JOIN ranked_ k USING (workspace_id, {_COHORT}, metric)"""
+_VALUES = "(SELECT workspace_id, metric, round(arg_max(value, period), 6) AS value FROM obs GROUP BY ALL)"
+ORACLES["benchmark_request"] = f"""{gate()}, who AS (SELECT workspace_id, vertical FROM config UNION ALL SELECT 'm_9999', NULL),
+asks AS (SELECT *, CASE WHEN no % 2 = 1 THEN printf('%d-%02d', 1996 + no % 4, 1 + no % 12) ELSE '1998-06' END AS period FROM (SELECT *, substr(workspace_id, 3)::INT AS no FROM who) CROSS JOIN (VALUES ('return_rate'), ('activation_rate')) t(metric)),
+six AS (SELECT asks.workspace_id, metric, period, CASE WHEN vertical IS NOT NULL THEN 'any' END AS builder, vertical, CASE WHEN vertical IS NOT NULL THEN 'any' END AS size_bucket, value FROM asks LEFT JOIN {_VALUES} USING (workspace_id, metric)), {_RANKED}
+SELECT six.workspace_id, period, metric, p.p50 IS NOT NULL AS available, p.p50 AS cohort_median, CASE WHEN six.value IS NOT NULL THEN round(rank_, 6) END AS rank, CASE WHEN k.value IS NOT NULL THEN {_DIRECTION} END AS direction,
+  CASE WHEN six.vertical IS NULL THEN 'workspace_not_profiled' ELSE j.reason END AS reason, CASE WHEN j.reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY.replace("reason", "j.reason").replace("shortfall", "j.shortfall")} END AS explanation
+FROM six LEFT JOIN judged j USING ({_COHORT}, metric) LEFT JOIN passed p USING ({_COHORT}, metric) LEFT JOIN ranked_ k ON k.workspace_id = six.workspace_id AND k.metric = six.metric"""
 
 _KEY = "concat_ws('|', builder, vertical, size_bucket, period)"
 _SETTLE = f"""{SHOP_OBS}, given AS (SELECT workspace_id, {_KEY} AS cohort_key, sum(subject_count)::BIGINT AS subject_count FROM obs WHERE metric = 'activation_rate' GROUP BY ALL),
@@ -261,11 +270,11 @@ ORACLES["coop_contributions"] = f"{SHOP_OBS} SELECT workspace_id, {_KEY} AS coho
 ORACLES["coop_payouts"] = f"{_SETTLE} SELECT deal_id, workspace_id, amount::BIGINT AS amount_cents, CASE WHEN amount >= 5000 THEN 'cash' ELSE 'credit' END AS method, subjects::DOUBLE / total AS share, subjects AS subject_count FROM paid WHERE amount > 0"
 ORACLES["coop_settlements"] = f"""{_SETTLE}, sums AS (SELECT deal_id, sum(amount)::BIGINT AS paid FROM paid GROUP BY 1), done AS (SELECT deal_id, net, coalesce(paid, 0) AS paid, CASE WHEN coalesce(paid, 0) > 0 THEN floor(net * 0.3::DOUBLE)::BIGINT ELSE 0 END AS pool FROM deal LEFT JOIN sums USING (deal_id))
 SELECT deal_id, net::BIGINT AS net_cents, pool AS pool_cents, (net - paid)::BIGINT AS platform_cents, pool - paid AS rounding_remainder_cents FROM done"""
-ORACLES["dataset_export"] = f"{gate()}, deal AS (SELECT 'deal_' || r_regionkey AS deal_id, lower(replace(r_name, ' ', '_')) AS vertical FROM region WHERE r_regionkey <> 0) SELECT deal_id, {_COHORT}, metric, p50, epsilon_spent FROM passed JOIN deal USING (vertical)"
+ORACLES["dataset_export"] = f"{gate()} SELECT 'deal_' || vertical AS deal_id, {_COHORT}, metric, p50, epsilon_spent FROM passed WHERE vertical IN ('{VERTICALS[1]}', '{VERTICALS[2]}')"
 
 RAW = f"""raw AS (SELECT event_id AS i, CASE WHEN event_id % 101 = 0 THEN '' ELSE 'ws_' || (user_id % 12) END AS workspace_id, CASE WHEN event_id % 103 = 0 THEN '' ELSE 'e' || event_id END AS event_id,
   CASE WHEN event_id % 107 = 0 THEN 'has spaces' WHEN event_id % 109 = 0 THEN upper(event_type) ELSE event_type END AS name, event_id % 113 <> 0 AS timed, event_id % 127 <> 0 AS known,
-  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE {cycle(JURISDICTIONS, "user_id")} END AS jurisdiction, CASE WHEN event_id % 5 = 0 THEN 'evil-injected' ELSE {cycle(BUILDER_CYCLE, "user_id")} END AS builder, event_id % 200 AS octet, user_id, epoch_us(ts) // 1000000 * 1000000 AS tus FROM events),
+  CASE WHEN event_id % 3 = 0 THEN 'unknown' ELSE {cycle(JURISDICTIONS, "user_id")} END AS jurisdiction, CASE WHEN event_id % 5 = 0 THEN 'evil-injected' ELSE {cycle(BUILDER_CYCLE, "user_id")} END AS builder, event_id % 200 AS octet, event_id % 131 <> 0 AND event_id % 137 <> 0 AS authorised, user_id, epoch_us(ts) // 1000000 * 1000000 AS tus FROM events),
 checked AS (SELECT *, CASE WHEN workspace_id = '' THEN 'missing_workspace' WHEN event_id = '' THEN 'missing_event_id' WHEN NOT regexp_full_match(name, '[A-Za-z0-9][A-Za-z0-9_.:-]{{0,63}}') THEN 'invalid_event_name' WHEN NOT timed THEN 'invalid_timestamp' WHEN NOT known THEN 'missing_identifier' END AS reason,
   CASE WHEN builder IN ({", ".join(repr(b) for b in BUILDERS)}) THEN builder ELSE 'unknown' END AS clean FROM raw)"""
 ORACLES["validate_events"] = f"WITH {RAW} SELECT event_id, lower(name) AS name, tus AS at, jurisdiction, clean AS builder FROM checked WHERE reason IS NULL"
@@ -370,7 +379,9 @@ ORACLES["consent_decisions"] = f"WITH {PEOPLE}, {_SAID} SELECT workspace_id, seq
 ORACLES["erasure_withdrawals"] = f"""WITH {_SAID}, s AS (SELECT workspace_id, identifier, any_value(user_id) AS u, bool_or(yes) FILTER (WHERE purpose = 'product_analytics') AS a, bool_or(yes) FILTER (WHERE purpose = 'benchmark_contribution') AS b FROM held JOIN (SELECT DISTINCT identifier, user_id FROM said) USING (identifier) GROUP BY ALL)
 SELECT workspace_id, CASE WHEN u % 20 = 3 THEN '' ELSE concat_ws(',', CASE WHEN a THEN 'product_analytics' END, CASE WHEN b THEN 'benchmark_contribution' END) END AS purposes, count(*) AS subjects FROM s GROUP BY ALL"""
 _POSTURE = "CASE WHEN jurisdiction IN ('US', 'US-CA') THEN true ELSE false END"
-_JUDGED = f"""{RAW}, {_SAID}, whole AS (SELECT c.*, coalesce(a.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS analytics, coalesce(b.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS benchmark FROM checked c
+_OWN = "own_raw AS (SELECT * REPLACE (CASE WHEN authorised THEN 'ws_' || (user_id % 12) END AS workspace_id) FROM raw)"
+_CHECKED = RAW[RAW.index("checked AS"):].replace("WHEN workspace_id = '' THEN 'missing_workspace'", "WHEN NOT authorised THEN 'unauthorized'").replace("FROM raw)", "FROM own_raw)")
+_JUDGED = f"""{RAW[:RAW.index("checked AS")]}{_OWN}, {_CHECKED}, {_SAID}, whole AS (SELECT c.*, coalesce(a.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS analytics, coalesce(b.yes, {_POSTURE.replace("jurisdiction", "c.jurisdiction")}) AS benchmark FROM checked c
   LEFT JOIN held a ON a.workspace_id = c.workspace_id AND a.identifier = 'user-' || c.user_id AND a.purpose = 'product_analytics' AND c.known LEFT JOIN held b ON b.workspace_id = c.workspace_id AND b.identifier = 'user-' || c.user_id AND b.purpose = 'benchmark_contribution' AND c.known)"""
 ORACLES["ingest_outcomes"] = f"WITH {_JUDGED} SELECT workspace_id, coalesce(reason, CASE WHEN NOT analytics THEN 'no_analytics_consent' ELSE 'accepted' END) AS outcome, count(*) AS events FROM whole GROUP BY ALL"
 ORACLES["stream_ingest"] = f"""WITH {PEOPLE}, {_JUDGED}, kept AS (SELECT *, 'user-' || user_id AS identifier, tus // {_EPOCH} AS epoch FROM whole WHERE reason IS NULL AND analytics)

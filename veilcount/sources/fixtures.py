@@ -65,8 +65,36 @@ def shop_config(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select(F.concat(F.lit("n_"), F.col("n_nationkey").cast("string")).alias("workspace_id"), F.lower(F.replace("r_name", F.lit(" "), F.lit("_"))).alias("vertical"))
 
 
+#: Workspaces of the market sample.
+MARKETS = 60
+
+
+def market_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as events of 60 workspaces: enough in each month for cohorts at the usual number of contributors."""
+    l = table(spark, sf_dir, "lineitem")
+    no = F.col("l_partkey") % MARKETS
+    return l.select(
+        F.concat(F.lit("m_"), no.cast("string")).alias("workspace_id"), F.col("l_orderkey").cast("string").alias("subject_key"), F.lower("l_returnflag").alias("name"),
+        micros(l, "l_shipdate").alias("at"), pick(BUILDER_CYCLE, no).alias("builder"), purposes(F.col("l_orderkey") % 10 != 0).alias("purposes"),
+    )
+
+
+def market_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Profiles in versions, as workspaces upsert them: some never say whether they take part, some have an app for children."""
+    p = table(spark, sf_dir, "part")
+    no = F.col("p_partkey") % MARKETS
+    return p.select(
+        F.concat(F.lit("m_"), no.cast("string")).alias("workspace_id"), F.col("p_partkey").alias("version"), pick(BUILDER_CYCLE, no).alias("builder"), pick(VERTICALS, no).alias("vertical"), F.lit("1-100").alias("size_bucket"),
+        F.when(F.col("p_partkey") % 11 != 0, no % 6 != 5).alias("coop_enrolled"), F.concat(F.lit("app "), no.cast("string")).alias("app_name"), F.when(no % 20 == 7, "an app for kids").otherwise("invoices").alias("description"), F.lit("a.app").alias("hostname"),
+    )
+
+
+def api_keys(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(f"key-{i}", f"ws_{i}") for i in range(12)], "api_key string, workspace_id string")
+
+
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as clients send them, some of them broken."""
+    """Events as clients send them, some of them broken, some with a key that nobody has."""
     e = table(spark, sf_dir, "events")
     i = F.col("event_id")
     text = F.date_format(F.col("ts"), "yyyy-MM-dd HH:mm:ss")
@@ -80,6 +108,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(i % 5 == 0, "evil-injected").otherwise(pick(BUILDER_CYCLE, F.col("user_id"))).alias("builder"),
         F.concat_ws(".", F.lit("10"), (i % 200).cast("string"), (i % 7).cast("string"), F.lit("9")).alias("ip"),
         (i % 11 == 0).alias("opt_out"), F.col("props").alias("properties"), i.alias("ingest_seq"),
+        F.when(i % 131 == 0, "key-of-nobody").when(i % 137 != 0, F.concat(F.lit("key-"), (F.col("user_id") % 12).cast("string"))).alias("api_key"),
     )
 
 
@@ -120,8 +149,15 @@ def deals(spark: SparkSession, sf_dir: str, observations: DataFrame) -> DataFram
     return out.select(F.concat(F.lit("deal_"), k.cast("string")).alias("deal_id"), (1_000_001 + 7_919 * k).alias("gross_cents"), (k * 100_000).alias("direct_cost_cents"), F.coalesce("cohort_keys", F.array().cast("array<string>")).alias("cohort_keys"))
 
 
-def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def market_deals(spark: SparkSession, observations: DataFrame) -> DataFrame:
+    """One deal for each vertical but the first, over all its cohorts."""
+    keys = observations.groupBy("vertical").agg(F.collect_set(F.concat_ws("|", "builder", "vertical", "size_bucket", "period")).alias("cohort_keys"))
+    sold = spark.createDataFrame([(f"deal_{v}", v) for v in VERTICALS[1:]], "deal_id string, vertical string")
+    return sold.join(keys, "vertical", "left").select("deal_id", F.coalesce("cohort_keys", F.array().cast("array<string>")).alias("cohort_keys"))
+
+
+def requests(spark: SparkSession, sf_dir: str, each: int = 20) -> DataFrame:
     """Raw rows that ask for erasure: every twentieth user of the sample."""
     e = table(spark, sf_dir, "events")
-    e = e.withColumn("at", micros(e, "ts")).where("user_id % 20 = 3")
+    e = e.withColumn("at", micros(e, "ts")).where(F.col("user_id") % each == 3)
     return e.groupBy(F.concat(F.lit("ws_"), (F.col("user_id") % 12).cast("string")).alias("workspace_id"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("identifier")).agg(F.max("at").alias("now"))

@@ -23,9 +23,9 @@ from veilcount.sources.tables import shared_folder
 
 @dataclass(frozen=True)
 class Known:
-    """What ingest looks up: workspaces (workspace_id), the consent records on anchors, address ranges, and the root secret."""
+    """What ingest looks up: keys (api_key, workspace_id), the consent records on anchors, address ranges, and the root secret."""
 
-    workspaces: DataFrame
+    keys: DataFrame
     records: DataFrame
     ranges: DataFrame
     root: str
@@ -36,10 +36,13 @@ def judged(raw: DataFrame, known: Known) -> DataFrame:
 
     The purposes are those that the ledger permits the subject's anchor,
     narrowed by an opt-out signal and by names or properties that reveal a
-    special category; without analytics among them the event is rejected.
+    special category; without analytics among them the event is rejected. The
+    workspace is that of the ``api_key``, whatever the payload says; events of
+    keys that nobody has are ``unauthorized``, and so no subject is without key.
     """
-    valid = validate.validate(raw).withColumn("at", F.col("clean_at")).drop("jurisdiction")
-    keyed = identity.with_keys(valid, known.root, workspaces=known.workspaces).drop("identifier")
+    own = validate.refused_without_workspace(validate.validate(validate.attach_workspace(raw, known.keys)))
+    valid = own.withColumn("at", F.col("clean_at")).drop("jurisdiction", "api_key")
+    keyed = identity.with_keys(valid, known.root, workspaces=known.keys).drop("identifier")
     subjects = keyed.withColumnsRenamed({"subject_key": "rotating", "anchor": "subject_key", "clean_jurisdiction": "jurisdiction"})
     allowed = consent.permitted(subjects, known.records).withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"})
     bag = F.coalesce(F.expr("map_entries(try_cast(try_parse_json(properties) as map<string, variant>))"), F.array().cast("array<struct<key: string, value: variant>>"))
@@ -80,7 +83,7 @@ def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFr
     twice = raw.unionByName(raw.where("ingest_seq % 4 = 0")).withColumn("arrival", F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.col("ingest_seq") * 1_000_000))
     if close:
         # a rejected event wouldn't move the watermark
-        last = raw.join(judged(raw, sample_knowledge(spark, sf_dir)).where("reject_reason is null").select("workspace_id", "event_id"), ["workspace_id", "event_id"], "left_semi").agg(F.max_by(F.struct(*raw.columns), "ingest_seq").alias("r")).where("r is not null").select("r.*")
+        last = raw.join(judged(raw, sample_knowledge(spark, sf_dir)).where("reject_reason is null").select("event_id"), "event_id", "left_semi").agg(F.max_by(F.struct(*raw.columns), "ingest_seq").alias("r")).where("r is not null").select("r.*")
         at = raw.agg((F.timestamp_micros(F.lit(1_704_067_200_000_000) + F.max("ingest_seq") * 1_000_000) + F.expr("interval 1 day")).alias("arrival"))
         twice = twice.unionByName(last.withColumn("event_id", F.concat(F.lit("closing-"), "event_id")).join(at, F.lit(True)))
     twice.write.parquet(f"{folder}/in")
@@ -93,7 +96,7 @@ def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFr
 def sample_knowledge(spark: SparkSession, sf_dir: str) -> Known:
     from veilcount.sources import fixtures as fx
 
-    return Known(fx.app_config(spark), consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT), fx.geo(spark), fx.ROOT)
+    return Known(fx.api_keys(spark), consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT), fx.geo(spark), fx.ROOT)
 
 
 def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
