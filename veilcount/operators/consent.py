@@ -6,13 +6,15 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilcount.constants import POSTURES, PURPOSES, STRICTEST
+from veilcount.constants import DAY_US, POSTURES, PURPOSES, STRICTEST
 from veilcount.functions import identity
 
 GENESIS = "0" * 64
+#: A subject's events of so long a time are looked at together.
+SLOT_US = DAY_US
 
 
 def canonical(r: Column) -> Column:
@@ -138,6 +140,60 @@ def permitted(subjects: DataFrame, records: DataFrame) -> DataFrame:
     return found.select(*subjects.columns, F.array_compact(F.array(*each)).alias("purposes"))
 
 
+def states(records: DataFrame) -> DataFrame:
+    """(workspace_id, subject_key, purpose, at, seq, state): what is in force from each record on, until the next of the same key.
+
+    The rules of ``decisions``, applied to every beginning of the ledger: what
+    the subject chose last and validly, and before any choice the last default.
+    """
+    keys = Window.partitionBy("workspace_id", "subject_key", "purpose").orderBy("at", "seq")
+    own = ~F.col("source").isin("workspace_default", "regulatory_default")
+    no_before = F.coalesce(F.max((own & (F.col("state") == "withdrawn")).cast("int")).over(keys.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1
+    ignored = (F.col("state") == "granted") & (F.col("source") != "explicit_ui") & no_before
+    marked = records.select("workspace_id", "subject_key", "purpose", "at", "seq", "state", own.alias("own"), ignored.alias("ignored"))
+    so_far = keys.rowsBetween(Window.unboundedPreceding, 0)
+    chosen = F.last(F.when(F.col("own") & ~F.col("ignored"), F.col("state")), ignorenulls=True).over(so_far)
+    default = F.last(F.when(~F.col("own"), F.col("state")), ignorenulls=True).over(so_far)
+    return marked.select("workspace_id", "subject_key", "purpose", "at", "seq", F.coalesce(chosen, default).alias("state"))
+
+
+def permitted_at(events: DataFrame, records: DataFrame, at: str = "at", slot_us: int = SLOT_US) -> DataFrame:
+    """``events`` (workspace_id, subject_key, jurisdiction, ``at``, ...) with the purposes that were granted at the time of each.
+
+    A record of the same moment counts already. States and events are sorted
+    together, and each event takes the last state before it. A subject's events
+    are cut into slots of time, each begun with the state at its start, so that
+    the events of one very busy subject are many tasks' work; only the start of
+    each slot and the records meet in one place. Without workspace or subject
+    nothing is permitted.
+    """
+    key = ["workspace_id", "subject_key"]
+    known = F.col("workspace_id").isNotNull() & F.col("subject_key").isNotNull()
+    names = [f"p{i}" for i in range(len(PURPOSES))]
+    given = events.select(*key, "jurisdiction", F.col(at).alias("t"), F.floor(F.col(at) / F.lit(slot_us)).alias("slot"), F.struct(*(F.col(c) for c in events.columns)).alias("e"))
+    live = given.where(known)
+    # only records of subjects that have events
+    marks = states(records.join(live.select(*key).distinct(), key, "left_semi")).select(*key, F.col("at").alias("t"), F.floor(F.col("at") / F.lit(slot_us)).alias("slot"), "seq", *(F.when(F.col("purpose") == p, F.col("state")).alias(n) for p, n in zip(PURPOSES, names, strict=True)))
+    none = [F.lit(None).cast("string").alias(n) for n in names]
+    slots = live.select(*key, "slot").distinct()
+
+    def last(over: list[str]) -> list[Column]:
+        w = Window.partitionBy(*over).orderBy("t", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)
+        return [F.last(n, ignorenulls=True).over(w).alias(n) for n in names]
+
+    starts = slots.select(*key, (F.col("slot") * F.lit(slot_us)).alias("t"), "slot", F.lit(None).cast("long").alias("seq"), F.lit(0).alias("kind"), *none)
+    whole = starts.unionByName(marks.withColumn("kind", F.lit(1)))
+    begun = whole.select(*key, "t", "slot", "seq", "kind", *last(key)).where("kind = 0")
+    inside = marks.withColumn("kind", F.lit(1)).join(slots, [*key, "slot"], "left_semi")
+    empty = lambda df: df.select(*key, "t", "slot", F.col("seq").cast("long").alias("seq"), "kind", *names)
+    rows = empty(begun).unionByName(empty(inside)).unionByName(live.select(*key, "t", "slot", F.lit(None).cast("long").alias("seq"), F.lit(2).alias("kind"), *none, "jurisdiction", "e"), allowMissingColumns=True)
+    found = rows.select("kind", "jurisdiction", "e", *last([*key, "slot"])).where("kind = 2")
+    each = [F.when(F.coalesce(F.col(n), posture(F.lit(p), F.col("jurisdiction"))) == "granted", F.lit(p)) for p, n in zip(PURPOSES, names, strict=True)]
+    judged = found.select("e", F.array_compact(F.array(*each)).alias("purposes"))
+    rest = given.where(~known).select("e", F.array().cast("array<string>").alias("purposes"))
+    return judged.unionByName(rest).select("e.*", "purposes")
+
+
 def withdrawals(subjects: DataFrame, seq: Column) -> DataFrame:
     """Records that withdraw all three purposes of each (workspace_id, subject_key, jurisdiction, at)."""
     return subjects.select(

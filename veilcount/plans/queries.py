@@ -9,7 +9,7 @@ from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions import identity, noise, periods, text_rules
 from veilcount.operators import benchmark, cohorts, consent, erasure, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
-from veilcount.sources import tables
+from veilcount.sources import store, tables
 from veilcount.streaming import ingest as stream
 
 LIMITS = {"contributors": 10, "subjects": 100, "share": 0.34}
@@ -536,6 +536,20 @@ def erasure_remaining(s: SparkSession, d: str) -> DataFrame:
     return erasure.erase(_keyed(s, d), keys).groupBy("workspace_id").agg(F.count("*").alias("events"))
 
 
+@query
+def erasure_stored(s: SparkSession, d: str) -> DataFrame:
+    """Events stored by day; requests of 15 January are met in the store. A day is rewritten if none of its files is as before."""
+    e = _keyed(s, d).select("workspace_id", F.col("event_id").cast("string").alias("event_id"), "subject_key", "at")
+    kept = store.EventStore(s, tables.shared_folder(s), e.schema)
+    kept.append(e)
+    files = lambda: kept.events().select("day", F.input_file_name().alias("file")).distinct()
+    before = tables.saved(files())
+    asked = fx.requests(s, d).withColumn("now", F.lit(1_705_276_800_000_000))
+    kept.erase(identity.retention_keys(asked, fx.ROOT))
+    same = before.join(files(), ["day", "file"]).select("day").distinct().withColumn("same", F.lit(True))
+    return kept.events().groupBy("day").agg(F.count("*").alias("events")).join(same, "day", "left").select("day", "events", F.col("same").isNull().alias("rewritten"))
+
+
 @query
 def erasure_report(s: SparkSession, d: str) -> DataFrame:
     keys = identity.retention_keys(fx.requests(s, d), fx.ROOT)
@@ -599,3 +613,19 @@ def stream_ingest(s: SparkSession, d: str) -> DataFrame:
 @query
 def stream_findings(s: SparkSession, d: str) -> DataFrame:
     return stream.findings_once(s, d)
+
+
+@query
+def stream_store(s: SparkSession, d: str) -> DataFrame:
+    """Ingest in three batches with a withdrawal between them and late repeats, into the store."""
+    e = stream.stored_once(s, d).events()
+    return e.select("workspace_id", "event_id", "subject_key", "name", F.array_join("purposes", ",").alias("purposes"), "day")
+
+
+@query
+def consent_as_of(s: SparkSession, d: str) -> DataFrame:
+    """Events by what the subject had permitted at their time."""
+    records = consent.from_decisions(fx.decisions(s, d), fx.ROOT)
+    e = identity.with_keys(_identified(s, d), fx.ROOT).select("event_id", "workspace_id", F.col("anchor").alias("subject_key"), F.lit("US").alias("jurisdiction"), "at")
+    out = consent.permitted_at(e, records)
+    return out.select("event_id", F.array_join("purposes", ",").alias("purposes"))

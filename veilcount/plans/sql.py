@@ -388,3 +388,24 @@ ORACLES["stream_ingest"] = f"""WITH {PEOPLE}, {_JUDGED}, kept AS (SELECT *, 'use
 SELECT workspace_id, event_id, {_SUBJECT} AS subject_key, lower(name) AS name, tus AS at, jurisdiction, clean AS builder, {_COUNTRY.format(o="octet")} AS country, CASE WHEN benchmark AND i % 11 <> 0 THEN 'product_analytics,benchmark_contribution' ELSE 'product_analytics' END AS purposes, 0 AS findings FROM kept JOIN pads USING (workspace_id)"""
 ORACLES["stream_findings"] = f"""WITH {_JUDGED}, kept AS (SELECT * FROM whole WHERE reason IS NULL AND analytics), at_ AS (SELECT workspace_id, make_timestamp((1704067200 + i) // 3600 * 3600 * 1000000)::TIMESTAMP AS hour FROM kept)
 SELECT hour, workspace_id, key, rule, count(*) AS n FROM at_ CROSS JOIN (VALUES ('note', 'email'), ('user_email', 'blocked_key')) t(key, rule) GROUP BY ALL"""
+
+_EARLY = 1_705_276_800_000_000 // (30 * DAY)
+ORACLES["erasure_stored"] = f"""WITH e AS (SELECT strftime(make_timestamp(epoch_us(ts)), '%Y-%m-%d') AS day, user_id % 20 = 3 AND epoch_us(ts) // {_EPOCH} <= {_EARLY} AS gone FROM events)
+SELECT day, count(*) FILTER (WHERE NOT gone) AS events, bool_or(gone) AS rewritten FROM e GROUP BY day HAVING events > 0"""
+#: What each subject had said of a purpose by then: the last word at each moment.
+_WORDS_BY = "SELECT workspace_id, identifier, tus, arg_max(yes, seq) AS yes FROM {0} WHERE purpose = '{1}' GROUP BY ALL"
+_HALF = 1_705_363_200_000_000
+_ASKS = "asks AS (SELECT DISTINCT 'ws_' || (user_id % 12) AS workspace_id, 'user-' || user_id AS identifier FROM events WHERE user_id % 20 = 3)"
+_AS_OF = f"""said2 AS (SELECT workspace_id, identifier, purpose, tus, seq, yes FROM said UNION ALL SELECT workspace_id, identifier, purpose, {_HALF}, 1099511627776, false FROM asks CROSS JOIN (VALUES ('product_analytics'), ('benchmark_contribution')) t(purpose)),
+wa AS ({_WORDS_BY.format("said2", "product_analytics")}), wb AS ({_WORDS_BY.format("said2", "benchmark_contribution")})"""
+ORACLES["stream_store"] = f"""WITH {PEOPLE}, {RAW[: RAW.index("checked AS")]}{_OWN}, {_CHECKED}, {_SAID}, {_ASKS}, {_AS_OF},
+tries AS (SELECT *, 'user-' || user_id AS identifier, 0 AS again, tus AS arrived, reason IS NULL AS good FROM checked
+  UNION ALL SELECT * REPLACE ('late_copy' AS name), 'user-' || user_id, 1, tus + 30 * {DAY}, authorised AND event_id <> '' AND timed AND known FROM checked WHERE i % 3 = 0),
+granted AS (SELECT t.*, coalesce(a.yes, {_POSTURE.replace("jurisdiction", "t.jurisdiction")}) AS analytics, coalesce(b.yes, {_POSTURE.replace("jurisdiction", "t.jurisdiction")}) AS benchmark FROM tries t
+  ASOF LEFT JOIN wa a ON a.workspace_id = t.workspace_id AND a.identifier = t.identifier AND t.arrived >= a.tus ASOF LEFT JOIN wb b ON b.workspace_id = t.workspace_id AND b.identifier = t.identifier AND t.arrived >= b.tus),
+kept AS (SELECT *, tus // {_EPOCH} AS epoch FROM granted WHERE good AND analytics QUALIFY row_number() OVER (PARTITION BY workspace_id, event_id ORDER BY again) = 1)
+SELECT workspace_id, event_id, {_SUBJECT} AS subject_key, lower(name) AS name, CASE WHEN benchmark AND i % 11 <> 0 THEN 'product_analytics,benchmark_contribution' ELSE 'product_analytics' END AS purposes, strftime(make_timestamp(arrived), '%Y-%m-%d') AS day FROM kept JOIN pads USING (workspace_id)"""
+ORACLES["consent_as_of"] = f"""WITH {_SAID}, wa AS ({_WORDS_BY.format("said", "product_analytics")}), wb AS ({_WORDS_BY.format("said", "benchmark_contribution")}),
+e AS (SELECT event_id, 'ws_' || (user_id % 12) AS workspace_id, 'user-' || user_id AS identifier, epoch_us(ts) AS tus FROM events)
+SELECT event_id, concat_ws(',', CASE WHEN coalesce(a.yes, true) THEN 'product_analytics' END, CASE WHEN coalesce(b.yes, true) THEN 'benchmark_contribution' END) AS purposes FROM e
+  ASOF LEFT JOIN wa a ON a.workspace_id = e.workspace_id AND a.identifier = e.identifier AND e.tus >= a.tus ASOF LEFT JOIN wb b ON b.workspace_id = e.workspace_id AND b.identifier = e.identifier AND e.tus >= b.tus"""

@@ -10,17 +10,26 @@ drop events.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
+from pyspark.sql.types import StructType
 
+from veilcount.constants import DAY_US
 from veilcount.functions import identity
 from veilcount.functions.text_rules import categories
 from veilcount.operators import consent, redact, validate
+from veilcount.sources.store import EventStore
 from veilcount.sources.tables import shared_folder
 
 
+#: Middle of the sample, 2024-01-16.
+HALF = 1_705_363_200_000_000
+
+
 @dataclass(frozen=True)
 class Known:
     """What ingest looks up: keys (api_key, workspace_id), the consent records on anchors, address ranges, and the root secret."""
@@ -31,7 +40,7 @@ class Known:
     root: str
 
 
-def judged(raw: DataFrame, known: Known) -> DataFrame:
+def judged(raw: DataFrame, known: Known, asof: str | None = None) -> DataFrame:
     """Raw events with pseudonyms in place of the identifier, country in place of the address, purposes and ``reject_reason``.
 
     The purposes are those that the ledger permits the subject's anchor,
@@ -39,12 +48,15 @@ def judged(raw: DataFrame, known: Known) -> DataFrame:
     special category; without analytics among them the event is rejected. The
     workspace is that of the ``api_key``, whatever the payload says; events of
     keys that nobody has are ``unauthorized``, and so no subject is without key.
+    With ``asof``, a column of microseconds, consent is that of the time it
+    names; such a join sorts, and so it is for batches.
     """
     own = validate.refused_without_workspace(validate.validate(validate.attach_workspace(raw, known.keys)))
     valid = own.withColumn("at", F.col("clean_at")).drop("jurisdiction", "api_key")
     keyed = identity.with_keys(valid, known.root, workspaces=known.keys).drop("identifier")
     subjects = keyed.withColumnsRenamed({"subject_key": "rotating", "anchor": "subject_key", "clean_jurisdiction": "jurisdiction"})
-    allowed = consent.permitted(subjects, known.records).withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"})
+    permitted = consent.permitted(subjects, known.records) if asof is None else consent.permitted_at(subjects, known.records, asof)
+    allowed = permitted.withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"})
     bag = F.coalesce(F.expr("map_entries(try_cast(try_parse_json(properties) as map<string, variant>))"), F.array().cast("array<struct<key: string, value: variant>>"))
     texts = F.concat(F.array("name"), F.transform(bag, lambda e: e["key"]), F.transform(bag, lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit(""))))
     found = F.flatten(F.transform(texts, categories))
@@ -55,11 +67,35 @@ def judged(raw: DataFrame, known: Known) -> DataFrame:
 def clean_stream(raw: DataFrame, known: Known, arrival: str = "arrival", delay: str = "1 hour") -> DataFrame:
     """Accepted events of a stream, each once, with redacted properties; neither identifier nor address is kept."""
     valid = judged(raw, known).where("reject_reason is null")
-    once = valid.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["workspace_id", "event_id"])
-    kept = once.select("workspace_id", "event_id", "subject_key", "epoch", "anchor", F.col("clean_name").alias("name"), "at", "jurisdiction", F.col("clean_builder").alias("builder"), "country", "purposes", "properties", arrival)
+    return cleaned(valid.withWatermark(arrival, delay).dropDuplicatesWithinWatermark(["workspace_id", "event_id"]), arrival)
+
+
+def cleaned(accepted: DataFrame, arrival: str) -> DataFrame:
+    """Judged events as they are stored."""
+    kept = accepted.select("workspace_id", "event_id", "subject_key", "epoch", "anchor", F.col("clean_name").alias("name"), "at", "jurisdiction", F.col("clean_builder").alias("builder"), "country", "purposes", "properties", arrival)
     return redact.redact_properties(kept)
 
 
+CLEAN = "workspace_id string, event_id string, subject_key string, epoch long, anchor string, name string, at long, jurisdiction string, builder string, country string, purposes array<string>, properties map<string, string>, property_types map<string, string>, findings array<struct<key: string, rule: string>>, arrival_us long"
+
+
+def store_batches(raw: DataFrame, known: Callable[[], Known], store: EventStore, checkpoint: str, arrival_us: str = "arrival_us") -> StreamingQuery:
+    """Starts ingest into a store, batch by batch.
+
+    ``known`` is called for every batch, so that a batch sees the ledger as it
+    is by then, and of it what was recorded up to each event's arrival. An
+    event that is stored already is not stored again, however late it comes
+    back and whichever batch is run twice: the store looks among the days
+    whose filter may hold the id.
+    """
+
+    def batch(rows: DataFrame, _: int) -> None:
+        accepted = judged(rows, known(), arrival_us).where("reject_reason is null")
+        store.append_once(cleaned(accepted, arrival_us))
+
+    return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def findings_by_hour(clean: DataFrame, arrival: str = "arrival") -> DataFrame:
     """(window, workspace_id, key, rule, n) for every hour of arrival."""
     each = clean.select(arrival, "workspace_id", F.explode("findings").alias("f"))
@@ -105,6 +141,31 @@ def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("workspace_id", "event_id", "subject_key", "name", "at", "jurisdiction", "builder", "country", F.array_join("purposes", ",").alias("purposes"), F.size("findings").alias("findings"))
 
 
+def stored_once(spark: SparkSession, sf_dir: str) -> EventStore:
+    """The sample's raw events in three runs of one stream: half of them, the other half after withdrawals, and a third of all once more, a month late."""
+    from veilcount.operators import erasure
+    from veilcount.sources import fixtures as fx
+
+    folder = shared_folder(spark)
+    raw = fx.raw_events(spark, sf_dir).withColumn("arrival_us", F.unix_micros(F.coalesce(validate.parsed_time(F.col("occurred_at")), F.timestamp_micros(F.lit(HALF)))))
+    schema = raw.schema
+    consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT).write.parquet(f"{folder}/ledger")
+    ledger = spark.read.parquet(f"{folder}/ledger").schema
+    store = EventStore(spark, f"{folder}/store", StructType.fromDDL(CLEAN), "arrival_us")
+
+    def known() -> Known:
+        return Known(fx.api_keys(spark), spark.read.schema(ledger).parquet(f"{folder}/ledger"), fx.geo(spark), fx.ROOT)
+
+    late = raw.where("ingest_seq % 3 = 0").withColumns({"arrival_us": F.col("arrival_us") + 30 * DAY_US, "name": F.lit("late_copy")})
+    for i, part in enumerate((raw.where(F.col("arrival_us") < HALF), raw.where(F.col("arrival_us") >= HALF), late)):
+        if i == 1:
+            gone = erasure.withdrawn(fx.requests(spark, sf_dir), fx.ROOT, F.lit(1 << 40).cast("long")).withColumn("at", F.lit(HALF).cast("long"))
+            gone.select(ledger.fieldNames()).write.mode("append").parquet(f"{folder}/ledger")
+        part.write.mode("append").parquet(f"{folder}/in")
+        store_batches(spark.readStream.schema(schema).parquet(f"{folder}/in"), known, store, f"{folder}/state").awaitTermination()
+    return store
+
+
 def noted(raw: DataFrame) -> DataFrame:
     return raw.withColumn("properties", F.to_json(F.struct(F.concat(F.lit("mail user"), F.col("ingest_seq").cast("string"), F.lit("@example.com")).alias("note"), F.col("identifier").alias("user_email"))))
 
