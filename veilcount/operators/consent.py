@@ -13,6 +13,8 @@ from veilcount.constants import DAY_US, POSTURES, PURPOSES, STRICTEST
 from veilcount.functions import identity
 
 GENESIS = "0" * 64
+#: Hex digits that name a leaf of the tree over all lanes.
+DEPTH = 4
 #: A subject's events of so long a time are looked at together.
 SLOT_US = DAY_US
 
@@ -80,10 +82,64 @@ def heads(chain: DataFrame) -> DataFrame:
     return chain.groupBy("workspace_id").agg((F.max("place") + 1).alias("length"), F.max_by("hash", "place").alias("head"))
 
 
-def ledger_head(chain: DataFrame) -> DataFrame:
-    """One row: the commitment to all lanes, 64 hex characters even for an empty ledger."""
-    lanes = heads(chain).agg(F.array_sort(F.collect_list(F.concat_ws(":", "workspace_id", "head"))).alias("l"))
-    return lanes.select(F.sha2(F.array_join("l", "|"), 256).alias("head"))
+def _joined(parts: Column) -> Column:
+    return F.sha2(F.array_join(F.array_sort(parts), "|"), 256)
+
+
+def commitments(lanes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(level, prefix, children, hash): a hash tree over ``lanes`` (workspace_id, head).
+
+    A lane lies in the leaf that the first ``depth`` hex digits of its
+    workspace's hash name; a node commits to its children, of which inner
+    nodes have sixteen at most and leaves about lanes / 16 ** depth. The last
+    level, 0, is the root. Every level is one grouping, and none collects more
+    than the level below has.
+    """
+    own = F.concat_ws(":", "workspace_id", "head").alias("child")
+    level = lanes.select(F.substring(F.sha2(F.coalesce("workspace_id", F.lit("")), 256), 1, depth).alias("prefix"), own)
+    out = None
+    for n in range(depth, -1, -1):
+        node = level.groupBy("prefix").agg(F.array_sort(F.collect_list("child")).alias("children")).select(F.lit(n).alias("level"), "prefix", "children", _joined(F.col("children")).alias("hash"))
+        out = node if out is None else out.unionByName(node)
+        level = node.select(F.substring("prefix", 1, n - 1).alias("prefix") if n > 1 else F.lit("").alias("prefix"), F.concat_ws(":", "prefix", "hash").alias("child"))
+    return out
+
+
+def ledger_head(chain: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """One row: the root over all lanes, 64 hex characters even for an empty ledger."""
+    top = commitments(heads(chain), depth).where("level = 1").select(F.concat_ws(":", "prefix", "hash").alias("child"))
+    # sixteen rows at most
+    return top.agg(_joined(F.collect_list("child")).alias("head"))
+
+
+def inclusion_proofs(asked: DataFrame, nodes: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(workspace_id, level, prefix, children) from leaf to root for each asked (workspace_id), from stored ``nodes``."""
+    levels = F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("level")
+    path = asked.select("workspace_id").distinct().select("workspace_id", levels).withColumn("prefix", F.expr("substring(sha2(coalesce(workspace_id, ''), 256), 1, level)"))
+    return path.join(nodes.select("level", "prefix", "children"), ["level", "prefix"]).select("workspace_id", "level", "prefix", "children")
+
+
+def verified_inclusion(proofs: DataFrame, lanes: DataFrame, root: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(workspace_id, included): whether each proof leads from the lane's own head to the root (``root``: head)."""
+    steps = proofs.select("workspace_id", "level", "children", F.concat_ws(":", "prefix", _joined(F.col("children"))).alias("child"))
+    lane = lanes.select("workspace_id", F.lit(depth + 1).alias("level"), F.concat_ws(":", "workspace_id", "head").alias("child"))
+    below = steps.select("workspace_id", "level", "child").unionByName(lane).select("workspace_id", (F.col("level") - 1).alias("level"), "child")
+    held = below.where("level >= 0").join(steps.select("workspace_id", "level", "children"), ["workspace_id", "level"], "left")
+    links = held.select("workspace_id", F.coalesce(F.array_contains("children", F.col("child")), F.lit(False)).alias("ok"))
+    top = steps.where("level = 0").join(F.broadcast(root), F.lit(True)).select("workspace_id", (F.col("child") == F.concat(F.lit(":"), "head")).alias("ok"))
+    return links.unionByName(top).groupBy("workspace_id").agg((F.bool_and("ok") & (F.count("*") == depth + 2)).alias("included"))
+
+
+def differing_lanes(mine: DataFrame, theirs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(child) of the lanes whose heads differ between two stored trees: from the root down, only below nodes that differ."""
+    changed = None
+    for n in range(1, depth + 1):
+        a, b = (t.where(F.col("level") == n).select("prefix", F.col("hash").alias(h)) for t, h in ((mine, "a"), (theirs, "b")))
+        if changed is not None:
+            a, b = (t.withColumn("up", F.substring("prefix", 1, n - 1)).join(changed, "up", "left_semi").drop("up") for t in (a, b))
+        changed = a.join(b, "prefix", "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(F.col("prefix").alias("up"))
+    leaves = [t.where(F.col("level") == depth).join(changed, F.col("prefix") == F.col("up"), "left_semi").select(F.explode("children").alias("child"), F.lit(side).alias("side")) for t, side in ((mine, 1), (theirs, 2))]
+    return leaves[0].unionByName(leaves[1]).groupBy("child").agg(F.count("*").alias("n")).where("n = 1").select("child")
 
 
 def first_broken(chain: DataFrame) -> DataFrame:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilcount.functions.periods import day_of
+
+#: Registers of a sketch, as a power of two.
+LOG_SIZE = 12
+
 
 def event_counts(events: DataFrame) -> DataFrame:
     return events.groupBy("workspace_id", "name").agg(F.count("*").alias("events"))
@@ -39,3 +44,20 @@ def long_form(events: DataFrame) -> DataFrame:
     by_name = event_counts(events).select("workspace_id", F.lit("event").alias("kind"), "name", F.col("events").alias("n"))
     totals = subjects(events).unpivot("workspace_id", ["distinct_subjects", "total_events"], "name", "n")
     return by_name.unionByName(totals.select("workspace_id", F.lit("total").alias("kind"), "name", "n"))
+
+
+def daily_sketches(events: DataFrame, log_size: int = LOG_SIZE) -> DataFrame:
+    """(workspace_id, day, sketch, total_events): a sketch of each day's distinct subjects, to be stored; one partial aggregate by task."""
+    return events.groupBy("workspace_id", day_of(F.col("at")).cast("string").alias("day")).agg(F.hll_sketch_agg("subject_key", log_size).alias("sketch"), F.count("*").alias("total_events"))
+
+
+def sketched_subjects(sketches: DataFrame, period: Column | None = None) -> DataFrame:
+    """(workspace_id, period, distinct_subjects, total_events) of any periods (an expression over ``day``), from stored sketches alone.
+
+    Distinct subjects don't add up over days, sketches do. The estimate's
+    relative standard error is about 1.04 / sqrt(2 ** log_size), 1.6 % by
+    default; ``subjects`` is the exact way.
+    """
+    whole = sketches.withColumn("period", F.lit("all") if period is None else period)
+    out = whole.groupBy("workspace_id", "period").agg(F.hll_union_agg("sketch").alias("s"), F.sum("total_events").alias("total_events"))
+    return out.select("workspace_id", "period", F.hll_sketch_estimate("s").alias("distinct_subjects"), "total_events")

@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilcount.constants import BUDGET, BUDGET_TEXT, EPSILON_PER_QUERY, NO_CONSENT_TEXT, QUANTILES
+from veilcount.constants import BUDGET, BUDGET_TEXT, DOMINANCE_TEXT, EPSILON_PER_QUERY, MAX_CONTRIBUTOR_SHARE, MIN_CONTRIBUTORS, MIN_SUBJECTS, NO_CONSENT_TEXT, QUANTILES, UNKNOWN_METRIC_TEXT
 from veilcount.functions.noise import clamp, generalised, gumbel, laplace, secret_table, uniform
 from veilcount.sources.tables import saved
 
+from .accounting import decisions, one_value_each
 from .cohorts import COHORT, cohort_string, explanation, k_anonymity
 
 KEYS = [*COHORT, "metric"]
@@ -137,6 +139,72 @@ def gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, hea
     return out.join(F.broadcast(head), F.lit(True)).withColumn("provenance_hash", provenance(lo, hi)).drop("head"), suppressed, spends
 
 
+@dataclass(frozen=True)
+class Policy:
+    """What no caller may go below, and how much one workspace may weigh."""
+
+    contributors: int = MIN_CONTRIBUTORS
+    subjects: int = MIN_SUBJECTS
+    share: float = MAX_CONTRIBUTOR_SHARE
+    cap: float = BUDGET
+    most_subjects: int = 10_000
+
+
+def hardened_gate(observations: DataFrame, consented: DataFrame, requests: DataFrame, registry: dict[str, tuple[float, float]], secret: str, nonce: str, policy: Policy, epsilon: float = EPSILON_PER_QUERY, spent: DataFrame | None = None, **limits) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gate with a workspace as what is protected: (releases, suppressions, spends), for the requests in their order.
+
+    Against ``gate``: a workspace counts as one value, whatever it sends;
+    limits may be stricter than the policy and never laxer; what is spent is
+    each workspace's own and the policy's cap holds over all its releases of a
+    period, so nested rungs and other names add up; metrics are those of the
+    ``registry`` (name: bounds); counts are noised before they are generalised,
+    on two of eight parts of epsilon, with a workspace's subjects up to
+    ``most_subjects``; refusals tell a band and no exact number. ``request`` is
+    a number of its own for each row of ``requests``. ``spends`` has
+    (workspace_id, period, epsilon), to be passed on as ``spent``.
+    """
+    spark = observations.sparkSession
+    limits = {"contributors": max(policy.contributors, limits.get("contributors", 0)), "subjects": max(policy.subjects, limits.get("subjects", 0)), "share": min(policy.share, limits.get("share", 1.0))}
+    noise = secret_table(spark, secret, nonce)
+    bounds = spark.createDataFrame([(m, float(lo), float(hi)) for m, (lo, hi) in registry.items()], "metric string, lo double, hi double")
+    asked = requests.join(F.broadcast(bounds), "metric", "left")
+    named = asked.where("lo is not null")
+    pool = observations.join(named.select(*KEYS).distinct(), KEYS, "left_semi").join(consented.select("workspace_id").distinct(), "workspace_id", "left_semi")
+    each = None
+    for lo, hi in sorted(set(registry.values())):
+        some = pool.where(F.col("metric").isin([m for m, b in registry.items() if b == (lo, hi)]))
+        one = one_value_each(some, KEYS, lo, hi)
+        each = one if each is None else each.unionByName(one)
+    each = saved(each)
+    judged = saved(asked.join(k_anonymity(each, KEYS, **limits), KEYS, "left").withColumn("reason", F.when(F.col("lo").isNull(), "unknown_metric").when(F.col("ok").isNull(), "no_consented_observations").otherwise(F.col("reason"))))
+    fit = judged.where("reason is null").select(*KEYS, "request", F.lit(epsilon).alias("epsilon"))
+    granted, spends = decisions(each.join(fit, KEYS).select("request", "workspace_id"), fit, spent, policy.cap)
+    decided = saved(judged.join(granted, "request", "left").withColumn("reason", F.when(F.col("reason").isNull() & ~F.col("granted"), "privacy_budget_exhausted").otherwise(F.col("reason"))))
+    band = generalised(F.col("shortfall"))
+    told = (
+        F.when(F.col("reason") == "unknown_metric", UNKNOWN_METRIC_TEXT).when(F.col("reason") == "no_consented_observations", NO_CONSENT_TEXT).when(F.col("reason") == "privacy_budget_exhausted", BUDGET_TEXT).when(F.col("reason") == "contributor_dominance", DOMINANCE_TEXT)
+        .otherwise(F.concat(F.when(band > 0, F.concat(band.cast("string"), F.lit(" or more"))).otherwise("Fewer than 10"), F.when(F.col("reason") == "too_few_contributors", " comparable apps are missing.").otherwise(" users are missing.")))
+    )
+    suppressed = decided.where("reason is not null").select(*KEYS, "request", "reason", told.alias("explanation"))
+
+    part, keys = epsilon / 8, [*KEYS, "request"]
+    passed = decided.where("reason is null").select(*keys, "population", "lo", "hi")
+    rows = each.join(passed.select(*keys), KEYS)
+    out = None
+    for lo, hi in sorted(set(registry.values())):
+        some = rows.where(F.col("metric").isin([m for m, b in registry.items() if b == (lo, hi)]))
+        both = dp_quantiles(some, keys, noise, part, lo, hi).join(noisy_means(some, keys, noise, part, lo, hi), keys)
+        out = both if out is None else out.unionByName(both)
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_c"), F.sum(F.least("subject_count", F.lit(policy.most_subjects))).alias("_s"))
+    draw = lambda what, scale: laplace(F.lit(scale / part), uniform(*map(F.col, keys), F.lit(what)))
+    noised = counts.join(noise, F.lit(True)).select(*keys, generalised(F.floor(F.col("_c") + draw("contributors", 1) + 0.5)).alias("contributor_count"), generalised(F.floor(F.col("_s") + draw("subjects", policy.most_subjects) + 0.5)).alias("subject_count"))
+    names = [f"p{int(q * 100)}" for q in QUANTILES]
+    out = passed.join(out, keys).join(noised, keys).join(noise, F.lit(True))
+    out = out.select(*keys, "population", "contributor_count", "subject_count", *(F.round(F.element_at("ladder", i + 1), 6).alias(c) for i, c in enumerate(names)), F.round("mean", 6).alias("mean"), F.lit(epsilon).alias("epsilon_spent"), "lo", "hi", "prf")
+    stamp = F.sha2(F.concat(F.col("prf"), F.sha2(F.concat(F.col("prf"), F.concat_ws(" ", "population", cohort_string(), "metric", number(F.col("lo")), number(F.col("hi")), F.col("contributor_count").cast("string"), F.col("subject_count").cast("string"), *(number(F.col(c)) for c in [*names, "mean", "epsilon_spent"]))), 256)), 256)
+    return out.withColumn("stamp", stamp).drop("lo", "hi", "prf"), suppressed, spends
+
+
 def number(c: Column) -> Column:
     """One fixed spelling of a published number, from whole millionths."""
     units = F.round(c * 1_000_000).cast("long")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions import identity, noise, periods, text_rules
-from veilcount.operators import benchmark, cohorts, consent, erasure, insights, metrics, redact, release, settle, validate
+from veilcount.operators import benchmark, cohorts, consent, erasure, incremental, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
 from veilcount.sources import store, tables
 from veilcount.streaming import ingest as stream
+from veilcount.streaming import ledger
 
 LIMITS = {"contributors": 10, "subjects": 100, "share": 0.34}
 #: When the sample's workspaces ask: in June 1998.
@@ -70,6 +72,18 @@ def insights_subjects(s: SparkSession, d: str) -> DataFrame:
     return insights.subjects(fx.app_events(s, d))
 
 
+@query
+def insights_sketched(s: SparkSession, d: str) -> DataFrame:
+    """Distinct subjects by week and over all days from stored daily sketches, beside the exact counts; ``near``: within three standard errors."""
+    e = fx.shop_events(s, d)
+    daily = tables.saved(insights.daily_sketches(e))
+    week = periods.week_label(F.unix_micros(F.col("day").cast("timestamp")))
+    parts = [insights.sketched_subjects(daily), insights.sketched_subjects(daily, week)]
+    exact = [insights.subjects(e.withColumn("workspace_id", F.struct("workspace_id", p.alias("period")))).select("workspace_id.*", F.col("distinct_subjects").alias("exact")) for p in (F.lit("all"), periods.week_label(F.col("at")))]
+    both = _union(parts).join(_union(exact), ["workspace_id", "period"])
+    return both.select("workspace_id", "period", "exact", "total_events", (F.abs(F.col("distinct_subjects") - F.col("exact")) <= F.col("exact") * 0.05 + 1).alias("near"))
+
+
 @query
 def period_labels(s: SparkSession, d: str) -> DataFrame:
     e = fx.shop_events(s, d)
@@ -125,6 +139,21 @@ def rollup_observations(s: SparkSession, d: str) -> DataFrame:
     return app_observations(s, d).withColumn("cohort_key", cohorts.cohort_string())
 
 
+EVENTS = "workspace_id string, event_id string, subject_key string, name string, at long, builder string, purposes array<string>"
+
+
+@query
+def rollup_incremental(s: SparkSession, d: str) -> DataFrame:
+    """Most events first, then a fifth of the users' others, backdated ones among them, then all of these once more."""
+    e = fx.app_events(s, d).select("workspace_id", "event_id", "subject_key", "name", "at", "builder", "purposes")
+    folder = tables.shared_folder(s)
+    kept = incremental.Rollup(s, folder, app_metrics(), store.EventStore(s, f"{folder}/events", StructType.fromDDL(EVENTS)))
+    late = (F.col("subject_key").cast("long") % 5 == 2) & (F.substring("event_id", 2, 20).cast("long") % 3 == 0)
+    for batch, part in enumerate((e.where(~late), e.where(late), e.where(late))):
+        kept.update(batch, part)
+    return kept.observations(fx.app_config(s))
+
+
 @query
 def rollup_shop_observations(s: SparkSession, d: str) -> DataFrame:
     return shop_observations(s, d)
@@ -240,6 +269,33 @@ def gate_second_run(s: SparkSession, d: str) -> DataFrame:
     return again[1].select(*cohorts.COHORT, "metric", "reason").unionByName(again[0].select(*cohorts.COHORT, "metric", F.lit("released").alias("reason")))
 
 
+def hardened(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The gate by workspaces: all verticals' cohorts first, then all verticals together, then a metric that nobody registered."""
+    o = stored(s, market_observations(s, d))
+    rungs = cohorts.ladder(o).where("depth >= 2").select("workspace_id", "metric", "value", "subject_count", *cohorts.COHORT)
+    asked = rungs.select(*cohorts.COHORT, "metric").distinct().unionByName(rungs.select(*cohorts.COHORT, F.lit("return_rate ").alias("metric")).where("vertical = 'any'").distinct())
+    # a number by cohort, narrow ones first; periods are apart from one another
+    order = F.rank().over(Window.partitionBy("period").orderBy(F.col("vertical") == "any", "metric", "vertical"))
+    asked = asked.withColumn("request", F.replace("period", F.lit("-")).cast("long") * 1000 + order)
+    policy = release.Policy(contributors=10, subjects=15, share=0.34, most_subjects=100)
+    return release.hardened_gate(rungs, members(s, d), asked, {m.name: (m.lo, m.hi) for m in market_metrics()}, fx.SECRET, fx.NONCE, policy, epsilon=0.4)
+
+
+@query
+def hardened_releases(s: SparkSession, d: str) -> DataFrame:
+    return hardened(s, d)[0].select(*cohorts.COHORT, "metric", "request", "contributor_count", "p10", "p50", "p90", "mean")
+
+
+@query
+def hardened_suppressions(s: SparkSession, d: str) -> DataFrame:
+    return hardened(s, d)[1]
+
+
+@query
+def hardened_spends(s: SparkSession, d: str) -> DataFrame:
+    return hardened(s, d)[2].select("workspace_id", "period", F.round("epsilon", 6).alias("epsilon"))
+
+
 @query
 def release_provenance(s: SparkSession, d: str) -> DataFrame:
     return gated(s, d)[0].select(*cohorts.COHORT, "metric", "provenance_hash")
@@ -504,6 +560,38 @@ def consent_head(s: SparkSession, d: str) -> DataFrame:
     return consent.ledger_head(consent.append(fx.consent_records(s, d)))
 
 
+@query
+def consent_proofs(s: SparkSession, d: str) -> DataFrame:
+    """Every lane's way to the root, and whether it leads there; one lane's head was changed afterwards."""
+    lanes = consent.heads(consent.append(fx.consent_records(s, d)))
+    nodes = tables.saved(consent.commitments(lanes))
+    proofs = consent.inclusion_proofs(lanes, nodes)
+    shown = lanes.withColumn("head", F.when(F.col("workspace_id") == "ws_5", F.lit("0" * 64)).otherwise(F.col("head")))
+    ok = consent.verified_inclusion(proofs, shown, nodes.where("level = 0").select(F.col("hash").alias("head")))
+    return proofs.join(ok, "workspace_id").select("workspace_id", "level", "prefix", F.array_join("children", "|").alias("children"), "included")
+
+
+@query
+def consent_differences(s: SparkSession, d: str) -> DataFrame:
+    """Lanes that differ between two ledgers of which one was changed, from their trees alone."""
+    trees = []
+    for state in ("granted ", None):
+        r = fx.consent_records(s, d)
+        r = r if state is None else r.withColumn("state", F.when(F.col("workspace_id") == "ws_1", state).otherwise(F.col("state")))
+        trees.append(tables.saved(consent.commitments(consent.heads(consent.append(r)))))
+    return consent.differing_lanes(*trees).select(F.substring_index("child", ":", 1).alias("workspace_id")).distinct()
+
+
+@query
+def stream_ledger(s: SparkSession, d: str) -> DataFrame:
+    """Two runs of one stream with a restart between them: the chain of the batch."""
+    folder, r = tables.shared_folder(s), fx.consent_records(s, d)
+    for part in (r.where(F.col("at") < stream.HALF), r.where(F.col("at") >= stream.HALF)):
+        part.write.mode("append").parquet(f"{folder}/in")
+        ledger.run_ledger(s, s.readStream.schema(r.schema).parquet(f"{folder}/in"), folder)
+    return s.read.parquet(f"{folder}/chain").select("workspace_id", "place", "seq", "hash")
+
+
 @query
 def consent_verify(s: SparkSession, d: str) -> DataFrame:
     """A ledger in which some entries were changed afterwards."""

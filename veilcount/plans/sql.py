@@ -5,7 +5,7 @@
 
 from __future__ import annotations
 
-from veilcount.constants import BUILDERS, CATEGORIES, COUNT_LADDER, DOMINANCE_TEXT, NO_CONSENT_TEXT
+from veilcount.constants import BUDGET_TEXT, BUILDERS, CATEGORIES, COUNT_LADDER, DOMINANCE_TEXT, NO_CONSENT_TEXT, UNKNOWN_METRIC_TEXT
 from veilcount.functions.identity import padded
 from veilcount.sources.fixtures import BUILDER_CYCLE, HOSTS, JURISDICTIONS, NONCE, ROOT, SECRET, VERTICALS, ZONES
 
@@ -83,6 +83,8 @@ def one(events: str, metric: tuple[str, tuple[int, str, str]], starts: tuple[str
 
 ORACLES["insights_event_counts"] = f"WITH {APP} SELECT workspace_id, name, count(*) AS events FROM ev GROUP BY ALL"
 ORACLES["insights_subjects"] = f"WITH {APP} SELECT workspace_id, count(DISTINCT subject_key) AS distinct_subjects, count(*) AS total_events FROM ev GROUP BY ALL"
+ORACLES["insights_sketched"] = f"""WITH {SHOP}, p AS (SELECT workspace_id, subject_key, unnest(['all', strftime(make_timestamp(tus), '{WEEK}')]) AS period FROM ev)
+SELECT workspace_id, period, count(DISTINCT subject_key) AS exact, count(*) AS total_events, true AS near FROM p GROUP BY ALL"""
 ORACLES["period_labels"] = f"WITH {SHOP} SELECT strftime(make_timestamp(tus), '{WEEK}') AS week, strftime(make_timestamp(tus), '{MONTH}') AS month, count(*) AS events FROM ev GROUP BY ALL"
 ORACLES["subject_timelines"] = f"WITH {APP} SELECT workspace_id, subject_key, min(tus) AS first_at, max(tus) AS last_at, count(*) AS events, arg_min(name, (tus, name)) AS first_name FROM ev GROUP BY ALL"
 ORACLES["unanimous_consent"] = f"WITH {APP}, s AS (SELECT workspace_id, subject_key, bool_and(shares) AS consented FROM ev GROUP BY ALL) SELECT workspace_id, consented, count(*) AS subjects FROM s GROUP BY ALL"
@@ -91,6 +93,7 @@ ORACLES["retention_d7"] = one(APP, APP_METRICS[1], (), WEEK)
 ORACLES["conversion_funnel"] = one(APP, APP_METRICS[2], ("view",), WEEK)
 ORACLES["custom_metric_power_users"] = one(APP, ("power_users", (0, "min(start_at['click']) IS NOT NULL", "count(*) >= 10")), ("click",), WEEK)
 ORACLES["rollup_observations"] = f"{APP_OBS} SELECT *, concat_ws('|', builder, vertical, size_bucket, period) AS cohort_key FROM obs"
+ORACLES["rollup_incremental"] = f"{APP_OBS} SELECT * FROM obs"
 ORACLES["rollup_shop_observations"] = f"{SHOP_OBS} SELECT * FROM obs"
 ORACLES["rollup_counters"] = f"""WITH {APP}, s AS (SELECT workspace_id, subject_key, bool_and(shares) AS ok, count(*) AS n FROM ev GROUP BY ALL)
 SELECT workspace_id, CASE WHEN own THEN seen ELSE 0 END AS subjects_seen, CASE WHEN own THEN missing ELSE 0 END AS subjects_without_consent, CASE WHEN own THEN 0 ELSE n END AS foreign_events_dropped
@@ -183,9 +186,16 @@ RECORDS = f"""rec AS (SELECT workspace_id, seq, subject_key, ['product_analytics
 CHAIN = f"""{RECORDS}, lane AS (SELECT *, row_number() OVER (PARTITION BY workspace_id ORDER BY tus, seq) - 1 AS place FROM rec),
 chain AS (SELECT workspace_id, -1::BIGINT AS place, 0::BIGINT AS seq, repeat('0', 64) AS hash FROM lane GROUP BY workspace_id
   UNION ALL SELECT l.workspace_id, l.place, l.seq, sha256(c.hash || '|' || {CANONICAL}) FROM chain c JOIN lane l ON l.workspace_id = c.workspace_id AND l.place = c.place + 1)"""
-HEAD = "head AS (SELECT sha256(coalesce(array_to_string(list_sort(list(workspace_id || ':' || hash)), '|'), '')) AS head FROM (SELECT workspace_id, arg_max(hash, place) AS hash FROM chain GROUP BY 1))"
+_TREE = "lanes AS (SELECT workspace_id, arg_max(hash, place) AS hash FROM chain GROUP BY 1), l4 AS (SELECT substr(sha256(workspace_id), 1, 4) AS prefix, string_agg(workspace_id || ':' || hash, '|' ORDER BY workspace_id || ':' || hash) AS children FROM lanes GROUP BY 1), " + ", ".join(
+    f"l{n} AS (SELECT substr(prefix, 1, {n}) AS prefix, string_agg(prefix || ':' || sha256(children), '|' ORDER BY prefix || ':' || sha256(children)) AS children FROM l{n + 1} GROUP BY 1)" for n in (3, 2, 1, 0)
+)
+HEAD = f"{_TREE}, head AS (SELECT coalesce((SELECT sha256(children) FROM l0), sha256('')) AS head)"
 ORACLES["consent_chain"] = f"WITH RECURSIVE {APP}, {CHAIN} SELECT workspace_id, place, seq, hash FROM chain WHERE place >= 0"
 ORACLES["consent_head"] = f"WITH RECURSIVE {APP}, {CHAIN}, {HEAD} SELECT head FROM head"
+ORACLES["consent_proofs"] = f"""WITH RECURSIVE {APP}, {CHAIN}, {HEAD}
+SELECT workspace_id, level, prefix, children, workspace_id <> 'ws_5' AS included FROM lanes CROSS JOIN range(5) t(level) JOIN ({" UNION ALL ".join(f"SELECT {n} AS level, prefix, children FROM l{n}" for n in range(5))}) USING (level) WHERE prefix = substr(sha256(workspace_id), 1, level::INT)"""
+ORACLES["stream_ledger"] = ORACLES["consent_chain"]
+ORACLES["consent_differences"] = f"WITH {APP}, {RECORDS} SELECT DISTINCT workspace_id FROM rec WHERE workspace_id = 'ws_1'"
 ORACLES["consent_verify"] = f"WITH {APP}, {RECORDS} SELECT workspace_id, CASE WHEN workspace_id = 'ws_1' AND count(*) > 3 THEN 3 END::BIGINT AS broken_at FROM rec GROUP BY workspace_id"
 DECIDED = f"""{RECORDS}, own AS (SELECT *, source NOT IN ('workspace_default', 'regulatory_default') AS o FROM rec),
 mark AS (SELECT *, bool_or(o) OVER w AS chose, max(CASE WHEN o AND state = 'withdrawn' THEN (tus, seq) END) OVER w AS no FROM own WINDOW w AS (PARTITION BY workspace_id, subject_key, purpose)),
@@ -220,6 +230,34 @@ ORACLES["observation_sink"] = f"{SHOP_OBS} SELECT period, count(*) AS observatio
 ORACLES["gate_suppressions"] = f"{gate()} SELECT {_COHORT}, metric, request, reason, CASE WHEN reason = 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' ELSE {_WHY} END AS explanation FROM judged WHERE reason IS NOT NULL"
 
 
+def hardened() -> str:
+    """CTEs granted and held: by vertical first, each metric in turn, then all verticals together, as far as every member has 0.4 of 1 left."""
+    key = f"{_COHORT}, metric"
+    return f"""{MARKET_OBS.replace("WITH ", "WITH RECURSIVE ", 1)}, r0 AS ({rungs("obs", "workspace_id, metric, value, subject_count, ")}), r AS (SELECT * FROM r0 WHERE depth >= 2),
+asked0 AS (SELECT DISTINCT {key} FROM r UNION ALL SELECT DISTINCT {_COHORT}, 'return_rate ' FROM r WHERE vertical = 'any'),
+asked AS (SELECT *, replace(period, '-', '')::BIGINT * 1000 + rank() OVER (PARTITION BY period ORDER BY vertical = 'any', metric, vertical) AS request FROM asked0),
+pool AS (SELECT {key}, workspace_id, sum(greatest(0, least(1, value))::DECIMAL(20,12)::DECIMAL(38,12) * subject_count)::DOUBLE / sum(subject_count) AS value, sum(subject_count) AS subject_count FROM r WHERE workspace_id IN (SELECT workspace_id FROM config WHERE member) GROUP BY ALL),
+v AS ({verdicts("pool", key, 10, 15, 0.34)}),
+fit AS (SELECT asked.*, shortfall, CASE WHEN metric = 'return_rate ' THEN 'unknown_metric' WHEN ok IS NULL THEN 'no_consented_observations' ELSE reason END AS reason FROM asked LEFT JOIN v USING ({key})),
+who AS (SELECT workspace_id, {key}, request FROM pool JOIN fit USING ({key}) WHERE reason IS NULL),
+s2 AS (SELECT workspace_id, period, 400 * count(*) AS used FROM who WHERE vertical <> 'any' GROUP BY ALL),
+a3 AS (SELECT w.period, max(coalesce(used, 0)) + 400 <= 1000 AS yes FROM who w LEFT JOIN s2 USING (workspace_id, period) WHERE vertical = 'any' AND metric = 'activation_rate' GROUP BY 1),
+s3 AS (SELECT workspace_id, period, sum(used) AS used FROM (SELECT * FROM s2 UNION ALL SELECT w.workspace_id, w.period, 400 FROM who w JOIN a3 USING (period) WHERE vertical = 'any' AND metric = 'activation_rate' AND yes) GROUP BY ALL),
+b3 AS (SELECT w.period, max(coalesce(used, 0)) + 400 <= 1000 AS yes FROM who w LEFT JOIN s3 USING (workspace_id, period) WHERE vertical = 'any' AND metric = 'return_rate' GROUP BY 1),
+judged AS (SELECT f.* REPLACE (CASE WHEN f.reason IS NULL AND vertical = 'any' AND NOT coalesce(CASE metric WHEN 'activation_rate' THEN a3.yes ELSE b3.yes END, false) THEN 'privacy_budget_exhausted' ELSE f.reason END AS reason) FROM fit f LEFT JOIN a3 USING (period) LEFT JOIN b3 USING (period)),
+rows_ AS (SELECT pool.*, judged.request FROM pool JOIN judged USING ({key}) WHERE judged.reason IS NULL)"""
+
+
+_HKEYS = f"{_COHORT}, metric, request"
+_NOISED = f"floor(n + {laplace('20.0::DOUBLE', uniform('builder', 'vertical', 'size_bucket', 'period', 'metric', 'request', chr(39) + 'contributors' + chr(39)))} + 0.5)"
+ORACLES["hardened_releases"] = f"""{hardened()}, q AS ({quantiles("rows_", _HKEYS, 0.05)}), m AS ({means("rows_", _HKEYS, 0.05)})
+SELECT {_HKEYS}, {_LADDER.format(n=_NOISED)} AS contributor_count, round(ladder[1], 6) AS p10, round(ladder[3], 6) AS p50, round(ladder[5], 6) AS p90, round(mean, 6) AS mean FROM q JOIN m USING ({_HKEYS})"""
+_BAND = _LADDER.format(n="shortfall")
+ORACLES["hardened_suppressions"] = f"""{hardened()} SELECT {_HKEYS}, reason, CASE reason WHEN 'unknown_metric' THEN '{UNKNOWN_METRIC_TEXT}' WHEN 'no_consented_observations' THEN '{NO_CONSENT_TEXT}' WHEN 'privacy_budget_exhausted' THEN '{BUDGET_TEXT}' WHEN 'contributor_dominance' THEN '{DOMINANCE_TEXT}'
+  ELSE CASE WHEN {_BAND} > 0 THEN ({_BAND})::VARCHAR || ' or more' ELSE 'Fewer than 10' END || CASE reason WHEN 'too_few_contributors' THEN ' comparable apps are missing.' ELSE ' users are missing.' END END AS explanation FROM judged WHERE reason IS NOT NULL"""
+ORACLES["hardened_spends"] = f"{hardened()} SELECT workspace_id, period, count(*) * 0.4::DOUBLE AS epsilon FROM rows_ GROUP BY ALL"
+
+
 def number(c: str) -> str:
     return f"((round({c} * 1000000)::BIGINT // 1000000)::VARCHAR || '.' || lpad((round({c} * 1000000)::BIGINT % 1000000)::VARCHAR, 6, '0'))"
 

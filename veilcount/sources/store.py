@@ -1,7 +1,7 @@
 """Stored events by day of arrival: first writes win, and erasure rewrites only days that hold the subject.
 
-Beside the events lie two Bloom filters for each day, of subjects and of event
-ids. One writer at a time: the sink of a stream, or an erasure between its
+Beside the events lie Bloom filters for each day, of subjects and of event ids
+(rows without an event id have only the first). One writer at a time: the sink of a stream, or an erasure between its
 batches.
 """
 
@@ -23,7 +23,7 @@ SUBJECT, EVENT = ["workspace_id", "subject_key"], ["workspace_id", "event_id"]
 
 @dataclass
 class EventStore:
-    """``schema``: the events' columns, workspace_id, event_id, subject_key and ``at`` (a long, microseconds) among them.
+    """``schema``: the events' columns, workspace_id, subject_key and ``at`` (a long, microseconds) among them.
 
     A day is a folder named by ``day``; ``at`` should be the time of arrival, as
     clients may give any.
@@ -48,6 +48,10 @@ class EventStore:
         found = self._read("events", StructType(self.schema.fields).add("day", "string"))
         return found if days is None else found.where(F.col("day").isin(days))
 
+    @property
+    def kinds(self) -> dict[str, list[str]]:
+        return {n: k for n, k in (("subjects", SUBJECT), ("ids", EVENT)) if set(k) <= set(self.schema.fieldNames())}
+
     def _filter(self, name: str) -> DataFrame:
         return self._read(name, "word long, bitmap binary, day string")
 
@@ -59,7 +63,7 @@ class EventStore:
     def append(self, events: DataFrame) -> None:
         """Adds events as they are. Filters are written first: should the job die in between, they name a day too many and never one too few."""
         rows = events.select(*self.schema.fieldNames(), day_of(F.col(self.at)).cast("string").alias("day"))
-        for name, keys in (("subjects", SUBJECT), ("ids", EVENT)):
+        for name, keys in self.kinds.items():
             filters.summary(rows, "day", keys).write.mode("append").partitionBy("day").parquet(f"{self.path}/{name}")
         rows.write.mode("append").partitionBy("day").parquet(f"{self.path}/events")
 
@@ -74,6 +78,10 @@ class EventStore:
         """Adds the events that aren't stored yet, however often and however late they come again; a batch that is run twice adds nothing the second time."""
         self.append(saved(self.unseen(saved(events))))
 
+    def of_subjects(self, keys: DataFrame) -> DataFrame:
+        """The stored rows of the (workspace_id, subject_key) pairs, from the days that may hold one."""
+        return self.events(self.days_with(keys, SUBJECT)).join(keys.select(*SUBJECT).distinct(), SUBJECT, "left_semi")
+
     def erase(self, keys: DataFrame) -> DataFrame:
         """Deletes all events of the (workspace_id, subject_key) pairs; (day, events_deleted) of the days that were rewritten.
 
@@ -91,11 +99,11 @@ class EventStore:
         stays = saved(self.events(days).join(keys, SUBJECT, "left_anti"))
         self._replace(stays, "events")
         left = {r["day"] for r in stays.select("day").distinct().collect()}
-        for name, kind in (("subjects", SUBJECT), ("ids", EVENT)):
+        for name, kind in self.kinds.items():
             self._replace(filters.summary(stays, "day", kind), name)
         for day in days:
             if day not in left:
-                for name in ("events", "subjects", "ids"):
+                for name in ("events", *self.kinds):
                     files, path = self._folder(f"{name}/day={day}")
                     files.delete(path, True)
         return gone
