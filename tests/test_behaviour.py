@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilcount.functions import identity, noise, periods, text_rules
-from veilcount.operators import benchmark, cohorts, consent, metrics, redact, release, settle, validate
+from veilcount.operators import addresses, benchmark, cohorts, consent, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
 
 DAY = 86_400_000_000
@@ -179,7 +179,7 @@ def test_address_ranges(spark):
     e = spark.createDataFrame([("w1", "e", "10.0.0.1"), ("w2", "e", "10.70.0.1"), ("w1", None, "10.0.0.1"), ("w1", None, "bad"), ("w1", "e", "10.1.0.5")], "workspace_id string, event_id string, ip string")
     base = 10 * 2**24
     ranges = spark.createDataFrame([(base, base + 2**22 - 1, "US"), (base + 2**22, base + 2**23 - 1, "DE"), (base + 2**16, base + 2**16 + 9, "FR")], "first long, last long, country string")
-    got = sorted((r["workspace_id"], r["event_id"] or "", r["country"] or "") for r in validate.country_of_ip(e, ranges).collect())
+    got = sorted((r["workspace_id"], r["event_id"] or "", r["country"] or "") for r in addresses.country_of_ip(e, ranges).collect())
     assert got == [("w1", "", ""), ("w1", "", "US"), ("w1", "e", "FR"), ("w1", "e", "US"), ("w2", "e", "DE")]
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.constants import CASH_CENTS, CONTRIBUTOR_SHARE
+from veilcount.functions.ranks import ranked
 
 from .cohorts import cohort_string
 
@@ -20,7 +21,8 @@ def settle(deals: DataFrame, given: DataFrame, share: float = CONTRIBUTOR_SHARE,
 
     The pool is split by largest remainders in whole numbers: floors first,
     then a cent each to the greatest remainders, ties to the workspace first in
-    binary order. Payouts of nothing are left out.
+    binary order. Payouts of nothing are left out. Remainders are ranked by
+    ranges, so a deal with all workspaces is many tasks' work.
     """
     if not 0 <= share <= 1:
         raise ValueError("share must be within 0 and 1")
@@ -33,8 +35,8 @@ def settle(deals: DataFrame, given: DataFrame, share: float = CONTRIBUTOR_SHARE,
     part = own.join(total, "deal_id").where("pool > 0").withColumn("p", F.col("pool").cast("decimal(19,0)") * F.col("subjects").cast("decimal(19,0)"))
     part = part.withColumn("base", F.expr("p div total").cast("long")).withColumn("left", F.expr(f"cast(p % cast(total as {whole}) as {whole})"))
     extra = part.groupBy("deal_id").agg((F.first("pool") - F.sum("base")).alias("extra"))
-    order = Window.partitionBy("deal_id").orderBy(F.desc("left"), "workspace_id")
-    paid = part.join(extra, "deal_id").withColumn("k", F.row_number().over(order)).withColumn("amount_cents", F.col("base") + (F.col("k") <= F.col("extra")).cast("int"))
+    part = ranked(part, ["deal_id"], [F.desc("left"), F.col("workspace_id")], "k")
+    paid = part.join(extra, "deal_id").withColumn("amount_cents", F.col("base") + (F.col("k") <= F.col("extra")).cast("int"))
     payouts = paid.where("amount_cents > 0").select("deal_id", "workspace_id", "amount_cents", F.when(F.col("amount_cents") >= cash, "cash").otherwise("credit").alias("method"), (F.col("subjects").cast("double") / F.col("total")).alias("share"), F.col("subjects").alias("subject_count"))
     sums = payouts.groupBy("deal_id").agg(F.sum("amount_cents").alias("paid"))
     done = money.join(sums, "deal_id", "left").withColumn("paid", F.coalesce("paid", F.lit(0).cast("long")))

@@ -83,27 +83,6 @@ def first_writes(events: DataFrame, order: str = "ingest_seq", stored: DataFrame
     return events.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def country_of_ip(events: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Adds country (null if unknown) and drops the address.
-
-    ``ranges`` has first and last address as numbers, and country. They are cut
-    into /16 networks with one row each, so that the join is on an equal key,
-    multiplies no event and works on streams. Overlapping ranges: the one that
-    starts last.
-    """
-    part = lambda i: F.try_element_at(F.split("ip", r"\."), F.lit(i)).try_cast("long")
-    octets = [part(i) for i in (1, 2, 3, 4)]
-    number = octets[0] * 16_777_216 + octets[1] * 65_536 + octets[2] * 256 + octets[3]
-    valid = F.col("ip").rlike(r"\A[0-9]{1,3}(\.[0-9]{1,3}){3}\z") & (F.greatest(*octets) < 256)
-    net = F.explode(F.sequence(F.floor(F.col("first") / 65_536), F.floor(F.col("last") / 65_536)))
-    own = F.struct((-F.col("first")).alias("order"), F.col("first").alias("first"), F.col("last").alias("last"), F.col("country").alias("country"))
-    cut = ranges.select(net.alias("_net"), own.alias("r")).groupBy("_net").agg(F.array_sort(F.collect_list("r")).alias("_ranges"))
-    numbered = events.withColumn("_ip", F.when(valid, number)).withColumn("_net", F.floor(F.col("_ip") / 65_536))
-    hit = numbered.join(cut, "_net", "left")
-    found = F.get(F.filter("_ranges", lambda r: F.col("_ip").between(r["first"], r["last"])), F.lit(0))
-    return hit.withColumn("country", found["country"]).drop("ip", "_ip", "_net", "_ranges")
-
-
 def screened_events(events: DataFrame) -> DataFrame:
     """(event_id, field, category, value) for every match of a name, a property key or a text property."""
     kinds = F.expr("map_entries(coalesce(try_cast(try_parse_json(properties) as map<string, variant>), map()))")

@@ -8,7 +8,7 @@ from pyspark.sql.types import StructType
 
 from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions import identity, noise, periods, text_rules
-from veilcount.operators import benchmark, cohorts, consent, erasure, incremental, insights, metrics, redact, release, settle, validate
+from veilcount.operators import addresses, benchmark, cohorts, consent, erasure, incremental, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
 from veilcount.sources import store, tables
 from veilcount.streaming import ingest as stream
@@ -426,7 +426,16 @@ def ip_country(s: SparkSession, d: str) -> DataFrame:
     """Event ids come twice, in two workspaces with other addresses, and some are missing."""
     e = fx.raw_events(s, d).select("workspace_id", F.nullif("event_id", F.lit("")).alias("event_id"), "ip", "ingest_seq")
     other = e.select(F.lit("other").alias("workspace_id"), "event_id", F.concat_ws(".", F.lit("10"), ((F.col("ingest_seq") + 70) % 200).cast("string"), F.lit("0.1")).alias("ip"), "ingest_seq")
-    return validate.country_of_ip(e.unionByName(other), fx.geo(s)).select("workspace_id", "event_id", "country")
+    return addresses.country_of_ip(e.unionByName(other), fx.geo(s)).select("workspace_id", "event_id", "country")
+
+
+@query
+def ip_ranges(s: SparkSession, d: str) -> DataFrame:
+    """Events' addresses of both families among ranges that overlap."""
+    i = F.col("event_id")
+    number = 10 * 16_777_216 + (i * 13 % 200) * 65_536 + (i * 977 % 65_536)
+    e = fx.table(s, d, "events").select("event_id", fx.as_address(number, i % 3 == 0).alias("ip"))
+    return addresses.country_of_ip(e, fx.nested_ranges(s, d)).select("event_id", "country")
 
 
 @query

@@ -320,6 +320,9 @@ ORACLES["reject_tally"] = f"WITH {RAW} SELECT workspace_id, coalesce(reason, 'ac
 ORACLES["dominant_builder"] = f"WITH {RAW}, n AS (SELECT workspace_id, clean AS builder, count(*) AS n FROM checked WHERE workspace_id <> '' GROUP BY ALL) SELECT workspace_id, coalesce(first(builder ORDER BY n DESC, builder) FILTER (WHERE builder <> 'unknown'), 'unknown') AS builder FROM n GROUP BY workspace_id"
 _COUNTRY = "CASE WHEN {o} < 64 THEN 'US' WHEN {o} < 128 THEN 'DE' WHEN {o} < 150 THEN 'FR' END"
 ORACLES["ip_country"] = f"WITH {RAW} SELECT workspace_id, nullif(event_id, '') AS event_id, {_COUNTRY.format(o='octet')} AS country FROM raw UNION ALL SELECT 'other', nullif(event_id, ''), {_COUNTRY.format(o='((octet + 70) % 200)')} FROM raw"
+ORACLES["ip_ranges"] = """WITH r AS (SELECT c_custkey % 2 = 1 AS six, 167772160 + (c_custkey * 7919 % 200) * 65536 + c_custkey * 31 % 65536 AS low, (2 ** (c_custkey % 21))::BIGINT AS size, 'C' || c_nationkey AS country FROM customer),
+e AS (SELECT event_id, event_id % 3 = 0 AS six, 167772160 + (event_id * 13 % 200) * 65536 + event_id * 977 % 65536 AS n FROM events)
+SELECT event_id, arg_max(country, (low, -size, -k)) AS country FROM e LEFT JOIN (SELECT *, rank() OVER (ORDER BY country) AS k FROM r) r ON r.six = e.six AND n BETWEEN low AND low + size - 1 GROUP BY event_id"""
 ORACLES["authorised_events"] = f"WITH {APP} SELECT CASE WHEN vertical = 'marketplace' THEN 'unauthorized' ELSE workspace_id END AS outcome, count(*) AS events FROM ev JOIN config USING (workspace_id) GROUP BY ALL"
 ORACLES["dedupe_events"] = f"WITH {RAW} SELECT name, count(DISTINCT (workspace_id, event_id)) AS events FROM raw WHERE event_id <> '' GROUP BY ALL"
 ORACLES["builder_from_host"] = f"""WITH h AS (SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) || {cycle(HOSTS, "page_id")} AS h FROM pages)

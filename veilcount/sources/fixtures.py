@@ -119,6 +119,22 @@ def geo(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(base + a * 65_536, base + b * 65_536 - 1, c) for a, b, c in cuts], "first long, last long, country string")
 
 
+def as_address(number: Column, six: Column) -> Column:
+    """A number of 32 bits as a text of IPv4, or in the last bytes of one of IPv6."""
+    part = lambda shift: F.shiftrightunsigned(number, shift).bitwiseAND(F.lit(255)).cast("string")
+    words = F.concat(F.lit("2001:db8::"), F.lower(F.hex(F.shiftrightunsigned(number, 16))), F.lit(":"), F.lower(F.hex(number.bitwiseAND(F.lit(65_535)))))
+    return F.when(six, words).otherwise(F.concat_ws(".", part(24), part(16), part(8), part(0)))
+
+
+def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A range for each customer, of one address to a million, within and across one another; every second of IPv6."""
+    c = table(spark, sf_dir, "customer")
+    k = F.col("c_custkey").cast("long")
+    first = (10 * 16_777_216 + (k * 7919 % 200) * 65_536 + (k * 31 % 65_536)).alias("first")
+    size = F.pow(F.lit(2), k % 21).cast("long")
+    return c.select(as_address(first, k % 2 == 1).alias("first"), as_address(first + size - 1, k % 2 == 1).alias("last"), F.concat(F.lit("C"), F.col("c_nationkey").cast("string")).alias("country"))
+
+
 def consent_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signups as decisions, in the order of time: every seventh withdraws."""
     e = app_events(spark, sf_dir).where("name = 'signup'").withColumn("seq", F.substring("event_id", 2, 20).cast("long"))

@@ -21,7 +21,7 @@ from pyspark.sql.types import StructType
 from veilcount.constants import DAY_US
 from veilcount.functions import identity
 from veilcount.functions.text_rules import categories
-from veilcount.operators import consent, redact, validate
+from veilcount.operators import addresses, consent, redact, validate
 from veilcount.sources.store import EventStore
 from veilcount.sources.tables import shared_folder
 
@@ -32,7 +32,7 @@ HALF = 1_705_363_200_000_000
 
 @dataclass(frozen=True)
 class Known:
-    """What ingest looks up: keys (api_key, workspace_id), the consent records on anchors, address ranges, and the root secret."""
+    """What ingest looks up: keys (api_key, workspace_id), the consent records on anchors, address ranges or their nodes, and the root secret."""
 
     keys: DataFrame
     records: DataFrame
@@ -61,7 +61,7 @@ def judged(raw: DataFrame, known: Known, asof: str | None = None) -> DataFrame:
     texts = F.concat(F.array("name"), F.transform(bag, lambda e: e["key"]), F.transform(bag, lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit(""))))
     found = F.flatten(F.transform(texts, categories))
     narrow = validate.restrict_sensitive(validate.restrict_opt_out(F.col("purposes"), F.col("opt_out")), found)
-    return validate.country_of_ip(validate.rejected_without_analytics(allowed.withColumn("purposes", narrow)), known.ranges)
+    return addresses.country_of_ip(validate.rejected_without_analytics(allowed.withColumn("purposes", narrow)), known.ranges)
 
 
 def clean_stream(raw: DataFrame, known: Known, arrival: str = "arrival", delay: str = "1 hour") -> DataFrame:
@@ -132,7 +132,7 @@ def _run(spark: SparkSession, sf_dir: str, build, close: bool = False) -> DataFr
 def sample_knowledge(spark: SparkSession, sf_dir: str) -> Known:
     from veilcount.sources import fixtures as fx
 
-    return Known(fx.api_keys(spark), consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT), fx.geo(spark), fx.ROOT)
+    return Known(fx.api_keys(spark), consent.from_decisions(fx.decisions(spark, sf_dir), fx.ROOT), addresses.address_nodes(fx.geo(spark)), fx.ROOT)
 
 
 def ingest_once(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,8 +154,9 @@ def stored_once(spark: SparkSession, sf_dir: str) -> EventStore:
     store = EventStore(spark, f"{folder}/store", StructType.fromDDL(CLEAN), "arrival_us")
 
     def known() -> Known:
-        return Known(fx.api_keys(spark), spark.read.schema(ledger).parquet(f"{folder}/ledger"), fx.geo(spark), fx.ROOT)
+        return Known(fx.api_keys(spark), spark.read.schema(ledger).parquet(f"{folder}/ledger"), ranges, fx.ROOT)
 
+    ranges = addresses.address_nodes(fx.geo(spark))
     late = raw.where("ingest_seq % 3 = 0").withColumns({"arrival_us": F.col("arrival_us") + 30 * DAY_US, "name": F.lit("late_copy")})
     for i, part in enumerate((raw.where(F.col("arrival_us") < HALF), raw.where(F.col("arrival_us") >= HALF), late)):
         if i == 1:
