@@ -10,7 +10,7 @@ from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions import identity, noise, periods, text_rules
 from veilcount.operators import addresses, benchmark, cohorts, consent, erasure, incremental, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
-from veilcount.sources import store, tables
+from veilcount.sources import raw, store, tables
 from veilcount.streaming import ingest as stream
 from veilcount.streaming import ledger
 
@@ -454,6 +454,29 @@ def ingest_outcomes(s: SparkSession, d: str) -> DataFrame:
     return out.groupBy("workspace_id", F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count("*").alias("events"))
 
 
+@query
+def raw_requests(s: SparkSession, d: str) -> DataFrame:
+    """Request lines read in a batch and from a stream: events by user, and what went to quarantine, by reason."""
+    folder = tables.shared_folder(s)
+    fx.request_lines(s, d).write.text(f"{folder}/lines")
+
+    def parts(lines: DataFrame) -> dict[str, DataFrame]:
+        asked = raw.requests(lines)
+        events = raw.events_of(asked)
+        return {"events": events.where("reason is null").drop("event"), "lines_refused": raw.refused_lines(asked), "events_refused": raw.refused_events(events)}
+
+    batch, streamed = parts(raw.lines(s, f"{folder}/lines")), {}
+    for name, rows in parts(raw.line_stream(s, f"{folder}/lines")).items():
+        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state/{name}").option("path", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
+        streamed[name] = s.read.schema(rows.schema).parquet(f"{folder}/{name}")
+    tallies = []
+    for way, found in (("batch", batch), ("stream", streamed)):
+        used = found["events"].groupBy("identifier", "opt_out").agg(F.count("*").alias("n"), F.sum(F.get_json_object("properties", "$.n").cast("long")).alias("total"))
+        gone = found["lines_refused"].unionByName(found["events_refused"]).groupBy("reason").agg(F.count("*").alias("n"))
+        tallies += [used.select(F.lit(way).alias("way"), F.col("identifier").alias("what"), "opt_out", "n", "total"), gone.select(F.lit(way).alias("way"), F.col("reason").alias("what"), F.lit(None).cast("boolean").alias("opt_out"), "n", F.lit(None).cast("long").alias("total"))]
+    return _union(tallies)
+
+
 @query
 def findings_report(s: SparkSession, d: str) -> DataFrame:
     c = fx.table(s, d, "conversations")

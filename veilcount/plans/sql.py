@@ -450,3 +450,10 @@ ORACLES["consent_as_of"] = f"""WITH {_SAID}, wa AS ({_WORDS_BY.format("said", "p
 e AS (SELECT event_id, 'ws_' || (user_id % 12) AS workspace_id, 'user-' || user_id AS identifier, epoch_us(ts) AS tus FROM events)
 SELECT event_id, concat_ws(',', CASE WHEN coalesce(a.yes, true) THEN 'product_analytics' END, CASE WHEN coalesce(b.yes, true) THEN 'benchmark_contribution' END) AS purposes FROM e
   ASOF LEFT JOIN wa a ON a.workspace_id = e.workspace_id AND a.identifier = e.identifier AND e.tus >= a.tus ASOF LEFT JOIN wb b ON b.workspace_id = e.workspace_id AND b.identifier = e.identifier AND e.tus >= b.tus"""
+
+ORACLES["raw_requests"] = """WITH e AS (SELECT *, day(ts) AS d, user_id + day(ts) AS m FROM events), b AS (SELECT DISTINCT user_id, d, m FROM e),
+kind AS (SELECT *, CASE WHEN m % 17 = 0 THEN 'malformed_json' WHEN m % 19 = 0 THEN 'not_an_object' WHEN m % 23 = 0 THEN 'no_events' WHEN m % 29 = 0 THEN 'event_not_an_object' END AS reason FROM b),
+used AS (SELECT 'user-' || user_id AS what, user_id % 11 = 0 AS opt_out, count(*) AS n, sum(event_id)::BIGINT AS total FROM e JOIN kind USING (user_id, d) WHERE reason IS NULL OR reason = 'event_not_an_object' GROUP BY ALL),
+gone AS (SELECT reason AS what, sum(CASE reason WHEN 'event_not_an_object' THEN 2 ELSE 1 END)::BIGINT AS n FROM kind WHERE reason IS NOT NULL GROUP BY 1
+  UNION ALL SELECT 'batch_too_large', count(*) FROM b WHERE d = 1 AND user_id % 3 = 0 HAVING count(*) > 0)
+SELECT way, what, opt_out, n, total FROM (SELECT what, opt_out, n, total FROM used UNION ALL SELECT what, NULL, n, NULL FROM gone) CROSS JOIN (VALUES ('batch'), ('stream')) t(way)"""

@@ -126,6 +126,21 @@ def as_address(number: Column, six: Column) -> Column:
     return F.when(six, words).otherwise(F.concat_ws(".", part(24), part(16), part(8), part(0)))
 
 
+def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as requests, by user and day; some lines are cut off, some hold no list or no object, and one for each third user has too many events."""
+    e = table(spark, sf_dir, "events")
+    day = F.dayofmonth("ts")
+    event = F.struct(F.concat(F.lit("e"), F.col("event_id").cast("string")).alias("event_id"), F.col("event_type").alias("name"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("occurred_at"), F.concat(F.lit("user-"), F.col("user_id").cast("string")).alias("identifier"), F.struct(F.col("event_id").alias("n")).alias("properties"))
+    body = e.groupBy("user_id", day.alias("day")).agg(F.sort_array(F.collect_list(event)).alias("events"))
+    key = F.concat(F.lit("key-"), (F.col("user_id") % 12).cast("string")).alias("api_key")
+    good = F.to_json(F.struct(key, (F.col("user_id") % 11 == 0).alias("opt_out"), "events"))
+    n = F.col("user_id") + F.col("day")
+    line = F.when(n % 17 == 0, F.expr("left(line, length(line) - 2)")).when(n % 19 == 0, F.lit('["no", "object"]')).when(n % 23 == 0, F.lit('{"api_key": "key-1", "events": 7}')).when(n % 29 == 0, F.replace("line", F.lit('"events":['), F.lit('"events":[null,"text",'))).otherwise(F.col("line"))
+    few = body.withColumn("line", good).select(line.alias("value"))
+    large = body.where("day = 1 and user_id % 3 = 0").select(F.to_json(F.struct(key, F.array_repeat(F.element_at("events", 1), 501).alias("events"))).alias("value"))
+    return few.unionByName(large)
+
+
 def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range for each customer, of one address to a million, within and across one another; every second of IPv6."""
     c = table(spark, sf_dir, "customer")
