@@ -39,18 +39,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from .rolling import Roller, U, mix, select_seeds, window_starts
-from .shared import give_back
+from .shared import give_back, saved
 
 #: Window starts handled at once: their temporaries stay in a core's cache.
 BLOCK = 1 << 17
 #: Partitions and buckets at most, so that a chunk sends a bounded number of records.
 MOST_TASKS = 1 << 16
+#: Cuts between ranges of doc_id that travel with the plan.
+RANGES = 4096
 NO_ID = np.iinfo(np.int64).max
 MARK = U(0)
 
@@ -329,28 +331,48 @@ def send_windows(spec: Windows, buckets: int) -> Callable[[pa.Table, pa.Table],
     return job
 
 
-def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Table, list[np.ndarray]], pa.Table], schema: StructType) -> DataFrame:
-    """``report(chunk, rows, covered)`` for every chunk, where ``covered[d]`` marks the symbols of document d that a late window covers.
+def chunk_numbers(docs: DataFrame, chunk_bytes: int) -> tuple[Column, int]:
+    """The number of a document's chunk, in the order of doc_id, and how many there are.
 
-    ``docs`` has doc_id (any whole number, or null: last), text (null: empty)
-    and further columns for the report, but none named chunk.
+    Cuts are made where so many bytes of text lie before, so that short and
+    long documents may stand in any order: a chunk has ``chunk_bytes`` and one
+    document more at most. Beyond ``RANGES`` chunks the ranges between cuts are
+    split evenly by doc_id. Rows of one doc_id, and those without, stay together.
     """
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     place = F.coalesce(F.col("doc_id"), F.lit(NO_ID))
-    total = docs.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    n = max(1, -(-total // spec.chunk_bytes))
-    ranges = min(n, 4096)
+    sizes = docs.groupBy(place.alias("place")).agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1).alias("size"))
+    sizes = saved(sizes.repartitionByRange("place").withColumn("part", F.spark_partition_id()))
+    # a row for each task
+    sums = dict(sorted((r["part"], r["b"]) for r in sizes.groupBy("part").agg(F.sum("size").alias("b")).collect()))
+    total = max(1, sum(sums.values()))
+    n = -(-total // chunk_bytes)
+    ranges = min(n, RANGES)
     parts = -(-n // ranges)
-    cuts = docs.agg(F.percentile_approx(place, [i / ranges for i in range(ranges + 1)], 100 * ranges + 1000).alias("q")).first()["q"] or [0, 0]
-    edges = np.array(sorted(set(cuts)), np.float64)
-    n = max(1, len(edges) - 1) * parts
+    before = np.cumsum([0, *sums.values()])[:-1].tolist()
+    offsets = docs.sparkSession.createDataFrame(list(zip(sums, before, strict=True)), "part int, before long")
+    so_far = F.sum("size").over(Window.partitionBy("part").orderBy("place"))
+    slot = F.floor((F.col("before") + so_far - F.col("size")).cast("double") / F.lit(float(total)) * F.lit(float(ranges)))
+    # RANGES rows at most
+    starts = [r["p"] for r in sizes.join(F.broadcast(offsets), "part").select("place", slot.alias("slot")).groupBy("slot").agg(F.min("place").alias("p")).collect()]
+    last_id = sizes.agg(F.max("place")).first()[0]
+    edges = np.array(sorted({*starts, *([last_id] if parts > 1 and starts else [])}) or [0], np.float64)
 
     # no Python here, so that the stage that deals the documents has no worker beside the chunks' own
-    x, last = place.cast("double"), max(0, len(edges) - 2)
+    x, last = place.cast("double"), max(0, len(edges) - (2 if parts > 1 else 1))
     at = F.least(F.greatest(F.size(F.filter(F.lit(edges), lambda e: e <= x)) - 1, F.lit(0)), F.lit(last))
     low, high = F.get(F.lit(edges), at), F.get(F.lit(edges), F.least(at + 1, F.lit(len(edges) - 1)))
     within = F.least(F.greatest((x - low) / F.greatest(high - low, F.lit(1.0)) * parts, F.lit(0.0)), F.lit(parts - 1.0))
-    chunk_of = at.cast("long") * parts + F.floor(within)
+    return at.cast("long") * parts + F.floor(within), (last + 1) * parts
+
+
+def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Table, list[np.ndarray]], pa.Table], schema: StructType) -> DataFrame:
+    """``report(chunk, rows, covered)`` for every chunk, where ``covered[d]`` marks the symbols of document d that a late window covers.
+
+    ``docs`` has doc_id (any whole number, or null: last), text (null: empty)
+    and further columns for the report, but none named chunk.
+    """
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
+    chunk_of, n = chunk_numbers(docs, spec.chunk_bytes)
 
     # beyond so many, a task has several chunks, and a bucket more keys
     tasks = min(int(n), MOST_TASKS)
