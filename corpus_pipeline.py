@@ -35,11 +35,16 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document of least doc_id stays; rows without doc_id stay too."""
+    """Of each class of near duplicates the document of least doc_id stays; rows without doc_id stay too.
+
+    Rows that repeat a doc_id are one document (all that is near to either is in
+    its class): of equal ones a single row stays, and rows of one doc_id with
+    other texts stay beside one another.
+    """
     stay = saved(near_duplicates(docs).where("doc_id = class_id").select(F.col("doc_id").alias("stays")).distinct())
     packed = docs.select("doc_id", "text", pack(docs.columns))
     named = packed.where("doc_id is not null").join(stay, F.col("doc_id") == F.col("stays"), "left_semi")
-    one = named.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))).where("copy = 1").drop("copy")
+    one = named.withColumn("copy", F.row_number().over(Window.partitionBy("doc_id", "text").orderBy("doc_id"))).where("copy = 1").drop("copy")
     return one.unionByName(packed.where("doc_id is null")).select(*unpack(docs.columns))
 
 
