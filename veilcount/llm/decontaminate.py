@@ -28,8 +28,6 @@ LOSSLESS = {
     (7, 1): ("11111", "111101", "110111"),
     (5, 1): ("1111", "11101", "11011", "10111"),
 }
-#: The seeds of OP8_SQL, which are not lossless.
-MASKS = ("111010011", "110110101")
 #: Tokens of the run that is judged (or the whole item, if shorter), and the share of them that must agree.
 RUN = 13
 SHARE = 0.8
@@ -116,20 +114,18 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(docs, benchmark)
 
 
-_AT = [[i for i, x in enumerate(m) if x == "1"] for m in MASKS]
 _TOKENS = r"list_filter(regexp_split_to_array(lower({t}.text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 
 
-def _sql_seeds(table: str, key: str) -> str:
-    return " UNION ALL ".join(f"SELECT {key}, i AS at, [{', '.join([repr(str(k)), *(f't[i + {o + 1}]' for o in at)])}] AS seed FROM (SELECT {key}, t, unnest(range(0, len(t) - {len(MASKS[k]) - 1})) AS i FROM {table} WHERE len(t) >= {len(MASKS[k])})" for k, at in enumerate(_AT))
-
-
+#: The rule itself: where so many of a run's tokens agree, the substitutions leave at least one stretch of g equal tokens
+#: between them, g being the agreeing tokens dealt over the stretches; all diagonals with such a stretch are compared.
 OP8_SQL = f"""
 WITH d AS (SELECT doc_id, {_TOKENS.format(t="documents")} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-b AS (SELECT item_id, {_TOKENS.format(t="benchmark")} AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+b AS (SELECT item_id, t, need, ceil(need / (least({RUN}, len(t)) - need + 1))::INT AS g FROM (SELECT *, ceil(least({RUN}, len(t)) * {SHARE} - 1e-9)::INT AS need FROM (SELECT item_id, {_TOKENS.format(t="benchmark")} AS t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL) WHERE len(t) > 0)),
+x AS (SELECT doc_id, g, i AS at, array_to_string(t[i + 1 : i + g], ' ') AS gram FROM (SELECT doc_id, g, t, unnest(range(0, len(t) - g + 1)) AS i FROM d, (SELECT DISTINCT g FROM b))),
+y AS (SELECT item_id, g, i AS at, array_to_string(t[i + 1 : i + g], ' ') AS gram FROM (SELECT item_id, g, t, unnest(range(0, len(t) - g + 1)) AS i FROM b)),
 hits AS (
-  SELECT DISTINCT doc_id, item_id, x.at - y.at AS shift
-  FROM ({_sql_seeds("d", "doc_id")}) x JOIN ({_sql_seeds("b", "item_id")}) y USING (seed)
+  SELECT DISTINCT doc_id, item_id, x.at - y.at AS shift FROM x JOIN y USING (g, gram)
 ), same AS (
   SELECT doc_id, item_id, shift, least({RUN}, len(b.t)) AS run,
     list_transform(range(0, len(b.t)), lambda j: CASE WHEN j + shift >= 0 AND j + shift < len(d.t) AND d.t[j + shift + 1] = b.t[j + 1] THEN 1 ELSE 0 END) AS e
