@@ -412,10 +412,34 @@ def test_carried_columns_with_the_names_of_outputs(spark):
         assert {r["doc_id"]: [r[f"{n}_given"] for n in names] + [r["chunk"], r["carried"]] for r in out.collect()} == {1: ["a"] * (len(names) + 2), 2: ["b"] * (len(names) + 2)}
 
 
-def test_large_vectors_are_refused(spark):
-    df = spark.createDataFrame([(1, [2**40]), (2, [2**40])], "vec_id long, vector array<long>")
-    with pytest.raises(ValueError):
-        top_k.exact_top_k(df, F.lit(True))
+@pytest.mark.parametrize("block", [256, 3])
+def test_products_beyond_64_bits(spark, monkeypatch, block):
+    monkeypatch.setattr(top_k, "LARGE", block)
+    random.seed(17)
+    big = (2.0**40, -(2.0**40), 1e300, -1e300, 2.0**31, 2.0**62, 7e18)
+    rows = [(i, [float(random.randint(-9, 9)) for _ in range(random.choice((2, 3)))]) for i in range(40)]
+    rows += [(i, [random.choice((*big, float(random.randint(-5, 5)))) for _ in range(3)]) for i in range(40, 60)] + [(50, [1.0, 2.0, 3.0]), (7, [2.0**40, 1.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, vector array<double>").repartition(3)
+    got = {}
+    for r in top_k.exact_top_k(df, F.col("vec_id") % 2 == 0, k=4).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    whole = [(i, [int(x) for x in v]) for i, v in rows]
+    asks = {}
+    for i, v in rows:
+        if i % 2 == 0:
+            asks[i] = min(asks.get(i, v), v)
+    for q, v in asks.items():
+        own = [int(x) for x in v]
+        best = sorted((-sum(a * b for a, b in zip(own, w, strict=False)), i) for i, w in whole if i != q)[:4]
+        assert sorted(got[q]) == [(n + 1, i, min(2**63 - 1, max(-(2**63), -s))) for n, (s, i) in enumerate(best)]
+
+
+def test_one_huge_vector_leaves_the_query_running(spark):
+    rows = [(i, [i / 7, 1.0, -0.5]) for i in range(60)] + [(60, [3e38, 1.0, 0.0]), (61, [1e308, 0.0, 0.0])]
+    df = top_k.quantised(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    got = top_k.exact_top_k(df, F.col("vec_id") % 50 == 0).collect()
+    assert {(r["query_id"], r["rank"], r["vec_id"]) for r in got if r["query_id"] == 50 and r["rank"] < 3} == {(50, 1, 61), (50, 2, 60)}
+    assert max(r["score"] for r in got) == 2**63 - 1
 
 
 def test_queries_of_models_and_segmentations(spark):

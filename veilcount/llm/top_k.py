@@ -14,6 +14,8 @@ taken.
 
 from __future__ import annotations
 
+import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,6 +31,9 @@ BLOCK = 4096
 #: Queries that meet one block at a time.
 QUERIES = 4096
 ABSENT = -(1 << 62)
+#: Rows and queries of a block where vectors are too large for 64 bits, and a number beyond all their products.
+LARGE, MIDDLE = 256, 3 << 2300
+MOST = float(np.finfo(float).max)
 
 
 @dataclass
@@ -159,19 +164,79 @@ def exact_top_k(vectors: DataFrame, query: Column, k: int = 5, key: str = "vec_i
     each (never for a query of the same key); a key that is a query more than
     once asks with its least vector. Vectors of unequal length are compared as
     if the shorter went on with zeros. Other columns are left out. Vectors so
-    large that a product might not fit into 64 bits are refused with an error.
-    An empty table gives an empty result.
+    large that a product might not fit into 64 bits meet the others in blocks,
+    in Python's integers; they are ranked by their exact products, and a score
+    beyond 64 bits is shown as the nearest that fits. An empty table gives an
+    empty result.
     """
     spark = vectors.sparkSession
-    rows = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), query.alias("asks")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
-    largest = F.max(F.array_max(F.transform("v", lambda x: F.abs(x.cast("double")))))
-    width, most = (x or 0 for x in rows.agg(F.max(F.size("v")), largest).first())
-    if width * most * most >= 2**63:
-        raise ValueError("inner products of these vectors don't fit into 64 bits")
-    schema = "query_id long, rank int, vec_id long, score long"
+    rows = vectors.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v"), query.alias("asks")).where(F.col("id").isNotNull() & F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull()))
+    size = F.coalesce(F.array_max(F.transform("v", F.abs)), F.lit(0.0))
+    width, most = (x or 0 for x in rows.agg(F.max(F.size("v")), F.max(size)).first())
+    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
+    limit = math.isqrt((1 << 62) // max(1, width))
+    if most <= limit:
+        found = searched(whole(rows), whole(asking), width, k)
+        order = [F.desc("score"), F.col("vec_id")]
+    else:
+        large = size > limit
+        found = None
+        for part in (searched(whole(rows.where(~large)), whole(asking.where(~large)), width, k), in_blocks(asking, rows.where(large), width, k), in_blocks(asking.where(large), rows.where(~large), width, k)):
+            if part is not None:
+                part = part if "beyond" in part.columns else part.withColumn("beyond", F.lit(None).cast("string"))
+                found = part if found is None else found.unionByName(part)
+        order = [F.desc("score"), F.desc_nulls_last("beyond"), F.col("vec_id")]
+    if found is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    w = Window.partitionBy("query_id").orderBy(*order)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def whole(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("v", F.transform("v", lambda x: x.cast("long")))
+
+
+def in_blocks(asking: DataFrame, data: DataFrame, width: int, k: int) -> DataFrame | None:
+    """(query_id, vec_id, score, beyond): the k best of each query within each block of rows, compared one by one.
+
+    ``beyond`` orders the scores that don't fit into 64 bits.
+    """
+    sizes = [x.count() for x in (asking, data)]
+    if not all(sizes):
+        return None
+    groups, blocks = (-(-n // LARGE) for n in sizes)
+    salt = lambda n: F.pmod(F.xxhash64("id", "v"), n).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asking.select(salt(groups).alias("g"), each(blocks).alias("b"), "id", "v", F.lit(True).alias("asks"))
+    right = data.select(each(groups).alias("g"), salt(blocks).alias("b"), "id", "v", F.lit(False).alias("asks"))
+
+    def exact(lists: list[list[float]]) -> np.ndarray:
+        # every double of 2**52 or more is a whole number
+        return np.array([[int(x) for x in v] + [0] * (width - len(v)) for v in lists], object).reshape(-1, width)
+
+    def search(table: pa.Table) -> pa.Table:
+        asks, ids = np.asarray(table["asks"].combine_chunks()), np.asarray(table["id"]).astype(np.int64)
+        v = exact(table["v"].to_pylist())
+        out = []
+        for i in np.flatnonzero(asks):
+            near = np.flatnonzero(~asks & (ids != ids[i]))
+            scores = v[near] @ v[i] if len(near) else []
+            for s, other in heapq.nsmallest(k, ((-s, int(ids[j])) for s, j in zip(scores, near, strict=True))):
+                beyond = f"{MIDDLE - s:x}" if not -(2**63) < -s < 2**63 else None
+                out.append((int(ids[i]), other, min(2**63 - 1, max(-(2**63), -s)), beyond))
+        columns = list(zip(*out, strict=True)) or [()] * 4
+        kinds = {"query_id": pa.int64(), "vec_id": pa.int64(), "score": pa.int64(), "beyond": pa.string()}
+        return pa.table({c: pa.array(x, t) for (c, t), x in zip(kinds.items(), columns, strict=True)})
+
+    return left.unionByName(right).groupBy("b", "g").applyInArrow(search, "query_id long, vec_id long, score long, beyond string")
+
+
+def searched(rows: DataFrame, asking: DataFrame, width: int, k: int) -> DataFrame | None:
+    """(query_id, vec_id, score): the k best of each query in each block of the leaves that may hold one; None without a pair."""
+    spark = rows.sparkSession
     sample = rows.orderBy(F.xxhash64("id"), "id").select("id", "v").limit(SAMPLE).toArrow()
     if not sample.num_rows:
-        return spark.createDataFrame([], schema)
+        return None
     sample_ids = np.asarray(sample["id"]).astype(np.int64)
     points = matrix(sample["v"], width)
     by_id = np.argsort(sample_ids, kind="stable")
@@ -198,7 +263,6 @@ def exact_top_k(vectors: DataFrame, query: Column, k: int = 5, key: str = "vec_i
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(low, pa.int64())], [*b.schema.names, "low"])
 
     data = rows.select("id", "v").mapInArrow(place, "id long, v array<bigint>, leaf int, span double")
-    asking = rows.where("asks").groupBy("id").agg(F.min("v").alias("v"))
     asking = asking.mapInArrow(place, "id long, v array<bigint>, leaf int, span double").mapInArrow(first_bound, "id long, v array<bigint>, leaf int, span double, low long")
 
     size, r_d = np.zeros(len(tree.centres), int), np.full(len(tree.centres), -1.0)
@@ -209,7 +273,7 @@ def exact_top_k(vectors: DataFrame, query: Column, k: int = 5, key: str = "vec_i
         asks[x["leaf"]], r_q[x["leaf"]], worst[x["leaf"]] = x["n"], x["r"], x["w"]
     live = tree.pairs(r_q, r_d, worst)
     if not live:
-        return spark.createDataFrame([], schema)
+        return None
 
     blocks = np.maximum(1, -(-size // BLOCK))
     # whole leaves of queries share a group; a leaf of more is split
@@ -239,16 +303,16 @@ def exact_top_k(vectors: DataFrame, query: Column, k: int = 5, key: str = "vec_i
             q, v, s = search_block(x[is_query], ids[is_query], floor, x[~is_query], ids[~is_query], k)
         return pa.table({"query_id": pa.array(q, pa.int64()), "vec_id": pa.array(v, pa.int64()), "score": pa.array(s, pa.int64())})
 
-    found = left.unionByName(right).groupBy("d", "b", "g").applyInArrow(search, "query_id long, vec_id long, score long")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return left.unionByName(right).groupBy("d", "b", "g").applyInArrow(search, "query_id long, vec_id long, score long")
 
 
 def quantised(embeddings: DataFrame, levels: int = 256) -> DataFrame:
-    """vec_id and floor(levels * x) of each component; rows with null or non-finite components are left out."""
+    """vec_id and floor(levels * x) of each component (the greatest double, if that is beyond it); rows with null or non-finite components are left out."""
     x = embeddings.select("vec_id", F.transform("embedding", lambda c: c.cast("double")).alias("e"))
     x = x.where(F.col("e").isNotNull() & F.forall("e", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))))
-    return x.select("vec_id", F.transform("e", lambda c: F.floor(c * levels).cast("long")).alias("vector"))
+    # doubles of 2**52 or more are whole already; as doubles, since not all of them fit into 64 bits
+    floor = lambda c: F.when(F.abs(c) < 2.0**52, F.floor(c).cast("double")).otherwise(F.least(F.greatest(c, F.lit(-MOST)), F.lit(MOST)))
+    return x.select("vec_id", F.transform("e", lambda c: floor(c * levels)).alias("vector"))
 
 
 def op2_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
