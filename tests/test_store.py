@@ -84,6 +84,33 @@ def test_erasure_rewrites_only_days_with_the_subject(spark, tmp_path):
     assert kept.events(["1970-02-20"]).select("subject_key").collect()[0][0] == "new"
 
 
+@pytest.mark.parametrize("replaced", [0, 1, 2])
+def test_an_erasure_that_dies_is_ended_by_the_next_run(spark, tmp_path, monkeypatch, replaced):
+    kept = store(spark, tmp_path)
+    rows = [("a", f"e{i}", f"s{i % 3}", i // 10) for i in range(30)] + [("a", "alone", "s0", 40)]
+    kept.append(events(spark, rows))
+    done, plain = [], EventStore._replace
+
+    def dies(self, rows, name):
+        if len(done) == replaced:
+            # between a folder's end and the new one's place
+            self._delete("events/day=1970-01-02")
+            raise RuntimeError
+        done.append(name)
+        plain(self, rows, name)
+
+    keys = spark.createDataFrame([("a", "s0")], "workspace_id string, subject_key string")
+    monkeypatch.setattr(EventStore, "_replace", dies)
+    with pytest.raises(RuntimeError):
+        kept.erase(keys)
+    monkeypatch.setattr(EventStore, "_replace", plain)
+    kept.append_once(events(spark, [("a", "e31", "s1", 1)]))
+    want = sorted([(w, e) for w, e, k, _ in rows if k != "s0"] + [("a", "e31")])
+    assert sorted(tuple(r) for r in kept.events().select("workspace_id", "event_id").collect()) == want
+    assert kept.erase(keys).count() == 0 and kept.days_with(keys, SUBJECT) == []
+    assert "1970-02-10" not in {d for d, _ in files(kept)}
+
+
 def test_only_named_days_are_read(spark, tmp_path):
     kept = store(spark, tmp_path)
     kept.append(events(spark, [("a", f"e{i}", f"s{i}", i) for i in range(20)]))

@@ -11,12 +11,12 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from veilcount.functions.periods import day_of
 
 from . import filters
-from .tables import saved
+from .tables import by_folder, saved
 
 SUBJECT, EVENT = ["workspace_id", "subject_key"], ["workspace_id", "event_id"]
 
@@ -45,7 +45,7 @@ class EventStore:
 
     def events(self, days: list[str] | None = None) -> DataFrame:
         """The stored events with ``day``; other days' folders aren't read."""
-        found = self._read("events", StructType(self.schema.fields).add("day", "string"))
+        found = self._read("events", StructType([*self.schema.fields, StructField("day", StringType())]))
         return found if days is None else found.where(F.col("day").isin(days))
 
     @property
@@ -62,10 +62,11 @@ class EventStore:
 
     def append(self, events: DataFrame) -> None:
         """Adds events as they are. Filters are written first: should the job die in between, they name a day too many and never one too few."""
+        self.recover()
         rows = events.select(*self.schema.fieldNames(), day_of(F.col(self.at)).cast("string").alias("day"))
         for name, keys in self.kinds.items():
-            filters.summary(rows, "day", keys).write.mode("append").partitionBy("day").parquet(f"{self.path}/{name}")
-        rows.write.mode("append").partitionBy("day").parquet(f"{self.path}/events")
+            by_folder(filters.summary(rows, "day", keys), "day").write.mode("append").partitionBy("day").parquet(f"{self.path}/{name}")
+        by_folder(rows, "day").write.mode("append").partitionBy("day").parquet(f"{self.path}/events")
 
     def unseen(self, events: DataFrame) -> DataFrame:
         """The first of each (workspace_id, event_id) by ``at``, unless it is stored. Only days whose filter may hold one of the ids are read, and of them only the ids."""
@@ -86,27 +87,39 @@ class EventStore:
         """Deletes all events of the (workspace_id, subject_key) pairs; (day, events_deleted) of the days that were rewritten.
 
         Of the days that the filter names only the keys are read, and only days
-        that hold one are rewritten: what stays is staged in a table, and then
-        takes the place of the day's folder. Files of other days stay as they
-        are. A run that dies may be run again.
+        that hold one are rewritten: what stays is staged in a folder, and then
+        takes the place of the day's own. Files of other days stay as they are.
+        If a run dies, the next one, or the next batch, ends what it began.
         """
+        self.recover()
         keys = saved(keys.select(*SUBJECT).distinct())
         maybe = self.events(self.days_with(keys, SUBJECT))
         gone = saved(maybe.select("day", *SUBJECT).join(keys, SUBJECT, "left_semi").groupBy("day").agg(F.count("*").alias("events_deleted")))
-        days = sorted(r["day"] for r in gone.collect())
-        if not days:
-            return gone
-        stays = saved(self.events(days).join(keys, SUBJECT, "left_anti"))
-        self._replace(stays, "events")
-        left = {r["day"] for r in stays.select("day").distinct().collect()}
-        for name, kind in self.kinds.items():
-            self._replace(filters.summary(stays, "day", kind), name)
-        for day in days:
-            if day not in left:
-                for name in ("events", *self.kinds):
-                    files, path = self._folder(f"{name}/day={day}")
-                    files.delete(path, True)
+        days = sorted(r["day"] for r in gone.select("day").collect())
+        if days:
+            self.events(days).join(keys, SUBJECT, "left_anti").write.mode("overwrite").parquet(f"{self.path}/pending/rows")
+            # from here on the days can be put right from what is staged
+            gone.select("day").write.mode("overwrite").parquet(f"{self.path}/pending/days")
+            self.recover()
         return gone
 
+    def recover(self) -> None:
+        """Ends what an erasure that died has begun: days that it staged take their place."""
+        files, begun = self._folder("pending/days/_SUCCESS")
+        if files.exists(begun):
+            stays = self.spark.read.schema(StructType([*self.schema.fields, StructField("day", StringType())])).parquet(f"{self.path}/pending/rows")
+            days = {r["day"] for r in self.spark.read.schema("day string").parquet(f"{self.path}/pending/days").collect()}
+            self._replace(stays, "events")
+            for name, kind in self.kinds.items():
+                self._replace(filters.summary(stays, "day", kind), name)
+            for day in days - {r["day"] for r in stays.select("day").distinct().collect()}:
+                for name in ("events", *self.kinds):
+                    self._delete(f"{name}/day={day}")
+            self._delete("pending")
+
+    def _delete(self, name: str) -> None:
+        files, path = self._folder(name)
+        files.delete(path, True)
+
     def _replace(self, rows: DataFrame, name: str) -> None:
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/{name}")
+        by_folder(rows, "day").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(f"{self.path}/{name}")

@@ -26,8 +26,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_folder(rows: DataFrame, *columns: str) -> DataFrame:
+    """Rows of one folder together, so that it gets a few files and not one from every task; a large folder's rows are split again."""
+    return rows.hint("rebalance", *columns)
+
+
 def append_observations(observations: DataFrame, path: str) -> None:
-    observations.write.mode("append").partitionBy("period", "metric").parquet(path)
+    by_folder(observations, "period", "metric").write.mode("append").partitionBy("period", "metric").parquet(path)
 
 
 def observations_of(spark: SparkSession, path: str, periods: list[str] | None = None, metrics: list[str] | None = None) -> DataFrame:
@@ -43,9 +48,9 @@ def observations_of(spark: SparkSession, path: str, periods: list[str] | None =
 def append_gated(releases: DataFrame, suppressions: DataFrame, path: str) -> None:
     """Both results of the gate: what is published and what is held back, with the reason."""
     for name, rows in (("releases", releases), ("suppressions", suppressions)):
-        rows.write.mode("append").partitionBy("period", "metric").parquet(f"{path}/{name}")
+        by_folder(rows, "period", "metric").write.mode("append").partitionBy("period", "metric").parquet(f"{path}/{name}")
 
 
 def write_delivery(delivered: DataFrame, path: str) -> None:
     """One folder for each deal, to hand over as it is."""
-    delivered.write.mode("overwrite").partitionBy("deal_id").parquet(path)
+    by_folder(delivered, "deal_id").write.mode("overwrite").partitionBy("deal_id").parquet(path)
