@@ -116,8 +116,8 @@ def test_ranges_of_values_change_no_quantile(spark, monkeypatch):
     values = [(k, f"w{i}", None if i == 5 else ((i * 37) % 101 - 10) / 80) for k in "ab" for i in range(150)] + [("c", "w", 0.0), ("d", "w", 1.0)]
     rows = spark.createDataFrame(values, "k string, workspace_id string, value double").repartition(4)
     found = []
-    for slots in (1, 7, 4096):
-        monkeypatch.setattr(release, "SLOTS", slots)
+    for ranges in (1, 7, None):
+        monkeypatch.setattr(release, "RANGES", ranges)
         found.append(sorted(map(tuple, release.dp_quantiles(rows, ["k"], noise.secret_table(spark, "s", "n"), 2.0).collect())))
     assert found[0] == found[1] == found[2]
     assert [k for k, _ in found[0]] == list("abcd")

@@ -55,3 +55,33 @@ def test_a_key_registered_twice(spark):
 def test_sample_lines_have_every_kind(spark):
     asked = raw.requests(fixtures.request_lines(spark, "/root/testdata/sf0.01"))
     assert {r[0] for r in asked.select("reason").distinct().collect()} == {None, "malformed_json", "not_an_object", "no_events", "batch_too_large"}
+
+
+def answers(spark, *bodies):
+    return spark.createDataFrame([(b if isinstance(b, str) else json.dumps(b), i) for i, b in enumerate(bodies)], "value string, at long")
+
+
+def keys(spark):
+    return spark.createDataFrame([("k", "w")], "api_key string, workspace_id string")
+
+
+def test_consent_lines(spark):
+    good = {"api_key": "k", "identifier": "u", "purposes": {"product_analytics": False, "coop_licensing": True, "benchmark_contribution": "yes", "other": True}, "jurisdiction": None, "noticeVersion": 3}
+    lines = answers(spark, good, good | {"api_key": "?"}, good | {"identifier": ""}, good | {"purposes": {"benchmark_contribution": None}}, good | {"purposes": [True]}, {"identifier": "u"}, "[1]", "{", "  ", good | {"workspace_id": "forged"})
+    got = {r["at"]: r for r in raw.decisions_of(lines, keys(spark)).collect()}
+    assert {i: r["reason"] for i, r in got.items()} == {0: None, 1: "unauthorized", 2: "missing_identifier", 3: "no_purposes", 4: "no_purposes", 5: "unauthorized", 6: "not_an_object", 7: "malformed_json", 9: None}
+    assert (got[0]["workspace_id"], got[0]["purposes"], got[0]["jurisdiction"], got[0]["notice_version"]) == ("w", {"product_analytics": False, "coop_licensing": True}, None, "3")
+    assert got[9]["workspace_id"] == "w"
+
+
+def test_erasure_lines(spark):
+    lines = answers(spark, {"api_key": "k", "identifier": "u"}, {"api_key": "k", "identifier": 5, "jurisdiction": "EU"}, {"api_key": "k"}, {"identifier": "u"}, "null")
+    got = {r["at"]: (r["reason"], r["identifier"], r["jurisdiction"]) for r in raw.erasures_of(lines, keys(spark)).collect()}
+    assert got == {0: (None, "u", "unknown"), 1: (None, "5", "EU"), 2: ("missing_identifier", None, "unknown"), 3: ("unauthorized", "u", "unknown"), 4: ("not_an_object", None, "unknown")}
+
+
+def test_deal_lines(spark):
+    good = {"deal_id": "d", "gross_cents": 10, "cohort_keys": ["a", "b"]}
+    lines = answers(spark, good, good | {"direct_cost_cents": 3}, good | {"direct_cost_cents": "3"}, good | {"gross_cents": None}, good | {"gross_cents": -2}, good | {"cohort_keys": "a"}, good | {"deal_id": None})
+    got = {r["at"]: (r["reason"], r["direct_cost_cents"]) for r in raw.deals_of(lines).collect()}
+    assert got == {0: (None, 0), 1: (None, 3), 2: ("bad_amount", None), 3: ("bad_amount", 0), 4: ("bad_amount", 0), 5: ("no_cohorts", 0), 6: ("missing_deal_id", 0)}

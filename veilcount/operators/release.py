@@ -17,8 +17,9 @@ from .accounting import decisions, one_value_each
 from .cohorts import COHORT, cohort_string, explanation, k_anonymity
 
 KEYS = [*COHORT, "metric"]
-#: Ranges of values that a cohort's ranks are counted by, so that the broadest cohort isn't one task's.
-SLOTS = 4096
+#: Ranges of cohorts and values together that ranks are counted by, so that the broadest cohort isn't one task's, however
+#: its values lie; None: as many as the session has shuffle partitions.
+RANGES: int | None = None
 
 
 def budget_decisions(requests: DataFrame, spent: DataFrame | None = None, budget: float = BUDGET) -> DataFrame:
@@ -77,14 +78,16 @@ def dp_quantiles(rows: DataFrame, keys: list[str], noise: DataFrame, epsilon: fl
     Gumbel noise is a draw with these weights, so one maximum replaces a
     running sum. The result is uniform within the gap. Gaps without width have
     no weight, so equal values are counted before they are ranked. Ranks are
-    those within a range of values, after the counts of all lower ranges.
+    those within a range of values, after the counts of all lower ranges; what
+    was dealt by ranges is written once, so that both see the same ones.
     A missing value counts as ``lo``, as in ``noisy_means``.
     """
     if epsilon <= 0 or hi <= lo:
         raise ValueError("epsilon must be positive and hi above lo")
     low, high = F.lit(float(lo)), F.lit(float(hi))
-    slot = F.least(F.floor((F.col("z") - low) / (high - low) * SLOTS), F.lit(SLOTS - 1)).alias("slot")
-    z = rows.groupBy(*keys, clamp(F.col("value"), low, high).alias("z")).agg(F.count("*").alias("c")).select(*keys, slot, "z", "c")
+    z = rows.groupBy(*keys, clamp(F.col("value"), low, high).alias("z")).agg(F.count("*").alias("c"))
+    z = z.repartitionByRange(*keys, "z") if RANGES is None else z.repartitionByRange(RANGES, *keys, "z")
+    z = saved(z.withColumn("slot", F.spark_partition_id()))
     cohort, within = Window.partitionBy(*keys), Window.partitionBy(*keys, "slot").orderBy("z")
     counts = z.groupBy(*keys, "slot").agg(F.sum("c").alias("c"), F.min("z").alias("least"))
     up = F.coalesce(F.sum("c").over(cohort.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -477,6 +477,39 @@ def raw_requests(s: SparkSession, d: str) -> DataFrame:
     return _union(tallies)
 
 
+@query
+def raw_consent(s: SparkSession, d: str) -> DataFrame:
+    """Consent lines, read from files: recorded decisions by workspace, purpose and state, and what was refused."""
+    folder = tables.shared_folder(s)
+    lines = fx.consent_lines(s, d)
+    lines.select("value").write.text(f"{folder}/lines")
+    # the text's own files have no time of arrival
+    asked = raw.decisions_of(raw.lines(s, f"{folder}/lines").withColumns({"at": F.lit(0).cast("long"), "seq": F.lit(0).cast("long")}), fx.api_keys(s))
+    records = consent.from_decisions(asked.where("reason is null"), fx.ROOT)
+    used = records.groupBy("workspace_id", "purpose", "state").agg(F.count("*").alias("n"))
+    gone = asked.where("reason is not null").groupBy(F.lit(None).cast("string").alias("workspace_id"), F.lit(None).cast("string").alias("purpose"), F.col("reason").alias("state")).agg(F.count("*").alias("n"))
+    return used.unionByName(gone)
+
+
+@query
+def raw_erasures(s: SparkSession, d: str) -> DataFrame:
+    """The same lines as requests for erasure: subjects and keys to sweep by workspace, and what was refused."""
+    asked = raw.erasures_of(fx.consent_lines(s, d), fx.api_keys(s))
+    wanted = asked.where("reason is null").groupBy("workspace_id", "identifier").agg(F.max("at").alias("now"))
+    keys = identity.retention_keys(wanted, fx.ROOT).groupBy("workspace_id").agg(F.count_distinct("identifier").alias("subjects"), F.count("*").alias("n"))
+    gone = asked.where("reason is not null").groupBy(F.col("reason").alias("workspace_id")).agg(F.lit(None).cast("long").alias("subjects"), F.count("*").alias("n"))
+    return keys.unionByName(gone)
+
+
+@query
+def raw_deals(s: SparkSession, d: str) -> DataFrame:
+    """Licences as lines, settled; refused lines with their reason."""
+    o = stored(s, market_observations(s, d))
+    asked = tables.saved(raw.deals_of(fx.deal_lines(s, o)))
+    done = settle.settle(asked.where("reason is null"), settle.contributions(o, "return_rate"))[1]
+    return done.select("deal_id", "pool_cents", F.lit(None).cast("string").alias("reason")).unionByName(asked.where("reason is not null").select("deal_id", F.lit(None).cast("long").alias("pool_cents"), "reason"))
+
+
 @query
 def findings_report(s: SparkSession, d: str) -> DataFrame:
     c = fx.table(s, d, "conversations")

@@ -457,3 +457,12 @@ used AS (SELECT 'user-' || user_id AS what, user_id % 11 = 0 AS opt_out, count(*
 gone AS (SELECT reason AS what, sum(CASE reason WHEN 'event_not_an_object' THEN 2 ELSE 1 END)::BIGINT AS n FROM kind WHERE reason IS NOT NULL GROUP BY 1
   UNION ALL SELECT 'batch_too_large', count(*) FROM b WHERE d = 1 AND user_id % 3 = 0 HAVING count(*) > 0)
 SELECT way, what, opt_out, n, total FROM (SELECT what, opt_out, n, total FROM used UNION ALL SELECT what, NULL, n, NULL FROM gone) CROSS JOIN (VALUES ('batch'), ('stream')) t(way)"""
+
+_LINE_REASON = "CASE WHEN event_id % 37 = 0 THEN 'malformed_json' WHEN event_id % 31 = 0 THEN 'unauthorized' WHEN event_id % 29 = 0 THEN 'missing_identifier' {0} END"
+ORACLES["raw_consent"] = f"""WITH l AS (SELECT *, 'ws_' || (user_id % 12) AS workspace_id, {_LINE_REASON.format("WHEN event_id % 23 = 0 THEN 'no_purposes'")} AS reason FROM events WHERE event_type = 'signup'),
+said AS (SELECT workspace_id, 'product_analytics' AS purpose, event_id % 7 <> 0 AS yes FROM l WHERE reason IS NULL UNION ALL SELECT workspace_id, 'benchmark_contribution', event_id % 5 <> 0 FROM l WHERE reason IS NULL AND event_id % 3 <> 0)
+SELECT workspace_id, purpose, CASE WHEN yes THEN 'granted' ELSE 'denied' END AS state, count(*) AS n FROM said GROUP BY ALL UNION ALL SELECT NULL, NULL, reason, count(*) FROM l WHERE reason IS NOT NULL GROUP BY reason"""
+ORACLES["raw_erasures"] = f"""WITH l AS (SELECT *, 'ws_' || (user_id % 12) AS workspace_id, {_LINE_REASON.format("")} AS reason FROM events WHERE event_type = 'signup')
+SELECT workspace_id, count(DISTINCT user_id) AS subjects, count(DISTINCT user_id) * 15 AS n FROM l WHERE reason IS NULL GROUP BY 1 UNION ALL SELECT reason, NULL, count(*) FROM l WHERE reason IS NOT NULL GROUP BY reason"""
+ORACLES["raw_deals"] = f"""{MARKET_OBS} SELECT 'deal_' || vertical AS deal_id, floor(1000001 * 0.3::DOUBLE)::BIGINT AS pool_cents, NULL::VARCHAR AS reason FROM obs GROUP BY vertical
+UNION ALL SELECT 'x', NULL, unnest(['bad_amount', 'bad_amount', 'no_cohorts'])"""

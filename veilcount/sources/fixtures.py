@@ -141,6 +141,23 @@ def request_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return few.unionByName(large)
 
 
+def consent_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signups as consent lines; some are cut off, name no known purpose or nobody, or come with a key that nobody has."""
+    e = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    q = F.col("event_id")
+    answers = F.struct((q % 7 != 0).alias(PURPOSES[0]), F.when(q % 3 != 0, q % 5 != 0).alias(PURPOSES[1]), F.lit(True).alias("something_else"))
+    body = F.struct(F.when(q % 31 == 0, "key-of-nobody").otherwise(F.concat(F.lit("key-"), (F.col("user_id") % 12).cast("string"))).alias("api_key"), F.when(q % 29 != 0, F.concat(F.lit("user-"), F.col("user_id").cast("string"))).alias("identifier"), F.when(q % 23 != 0, answers).alias("purposes"), F.lit("v3").alias("noticeVersion"))
+    return e.withColumn("line", F.to_json(body)).select(F.when(q % 37 == 0, F.expr("left(line, length(line) - 1)")).otherwise(F.col("line")).alias("value"), micros(e, "ts").alias("at"), q.alias("seq"))
+
+
+def deal_lines(spark: SparkSession, observations: DataFrame) -> DataFrame:
+    """The verticals' licences as lines, and three that can't be used."""
+    keys = observations.groupBy("vertical").agg(F.sort_array(F.collect_set(F.concat_ws("|", "builder", "vertical", "size_bucket", "period"))).alias("cohort_keys"))
+    good = keys.select(F.to_json(F.struct(F.concat(F.lit("deal_"), "vertical").alias("deal_id"), F.lit(1_000_001).alias("gross_cents"), "cohort_keys")).alias("value"))
+    bad = spark.createDataFrame([('{"deal_id": "x", "gross_cents": -1, "cohort_keys": ["a"]}',), ('{"deal_id": "x", "gross_cents": 1.5, "cohort_keys": ["a"]}',), ('{"deal_id": "x", "gross_cents": 1, "cohort_keys": []}',)], "value string")
+    return good.unionByName(bad)
+
+
 def nested_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A range for each customer, of one address to a million, within and across one another; every second of IPv6."""
     c = table(spark, sf_dir, "customer")

@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilcount.constants import PURPOSES
+from veilcount.operators.validate import attach_workspace
+
 #: Most events of one request.
 MOST_EVENTS = 500
 FIELDS = ("event_id", "name", "occurred_at", "identifier", "jurisdiction", "builder", "ip")
@@ -72,3 +75,49 @@ def refused_lines(asked: DataFrame) -> DataFrame:
 def refused_events(events: DataFrame) -> DataFrame:
     """(reason, text) of events that can't be used."""
     return events.where("reason is not null").select("reason", F.to_json("event").alias("text"))
+
+
+def _objects(raw: DataFrame, key: str = "$.api_key") -> DataFrame:
+    parsed = raw.where(F.trim("value") != "").withColumn("body", F.try_parse_json("value"))
+    reason = F.when(F.col("body").isNull(), "malformed_json").when(~_is(F.col("body"), "OBJECT"), "not_an_object")
+    return parsed.withColumns({"api_key": text_of(F.col("body"), key), "reason": reason})
+
+
+def decisions_of(raw: DataFrame, keys: DataFrame) -> DataFrame:
+    """Consent lines as what ``consent.from_decisions`` takes, with ``reason`` for those that can't be used.
+
+    A line has api_key, identifier, purposes (an object of booleans),
+    jurisdiction and noticeVersion. Purposes that aren't known, and values that
+    aren't booleans, decide nothing; a line that decides nothing is refused.
+    The workspace is that of the key.
+    """
+    body = F.col("body")
+    given = F.map_entries(F.coalesce(F.try_variant_get("body", "$.purposes", "map<string,variant>"), F.create_map().cast("map<string,variant>")))
+    held = F.filter(given, lambda e: e["key"].isin(*PURPOSES) & (F.schema_of_variant(e["value"]) == "BOOLEAN"))
+    asked = _objects(raw).select("*", text_of(body, "$.identifier").alias("identifier"), F.map_from_entries(F.transform(held, lambda e: F.struct(e["key"], F.try_variant_get(e["value"], "$", "boolean")))).alias("purposes"), text_of(body, "$.jurisdiction").alias("jurisdiction"), text_of(body, "$.noticeVersion").alias("notice_version"))
+    own = attach_workspace(asked, keys)
+    reason = F.coalesce("reason", F.when(F.col("workspace_id").isNull(), "unauthorized"), F.when(F.coalesce("identifier", F.lit("")) == "", "missing_identifier"), F.when(F.size("purposes") == 0, "no_purposes"))
+    return own.withColumn("reason", reason).drop("body", "api_key")
+
+
+def erasures_of(raw: DataFrame, keys: DataFrame) -> DataFrame:
+    """Erasure lines (api_key, identifier, jurisdiction) with workspace_id, and ``reason`` for those that can't be used."""
+    body = F.col("body")
+    asked = _objects(raw).select("*", text_of(body, "$.identifier").alias("identifier"), F.coalesce(F.nullif(text_of(body, "$.jurisdiction"), F.lit("")), F.lit("unknown")).alias("jurisdiction"))
+    own = attach_workspace(asked, keys)
+    reason = F.coalesce("reason", F.when(F.col("workspace_id").isNull(), "unauthorized"), F.when(F.coalesce("identifier", F.lit("")) == "", "missing_identifier"))
+    return own.withColumn("reason", reason).drop("body", "api_key")
+
+
+def deals_of(raw: DataFrame) -> DataFrame:
+    """Licence lines (deal_id, gross_cents, direct_cost_cents, cohort_keys) as what ``settle`` takes, with ``reason`` for those that can't be used.
+
+    Amounts are whole cents from 0 on; costs may be left out.
+    """
+    body = F.col("body")
+    cents = lambda name: F.when(_is(F.try_variant_get("body", f"$.{name}", "variant"), "BIGINT"), F.try_variant_get("body", f"$.{name}", "bigint"))
+    absent = F.try_variant_get("body", "$.direct_cost_cents", "variant").isNull()
+    asked = _objects(raw).select("*", text_of(body, "$.deal_id").alias("deal_id"), cents("gross_cents").alias("gross_cents"), F.when(absent, F.lit(0).cast("long")).otherwise(cents("direct_cost_cents")).alias("direct_cost_cents"), F.try_variant_get("body", "$.cohort_keys", "array<string>").alias("cohort_keys"))
+    bad = F.coalesce((F.col("gross_cents") < 0) | (F.col("direct_cost_cents") < 0), F.lit(True))
+    reason = F.coalesce("reason", F.when(F.coalesce("deal_id", F.lit("")) == "", "missing_deal_id"), F.when(bad, "bad_amount"), F.when(F.coalesce(F.size("cohort_keys"), F.lit(0)) <= 0, "no_cohorts"))
+    return asked.withColumn("reason", reason).drop("body", "api_key")
