@@ -72,7 +72,8 @@ def url_filter(pages: DataFrame, rules: tuple[Rule, ...], key: str = "page_id",
 
     Without any fitting rule the verdict is allow. Null urls and urls without
     ``://`` have empty host and path; plain patterns may still fit the latter.
-    Repeated rows stay, each with its verdict, and other columns are left out.
+    Repeated rows stay, each with its verdict, very long urls are judged as a
+    whole, and other columns are left out.
     No rule or no page gives the same columns. The expressions run once for
     each distinct url; pages of one very common url meet its verdict in a join
     whose large side Spark can split.
