@@ -78,7 +78,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, run: int = RUN, share:
     the most agreement (the smallest, if several): the item's first token
     stands at that token of the document; it is negative where the item's start
     is cut off. An item of four tokens or fewer is held by every document that
-    has them in a row. Texts without tokens, as null ones, match nothing. Rows
+    has them in a row. Whole texts are compared, also very long ones, whose
+    tokens are one array. Texts without tokens, as null ones, match nothing. Rows
     without doc_id or item_id take no part; rows that repeat one count
     together. Empty tables give an empty result.
     """
