@@ -305,3 +305,23 @@ def test_stream_findings_equal_the_batch(spark, size):
     want = {tuple(r) for r in each.groupBy("workspace_id", "f.key", "f.rule").agg(F.count("*").alias("n")).collect()}
     got = ingest.findings_once(spark, sf).groupBy("workspace_id", "key", "rule").agg(F.sum("n").alias("n"))
     assert want and {tuple(r) for r in got.collect()} == want
+
+
+RELEASE = "builder string, vertical string, size_bucket string, period string, metric string, p10 double, p25 double, p50 double, p75 double, p90 double, contributor_count long"
+
+
+def test_comparisons_and_answers(spark):
+    r = spark.createDataFrame([("any", "v", "any", "2026-07", "m", 0.1, 0.2, 0.4, 0.6, 0.8, 25)], RELEASE)
+    asks = spark.createDataFrame([(w, "m", p) for w, p in (("level", None), ("ahead", "2026-07"), ("behind", None), ("silent", None), ("early", "2026-06"), ("never", "2025-01"), ("stranger", None))], "workspace_id string, metric string, period string")
+    profiles = spark.createDataFrame([(w, i, "bolt" if i else "v0", "v", "1-100") for w in ("level", "ahead", "behind", "silent", "early", "never") for i in (0, 1)], "workspace_id string, version int, builder string, vertical string, size_bucket string")
+    asked = benchmark.requests(asks, profiles, F.lit(us("2026-07-30")), depth=2)
+    values = spark.createDataFrame([("level", "m", 0.4), ("ahead", "m", 0.7), ("behind", "m", 0.15), ("early", "m", 0.5), ("stranger", "m", 0.5)], "workspace_id string, metric string, value double")
+    held = spark.createDataFrame([("any", "v", "any", "2026-06", "m", "too_few_subjects", "Waiting.")], "builder string, vertical string, size_bucket string, period string, metric string, reason string, explanation string")
+    got = {x["workspace_id"]: (x["period"], x["available"], x["direction"], x["rank"], x["reason"]) for x in benchmark.answers(asked, values, r, held, "rate").collect()}
+    assert got == {
+        "level": ("2026-07", True, "at_median", 50.0, None), "ahead": ("2026-07", True, "ahead", 82.5, None), "behind": ("2026-07", True, "behind", 17.5, None), "silent": ("2026-07", True, None, None, None),
+        "early": ("2026-06", False, None, None, "too_few_subjects"), "never": ("2025-01", False, None, None, None), "stranger": ("2026-07", False, None, None, "workspace_not_profiled"),
+    }
+    own = asked.join(values, ["workspace_id", "metric"])
+    down = {x["workspace_id"]: (x["direction"], x["rank"]) for x in benchmark.compare(r, own, "rate", lower_is_better=True).collect()}
+    assert down["ahead"] == ("behind", 17.5) and down["behind"] == ("ahead", 82.5) and down["level"] == ("at_median", 50.0)
