@@ -102,6 +102,27 @@ def test_rollup_by_batches_is_the_whole_rollup(spark, tmp_path):
     assert sorted(map(str, kept.observations(config).collect())) == before
 
 
+def test_erased_subjects_leave_the_counts(spark, tmp_path):
+    random.seed(10)
+    rows = [(w, f"e{w}{i}", f"s{random.randint(0, 20)}", random.choice(("view", "purchase")), random.randint(0, 20 * DAY_US), "bolt", list(PURPOSES)) for w in "ab" for i in range(120)]
+    rows += [("a", "last", "s1", "view", 30 * DAY_US, "bolt", list(PURPOSES))]
+    kinds, config = [metrics.activation("purchase", 7)], spark.createDataFrame([("a", "v"), ("b", "v")], "workspace_id string, vertical string")
+    kept = incremental.Rollup(spark, f"file://{tmp_path}/r", kinds, EventStore(spark, f"file://{tmp_path}/events", StructType.fromDDL(EVENTS)))
+    kept.update(0, spark.createDataFrame(rows, EVENTS))
+    gone = [("a", "s1"), ("b", "s2"), ("c", "s3")]
+    keys = spark.createDataFrame(gone, "workspace_id string, subject_key string")
+    for _ in range(2):
+        kept.erase(1, keys)
+        whole = metrics.rollup(spark.createDataFrame([r for r in rows if (r[0], r[2]) not in gone], EVENTS), config, kinds)
+        assert sorted(map(str, kept.observations(config).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+    assert kept.events.of_subjects(keys).count() == kept.facts.of_subjects(keys).count() == 0
+    # the subject may come back, as a new one
+    more = [("a", "again", "s1", "view", 25 * DAY_US, "bolt", list(PURPOSES))]
+    kept.update(2, spark.createDataFrame(more, EVENTS))
+    whole = metrics.rollup(spark.createDataFrame([r for r in rows if (r[0], r[2]) not in gone] + more, EVENTS), config, kinds)
+    assert sorted(map(str, kept.observations(config).select(*whole.columns).collect())) == sorted(map(str, whole.collect()))
+
+
 def test_a_batch_leaves_other_subjects_alone(spark, tmp_path):
     rows = [("a", f"e{i}", f"s{i}", "view", i * DAY_US, "bolt", list(PURPOSES)) for i in range(30)]
     kept = incremental.Rollup(spark, f"file://{tmp_path}/r", [metrics.activation("view", 1)], EventStore(spark, f"file://{tmp_path}/events", StructType.fromDDL(EVENTS)))

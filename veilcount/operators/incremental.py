@@ -27,7 +27,7 @@ from veilcount.sources.store import SUBJECT, EventStore
 from .metrics import Metric, subject_facts
 
 CELL = "workspace_id string, first_day long, what string, n long, k long"
-CLOCK = "workspace_id string, last_at long"
+CLOCK = "workspace_id string, last_at long, anew boolean, batch int"
 
 
 @dataclass
@@ -68,7 +68,7 @@ class Rollup:
         return p.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).exists(p)
 
     def update(self, batch: int, events: DataFrame) -> None:
-        """Takes in a batch of events (workspace_id, event_id, subject_key, name, at, builder, purposes); one that is run again goes on where it died.
+        """Takes in a batch of events (workspace_id, event_id, subject_key, name, at, builder, purposes), numbered in order; one that is run again goes on where it died.
 
         New facts and the change of the counts are staged before the old facts
         go, so a second run never takes the new facts for the old ones.
@@ -82,17 +82,41 @@ class Rollup:
         if not self._done(cells):
             both = self._cells(new, 1).unionByName(self._cells(self.facts.of_subjects(new), -1))
             change = both.groupBy("workspace_id", "first_day", "what").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).where("n <> 0 or k <> 0")
-            new.groupBy("workspace_id").agg(F.max("last_at").alias("last_at")).write.mode("overwrite").parquet(clock)
+            new.groupBy("workspace_id").agg(F.max("last_at").alias("last_at")).withColumn("anew", F.lit(False)).write.mode("overwrite").parquet(clock)
             change.write.mode("overwrite").parquet(cells)
         self.facts.erase(new)
         self.facts.append(new)
 
+    def erase(self, batch: int, keys: DataFrame) -> None:
+        """Takes the (workspace_id, subject_key) pairs out of events, facts and counts; ``batch`` is a number of its own, and one that is run again goes on where it died.
+
+        Only where an erased subject had its workspace's last event, the clock
+        is taken anew from the workspace's other facts.
+        """
+        staged, cells, clock = (self._staged(batch, n) for n in ("erased", "cells", "clock"))
+        if not self._done(staged):
+            self.facts.of_subjects(keys).drop("day").write.mode("overwrite").parquet(staged)
+        gone = self.spark.read.schema(self.facts.schema).parquet(staged)
+        if not self._done(cells):
+            late = gone.groupBy("workspace_id").agg(F.max("last_at").alias("now_at")).join(self._clock(), ["workspace_id", "now_at"], "left_semi").select("workspace_id")
+            rest = self.facts.events().select(*SUBJECT, "last_at").join(late, "workspace_id", "left_semi").join(gone.select(*SUBJECT), SUBJECT, "left_anti")
+            rest.groupBy("workspace_id").agg(F.max("last_at").alias("last_at")).withColumn("anew", F.lit(True)).write.mode("overwrite").parquet(clock)
+            self._cells(gone, -1).groupBy("workspace_id", "first_day", "what").agg(F.sum("n").alias("n"), F.sum("k").alias("k")).write.mode("overwrite").parquet(cells)
+        self.facts.erase(gone)
+        self.events.erase(keys)
+
+    def _clock(self) -> DataFrame:
+        """(workspace_id, now_at): the last event since the clock was taken anew."""
+        rows = self.spark.read.schema(CLOCK).parquet(f"{self.path}/clock")
+        anew = rows.groupBy("workspace_id").agg(F.coalesce(F.max(F.when(F.col("anew"), F.col("batch"))), F.lit(-1)).alias("since"))
+        return rows.join(anew, "workspace_id").where("batch >= since").groupBy("workspace_id").agg(F.max("last_at").alias("now_at"))
+
     def observations(self, config: DataFrame, granularity: str = "week") -> DataFrame:
         """The same as ``metrics.rollup`` over all events so far."""
         known = config.select("workspace_id")
         cells = self.spark.read.schema(CELL).parquet(f"{self.path}/cells").join(known, "workspace_id", "left_semi")
         cells = cells.groupBy("workspace_id", "first_day", "what").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
-        clock = self.spark.read.schema(CLOCK).parquet(f"{self.path}/clock").join(known, "workspace_id", "left_semi").groupBy("workspace_id").agg(F.max("last_at").alias("now_at"))
+        clock = self._clock().join(known, "workspace_id", "left_semi")
         ages = F.explode(F.array(*(F.struct(F.lit(f"metric {i}").alias("what"), F.lit(m.name).alias("metric"), (F.col("now_at") - m.maturity_days * DAY_US).alias("limit")) for i, m in enumerate(self.metrics)))).alias("a")
         limits = clock.select("workspace_id", ages).select("workspace_id", "a.*").withColumn("edge", F.floor((F.col("limit") + 1) / F.lit(DAY_US)))
         period: Column = period_label(F.col("first_day") * F.lit(DAY_US), granularity).alias("period")
