@@ -63,7 +63,7 @@ def test_substring_dedup_is_exact(spark, texts, monkeypatch, chunk):
 
 @pytest.mark.parametrize("chunk", [4 << 20, 40_000])
 def test_suffix_dedup_is_exact(spark, texts, monkeypatch, chunk):
-    monkeypatch.setattr(suffix_dedup, "Windows", lambda **k: repeats.Windows(chunk_bytes=chunk, **k))
+    monkeypatch.setattr(suffix_dedup, "Windows", lambda **k: repeats.Windows(**(k | {"chunk_bytes": chunk})))
     got = {r["doc_id"]: r for r in queries.QUERIES["op6_suffix_dedup"](spark, SF).collect()}
     raw = [t.encode() for _, t in texts]
     for (d, _), b, gone in zip(texts, raw, brute(raw, 100), strict=True):

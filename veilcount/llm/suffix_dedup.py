@@ -21,6 +21,7 @@ from .rolling import U
 from .shared import pack, unpack, with_fields
 from .substring_dedup import runs, span_array
 
+CHUNK = 2 << 20
 _codes = np.random.default_rng(100).integers(1, 1 << 63, 256, dtype=np.int64).astype(U) | U(1)
 
 
@@ -37,13 +38,14 @@ def whole_characters(text: np.ndarray, gone: np.ndarray) -> np.ndarray:
     return np.repeat(np.add.reduceat(gone.astype(np.int64), first) == size, size)
 
 
-def suffix_dedup(docs: DataFrame, min_bytes: int = 100, carry: tuple[str, ...] = (), characters: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, min_bytes: int = 100, carry: tuple[str, ...] = (), characters: bool = False, chunk_bytes: int = CHUNK) -> DataFrame:
     """Each document with its repeated byte strings cut out.
 
     ``docs``: doc_id, text and the columns named in ``carry``. Returns doc_id,
     the carried columns, ``n_bytes``, ``spans`` (first byte and end of each
     removed run) and ``kept`` (binary, the bytes left). With ``characters``
-    a character goes only as a whole, so ``kept`` is valid UTF-8.
+    a character goes only as a whole, so ``kept`` is valid UTF-8. So many bytes
+    of text, ``chunk_bytes``, are in a task's memory at once.
 
     Texts are taken as UTF-8 bytes; null is empty. Texts under ``min_bytes``
     lose nothing. A null doc_id comes after all others. Rows that repeat a
@@ -61,7 +63,7 @@ def suffix_dedup(docs: DataFrame, min_bytes: int = 100, carry: tuple[str, ...] =
         size = pa.array([len(x) for x in covered], pa.int64())
         return pa.table({"carried": rows["carried"], "doc_id": rows["doc_id"], "n_bytes": size, "spans": span_array([runs(g) for g in covered]), "kept": pa.array(kept, pa.binary())})
 
-    spec = Windows(length=min_bytes, seed=max(1, min_bytes // 2), symbols=byte_symbols)
+    spec = Windows(length=min_bytes, seed=max(1, min_bytes // 2), symbols=byte_symbols, chunk_bytes=chunk_bytes)
     own = ("n_bytes", "spans", "kept")
     return late_windows(given, spec, report, schema).select("doc_id", *unpack(carry, own), *own)
 
