@@ -20,6 +20,8 @@ from veilcount.llm.suffix_dedup import suffix_dedup
 
 #: Cosine under which a text is like no known language: three times the spread of unlike texts, 1 / sqrt(DIMS).
 DIMS, LEAST_COSINE = 2048, 0.07
+#: Text of a task of the suffix stage: half of what the operator takes, since workers of the stages before it are still there.
+CHUNK = 1 << 20
 #: No stage of these five can be written as SQL; the tests compare with brute force.
 ORACLE_SQL = None
 
@@ -51,7 +53,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the 100-byte strings that stand earlier in the corpus, in whole characters; null stays null."""
     packed = docs.select("doc_id", "text", pack(docs.columns), F.col("text").isNull().alias("gone"))
-    out = suffix_dedup(packed, carry=("carried", "gone"), characters=True)
+    out = suffix_dedup(packed, carry=("carried", "gone"), characters=True, chunk_bytes=CHUNK)
     out = out.select("doc_id", F.when(~F.col("gone"), F.decode("kept", "UTF-8")).alias("text"), "carried").select(*unpack(docs.columns))
     return out.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
 
