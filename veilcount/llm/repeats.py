@@ -145,7 +145,8 @@ def find_units(chunk: Chunk, spec: Windows, hold: bool = False) -> list[tuple[Ro
         first = np.flatnonzero(head)
         last = np.append(first[1:], len(starts)) - 1
         at, begins = chosen[first], starts[first]
-        seeds.append(grams[at])
+        # the least hashes of their windows: mixed again, or the first buckets would get most of them
+        seeds.append(mix(grams[at]))
         units.append(roller.span(begins, starts[last] + spec.length) ^ mix((at - begins).astype(U)) | U(1))
         part = np.searchsorted(bounds, begins, side="right") - 1
         doc.append(where[part])
@@ -374,10 +375,10 @@ def late_windows(docs: DataFrame, spec: Windows, report: Callable[[Chunk, pa.Tab
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long")).withColumn("text", F.col("text").cast("string"))
     chunk_of, n = chunk_numbers(docs, spec.chunk_bytes)
 
-    # beyond so many, a task has several chunks, and a bucket more keys
+    # beyond so many, a task has several chunks, and a bucket more keys; a bucket has the keys of four chunks
     tasks = min(int(n), MOST_TASKS)
     by_chunk = docs.withColumn("chunk", chunk_of).repartition(tasks, "chunk").groupBy("chunk")
-    buckets = tasks
+    buckets = -(-tasks // 4)
     record, reply = "bucket long, chunk long, data binary", "chunk long, kind long, data binary"
     seeds = by_chunk.applyInArrow(send_seeds(spec, buckets), record)
     # as many tasks as buckets, whatever the session's number of shuffle partitions
