@@ -33,7 +33,7 @@ SPACE = 0x2581
 #: a text that holds that one itself gets it back as U+2581.
 OWN_MARK = 0x10FFFF
 #: Characters handled at once, and the longest word that is handled with others.
-BLOCK, LONG = 3 << 19, 64
+BLOCK, LONG = 1 << 20, 64
 COMMON = 128
 N_BEST = 4
 NEVER = -1e30
