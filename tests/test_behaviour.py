@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veilcount.functions import identity, noise, periods, text_rules
 from veilcount.operators import addresses, benchmark, cohorts, consent, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
+from veilcount.sources import tables
 
 DAY = 86_400_000_000
 ALL = ["product_analytics", "benchmark_contribution", "coop_licensing"]
@@ -325,3 +326,16 @@ def test_comparisons_and_answers(spark):
     own = asked.join(values, ["workspace_id", "metric"])
     down = {x["workspace_id"]: (x["direction"], x["rank"]) for x in benchmark.compare(r, own, "rate", lower_is_better=True).collect()}
     assert down["ahead"] == ("behind", 17.5) and down["behind"] == ("ahead", 82.5) and down["level"] == ("at_median", 50.0)
+
+
+def test_tasks_of_facts_grow_with_the_events(spark, monkeypatch):
+    """A task gets so many rows, however many there are, and nothing is sorted for metrics that don't need it."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 100)
+    e = spark.range(3000).select(F.lit("w").alias("workspace_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("subject_key"), F.lit("x").alias("name"), F.lit("b").alias("builder"), (F.col("id") * DAY).alias("at"), F.array(F.lit("benchmark_contribution")).alias("purposes"))
+    assert tables.dealt(e, "subject_key").rdd.getNumPartitions() == 30
+    facts = metrics.subject_facts(e, [metrics.activation("x", 1)], now=0)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and ", 30), REPARTITION_BY_NUM" in plan
+    assert facts.where("events = 2 and consented and s0").count() == 1500
+    out = metrics.rollup(e, spark.createDataFrame([("w", "v")], "workspace_id string, vertical string"), [metrics.activation("x", 1), metrics.retention(1500, 1500)])
+    assert {r["metric"]: (r["value"], r["builder"]) for r in out.groupBy("metric").agg(F.max("value").alias("value"), F.max("builder").alias("builder")).collect()}["activation_rate"] == (1.0, "b")

@@ -1,9 +1,11 @@
 """Subject metrics and their rollup into observations.
 
 All workspaces, periods and metrics come out of one shuffle by (workspace,
-subject): window minima give each subject's first event and the starts of
-funnels, one aggregate over the same keys turns them into flags, and a second,
-pre-aggregated one counts flags by workspace and period.
+subject), dealt to as many tasks as the number of events asks for: one
+aggregate turns a subject's events into flags, and a second, pre-aggregated one
+counts flags by workspace and period. Only where a metric asks for it, window
+minima over the same keys give each event its subject's first one and the
+starts of funnels.
 """
 
 from __future__ import annotations
@@ -16,6 +18,7 @@ from pyspark.sql import functions as F
 
 from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions.periods import period_label, size_bucket
+from veilcount.sources.tables import dealt, saved
 
 SUBJECT = ["workspace_id", "subject_key"]
 
@@ -23,7 +26,8 @@ SUBJECT = ["workspace_id", "subject_key"]
 @dataclass(frozen=True)
 class Metric:
     """``starts``: event whose first time opens a funnel, if any. ``flags(d)`` gives two aggregates over a subject's
-    events, whether it qualifies and whether it succeeded; ``d`` has columns name, at, first_at and start_at."""
+    events, whether it qualifies and whether it succeeded; ``d`` has columns name, at, first_at and start_at. ``by_first``:
+    whether they use first_at; those that don't, and start nothing, need no sort."""
 
     name: str
     maturity_days: int
@@ -32,6 +36,7 @@ class Metric:
     starts: str | None = None
     lo: float = 0.0
     hi: float = 1.0
+    by_first: bool = True
 
 
 def first_of(event: str, after: Column | None = None) -> Column:
@@ -41,7 +46,7 @@ def first_of(event: str, after: Column | None = None) -> Column:
 
 def activation(event: str, within_days: int = 7, name: str = "activation_rate") -> Metric:
     """The event within so many days of the subject's first one, the bound included."""
-    return Metric(name, within_days, lambda: F.coalesce(first_of(event) - F.min("first_at") <= within_days * DAY_US, F.lit(False)))
+    return Metric(name, within_days, lambda: F.coalesce(first_of(event) - F.min("at") <= within_days * DAY_US, F.lit(False)), by_first=False)
 
 
 def retention(from_day: int, to_day: int, name: str | None = None) -> Metric:
@@ -78,19 +83,22 @@ def subject_facts(events: DataFrame, metrics: list[Metric], purpose: str = PURPO
     is ``now``, or the workspace's latest event.
     """
     mine = Window.partitionBy(*SUBJECT)
-    given = events.withColumn("first_at", F.min("at").over(mine))
+    given = dealt(events.select(*SUBJECT, "name", "at", F.array_contains("purposes", purpose).alias("_agreed")), *SUBJECT)
+    if any(m.by_first for m in metrics):
+        given = given.withColumn("first_at", F.min("at").over(mine))
     for start in sorted({m.starts for m in metrics if m.starts}):
         given = given.withColumn(start_column(start), F.min(F.when(F.col("name") == start, F.col("at"))).over(mine))
     flags = [c for i, m in enumerate(metrics) for c in (m.qualifies().alias(f"q{i}") if m.starts else F.lit(True).alias(f"q{i}"), m.succeeded().alias(f"s{i}"))]
     aggregates = [c for c in flags]
     facts = given.groupBy(*SUBJECT).agg(
         F.min("at").alias("first_at"), F.max("at").alias("last_at"), F.count("*").alias("events"),
-        F.bool_and(F.array_contains("purposes", purpose)).alias("consented"), *aggregates,
+        F.bool_and("_agreed").alias("consented"), *aggregates,
     )
     if now is not None:
         return facts.withColumn("now_at", F.lit(now))
+    facts = saved(facts)
     # the clock comes from all events, before consent is looked at
-    clock = facts.groupBy("workspace_id").agg(F.max("last_at").alias("now_at"))
+    clock = saved(facts.groupBy("workspace_id").agg(F.max("last_at").alias("now_at")))
     return facts.join(clock, "workspace_id")
 
 
@@ -125,8 +133,8 @@ def rollup(events: DataFrame, config: DataFrame, metrics: list[Metric], granular
     facts = subject_facts(own, metrics, purpose, now)
     rows = metric_rows(facts, metrics, granularity)
     home = facts.where("consented").select(*SUBJECT, period_label(F.col("first_at"), granularity).alias("period"))
-    built = own.groupBy(*SUBJECT, "builder").agg(F.count("*").alias("c")).join(home, SUBJECT)
-    n = built.groupBy("workspace_id", "period", "builder").agg(F.sum("c").alias("n"))
+    built = dealt(own.select(*SUBJECT, "builder"), *SUBJECT).join(home, SUBJECT)
+    n = built.groupBy("workspace_id", "period", "builder").agg(F.count("*").alias("n"))
     best = F.min_by(F.when(F.col("builder") != "unknown", F.col("builder")), F.when(F.col("builder") != "unknown", F.struct(-F.col("n"), "builder")))
     dominant = n.groupBy("workspace_id", "period").agg(F.coalesce(best, F.lit("unknown")).alias("derived"))
     given = config.select("workspace_id", "vertical", (F.col("builder") if "builder" in config.columns else F.lit(None).cast("string")).alias("declared"))

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows that one task sorts or aggregates by their keys.
+TASK_ROWS = 500_000
+
 
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``; below a temporary one only where none is set and all tasks run on this machine, as in tests."""
@@ -26,6 +29,15 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows of the same keys in one task, and about ``TASK_ROWS`` in each: a task's memory doesn't grow with the table, as it does with a fixed number of tasks.
+
+    Few rows are left to the session's settings. Rows are counted first.
+    """
+    tasks = -(-rows.count() // TASK_ROWS)
+    return rows if tasks < 2 else rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def by_folder(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows of one folder together, so that it gets a few files and not one from every task; a large folder's rows are split again."""
     return rows.hint("rebalance", *columns)
