@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilcount.constants import BUILDER_HOSTS, CATEGORIES, MAX_TEXT, REDACTIONS
+from veilcount.constants import BUILDER_HOSTS, CATEGORIES, MAX_TEXT, REDACTION_NEEDS, REDACTIONS
 
 
 def redacted(text: Column) -> Column:
@@ -25,6 +25,20 @@ def redaction_steps(text: Column) -> Column:
     return F.struct(F.substring(out, 1, MAX_TEXT).alias("text"), F.array_compact(F.array(*rules)).alias("rules"))
 
 
+def rules_fired(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` with a boolean column for each rule of ``redaction_steps``; ``text`` is left redacted, but whole.
+
+    Each rule is a step of its own, so that none is computed again for the
+    rules after it, and only texts that it fires on are written anew.
+    """
+    for name, pattern in REDACTIONS:
+        need = REDACTION_NEEDS[name]
+        may = F.col(text).contains(need) if need.isalnum() or need == "@" else F.col(text).rlike(need)
+        rows = rows.withColumn(name, may & F.col(text).rlike(pattern))
+        rows = rows.withColumn(text, F.when(F.col(name), F.regexp_replace(text, pattern, f"[redacted:{name}]")).otherwise(F.col(text)))
+    return rows.withColumn("truncated", F.length(text) > MAX_TEXT)
+
+
 def categories(text: Column) -> Column:
     """Names of the special categories that a text reveals; only letters and digits are inside a word."""
     found = [F.when(text.rlike(f"(?i)(?<![a-z0-9])(?:{words})(?![a-z0-9])"), F.lit(name)) for name, words in CATEGORIES]

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilcount.constants import BLOCKED_KEY
-from veilcount.functions.text_rules import redaction_steps
+from veilcount.constants import BLOCKED_KEY, REDACTIONS
+from veilcount.functions.text_rules import redaction_steps, rules_fired
 
 
 def _entries(json: Column, path: str = "$") -> Column:
@@ -59,7 +59,9 @@ def redact_properties(events: DataFrame, column: str = "properties") -> DataFram
 
 def text_findings(table: DataFrame, key: str, text: str) -> DataFrame:
     """(rule, n): how many rows of a text table each redaction rule fires on."""
-    return table.select(F.explode(redaction_steps(F.col(text))["rules"]).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"))
+    names = [*(name for name, _ in REDACTIONS), "truncated"]
+    counts = rules_fired(table.select(F.col(text).alias("_text")), "_text").agg(*(F.count_if(n).alias(n) for n in names))
+    return counts.select(F.explode(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("n")) for n in names))).alias("r")).select("r.*").where("n > 0")
 
 
 def findings_report(redacted: DataFrame) -> DataFrame:
