@@ -89,3 +89,20 @@ def test_cents_of_a_large_deal(spark):
     lucky = sorted(base, key=lambda w: (-base[w][1], w))[: pool - sum(q for q, _ in base.values())]
     assert got == {w: q + (w in set(lucky)) for w, (q, _) in base.items()}
     assert done.first()["pool_cents"] == pool == sum(got.values())
+
+
+def test_blocks_of_cells_are_few():
+    for low in range(0, 256, 3):
+        for high in range(low, 256):
+            own = addresses.blocks(low, high)
+            covered = [i for b in own for k in [9 - b.bit_length()] for i in range((b << k) - 256, (b + 1 << k) - 256)]
+            assert len(own) <= 14 and sorted(covered) == list(range(low, high + 1))
+
+
+def test_both_families_in_one_join_for_each_depth(spark):
+    """Addresses of the other family and none at all have keys of their own, so that they aren't one task's."""
+    table = spark.createDataFrame([("1.2.3.4", "1.2.3.9", "a"), ("1.0.0.0", "1.255.255.255", "b"), ("::5", "::9", "c")], "first string, last string, country string")
+    asked = spark.createDataFrame([(i, ip) for i, ip in enumerate(["1.2.3.4", "1.9.9.9", "::6", "::10", None, "bad", "2.2.2.2"])], "i int, ip string")
+    out = addresses.country_of_ip(asked, addresses.address_nodes(table))
+    assert [r["country"] for r in out.orderBy("i").collect()] == ["a", "b", "c", None, None, None, None]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 2

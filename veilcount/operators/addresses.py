@@ -4,18 +4,22 @@ A range is cut into cells: all addresses that begin with the same bytes. Cells
 with the same beginning but for their last byte make a node, an array of 256,
 so an address finds the cell at each depth by a join on its first bytes and
 the place of the next one. No event is multiplied and no list is searched,
-however many ranges there are, and it works on streams.
+however many ranges there are, and it works on streams. Within a node a range
+is a few blocks of a power of two of cells, which keep the place of their best
+range only, so that nodes cost a few numbers for each range.
 """
 
 from __future__ import annotations
 
 import ipaddress
 from collections.abc import Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilcount.functions.ranks import ranked
 from veilcount.sources.tables import saved
 
 
@@ -33,13 +37,29 @@ def cells(first: int, last: int, size: int) -> Iterator[tuple[int, int, int, int
         first += (high - low + 1) * unit
 
 
+@cache
+def blocks(low: int, high: int) -> list[int]:
+    """The cells from low to high as aligned blocks; block b of 256 >> k cells has the number (1 << k) + b, and halves into twice that and one more."""
+    found, low, high = [], low + 256, high + 257
+    while low < high:
+        if low % 2:
+            found.append(low)
+            low += 1
+        if high % 2:
+            high -= 1
+            found.append(high)
+        low, high = low // 2, high // 2
+    return found
+
+
 def address_nodes(ranges: DataFrame) -> DataFrame:
-    """(size, depth, prefix, cells): ``ranges`` (first, last, country) as nodes, in a table.
+    """(size, depth, prefix, cells): ``ranges`` (first, last, country) as nodes, in a table; a cell has its range's place and country.
 
     Addresses are texts of either family, or numbers of IPv4. Where ranges
     overlap, the one that starts last counts, then the one that ends first,
-    then the country first in the alphabet. Ranges that end before they begin,
-    or of two families, or that aren't addresses, cover nothing.
+    then the country first in the alphabet: that is the one of greatest place.
+    Ranges that end before they begin, or of two families, or that aren't
+    addresses, cover nothing.
     """
 
     def number(text: str) -> tuple[int, int] | None:
@@ -50,28 +70,41 @@ def address_nodes(ranges: DataFrame) -> DataFrame:
         own = getattr(own, "ipv4_mapped", None) or own
         return len(own.packed), int(own)
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
+            begins, ends, names = [], [], []
             for first, last, country in zip(*(b[c].to_pylist() for c in ("first", "last", "country")), strict=True):
-                ends = [number(x) if x else None for x in (first, last)]
-                if None in ends or ends[0][0] != ends[1][0] or country is None:
+                own = [number(x) if x else None for x in (first, last)]
+                if None in own or own[0][0] != own[1][0] or country is None or own[0] > own[1]:
                     continue
-                size, digits = ends[0][0], 2 * ends[0][0]
-                own = {"begins": f"{ends[0][1]:0{digits}x}", "ends": f"{ends[1][1]:0{digits}x}", "country": country}
-                rows += [{"size": size, "depth": d, "prefix": f"{p:0{2 * d}x}" if d else "", "low": low, "high": high, **own} for d, p, low, high in cells(ends[0][1], ends[1][1], size)]
-            schema = pa.schema([("size", pa.int32()), ("depth", pa.int32()), ("prefix", pa.string()), ("low", pa.int32()), ("high", pa.int32()), ("begins", pa.string()), ("ends", pa.string()), ("country", pa.string())])
-            yield pa.RecordBatch.from_pylist(rows, schema)
+                digits = 2 * own[0][0]
+                begins.append(f"{own[0][1]:0{digits}x}")
+                ends.append(f"{own[1][1]:0{digits}x}")
+                names.append(country)
+            yield pa.record_batch({"begins": pa.array(begins, pa.string()), "ends": pa.array(ends, pa.string()), "country": pa.array(names, pa.string())})
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out: tuple[list, ...] = ([], [], [], [], [])
+            for place, first, last in zip(*(b[c].to_pylist() for c in ("place", "begins", "ends")), strict=True):
+                size = len(first) // 2
+                for depth, prefix, low, high in cells(int(first, 16), int(last, 16), size):
+                    for column, value in zip(out, (size, depth, f"{prefix:0{2 * depth}x}" if depth else "", blocks(low, high), place), strict=True):
+                        column.append(value)
+            kinds = (pa.int32(), pa.int32(), pa.string(), pa.list_(pa.int32()), pa.int64())
+            yield pa.record_batch({c: pa.array(v, t) for c, v, t in zip(("size", "depth", "prefix", "blocks", "place"), out, kinds, strict=True)})
 
     text = ranges.select(*(F.col(c).cast("string").alias(c) for c in ("first", "last", "country")))
-    parts = text.mapInArrow(cut, "size int, depth int, prefix string, low int, high int, begins string, ends string, country string")
-    each = parts.select("size", "depth", "prefix", F.explode(F.sequence("low", "high")).alias("at"), "begins", "ends", "country")
-    # a later start is greater; of equal starts the earlier end, then the earlier name
-    best = each.groupBy("size", "depth", "prefix", "at", "begins").agg(F.min(F.struct("ends", "country")).alias("least"))
-    best = best.groupBy("size", "depth", "prefix", "at").agg(F.max_by(F.struct("begins", "least.ends", "least.country"), "begins").alias("c"))
-    # 256 at most
-    held = best.groupBy("size", "depth", "prefix").agg(F.map_from_entries(F.collect_list(F.struct("at", "c"))).alias("m"))
-    return saved(held.select("size", "depth", "prefix", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.try_element_at("m", i)).alias("cells")))
+    known = text.mapInArrow(read, "begins string, ends string, country string").distinct()
+    placed = saved(ranked(known, [], [F.col("begins"), F.desc("ends"), F.desc("country")], "place"))
+    parts = placed.select("place", "begins", "ends").mapInArrow(cut, "size int, depth int, prefix string, blocks array<int>, place long")
+    each = parts.select("size", "depth", "prefix", F.explode("blocks").alias("block"), "place")
+    best = each.groupBy("size", "depth", "prefix", "block").agg(F.max("place").alias("place"))
+    best = best.join(placed.select("place", "country"), "place").select("size", "depth", "prefix", "block", F.struct("place", "country").alias("c"))
+    # 511 at most
+    held = best.groupBy("size", "depth", "prefix").agg(F.map_from_entries(F.collect_list(F.struct("block", "c"))).alias("m"))
+    cell = lambda i: F.array_max(F.array(*(F.try_element_at("m", F.shiftright(i, k)) for k in range(9))))
+    return saved(held.select("size", "depth", "prefix", F.transform(F.sequence(F.lit(256), F.lit(511)), cell).alias("cells")))
 
 
 def address_hex(ip: Column) -> Column:
@@ -96,21 +129,22 @@ def country_of_ip(events: DataFrame, ranges: DataFrame) -> DataFrame:
     """Adds country (null if unknown) and drops the address ``ip``.
 
     ``ranges`` (first, last, country), or the table that ``address_nodes`` made
-    of them; a join for each depth that it has, three at most for IPv4.
+    of them; a join for each number of last bytes that its nodes leave, which
+    serves both families, so four at most for IPv4.
     """
     nodes = ranges if "cells" in ranges.columns else address_nodes(ranges)
     out, found = events.withColumn("_ip", address_hex(F.col("ip"))), []
-    # fifteen depths of one family at most, and three of the other
-    for size, depth in sorted((r["size"], r["depth"]) for r in nodes.select("size", "depth").distinct().collect()):
-        name = f"_c{size}_{depth}"
-        own = nodes.where((F.col("size") == size) & (F.col("depth") == depth)).select(F.col("prefix").alias("_p"), F.col("cells").alias("_cells"))
-        key = F.when(F.length("_ip") == 2 * size, F.substring("_ip", 1, 2 * depth))
-        at = F.conv(F.substring("_ip", 2 * depth + 1, 2), 16, 10).cast("int")
-        out = out.withColumn("_k", key).join(own, F.col("_k") == F.col("_p"), "left").withColumn(name, F.get("_cells", at)).drop("_k", "_p", "_cells")
+    size = F.length("_ip") / 2
+    # what has no node's address meets none, and isn't one task's as it would be without a key
+    spread = F.concat(F.lit("-"), F.xxhash64(*(c for c, t in events.dtypes if not any(x in t for x in ("map<", "variant")))).cast("string"))
+    # sixteen at most
+    for left in sorted(r["left"] for r in nodes.select((F.col("size") - F.col("depth")).alias("left")).distinct().collect()):
+        name = f"_c{left}"
+        own = nodes.where(F.col("size") - F.col("depth") == left).select(F.concat(F.col("size").cast("string"), F.lit(":"), "prefix").alias("_p"), F.col("cells").alias("_cells"))
+        depth = (size - left).cast("int")
+        key = F.when(depth >= 0, F.concat(size.cast("int").cast("string"), F.lit(":"), F.substring("_ip", F.lit(1), 2 * depth)))
+        at = F.conv(F.substring("_ip", 2 * depth + 1, F.lit(2)), 16, 10).cast("int")
+        out = out.withColumn("_k", F.coalesce(key, spread)).join(own, F.col("_k") == F.col("_p"), "left").withColumn(name, F.when(F.col("_p").isNotNull(), F.get("_cells", at))).drop("_k", "_p", "_cells")
         found.append(name)
-    country = F.lit(None).cast("string")
-    if found:
-        # a range that ends earlier is greater where both start at once
-        order = F.array(*(F.when(F.col(c).isNotNull(), F.struct(F.col(c)["begins"].alias("b"), F.translate(F.col(c)["ends"], "0123456789abcdef", "fedcba9876543210").alias("e"), F.col(c)["country"].alias("country"))) for c in found))
-        country = F.array_max(F.array_compact(order))["country"]
+    country = F.array_max(F.array(*map(F.col, found)))["country"] if found else F.lit(None).cast("string")
     return out.withColumn("country", country).drop("ip", "_ip", *found)
