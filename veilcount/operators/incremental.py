@@ -23,6 +23,7 @@ from pyspark.sql.types import StructType
 from veilcount.constants import DAY_US, PURPOSES
 from veilcount.functions.periods import period_label, size_bucket
 from veilcount.sources.store import SUBJECT, EventStore
+from veilcount.sources.tables import saved
 
 from .metrics import Metric, subject_facts
 
@@ -46,6 +47,8 @@ class Rollup:
         return EventStore(self.spark, f"{self.path}/facts", StructType.fromDDL(f"workspace_id string, subject_key string, first_at long, last_at long, consented boolean, {flags}, builders map<string, bigint>"), "first_at")
 
     def _facts_of(self, events: DataFrame) -> DataFrame:
+        # found in the store once, and read three times
+        events = saved(events)
         counted = events.groupBy(*SUBJECT, F.coalesce("builder", F.lit("unknown")).alias("builder")).agg(F.count("*").alias("c")).groupBy(*SUBJECT).agg(F.map_from_entries(F.collect_list(F.struct("builder", "c"))).alias("builders"))
         # the clock is added when counts are read
         found = subject_facts(events, self.metrics, self.purpose, now=0).join(counted, SUBJECT)
