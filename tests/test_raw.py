@@ -38,6 +38,23 @@ def test_fields_keep_their_text(spark):
     assert sorted(x["text"] for x in raw.refused_events(events).collect()) == ['"text"', "[1]", "null"]
 
 
+def test_one_pass_tells_all_outcomes(spark, tmp_path):
+    event = {"event_id": "e", "name": "view", "properties": {"n": 1}}
+    bodies = ["", "{", "[]", "null", "{}", {"events": [event] * 501}, {"api_key": "k", "events": []}, {"api_key": "k", "opt_out": True, "events": [event, None, "text", [event], {}]}]
+    asked, events = read(spark, *bodies)
+    told = raw.outcomes(asked)
+    order = lambda rows: sorted(map(tuple, rows), key=str)
+    for part, before in (("lines_refused", raw.refused_lines(asked)), ("events_refused", raw.refused_events(events))):
+        assert order(told.where(F.col("part") == part).select("reason", "text").collect()) == order(before.collect())
+    good = events.where("reason is null").drop("event", "reason")
+    assert order(told.where("part = 'events'").select(*good.columns).collect()) == order(good.collect()) and good.count() == 2
+    assert told.count() == 5 + 3 + 2
+    # a line is parsed once
+    spark.createDataFrame([(json.dumps(bodies[-1]),)], raw.LINE).write.text(f"{tmp_path}/lines")
+    plan = raw.outcomes(raw.requests(raw.lines(spark, f"{tmp_path}/lines")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1
+
+
 def test_requests_go_through_ingest(spark):
     event = {"event_id": "e1", "name": "view", "occurred_at": "2024-01-02T03:04:05Z", "identifier": "user-1", "jurisdiction": "US", "ip": "10.1.2.3", "properties": {"email": "x@y.zz", "n": 3}}
     _, events = read(spark, {"api_key": "key-1", "events": [event, event | {"event_id": ""}]}, {"api_key": "?", "events": [event]})

@@ -460,20 +460,15 @@ def raw_requests(s: SparkSession, d: str) -> DataFrame:
     folder = tables.shared_folder(s)
     fx.request_lines(s, d).write.text(f"{folder}/lines")
 
-    def parts(lines: DataFrame) -> dict[str, DataFrame]:
-        asked = raw.requests(lines)
-        events = raw.events_of(asked)
-        return {"events": events.where("reason is null").drop("event"), "lines_refused": raw.refused_lines(asked), "events_refused": raw.refused_events(events)}
-
-    batch, streamed = parts(raw.lines(s, f"{folder}/lines")), {}
-    for name, rows in parts(raw.line_stream(s, f"{folder}/lines")).items():
-        rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state/{name}").option("path", f"{folder}/{name}").trigger(availableNow=True).start().awaitTermination()
-        streamed[name] = s.read.schema(rows.schema).parquet(f"{folder}/{name}")
+    read = lambda lines: raw.outcomes(raw.requests(lines))
+    batch, streamed = read(raw.lines(s, f"{folder}/lines")), read(raw.line_stream(s, f"{folder}/lines"))
+    streamed.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").option("path", f"{folder}/out").trigger(availableNow=True).start().awaitTermination()
     tallies = []
-    for way, found in (("batch", batch), ("stream", streamed)):
-        used = found["events"].groupBy("identifier", "opt_out").agg(F.count("*").alias("n"), F.sum(F.get_json_object("properties", "$.n").cast("long")).alias("total"))
-        gone = found["lines_refused"].unionByName(found["events_refused"]).groupBy("reason").agg(F.count("*").alias("n"))
-        tallies += [used.select(F.lit(way).alias("way"), F.col("identifier").alias("what"), "opt_out", "n", "total"), gone.select(F.lit(way).alias("way"), F.col("reason").alias("what"), F.lit(None).cast("boolean").alias("opt_out"), "n", F.lit(None).cast("long").alias("total"))]
+    for way, found in (("batch", batch), ("stream", s.read.schema(streamed.schema).parquet(f"{folder}/out"))):
+        good = F.col("part") == "events"
+        what, signal = F.when(good, F.col("identifier")).otherwise(F.col("reason")).alias("what"), F.when(good, F.col("opt_out")).alias("opt_out")
+        total = F.sum(F.when(good, F.get_json_object("properties", "$.n").cast("long"))).alias("total")
+        tallies.append(found.groupBy(F.lit(way).alias("way"), good.alias("good"), what, signal).agg(F.count("*").alias("n"), total).drop("good").select("way", "what", "opt_out", "n", "total"))
     return _union(tallies)
 
 

@@ -27,6 +27,11 @@ def line_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(LINE).text(path)
 
 
+def _is_object(value: Column) -> Column:
+    """Without a look at what is inside, of which ``schema_of_variant`` would make one type."""
+    return F.try_variant_get(value, "$", "map<string,variant>").isNotNull()
+
+
 def _is(value: Column, kind: str) -> Column:
     return F.coalesce(F.schema_of_variant(value).startswith(kind), F.lit(False))
 
@@ -44,12 +49,12 @@ def requests(raw: DataFrame, most: int = MOST_EVENTS) -> DataFrame:
     Blank lines are no requests and go.
     """
     parsed = raw.where(F.trim("value") != "").withColumn("body", F.try_parse_json("value"))
-    events = F.try_variant_get("body", "$.events", "array<variant>")
+    events = F.col("events")
     reason = (
-        F.when(F.col("body").isNull(), "malformed_json").when(~_is(F.col("body"), "OBJECT"), "not_an_object")
+        F.when(F.col("body").isNull(), "malformed_json").when(~_is_object(F.col("body")), "not_an_object")
         .when(events.isNull(), "no_events").when(F.size(events) > most, "batch_too_large")
     )
-    return parsed.withColumn("events", events).withColumn("reason", reason)
+    return parsed.withColumn("events", F.try_variant_get("body", "$.events", "array<variant>")).withColumn("reason", reason)
 
 
 def events_of(asked: DataFrame) -> DataFrame:
@@ -59,12 +64,41 @@ def events_of(asked: DataFrame) -> DataFrame:
     ``properties`` is the event's bag as JSON text. All columns of ``asked`` but
     the line go on, and nothing is shuffled.
     """
-    rest = [c for c in asked.columns if c not in ("value", "body", "events", "reason")]
+    each = _exploded(asked.where("reason is null"), F.posexplode("events"))
+    return each.select(*_rest(asked), "api_key", "opt_out", "position", "event", *_fields(), _event_reason().alias("reason"))
+
+
+def outcomes(asked: DataFrame) -> DataFrame:
+    """All that ``events_of``, ``refused_lines`` and ``refused_events`` tell, in one pass over the lines.
+
+    ``part`` is ``events``, ``lines_refused`` or ``events_refused``; what is
+    refused has ``reason`` and ``text``, and usable events have the columns of
+    ``events_of`` but ``event``. Nothing is filtered before the events are
+    spread, so a line is parsed once.
+    """
+    each = _exploded(asked, F.posexplode_outer(F.when(F.col("reason").isNull(), F.col("events"))), "value", F.col("reason").alias("_line"))
+    # usable requests without events say nothing
+    told = each.where("_line is not null or position is not null").withColumn("_event", F.when(F.col("position").isNotNull(), _event_reason()))
+    part = F.when(F.col("_line").isNotNull(), "lines_refused").when(F.col("_event").isNotNull(), "events_refused").otherwise("events")
+    text = F.when(F.col("_line").isNotNull(), F.col("value")).when(F.col("_event").isNotNull(), F.to_json("event"))
+    return told.select(part.alias("part"), F.coalesce("_line", "_event").alias("reason"), text.alias("text"), *_rest(asked), "api_key", "opt_out", "position", *_fields())
+
+
+def _rest(asked: DataFrame) -> list[str]:
+    return [c for c in asked.columns if c not in ("value", "body", "events", "reason")]
+
+
+def _exploded(asked: DataFrame, events: Column, *more: Column | str) -> DataFrame:
     key, signal = text_of(F.col("body"), "$.api_key").alias("api_key"), F.coalesce(F.try_variant_get("body", "$.opt_out", "boolean"), F.lit(False)).alias("opt_out")
-    each = asked.where("reason is null").select(*rest, key, signal, F.posexplode("events").alias("position", "event"))
-    fields = [text_of(F.col("event"), f"$.{f}").alias(f) for f in FIELDS]
-    bag = F.to_json(F.try_variant_get("event", "$.properties", "variant")).alias("properties")
-    return each.select(*rest, "api_key", "opt_out", "position", "event", *fields, bag, F.when(~_is(F.col("event"), "OBJECT"), "event_not_an_object").alias("reason"))
+    return asked.select(*_rest(asked), *more, key, signal, events.alias("position", "event"))
+
+
+def _fields() -> list[Column]:
+    return [*(text_of(F.col("event"), f"$.{f}").alias(f) for f in FIELDS), F.to_json(F.try_variant_get("event", "$.properties", "variant")).alias("properties")]
+
+
+def _event_reason() -> Column:
+    return F.when(~_is_object(F.col("event")), "event_not_an_object")
 
 
 def refused_lines(asked: DataFrame) -> DataFrame:
@@ -79,7 +113,7 @@ def refused_events(events: DataFrame) -> DataFrame:
 
 def _objects(raw: DataFrame, key: str = "$.api_key") -> DataFrame:
     parsed = raw.where(F.trim("value") != "").withColumn("body", F.try_parse_json("value"))
-    reason = F.when(F.col("body").isNull(), "malformed_json").when(~_is(F.col("body"), "OBJECT"), "not_an_object")
+    reason = F.when(F.col("body").isNull(), "malformed_json").when(~_is_object(F.col("body")), "not_an_object")
     return parsed.withColumns({"api_key": text_of(F.col("body"), key), "reason": reason})
 
 
