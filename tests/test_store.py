@@ -169,3 +169,13 @@ def test_members_opt_in_and_are_screened(spark):
     rows = [("a", 1, True, "x", "invoices"), ("a", 2, None, "x", "invoices"), ("b", 1, None, "x", "y"), ("b", 2, True, "x", "y"), ("c", 1, True, "x", "an app for kids"), ("d", 1, False, "x", "y"), ("e", 1, True, None, None)]
     p = spark.createDataFrame(rows, "workspace_id string, version int, coop_enrolled boolean, app_name string, description string").withColumns({"vertical": F.lit("b2b_saas"), "hostname": F.lit("h.app")})
     assert sorted(r[0] for r in validate.coop_members(insights.enrolled(p)).collect()) == ["b", "e"]
+
+
+def test_records_and_texts_of_ingest_are_read_once(spark):
+    sf = "/root/testdata/sf0.001"
+    accepted = ingest.judged(fixtures.raw_events(spark, sf), ingest.sample_knowledge(spark, sf)).where("reject_reason is null")
+    plan = accepted._jdf.queryExecution().optimizedPlan().toString()
+    # the events, the decisions, their workspaces and the ranges
+    assert plan.count("Relation") == 4
+    # a search for each category, not a second one in a filter
+    assert plan.count("23andme") == 1

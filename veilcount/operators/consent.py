@@ -162,20 +162,26 @@ def posture(purpose: Column, jurisdiction: Column) -> Column:
     return out
 
 
-def decisions(records: DataFrame) -> DataFrame:
-    """(workspace_id, subject_key, purpose, state): the decision in force.
+def in_force(mine: Column | None = None) -> Column:
+    """An aggregate over records, of those that ``mine`` holds for: the state of the decision in force.
 
     Defaults written by a workspace or a regulation never overturn what the
     subject chose, and after a withdrawal only a grant given explicitly counts.
+    So after one the last record counts that isn't another grant; what came
+    before it is no later than the withdrawal itself. No record is looked at twice.
     """
+    of = (lambda c: c) if mine is None else (lambda c: F.when(mine, c))
     own = ~F.col("source").isin("workspace_default", "regulatory_default")
-    order = F.struct("at", "seq")
-    last_no = F.max(F.when(own & (F.col("state") == "withdrawn"), order))
-    keys = ["workspace_id", "subject_key", "purpose"]
-    marks = records.groupBy(*keys).agg(F.bool_or(own).alias("chose"), last_no.alias("no"))
-    live = records.join(marks, keys).where(own | ~F.col("chose"))
-    ignored = F.col("no").isNotNull() & (order > F.col("no")) & (F.col("state") == "granted") & (F.col("source") != "explicit_ui")
-    return live.where(~ignored).groupBy(*keys).agg(F.max_by("state", order).alias("state"))
+    record = F.struct("at", "seq", "state")
+    sure = own & ((F.col("state") != "granted") | (F.col("source") == "explicit_ui"))
+    chose, gone = F.bool_or(of(own)), F.coalesce(F.bool_or(of(own & (F.col("state") == "withdrawn"))), F.lit(False))
+    last = lambda c: F.max(of(F.when(c, record)))
+    return F.when(chose & gone, last(sure)).when(chose, last(own)).when(~chose, F.max(of(record)))["state"]
+
+
+def decisions(records: DataFrame) -> DataFrame:
+    """(workspace_id, subject_key, purpose, state): the decision in force."""
+    return records.groupBy("workspace_id", "subject_key", "purpose").agg(in_force().alias("state"))
 
 
 def resolve(asked: DataFrame, records: DataFrame) -> DataFrame:
@@ -189,7 +195,7 @@ def permitted(subjects: DataFrame, records: DataFrame) -> DataFrame:
 
     Without workspace or subject nothing is permitted, whatever the jurisdiction.
     """
-    state = decisions(records).groupBy("workspace_id", "subject_key").pivot("purpose", list(PURPOSES)).agg(F.first("state"))
+    state = records.groupBy("workspace_id", "subject_key").agg(*(in_force(F.col("purpose") == p).alias(p) for p in PURPOSES))
     found = subjects.join(state, ["workspace_id", "subject_key"], "left")
     known = F.col("workspace_id").isNotNull() & F.col("subject_key").isNotNull()
     each = [F.when(known & (F.coalesce(F.col(p), posture(F.lit(p), F.col("jurisdiction"))) == "granted"), F.lit(p)) for p in PURPOSES]

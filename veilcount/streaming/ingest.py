@@ -56,12 +56,13 @@ def judged(raw: DataFrame, known: Known, asof: str | None = None) -> DataFrame:
     keyed = identity.with_keys(valid, known.root, workspaces=known.keys).drop("identifier")
     subjects = keyed.withColumnsRenamed({"subject_key": "rotating", "anchor": "subject_key", "clean_jurisdiction": "jurisdiction"})
     permitted = consent.permitted(subjects, known.records) if asof is None else consent.permitted_at(subjects, known.records, asof)
-    allowed = permitted.withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"})
+    # narrowing leaves analytics where it is; so the refused are known, and may be left out, before texts are searched
+    allowed = validate.rejected_without_analytics(permitted.withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"}))
     bag = F.coalesce(F.expr("map_entries(try_cast(try_parse_json(properties) as map<string, variant>))"), F.array().cast("array<struct<key: string, value: variant>>"))
     texts = F.concat(F.array("name"), F.transform(bag, lambda e: e["key"]), F.transform(bag, lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit(""))))
     found = F.flatten(F.transform(texts, categories))
     narrow = validate.restrict_sensitive(validate.restrict_opt_out(F.col("purposes"), F.col("opt_out")), found)
-    return addresses.country_of_ip(validate.rejected_without_analytics(allowed.withColumn("purposes", narrow)), known.ranges)
+    return addresses.country_of_ip(allowed.withColumn("purposes", narrow), known.ranges)
 
 
 def clean_stream(raw: DataFrame, known: Known, arrival: str = "arrival", delay: str = "1 hour") -> DataFrame:
