@@ -351,3 +351,20 @@ def test_findings_search_a_text_once_for_each_rule(spark):
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == 10 and "Generate" in plan and "Expand" not in plan
     assert redact.text_findings(df.where("false"), "t", "t").count() == 0
+
+
+def test_events_stay_where_they_are_for_few_workspaces_found_in_a_large_table(spark, monkeypatch):
+    """The join with the configured workspaces is planned by their own size, not by that of the table that they come from."""
+    profiles = spark.range(400_000).groupBy(F.concat(F.lit("w"), F.col("id") % 3).alias("workspace_id")).agg(F.max_by(F.lit("v"), "id").alias("vertical"))
+    e = spark.range(3000).select(F.concat(F.lit("w"), F.col("id") % 4).alias("workspace_id"), F.concat(F.lit("s"), F.col("id") % 1500).alias("subject_key"), F.lit("x").alias("name"), F.lit("b").alias("builder"), F.col("id").alias("at"), F.array(F.lit("benchmark_contribution")).alias("purposes"))
+    seen, facts = [], metrics.subject_facts
+    monkeypatch.setattr(metrics, "subject_facts", lambda own, *rest: seen.append(own) or facts(own, *rest))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        out = metrics.rollup(e, profiles, [metrics.activation("x", 0)])
+        plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+        assert {(r["workspace_id"], r["vertical"], r["subject_count"]) for r in out.collect()} == {(f"w{i}", "v", 375) for i in range(3)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

@@ -129,6 +129,8 @@ def rollup(events: DataFrame, config: DataFrame, metrics: list[Metric], granular
     the dominant one; events of other workspaces are dropped. A subject belongs
     to the period of its first event; size counts consented subjects only.
     """
+    # its own size is known once it is written: few workspaces are broadcast, and events stay where they are, however large a table they were found in
+    config = saved(config)
     own = events.join(config.select("workspace_id"), "workspace_id", "left_semi")
     facts = subject_facts(own, metrics, purpose, now)
     rows = metric_rows(facts, metrics, granularity)
