@@ -33,11 +33,9 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
     """
     fields = ("at", "seq", "subject_key", "purpose", "state", "source", "jurisdiction", "notice_version")
     given = records.select("workspace_id", *fields)
-    if heads is None:
-        given = given.select("*", F.lit(0).cast("long").alias("base"), F.lit(GENESIS).alias("start"))
-    else:
+    if heads is not None:
         before = heads.select("workspace_id", F.col("length").alias("base"), F.col("head").alias("start"))
-        given = given.join(before, "workspace_id", "left").withColumns({"base": F.coalesce(F.col("base").cast("long"), F.lit(0).cast("long")), "start": F.coalesce("start", F.lit(GENESIS))})
+        given = given.join(before, "workspace_id", "left")
 
     def chain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lane, place, last = None, 0, GENESIS
@@ -54,10 +52,12 @@ def append(records: DataFrame, heads: DataFrame | None = None) -> DataFrame:
             kept = b.drop_columns(["base", "start", "text"])
             yield pa.RecordBatch.from_arrays([*kept.columns, pa.array(places, pa.int64()), pa.array(before, pa.string()), pa.array(own, pa.string())], [*kept.schema.names, "place", "prev_hash", "hash"])
 
-    texts = given.withColumn("text", canonical(F.struct(*fields)))
-    in_order = texts.repartition("workspace_id").sortWithinPartitions("workspace_id", *fields)
-    schema = given.drop("base", "start").schema.add("place", "long").add("prev_hash", "string").add("hash", "string")
-    return in_order.mapInArrow(chain, schema).select("workspace_id", "place", *fields, "prev_hash", "hash")
+    in_order = given.repartition("workspace_id").sortWithinPartitions("workspace_id", *fields)
+    # what can be had from a sorted row isn't sorted with it
+    base, start = (F.lit(None), F.lit(None)) if heads is None else (F.col("base"), F.col("start"))
+    texts = in_order.withColumns({"base": F.coalesce(base.cast("long"), F.lit(0).cast("long")), "start": F.coalesce(start, F.lit(GENESIS)), "text": canonical(F.struct(*fields))})
+    schema = given.select("workspace_id", *fields).schema.add("place", "long").add("prev_hash", "string").add("hash", "string")
+    return texts.mapInArrow(chain, schema).select("workspace_id", "place", *fields, "prev_hash", "hash")
 
 
 def from_decisions(decisions: DataFrame, root: str) -> DataFrame:
