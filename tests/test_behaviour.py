@@ -368,3 +368,11 @@ def test_events_stay_where_they_are_for_few_workspaces_found_in_a_large_table(sp
         assert {(r["workspace_id"], r["vertical"], r["subject_count"]) for r in out.collect()} == {(f"w{i}", "v", 375) for i in range(3)}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_rows_go_to_no_more_tasks_than_maps_write_directly(spark, monkeypatch):
+    """Beyond 200 tasks a map task holds its split's rows, so tasks get up to three times their rows first."""
+    monkeypatch.setattr(tables, "TASK_ROWS", 10)
+    tasks = lambda n: tables.dealt(spark.range(n), "id").rdd.getNumPartitions()
+    assert [tasks(n) for n in (1990, 2000, 2010, 6000, 6010)] == [199, 200, 200, 200, 601]
+    assert tables.dealt(spark.range(3000), "id").count() == 3000

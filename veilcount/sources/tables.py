@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one task sorts or aggregates by their keys.
 TASK_ROWS = 500_000
+#: So many times as many, before rows are dealt to more tasks than a map task can write for without holding its split's rows.
+STRETCH = 3
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -32,10 +34,16 @@ def saved(df: DataFrame) -> DataFrame:
 def dealt(rows: DataFrame, *keys: str) -> DataFrame:
     """Rows of the same keys in one task, and about ``TASK_ROWS`` in each: a task's memory doesn't grow with the table, as it does with a fixed number of tasks.
 
-    Few rows are left to the session's settings. Rows are counted first.
+    Few rows are left to the session's settings. Rows are counted first. Up to
+    ``spark.shuffle.sort.bypassMergeThreshold`` tasks, a map task writes rows
+    as they come; for more, it holds those of its split, and spills. So that
+    many tasks take up to ``STRETCH`` times their rows before there are more.
     """
-    tasks = -(-rows.count() // TASK_ROWS)
-    return rows if tasks < 2 else rows.repartition(max(tasks, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+    spark = rows.sparkSession
+    tasks, direct = -(-rows.count() // TASK_ROWS), int(spark.sparkContext.getConf().get("spark.shuffle.sort.bypassMergeThreshold", "200"))
+    if direct < tasks <= STRETCH * direct:
+        tasks = direct
+    return rows if tasks < 2 else rows.repartition(max(tasks, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
 
 
 def by_folder(rows: DataFrame, *columns: str) -> DataFrame:
