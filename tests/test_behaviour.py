@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from veilcount.functions import identity, noise, periods, text_rules
-from veilcount.operators import addresses, benchmark, cohorts, consent, metrics, redact, release, settle, validate
+from veilcount.operators import addresses, benchmark, cohorts, consent, insights, metrics, redact, release, settle, validate
 from veilcount.sources import fixtures as fx
 from veilcount.sources import tables
 
@@ -376,3 +376,12 @@ def test_rows_go_to_no_more_tasks_than_maps_write_directly(spark, monkeypatch):
     tasks = lambda n: tables.dealt(spark.range(n), "id").rdd.getNumPartitions()
     assert [tasks(n) for n in (1990, 2000, 2010, 6000, 6010)] == [199, 200, 200, 200, 601]
     assert tables.dealt(spark.range(3000), "id").count() == 3000
+
+
+def test_only_profiles_of_the_last_version_are_sorted(spark):
+    """Profiles that a later one replaces leave before whole ones are compared; workspaces without versions, and rows without a workspace, stay."""
+    p = spark.createDataFrame([("a", 1, "old"), ("a", 2, "new"), ("a", None, "?"), ("b", None, "only"), (None, 3, "early"), (None, 4, "late")], "workspace_id string, version int, vertical string")
+    got = insights.latest_profiles(p)
+    assert {(r["workspace_id"], r["version"], r["vertical"]) for r in got.collect()} == {("a", 2, "new"), ("b", None, None), (None, 4, "late")}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan.partition("Aggregate")[2]

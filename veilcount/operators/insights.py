@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilcount.functions.periods import day_of
+from veilcount.sources.tables import saved
 
 #: Registers of a sketch, as a power of two.
 LOG_SIZE = 12
@@ -22,9 +23,15 @@ def subjects(events: DataFrame) -> DataFrame:
 
 
 def latest_profiles(profiles: DataFrame, version: str = "version") -> DataFrame:
-    """The last profile of each workspace."""
+    """The last profile of each workspace.
+
+    Its version is found first, and written: whole profiles of a workspace are
+    compared by sorting them, so only those of its last version are.
+    """
     rest = [c for c in profiles.columns if c != "workspace_id"]
-    best = profiles.groupBy("workspace_id").agg(F.max_by(F.struct(*rest), version).alias("p"))
+    last = saved(profiles.groupBy(F.col("workspace_id").alias("_w")).agg(F.max(version).alias("_last")))
+    own = profiles.join(last, F.col("workspace_id").eqNullSafe(F.col("_w")) & F.col(version).eqNullSafe(F.col("_last")), "left_semi")
+    best = own.groupBy("workspace_id").agg(F.max_by(F.struct(*rest), version).alias("p"))
     return best.select("workspace_id", *(F.col(f"p.{c}").alias(c) for c in rest))
 
 
