@@ -37,6 +37,35 @@ def test_filters_name_every_stored_key_and_few_others(spark):
     assert filters.may_hold(small, others, "day", ["w", "k"], 1 << 16, 4).count() < 30
 
 
+def test_a_key_is_looked_for_in_one_word(spark):
+    """A probe is a row for each key and partition, and needs no aggregate."""
+    rows = spark.range(50).select(F.col("id").cast("string").alias("day"), F.col("id").alias("k"))
+    small = filters.summary(rows, "day", ["k"])
+    assert small.count() == 50
+    assert {r["day"] for r in filters.may_hold_any(small, rows.where("k < 7"), "day", ["k"]).collect()} == {str(i) for i in range(7)}
+    assert filters.may_hold_any(small.where("false"), rows, "day", ["k"]).count() == 0
+
+
+def test_stored_events_are_not_judged_again(spark, tmp_path, monkeypatch):
+    sf, seen, stored, plain = "/root/testdata/sf0.001", [], [], ingest.judged
+    known = ingest.sample_knowledge(spark, sf)
+    raw = fixtures.raw_events(spark, sf).where("event_id <> ''").withColumn("arrival_us", F.col("ingest_seq") * 1_000_000 + ingest.HALF)
+    kept = EventStore(spark, f"file://{tmp_path}/store", StructType.fromDDL(ingest.CLEAN), "arrival_us")
+
+    def judged(rows, *others):
+        seen.append(rows.count())
+        return plain(rows, *others)
+
+    monkeypatch.setattr(ingest, "judged", judged)
+    # after the last record of the sample's ledger
+    for late in (30 * DAY_US, 70 * DAY_US):
+        raw.withColumn("arrival_us", F.col("arrival_us") + late).write.mode("append").parquet(f"{tmp_path}/in")
+        ingest.store_batches(spark.readStream.schema(raw.schema).parquet(f"{tmp_path}/in"), lambda: known, kept, f"{tmp_path}/state").awaitTermination()
+        stored.append(kept.events().count())
+    # the ledger is the same, so what was refused is refused again
+    assert stored[0] == stored[1] > 500 and seen == [raw.count(), raw.count() - stored[0]]
+
+
 def test_first_writes_win_over_batches(spark, tmp_path):
     kept = store(spark, tmp_path)
     first = events(spark, [("a", "e1", "s1", 1), ("a", "e2", "s1", 1), ("b", "e1", "s1", 2), ("a", "e1", "s9", 1), ("a", "e1", "s9", 3)])

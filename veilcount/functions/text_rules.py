@@ -45,6 +45,11 @@ def categories(text: Column) -> Column:
     return F.array_compact(F.array(*found))
 
 
+def reveals(text: Column) -> Column:
+    """Whether ``categories`` names any, by one search."""
+    return text.rlike("(?i)(?<![a-z0-9])(?:" + "|".join(words for _, words in CATEGORIES) + ")(?![a-z0-9])")
+
+
 def screen_text(found: Column) -> Column:
     text = F.concat(F.lit("Possibly sensitive ("), F.array_join(found, ", "), F.lit("): kept in your own figures, left out of shared ones. Another name clears a false alarm."))
     return F.when(F.size(found) > 0, text)

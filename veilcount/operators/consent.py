@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from veilcount.constants import DAY_US, POSTURES, PURPOSES, STRICTEST
 from veilcount.functions import identity
+from veilcount.sources.tables import saved
 
 GENESIS = "0" * 64
 #: Hex digits that name a leaf of the tree over all lanes.
@@ -234,10 +235,11 @@ def permitted_at(events: DataFrame, records: DataFrame, at: str = "at", slot_us:
     names = [f"p{i}" for i in range(len(PURPOSES))]
     given = events.select(*key, "jurisdiction", F.col(at).alias("t"), F.floor(F.col(at) / F.lit(slot_us)).alias("slot"), F.struct(*(F.col(c) for c in events.columns)).alias("e"))
     live = given.where(known)
+    # written, so that the subjects' keys aren't made anew for each of its uses
+    slots = saved(live.select(*key, "slot").distinct())
     # only records of subjects that have events
-    marks = states(records.join(live.select(*key).distinct(), key, "left_semi")).select(*key, F.col("at").alias("t"), F.floor(F.col("at") / F.lit(slot_us)).alias("slot"), "seq", *(F.when(F.col("purpose") == p, F.col("state")).alias(n) for p, n in zip(PURPOSES, names, strict=True)))
+    marks = states(records.join(slots.select(*key).distinct(), key, "left_semi")).select(*key, F.col("at").alias("t"), F.floor(F.col("at") / F.lit(slot_us)).alias("slot"), "seq", *(F.when(F.col("purpose") == p, F.col("state")).alias(n) for p, n in zip(PURPOSES, names, strict=True)))
     none = [F.lit(None).cast("string").alias(n) for n in names]
-    slots = live.select(*key, "slot").distinct()
 
     def last(over: list[str]) -> list[Column]:
         w = Window.partitionBy(*over).orderBy("t", "kind", "seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -58,7 +58,7 @@ class EventStore:
     def days_with(self, keys: DataFrame, kind: list[str]) -> list[str]:
         """Days whose filter may hold any of the keys; as many as there are folders at most."""
         name = "subjects" if kind == SUBJECT else "ids"
-        return sorted(r["day"] for r in filters.may_hold(self._filter(name), keys, "day", kind).select("day").distinct().collect())
+        return sorted(r["day"] for r in filters.may_hold_any(self._filter(name), keys, "day", kind).collect())
 
     def append(self, events: DataFrame) -> None:
         """Adds events as they are. Filters are written first: should the job die in between, they name a day too many and never one too few."""
@@ -68,16 +68,23 @@ class EventStore:
             by_folder(filters.summary(rows, "day", keys), "day").write.mode("append").partitionBy("day").parquet(f"{self.path}/{name}")
         by_folder(rows, "day").write.mode("append").partitionBy("day").parquet(f"{self.path}/events")
 
-    def unseen(self, events: DataFrame) -> DataFrame:
-        """The first of each (workspace_id, event_id) by ``at``, unless it is stored. Only days whose filter may hold one of the ids are read, and of them only the ids."""
+    def unstored(self, events: DataFrame) -> DataFrame:
+        """The rows whose (workspace_id, event_id) isn't stored; others of their columns don't matter. Only days whose filter may hold one of the ids are read, and of them only the ids."""
+        days = self.days_with(events, EVENT)
+        return events.join(self.events(days).select(*EVENT), EVENT, "left_anti") if days else events
+
+    def firsts(self, events: DataFrame) -> DataFrame:
+        """The first of each (workspace_id, event_id) by ``at``."""
         least = events.groupBy(*EVENT).agg(F.min_by(F.struct(*(F.col(c) for c in self.schema.fieldNames())), F.struct(self.at, F.xxhash64(*(F.col(c) for c in self.schema.fieldNames() if not self.schema[c].dataType.typeName().startswith("map"))))).alias("e"))
-        first = least.select("e.*")
-        held = self.events(self.days_with(first, EVENT)).select(*EVENT)
-        return first.join(held, EVENT, "left_anti")
+        return least.select("e.*")
 
     def append_once(self, events: DataFrame) -> None:
         """Adds the events that aren't stored yet, however often and however late they come again; a batch that is run twice adds nothing the second time."""
-        self.append(saved(self.unseen(saved(events))))
+        self.append_first(self.unstored(saved(events)))
+
+    def append_first(self, unstored: DataFrame) -> None:
+        """Adds the first of each event; none may be stored already."""
+        self.append(saved(self.firsts(unstored)))
 
     def of_subjects(self, keys: DataFrame) -> DataFrame:
         """The stored rows of the (workspace_id, subject_key) pairs, from the days that may hold one."""

@@ -20,10 +20,10 @@ from pyspark.sql.types import StructType
 
 from veilcount.constants import DAY_US
 from veilcount.functions import identity
-from veilcount.functions.text_rules import categories
+from veilcount.functions.text_rules import reveals
 from veilcount.operators import addresses, consent, redact, validate
 from veilcount.sources.store import EventStore
-from veilcount.sources.tables import shared_folder
+from veilcount.sources.tables import saved, shared_folder
 
 
 #: Middle of the sample, 2024-01-16.
@@ -60,7 +60,7 @@ def judged(raw: DataFrame, known: Known, asof: str | None = None) -> DataFrame:
     allowed = validate.rejected_without_analytics(permitted.withColumnsRenamed({"subject_key": "anchor", "rotating": "subject_key"}))
     bag = F.coalesce(F.expr("map_entries(try_cast(try_parse_json(properties) as map<string, variant>))"), F.array().cast("array<struct<key: string, value: variant>>"))
     texts = F.concat(F.array("name"), F.transform(bag, lambda e: e["key"]), F.transform(bag, lambda e: F.coalesce(F.try_variant_get(e["value"], "$", "string"), F.lit(""))))
-    found = F.flatten(F.transform(texts, categories))
+    found = F.filter(texts, reveals)
     narrow = validate.restrict_sensitive(validate.restrict_opt_out(F.col("purposes"), F.col("opt_out")), found)
     return addresses.country_of_ip(allowed.withColumn("purposes", narrow), known.ranges)
 
@@ -91,8 +91,11 @@ def store_batches(raw: DataFrame, known: Callable[[], Known], store: EventStore,
     """
 
     def batch(rows: DataFrame, _: int) -> None:
-        accepted = judged(rows, known(), arrival_us).where("reject_reason is null")
-        store.append_once(cleaned(accepted, arrival_us))
+        now = known()
+        # what is stored isn't judged again
+        new = saved(store.unstored(validate.attach_workspace(rows, now.keys)))
+        accepted = judged(new, now, arrival_us).where("reject_reason is null")
+        store.append_first(cleaned(accepted, arrival_us))
 
     return raw.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
